@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaloom.llm import packing, pieces, quality, simhash
+from vitaloom.llm import chat, packing, pieces, quality, simhash, suffix
 from vitaloom.llm.common import table
 
 #: Rows of one Arrow batch: texts may be long, so batches are short.
@@ -28,6 +28,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(prepared(spark), sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(prepared(spark), sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)")
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(tricky))
+    return chat.digests(chat.format_conversations(turns))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.roundtrip_digests(table(prepared(spark), sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -44,6 +54,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_chat_format": op6_chat_format,
         "op7_piece_codec": op7_piece_codec,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash": op10_simhash,
@@ -53,7 +65,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     stops = ", ".join("'" + w + "'" for w in dict.fromkeys(quality.STOP_WORDS))
     bounds = " AND ".join(f"{r.measure} {op} {x}" for r in quality.THRESHOLDS for op, x in ((">=", r.low), ("<=", r.high)) if x is not None)
+    escaped = "replace({}, chr(92), chr(92) || '0')"
+    code = dict(chat.ESCAPES[1:])
+    for c in chat.CONTROL:
+        escaped = f"replace({escaped}, '{c}', chr(92) || '{code[c[0]][1:] + c[1:]}')"
     return {
+        "op6_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, v.turn, v.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length({escaped.format("role")}) + length({escaped.format("text")}) + CASE WHEN role = 'assistant' THEN 8 ELSE 14 END)::BIGINT AS formatted_chars
+FROM t WHERE conv_id IS NOT NULL GROUP BY conv_id
+""",
         "op9_quality_rules": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
