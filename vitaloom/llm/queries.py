@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitaloom.llm import chat, packing, pieces, quality, simhash, suffix
+from vitaloom.llm import ann, chat, packing, pieces, pii, quality, secrets, simhash, suffix, warc
 from vitaloom.llm.common import table
 
 #: Rows of one Arrow batch: texts may be long, so batches are short.
@@ -28,6 +29,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(prepared(spark), sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 200)
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(table(prepared(spark), sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(prepared(spark), sf_dir, "documents"))
 
@@ -42,6 +56,12 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.roundtrip_digests(table(prepared(spark), sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(spark)).select("doc_id", F.inline("findings"))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.sha2("token", 256).alias("token_sha256"), "score", "secret")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,9 +74,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_warc": op2_warc,
+        "op3_ann": op3_ann,
+        "op4_pii": op4_pii,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_chat_format": op6_chat_format,
         "op7_piece_codec": op7_piece_codec,
+        "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash": op10_simhash,
     }
@@ -69,7 +93,16 @@ def oracle_sql() -> dict[str, str]:
     code = dict(chat.ESCAPES[1:])
     for c in chat.CONTROL:
         escaped = f"replace({escaped}, '{c}', chr(92) || '{code[c[0]][1:] + c[1:]}')"
+    digits = "('0x' || substr(h, 5 * i + 1, 5))::INTEGER"
+    base32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({digits} >> {k}) & 31) + 1, 1)" for k in (15, 10, 5, 0))
     return {
+        "op2_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+q AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda i: {base32}), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM q
+""",
         "op6_chat_format": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, v.turn, v.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role))

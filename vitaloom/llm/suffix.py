@@ -196,8 +196,11 @@ def _table(share: list[int], kind: list[int], payload: list[bytes], key: str = "
     return pa.table({key: pa.array(share, pa.int64()), "kind": pa.array(kind, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
-def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept``: the remaining bytes."""
+def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept_text``: the remaining bytes as text.
+
+    A cut may leave part of a character; such bytes are no text and are missing from ``kept_text`` only.
+    """
     if not 32 <= length <= GRAM + 31:
         raise ValueError(f"length must lie between 32 and {GRAM + 31}")
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
@@ -333,7 +336,7 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
         for d, r in copied:
             gone = len(r) if len(r) >= length else 0
             kept = b"" if gone else r
-            out.append((d, len(r), gone, int(gone > 0), hashlib.sha256(kept).hexdigest(), kept))
+            out.append((d, len(r), gone, int(gone > 0), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
         base = 0
         for part_ids, part in _passes(ids, texts):
             t = Triggers(part, length)
@@ -352,16 +355,16 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
                 n = int(g.sum())
                 kept = t.raw[b:e][~g].tobytes() if n else r
                 spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if n else 0
-                out.append((d, len(r), n, spans, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((d, len(r), n, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
         cols = list(zip(*out, strict=True)) or [[]] * 6
-        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_bytes]
+        types = [pa.int64()] * 4 + [pa.string(), pa.string()]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + with_text]
         return pa.table([pa.array(c, k) for c, k in zip(cols, types, strict=True)][: len(names)], names=names)
 
     sent = "bucket long, kind int, payload binary"
     repeated = _cogrouped(held, copies, grams, sent).groupBy("bucket").applyInArrow(sift, RIGHT_SCHEMA)
     masks = _cogrouped(held, copies.unionByName(repeated), contexts, sent).groupBy("bucket").applyInArrow(own, RIGHT_SCHEMA)
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     return _cogrouped(held, copies.unionByName(masks), cut, result)
 
 
