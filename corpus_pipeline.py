@@ -22,6 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id."""
+    prepared(spark)
     groups = simhash.near_duplicates(docs)
     heads = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
@@ -33,6 +34,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A cut within a character leaves no valid text, so what is left of that character goes too.
     """
     names = docs.columns
+    prepared(spark)
     cut = suffix.dedup(docs, with_text=True).where("n_removed > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.first("kept_text").alias("_kept"))
     left = docs.join(cut, docs.doc_id == F.col("_id"), "left").withColumn("text", F.coalesce("_kept", "text"))
     return left.withColumn("n_chars", F.length("text").cast("long")).where(F.col("_id").isNull() | (F.length(F.trim("text")) > 0)).select(*names)
@@ -45,6 +47,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
+    prepared(spark)
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
