@@ -41,14 +41,14 @@ def reference_range(c: Column) -> Column:
     t = without_group_commas(s)
 
     def pair(between: str) -> Column:
-        p = F.lit(f"(?i){n}\\s*{between}\\s*{n}")
+        p = f"(?i){n}\\s*{between}\\s*{n}"
         a, b = F.regexp_extract(t, p, 1).try_cast("double"), F.regexp_extract(t, p, 2).try_cast("double")
-        return F.when(F.rlike(t, p), F.struct(F.least(a, b).alias("min"), F.greatest(a, b).alias("max"), F.lit(None).cast("string").alias("qualitative")))
+        return F.when(F.rlike(t, F.lit(p)), F.struct(F.least(a, b).alias("min"), F.greatest(a, b).alias("max"), F.lit(None).cast("string").alias("qualitative")))
 
     def bound(words: str, upper: bool) -> Column:
-        p = F.lit(f"(?i)(?:{words})\\s*{n}")
+        p = f"(?i)(?:{words})\\s*{n}"
         v, none = F.regexp_extract(t, p, 1).try_cast("double"), F.lit(None).cast("double")
-        return F.when(F.rlike(t, p), F.struct((none if upper else v).alias("min"), (v if upper else none).alias("max"), F.lit(None).cast("string").alias("qualitative")))
+        return F.when(F.rlike(t, F.lit(p)), F.struct((none if upper else v).alias("min"), (v if upper else none).alias("max"), F.lit(None).cast("string").alias("qualitative")))
 
     word_only = F.when(named.isNotNull(), F.struct(F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"), named.alias("qualitative")))
     return F.when(
@@ -217,8 +217,8 @@ def failure_kind(status: Column, code: Column, message: Column) -> Column:
 
 
 def retry_seconds(header: Column, message: Column) -> Column:
-    p = F.lit(r"(?i)try again in\s+(?:(\d+)m)?([\d.]+)s")
+    p = r"(?i)try again in\s+(?:(\d+)m)?([\d.]+)s"
     seconds = F.regexp_extract(message, p, 2).try_cast("double")
     waited = F.ceil(F.coalesce(F.regexp_extract(message, p, 1).try_cast("double"), F.lit(0.0)) * 60 + seconds).cast("double")
     given = header.try_cast("double")
-    return F.coalesce(F.when(given >= 0, given), F.when(F.rlike(message, p), waited))
+    return F.coalesce(F.when(given >= 0, given), F.when(F.rlike(message, F.lit(p)), waited))
