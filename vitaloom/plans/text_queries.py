@@ -101,7 +101,7 @@ def rerank_coverage(spark, sf_dir):
     return both.select("q.query_id", "doc_id", F.round(retrieval.coverage(F.col("q.terms"), F.col("text")), 6).alias("coverage"))
 
 
-@register("query_expand", "SELECT * FROM (VALUES (0, 'glucose hba1c blood diabetes'), (1, ''), (2, 'systolic diastolic hypertension bp')) AS v(id, added)")
+@register("query_expand", "SELECT * FROM (VALUES (0, 'glucose hba1c blood diabetes'), (1, ''), (2, 'bp systolic diastolic hypertension')) AS v(id, added)")
 def query_expand(spark, sf_dir):
     q = spark.createDataFrame([(0, "what is my sugar level"), (1, "amlodipine"), (2, "my blood pressure")], "id int, q string")
     return q.select("id", F.array_join(retrieval.expand(F.col("q"), cat.SYNONYMS), " ").alias("added"))
@@ -225,7 +225,7 @@ def _drugs(spark):
 _SINGULAR = "CASE WHEN length({0}) > 4 AND {0} LIKE '%s' THEN left({0}, length({0}) - 1) ELSE {0} END"
 
 
-@register("allergy_match_join", f"""WITH {_DRUGS_SQL}, k AS (SELECT drug, lower(drug) AS key FROM drugs UNION SELECT drug, lower(unnest(ingredients)) FROM drugs UNION SELECT drug, unnest(string_split(lower(unnest(classes)), ' ')) FROM drugs),
+@register("allergy_match_join", f"""WITH {_DRUGS_SQL}, k AS (SELECT drug, lower(drug) AS key FROM drugs UNION SELECT drug, lower(unnest(ingredients)) FROM drugs UNION SELECT drug, unnest(string_split(lower(array_to_string(classes, ' ')), ' ')) FROM drugs),
  a AS (SELECT allergen, severity, lower(allergen) AS key FROM {fx.SEVERITIES_OF.sql})
  SELECT DISTINCT k.drug, a.allergen, CASE WHEN lower(a.severity) = 'severe' THEN 'contraindicated' ELSE 'severe' END AS level, contains(lower(k.drug), {_SINGULAR.format('a.key')}) OR list_contains(d.ingredients, {_SINGULAR.format('a.key')}) AS same_substance
  FROM k JOIN a ON {_SINGULAR.format('k.key')} = {_SINGULAR.format('a.key')} JOIN drugs d ON d.drug = k.drug""")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +59,8 @@ def decoded_text(raw: Column) -> Column:
 
 def decode_legacy(df: DataFrame, raw_col: str, out: str = "text") -> DataFrame:
     """``decoded_text`` with windows-1256 for bytes that are neither; only those rows go through Python, batch by batch."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def arabic(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: b.decode("cp1256", errors="replace") if b is not None else None)
 
@@ -66,12 +70,6 @@ def decode_legacy(df: DataFrame, raw_col: str, out: str = "text") -> DataFrame:
 
 def docx_text(df: DataFrame, raw_col: str, *keep: str) -> DataFrame:
     """Raw text of word-processor files, paragraph by paragraph."""
-    import io
-    import re
-    import zipfile
-    from html import unescape
-
-    import pandas as pd
 
     def run(batches):
         for b in batches:
