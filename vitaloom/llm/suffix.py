@@ -129,9 +129,11 @@ def _parse(left: pa.Table, right: pa.Table):
 
 def _packed(keys: np.ndarray, *columns: np.ndarray) -> dict[int, list[bytes]]:
     """Bytes of the columns, by key."""
+    if not len(keys):
+        return {}
     order = np.argsort(keys, kind="stable")
     k = keys[order]
-    cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     stop = np.append(cut[1:], len(k))
     cols = [c[order] for c in columns]
     return {int(k[b]): [c[b:e].tobytes() for c in cols] for b, e in zip(cut.tolist(), stop.tolist(), strict=True)}
