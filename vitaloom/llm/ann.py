@@ -3,8 +3,9 @@
 *Index.* A bounded sample (``sample_rows``) is split in halves, each time at the median along the line between two
 means, so that all lists are equally large; their means are the centroids (at most ``max_lists``, sent to all tasks).
 Every vector goes to its nearest list and, near a border, to further ones: those almost as near whose
-centroid is not nearer to a list already taken. Centroids are found by best-first search on an in-memory graph
-of neighbouring centroids. *Search.* A query visits the lists whose distance is within ``ratio`` of the nearest one.
+centroid is not hidden behind a list already taken. Centroids are found by best-first search on an in-memory graph
+of neighbouring centroids. *Search.* A query visits the lists whose distance is within ``ratio`` of the nearest
+one, and as many more as it takes to see twenty times ``k`` vectors.
 Lists and their visitors are cut into shares by counted size, so that a common vector or a popular list does not meet in one
 task. Scores are sums in double precision over the components in order, on the original vectors.
 
@@ -77,9 +78,14 @@ class CentroidGraph:
         d = self.sq[:, None] + self.sq[None] - 2 * self.c @ self.c.T
         np.fill_diagonal(d, np.inf)
         near = np.argsort(d, axis=1, kind="stable")[:, : min(degree, max(1, n - 1))]
-        step = np.maximum(1, n // 7)
-        far = (np.arange(n)[:, None] + step * np.arange(1, 5)) % n  # long links keep the graph in one piece
-        self.links = np.concatenate((near, far), axis=1)
+        links = [set(row) for row in near.tolist()]
+        for v, row in enumerate(near[:, :8].tolist()):  # a centroid far from all others is no one's neighbour: it is linked back
+            for u in row:
+                links[u].add(v)
+            links[v].add((v + 1) % n)  # a ring keeps the graph in one piece
+            links[v].add((v + max(1, n // 2)) % n)
+        width = max(map(len, links))
+        self.links = np.array([[*sorted(x), *[v] * (width - len(x))] for v, x in enumerate(links)])
         self.between = d
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +115,7 @@ class CentroidGraph:
             opened[r, at[live]] = True
             next_ = self.links[best_c[r, at[live]]]
             fresh = ~seen[r[:, None], next_]
+            fresh[:, 1:] &= next_[:, 1:] != next_[:, :-1]
             seen[r[:, None], next_] = True
             d = qq[r, None] + self.sq[next_] - 2 * np.einsum("ijk,ik->ij", self.c[next_], q[r])
             d = np.where(fresh, d, np.inf).astype(np.float32)
@@ -178,7 +185,12 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
                 x = np.concatenate((v, np.zeros((len(v), 1))), axis=1) if search else widen(v)
                 for s in range(0, len(x), 2000):
                     found, d = g.search(x[s : s + 2000], probes if search else replicas)
-                    take = np.maximum(d, 0) <= ratio**2 * np.maximum(d[:, :1], 0) + 1e-9 if search else closure(g, found, d, slack)
+                    if search:
+                        take = np.maximum(d, 0) <= ratio**2 * np.maximum(d[:, :1], 0) + 1e-9
+                        held = sizes[found]
+                        take |= np.cumsum(held, axis=1) - held < least_candidates  # however near the first list is, enough are seen
+                    else:
+                        take = closure(g, found, d, slack)
                     i, j = np.nonzero(take)
                     part = b.slice(s, 2000).take(pa.array(i))
                     yield pa.RecordBatch.from_arrays([pa.array(found[i, j]), part.column("id"), part.column("v")], names=["list", "id", "v"])
@@ -186,10 +198,13 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
         return run
 
     schema = "list long, id long, v array<double>"
+    sizes, least_candidates = np.zeros(len(centroids), np.int64), 20 * k  # at most max_lists numbers
     postings = materialize(vectors.mapInArrow(deal(False), schema), "postings")
+    counted = postings.groupBy("list").count().collect()
+    sizes[[r["list"] for r in counted]] = [r["count"] for r in counted]
     visits = materialize(vectors.where(F.col("id") % query_mod == 0).mapInArrow(deal(True), schema), "visits")
     # shares of a list and of its visitors, from counts of at most max_lists rows
-    parts = {r["list"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in postings.groupBy("list").count().collect()}
+    parts = {r["list"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in counted}
     turns = {r["list"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in visits.groupBy("list").count().collect()}
     grid = spark.createDataFrame([(c, parts[c], turns.get(c, 0)) for c in sorted(parts)], "list long, parts int, turns int")
     cell = F.broadcast(grid)
