@@ -134,18 +134,25 @@ def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, sha
             shard, filled = shard + 1, 0
         filled += sizes.get(b, 0)
         shard_of.append(shard)
-    placed = rows.withColumn("shard", F.element_at(F.array(*map(F.lit, shard_of)), bin_of + 1)) if len(shard_of) == 1 else rows.withColumn("shard", F.expr(f"element_at(from_json('{shard_of}', 'array<int>'), cast(floor((page_id - {low}) / {width}) as int) + 1)"))
-    placed = placed.withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    placed = placed.join(revisits.withColumnRenamed("page_id", "rid"), (F.col("page_id") == F.col("rid")) & (F.col("digest") == F.col("of")), "left")
-    # the text of a revisit is not sent: its length and digest were all it needs, but both are made from the payload
-    streams = placed.select("shard", "page_id", "url", "payload", "refers_to").repartition(max(1, min(shard + 1, 1000)), "shard").sortWithinPartitions("shard", "page_id", "refers_to")
+    shard_expr = F.expr(f"element_at(from_json('{shard_of}', 'array<int>'), cast(floor((page_id - {low}) / {width}) as int) + 1)")
+    # a revisit's mark travels to its page's shard and is sorted before the page, so payloads are dealt out once
+    shard_col = lambda df: df.withColumn("shard", shard_expr)
+    marks = shard_col(revisits).select("shard", "page_id", F.lit(0).alias("turn"), F.lit(None).cast("string").alias("url"), F.col("of").alias("payload"), "refers_to")
+    pages_ = shard_col(rows).select("shard", "page_id", F.lit(1).alias("turn"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    streams = marks.unionByName(pages_).repartition(max(1, min(shard + 1, 1000)), "shard").sortWithinPartitions("shard", "page_id", "turn", "url", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = _Roller(folder, file_bytes)
         try:
+            page, marked = None, {}
             for b in batches:
-                for s, p, u, x, r in zip(*(b.column(c).to_pylist() for c in ("shard", "page_id", "url", "payload", "refers_to")), strict=True):
-                    roller.put(s, record(p, u, x, r))
+                for s, p, turn, u, x, r in zip(*(b.column(c).to_pylist() for c in ("shard", "page_id", "turn", "url", "payload", "refers_to")), strict=True):
+                    if p != page:
+                        page, marked = p, {}
+                    if turn == 0:
+                        marked[x] = r
+                    else:
+                        roller.put(s, record(p, u, x, marked.get(hashlib.sha256(x).digest()) if marked else None))
             roller.close()
         except BaseException:
             roller.abandon()
@@ -159,7 +166,7 @@ def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, sha
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(root)
     temp = f"{folder}/_manifest-{uuid.uuid4().hex}.tmp"
-    streams.mapInArrow(run, MANIFEST).coalesce(1).write.parquet(temp)
+    streams.mapInArrow(run, MANIFEST).write.parquet(temp)
     fs.delete(hadoop(f"{folder}/_manifest"), True)
     if not fs.rename(hadoop(temp), hadoop(f"{folder}/_manifest")):
         raise OSError(f"the manifest of {folder} could not be committed")
@@ -221,7 +228,8 @@ def read_archive(spark, folder: str, with_payload: bool = True) -> DataFrame:
                 yield _batch(rows)
 
     manifest = read_manifest(spark, folder).select("file", "sha256")
-    return manifest.repartition(F.col("file")).mapInArrow(run, RECORDS)
+    files = manifest.count()  # a number of partitions, so that few rows of many bytes are not taken for little work
+    return manifest.repartition(max(1, min(files, 4000)), "file").mapInArrow(run, RECORDS)
 
 
 class _Hashed:
