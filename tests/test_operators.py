@@ -190,3 +190,16 @@ def test_sweep(spark):
     w = spark.createDataFrame(rows, "id int, status string, started_at timestamp_ntz, updated_at timestamp_ntz, note string")
     assert {r.id for r in limits.stalled(w, "2024-01-01 02:00:00").collect()} == {1, 2}
     assert {r.id: r.status for r in limits.swept(w, "2024-01-01 02:00:00").collect()} == {1: "failed", 2: "failed", 3: "processing", 4: "done", 5: "processing"}
+
+
+@pytest.mark.parametrize(("word", "want"), [("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("cats", "cat"), ("running", "run"), ("hoping", "hope"), ("hopping", "hop"), ("relational", "relat"), ("generously", "generous"), ("happily", "happili"), ("conditional", "condit"), ("agreed", "agre"), ("skies", "sky"), ("controlled", "control"), ("adjustment", "adjust"), ("bus", "bus"), ("gas", "gas"), ("this", "this"), ("by", "by"), ("say", "say")])
+def test_stems(word, want):
+    from vitaloom.functions.stem import stem
+
+    assert stem(word) == want
+
+
+def test_lexical_stems(spark):
+    chunks = spark.createDataFrame([(1, "diabetic patients running"), (2, "a patient ran")], "id int, t string")
+    q = spark.createDataFrame([(1, ["patients", "runs"])], "query_id int, terms array<string>")
+    assert {(r.id, round(r.score, 1)) for r in retrieval.lexical_arm(chunks, q, "id", "t", stems=True).collect()} == {(1, 0.2), (2, 0.1)}

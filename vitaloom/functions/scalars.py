@@ -222,3 +222,8 @@ def retry_seconds(header: Column, message: Column) -> Column:
     waited = F.ceil(F.coalesce(F.regexp_extract(message, p, 1).try_cast("double"), F.lit(0.0)) * 60 + seconds).cast("double")
     given = header.try_cast("double")
     return F.coalesce(F.when(given >= 0, given), F.when(F.rlike(message, F.lit(p)), waited))
+
+
+def cache_key(user: Column, fingerprint: Column, message: Column) -> Column:
+    """Key of an answer: user, state of the record, and the question without case and spacing."""
+    return F.sha2(F.concat_ws(":", user, fingerprint, squeeze(F.lower(message))), 256)

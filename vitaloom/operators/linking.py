@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vitaloom.functions import fixed, scalars
 
+#: Words round a condition's name that do not belong to it.
 _QUALIFIERS = (
     r"(?<![A-Za-z0-9_])(?:known case of|known|k/c/o|diagnosed(?: with)?|history of|h/o|c/o|complains? of|suspected|probable|possible|uncontrolled|controlled|poorly controlled"
     r"|newly diagnosed|old|longstanding|mild|moderate|severe|stage \w+|grade \w+|left|right|bilateral|primary|secondary|essential)(?![A-Za-z0-9_])"

@@ -109,3 +109,14 @@ def publish(df: DataFrame, root: str, version: str) -> str:
 def current(spark, root: str) -> DataFrame:
     version = spark.read.parquet(f"{root}/_current").first()["version"]
     return spark.read.parquet(f"{root}/v={version}")
+
+
+def with_defaults(wanted: DataFrame, stored: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """Settings of every key: what is stored, else the default."""
+    out = wanted.join(stored, key, "left")
+    return out.select(key, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()])
+
+
+def revoked(links: DataFrame, token: str, owner_col: str, owner: object) -> DataFrame:
+    """Links with the owner's one switched off; someone else's stays as it is."""
+    return links.withColumn("is_active", F.when((F.col("token") == token) & (F.col(owner_col) == F.lit(owner)), False).otherwise(F.col("is_active")))

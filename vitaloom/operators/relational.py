@@ -101,3 +101,9 @@ def fingerprint(df: DataFrame, owner: str, changed: str) -> DataFrame:
     """Row count and last change of an owner as one string."""
     stamp = F.coalesce(F.date_format(F.max(changed), "yyyy-MM-dd HH:mm:ss"), F.lit("none"))
     return df.groupBy(owner).agg(F.concat(F.count("*").cast("string"), F.lit(":"), stamp).alias("fingerprint"))
+
+
+def without_repeated_last(turns: DataFrame, conv: str, at: str, role: str, text: str, said: str) -> DataFrame:
+    """Turns without a newest user turn that only repeats what has just been said."""
+    last = F.row_number().over(Window.partitionBy(conv).orderBy(F.desc(at))) == 1
+    return turns.withColumn("_last", last).where(~(F.col("_last") & (F.col(role) == "user") & (F.col(text) == F.lit(said)))).drop("_last")

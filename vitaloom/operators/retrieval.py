@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaloom.functions import fixed, scalars
+from vitaloom.functions.stem import stemmed
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,13 +45,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def lexical_arm(chunks: DataFrame, queries: DataFrame, chunk_id: str, text: str, n: int = fixed.ARM_LIMIT) -> DataFrame:
+def lexical_arm(chunks: DataFrame, queries: DataFrame, chunk_id: str, text: str, n: int = fixed.ARM_LIMIT, stems: bool = False) -> DataFrame:
     """query_id, chunk id, score, rank: 0.1 for every token of a chunk that is a query term.
 
-    Tokens are counted a chunk first (partial counts before the shuffle), then joined to the queries' terms.
+    With ``stems`` words match by English stem. Tokens are counted a chunk first (partial counts before the shuffle), then joined to the queries' terms.
     """
     words = chunks.select(chunk_id, F.explode(tokens(F.col(text))).alias("term"))
     terms = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+    if stems:  # English stems on both sides; words that queries ask for are few, those of chunks are stemmed once each
+        words, terms = stemmed(words), stemmed(terms).distinct()
     # only words that some query asks for are counted; the term list is small or shuffled, as its size says
     counted = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy(chunk_id, "term").agg(F.count("*").alias("tf"))
     scores = counted.join(terms, "term").groupBy("query_id", chunk_id).agg((F.sum("tf") * 0.1).alias("score"))

@@ -72,3 +72,29 @@ def missed(entities: DataFrame, mentioned: DataFrame, least_score: float = 0.6)
     both = e.join(m, ["doc", "type"], "left")
     said = F.exists("_ms", lambda x: F.contains(x, F.col("_n")) | F.contains(F.col("_n"), x))
     return both.where(~F.coalesce(said, F.lit(False))).drop("_n", "_ms")
+
+
+def digest_priority(findings: DataFrame, keys: list[str], level: str, given: str | None = None) -> DataFrame:
+    """urgent if any finding calls for action, elevated if any for attention, else normal; a given value wins."""
+    rolled = F.when(F.bool_or(F.col(level) == "action_needed"), "urgent").when(F.bool_or(F.col(level) == "attention"), "elevated").otherwise("normal")
+    return findings.groupBy(*keys).agg((F.coalesce(F.max(given), rolled) if given else rolled).alias("priority"))
+
+
+def class_map(classes: DataFrame, id_col: str, name_col: str, ordinal: str) -> DataFrame:
+    """One name for each class id: the last one listed."""
+    return classes.groupBy(id_col).agg(F.max_by(name_col, ordinal).alias(name_col))
+
+
+def explanation(status: Column, term: Column) -> Column:
+    """What a mention's status means, in a sentence."""
+    say = {
+        "absent": "The document says that %s is not present.",
+        "family": "%s is mentioned for a relative.",
+        "historical": "%s is mentioned as something of the past.",
+        "hypothetical": "%s is mentioned as something that might happen.",
+        "uncertain": "%s is mentioned as a possibility.",
+    }
+    out = F.lit(None).cast("string")
+    for k, v in say.items():
+        out = F.when(status == k, F.format_string(v, term)).otherwise(out)
+    return out

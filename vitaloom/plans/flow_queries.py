@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitaloom.operators import pipelines, providers, records
+from vitaloom.functions import scalars
+from vitaloom.operators import pipelines, providers, records, relational, safety
 from vitaloom.plans import catalogues as cat
 from vitaloom.plans import fixtures as fx
 from vitaloom.plans.catalogue import register
 from vitaloom.plans.text_queries import _drugs
-from vitaloom.sources.tables import scan
+from vitaloom.sources.tables import is_scanned, scan
 from vitaloom.streaming import sinks
 
 
@@ -96,3 +97,49 @@ def second_readings(spark, sf_dir):
 @register("lenient_json", "SELECT * FROM (VALUES (1::BIGINT, true), (2, true), (3, false), (4, false), (5, true)) AS v(doc, parsed)")
 def lenient_json(spark, sf_dir):
     return fx.EXTRACTIONS.df(spark).select("doc", records.lenient_json(F.col("raw")).isNotNull().alias("parsed"))
+
+
+@register("settings_defaults", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'en' END AS lang, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE 0 END AS nation FROM customer")
+def settings_defaults(spark, sf_dir):
+    c = scan(spark, sf_dir, "customer", "c_custkey", F.col("c_mktsegment").alias("lang"), F.col("c_nationkey").alias("nation"))
+    return records.with_defaults(c.select("c_custkey"), c.where("c_custkey % 2 = 0"), "c_custkey", {"lang": "en", "nation": 0})
+
+
+@register("share_revoke", f"SELECT token, CASE WHEN token = 'a' THEN false ELSE is_active END AS is_active FROM {_LINKS.sql}")
+def share_revoke(spark, sf_dir):
+    return records.revoked(_LINKS.df(spark).withColumn("owner", F.lit(1)), "a", "owner", 1).select("token", "is_active")
+
+
+@register("drop_repeated_last_turn", "SELECT conv_id, turn FROM conversations QUALIFY NOT (row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AND role = 'user' AND text = (SELECT max(text) FROM conversations WHERE role = 'user'))")
+def drop_repeated_last_turn(spark, sf_dir):
+    c = scan(spark, sf_dir, "conversations")
+    said = c.where("role = 'user'").agg(F.max("text")).first()[0]
+    return relational.without_repeated_last(c, "conv_id", "turn", "role", "text", said).select("conv_id", "turn")
+
+
+@register("digest_priority", "SELECT user_id, CASE WHEN bool_or(value > 120) THEN 'urgent' WHEN bool_or(value > 60) THEN 'elevated' ELSE 'normal' END AS priority FROM events GROUP BY user_id")
+def digest_priority(spark, sf_dir):
+    level = F.when(F.col("value") > 120, "action_needed").when(F.col("value") > 60, "attention").otherwise("info")
+    return safety.digest_priority(scan(spark, sf_dir, "events", "user_id", level.alias("level")), ["user_id"], "level")
+
+
+@register("class_map_last_name", "SELECT p_brand, max_by(p_name, p_partkey) AS p_name FROM part GROUP BY p_brand")
+def class_map_last_name(spark, sf_dir):
+    return safety.class_map(scan(spark, sf_dir, "part", "p_brand", "p_name", "p_partkey"), "p_brand", "p_name", "p_partkey")
+
+
+@register("answer_cache_key", r"SELECT conv_id, turn, sha256(conv_id::VARCHAR || ':' || role || ':' || trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS key FROM conversations")
+def answer_cache_key(spark, sf_dir):
+    c = scan(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return c.select("conv_id", "turn", scalars.cache_key(F.col("conv_id").cast("string"), F.col("role"), F.col("text")).alias("key"))
+
+
+@register("scanned_documents", "SELECT doc_id, length(trim(text)) < 50 AS scanned FROM documents")
+def scanned_documents(spark, sf_dir):
+    return scan(spark, sf_dir, "documents", "doc_id", is_scanned(F.col("text")).alias("scanned"))
+
+
+@register("status_explained", "SELECT * FROM (VALUES ('absent', 'The document says that fever is not present.'), ('family', 'fever is mentioned for a relative.'), ('present', NULL)) AS v(status, said)")
+def status_explained(spark, sf_dir):
+    s = spark.createDataFrame([("absent",), ("family",), ("present",)], "status string")
+    return s.select("status", safety.explanation(F.col("status"), F.lit("fever")).alias("said"))

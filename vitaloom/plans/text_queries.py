@@ -9,7 +9,7 @@ from vitaloom.operators import budget, linking, records, retrieval, safety, text
 from vitaloom.plans import catalogues as cat
 from vitaloom.plans import fixtures as fx
 from vitaloom.plans.catalogue import register
-from vitaloom.sources.tables import scan
+from vitaloom.sources.tables import combined_pages, scan
 from vitaloom.streaming import limits
 
 # --- retrieval -------------------------------------------------------------------------------------------------
@@ -51,6 +51,12 @@ def lexical_topk(spark, sf_dir):
     return _lexical(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@register("lexical_topk_stems")
+def lexical_topk_stems(spark, sf_dir):
+    found = retrieval.lexical_arm(scan(spark, sf_dir, "documents", "doc_id", "text"), _asked(spark, sf_dir), "doc_id", "text", stems=True)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 _FUSED_SQL = f"""{_DENSE_SQL}, {_LEXICAL_SQL},
  arms AS (SELECT query_id // 40 AS query_id, vec_id AS id, 1.0::DOUBLE / (60 + rank) AS p, score AS s, 'dense' AS arm FROM dense UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank), NULL, 'lexical' FROM lexical),
  fused AS (SELECT query_id, id, sum(p) AS rrf, max(s) AS similarity, array_to_string(list_sort(list(DISTINCT arm)), '+') AS arms FROM arms GROUP BY ALL)"""
@@ -306,16 +312,10 @@ def cascade_set_null(spark, sf_dir):
     return records.cascade(scan(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"), gone, "l_orderkey", set_null=True)
 
 
-@register("ocr_page_combine", f"""SELECT doc, coalesce(string_agg('-- page ' || page || ' --' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY page) FILTER (WHERE trim(text) <> ''), '') AS text, coalesce(floor(avg(confidence) FILTER (WHERE trim(text) <> '') + 0.5)::INTEGER, 0) AS confidence,
- count(*) FILTER (WHERE handwritten) > count(*) / 2 AS handwritten FROM {fx.PAGES.sql} GROUP BY doc""")
+@register("ocr_page_combine", f"""SELECT doc, coalesce(string_agg('-- page ' || page || ' of ' || n || ' --' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY page) FILTER (WHERE trim(text) <> ''), '') AS text, coalesce(floor(avg(confidence) FILTER (WHERE trim(text) <> '') + 0.5)::INTEGER, 0) AS confidence,
+ count(*) FILTER (WHERE handwritten) > count(*) / 2 AS handwritten FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM {fx.PAGES.sql}) GROUP BY doc""")
 def ocr_page_combine(spark, sf_dir):
-    said = F.trim("text") != ""
-    part = F.when(said, F.struct("page", F.concat(F.lit("-- page "), F.col("page").cast("string"), F.lit(" --\n"), F.trim("text")).alias("t")))
-    return fx.PAGES.df(spark).groupBy("doc").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("text"),
-        F.coalesce(F.floor(F.avg(F.when(said, F.col("confidence"))) + 0.5).cast("int"), F.lit(0)).alias("confidence"),
-        (F.count_if("handwritten") > F.count("*") / 2).alias("handwritten"),
-    )
+    return combined_pages(fx.PAGES.df(spark), "doc")
 
 
 # --- budgets and state -----------------------------------------------------------------------------------------

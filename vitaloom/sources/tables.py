@@ -83,3 +83,21 @@ def docx_text(df: DataFrame, raw_col: str, *keep: str) -> DataFrame:
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep]
     return df.select(*keep, raw_col).mapInPandas(run, ", ".join([*fields, "text string"]))
+
+
+def is_scanned(text: Column) -> Column:
+    """A text layer too short to be one: the pages must be read as pictures."""
+    return F.length(F.trim(F.coalesce(text, F.lit("")))) < SCANNED_BELOW
+
+
+def combined_pages(pages: DataFrame, id_col: str) -> DataFrame:
+    """One text a document of pages (id, page, text, confidence, handwritten): marked pages in order, mean confidence of pages
+    with text (rounded), handwritten if most of all pages are."""
+    said = F.trim("text") != ""
+    part = F.when(said, F.struct("page", F.concat(F.lit("-- page "), F.col("page").cast("string"), F.lit(" of "), F.col("_n").cast("string"), F.lit(" --\n"), F.trim("text")).alias("t")))
+    counted = pages.join(pages.groupBy(id_col).agg(F.count("*").alias("_n")), id_col)
+    return counted.groupBy(id_col).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("text"),
+        F.coalesce(F.floor(F.avg(F.when(said, F.col("confidence"))) + 0.5).cast("int"), F.lit(0)).alias("confidence"),
+        (F.count_if("handwritten") > F.count("*") / 2).alias("handwritten"),
+    )
