@@ -16,8 +16,7 @@ from vitaloom.llm.queries import prepared, tokenizer_file
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    names = docs.columns
-    return quality.judge(docs).where("kept").select(*names)
+    return quality.passing(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

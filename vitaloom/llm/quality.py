@@ -112,3 +112,13 @@ def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = THRES
     df = measures(df, text_col)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
+
+
+def passing(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+    """The rows of ``df`` that are kept, with its own columns.
+
+    The row number keeps the optimizer from moving the filter below the measures: it would write each measure out in
+    terms of all before it, which multiplies at every step.
+    """
+    judged = judge(df, text_col, rules).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*df.columns)

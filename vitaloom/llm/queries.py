@@ -102,6 +102,19 @@ q AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PAR
 SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda i: {base32}), '') AS payload_digest,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
 FROM q
+""",
+        "op5_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, p, substr(h, 2 * p - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS p FROM d)),
+m AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS owner FROM w) WHERE owner < doc_id),
+i AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM m),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM i),
+r AS (SELECT doc_id, run, min(p) AS b, max(p) + 50 AS e FROM g GROUP BY ALL),
+k AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 1) AS before FROM r),
+a AS (SELECT k.doc_id, count(*) AS n_spans, sum(e - b) AS n_removed, string_agg(substr(h, 2 * before - 1, 2 * (b - before)), '' ORDER BY b) AS head, max(e) AS last FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last - 1) END)) AS kept_sha256
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """,
         "op6_chat_format": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
