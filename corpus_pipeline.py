@@ -32,11 +32,12 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A cut within a character leaves no valid text, so what is left of that character goes too.
     """
-    names = docs.columns
     prepared(spark)
-    cut = suffix.dedup(docs, with_text=True).where("n_removed > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.first("kept_text").alias("_kept"))
-    left = docs.join(cut, docs.doc_id == F.col("_id"), "left").withColumn("text", F.coalesce("_kept", "text"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).where(F.col("_id").isNull() | (F.length(F.trim("text")) > 0)).select(*names)
+    dealt = F.col("doc_id").isNotNull() & F.col("text").isNotNull()  # no other row can lose a byte
+    cut = suffix.dedup(docs.where(dealt), with_text=True, carry=tuple(c for c in docs.columns if c != "text"))
+    cut = cut.where((F.col("n_removed") == 0) | (F.length(F.trim("kept_text")) > 0)).withColumnRenamed("kept_text", "text")
+    left = cut.select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return left.unionByName(docs.where(~dealt)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

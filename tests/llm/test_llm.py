@@ -213,7 +213,11 @@ def test_suffix_dedup(spark, docs, empty):
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
     got = Counter(tuple(r) for r in suffix.dedup(df).collect())
     assert got == brute_suffix([(i, (t or "").encode()) for i, t in ALL + made])
-    assert suffix.dedup(empty).count() == 0
+    stamped = df.select("*", F.timestamp_seconds("doc_id").alias("row"), F.array(F.col("doc_id").cast("string"), "text").alias("share"))
+    carried = suffix.dedup(stamped, with_text=True, carry=("doc_id", "row", "share")).collect()
+    assert Counter(tuple(r)[:5] for r in carried) == got and all(r.row.doc_id == r.doc_id and r.row.share[0] == str(r.doc_id) for r in carried)
+    assert all(r.kept_text == (r.row.share[1] or "") for r in carried if not r.n_removed)
+    assert suffix.dedup(empty).count() == 0 and suffix.dedup(empty, carry=("source",)).count() == 0
     assert suffix.dedup(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 0
 
 

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitaloom.llm.common import materialize
 
@@ -117,14 +118,15 @@ def _passes(ids: list[int], texts: list[bytes]):
 
 
 def _parse(left: pa.Table, right: pa.Table):
-    """Rows of a share that are not copies, in a fixed order; the copies; payloads by kind."""
+    """Rows of a share that are not copies, in a fixed order: ids, texts, places in ``left``; the copies; payloads by kind."""
     payload: dict[int, list[bytes]] = {COPY: [], GRAMS: [], MASKS: []}
     for kind, x in zip(right.column("kind").to_pylist(), right.column("payload").to_pylist(), strict=True):
         payload[kind].append(x)
     copies = set(map(tuple, np.frombuffer(b"".join(payload[COPY]), "<i8").reshape(-1, 2).tolist()))
-    rows = sorted(zip(left.column("doc_id").to_pylist(), left.column("digest").to_pylist(), left.column("raw").to_pylist(), strict=True))
-    own = [(d, r) for d, h, r in rows if (d, h) not in copies]
-    return [d for d, _ in own], [r for _, r in own], [(d, r) for d, h, r in rows if (d, h) in copies], payload
+    rows = sorted(zip(left.column("doc_id").to_pylist(), left.column("digest").to_pylist(), left.column("raw").to_pylist(), range(len(left)), strict=True))
+    own = [(d, r, k) for d, h, r, k in rows if (d, h) not in copies]
+    ids, texts, places = (list(x) for x in zip(*own, strict=True)) if own else ([], [], [])
+    return ids, texts, places, [(d, r, k) for d, h, r, k in rows if (d, h) in copies], payload
 
 
 def _packed(keys: np.ndarray, *columns: np.ndarray) -> dict[int, list[bytes]]:
@@ -198,15 +200,16 @@ def _table(share: list[int], kind: list[int], payload: list[bytes], key: str = "
     return pa.table({key: pa.array(share, pa.int64()), "kind": pa.array(kind, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
-def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept_text``: the remaining bytes as text.
 
-    A cut may leave part of a character; such bytes are no text and are missing from ``kept_text`` only.
+    A cut may leave part of a character; such bytes are no text and are missing from ``kept_text`` only. The columns
+    named in ``carry`` go along with their row, as the struct ``row``, which spares a join by id afterwards.
     """
     if not 32 <= length <= GRAM + 31:
         raise ValueError(f"length must lie between 32 and {GRAM + 31}")
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"), *([F.struct(*carry).alias("row")] if carry else []))
     rows = rows.withColumn("digest", F.xxhash64("raw"))
     # copies: texts by digest of all their bytes; a row whose text also occurs under a smaller id is settled
     keyed = rows.select("doc_id", "digest", F.unhex(F.sha2("raw", 256)).alias("full"), F.octet_length("raw").alias("n"))
@@ -217,10 +220,10 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     first = keyed.groupBy("full").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1")
     copies = keyed.join(first, "full").where("doc_id > first").select(share.alias("share"), "doc_id", "digest").distinct()
     copies = copies.mapInArrow(_pack_copies, RIGHT_SCHEMA)
-    held = rows.select(share.alias("share"), "doc_id", "digest", "raw")
+    held = rows.select(share.alias("share"), "doc_id", "digest", "raw", *(["row"] if carry else []))
 
     def grams(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts, _, _ = _parse(left, right)
+        ids, texts, *_ = _parse(left, right)
         found, owner, base = [], [], 0
         for part_ids, part in _passes(ids, texts):
             t = Triggers(part, length)
@@ -259,7 +262,7 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
         return _table(list(packs), [GRAMS] * len(packs), [p[0] for p in packs.values()])
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts, _, payload = _parse(left, right)
+        ids, texts, _, _, payload = _parse(left, right)
         wanted = np.unique(np.frombuffer(b"".join(payload[GRAMS]), "<u8"))
         out: dict[int, list[bytes]] = {}
         me, base = np.int64(left.column("share")[0].as_py()).tobytes() if len(left) else b"", 0
@@ -331,11 +334,11 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
         return _table(list(packs), [MASKS] * len(packs), [p[0] for p in packs.values()])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts, copied, payload = _parse(left, right)
+        ids, texts, places, copied, payload = _parse(left, right)
         marks = np.frombuffer(b"".join(payload[MASKS]), "<u4").reshape(-1, 2)
         marks = marks[np.argsort(marks[:, 0], kind="stable")]
         out: list[tuple] = []
-        for d, r in copied:
+        for d, r, _ in copied:
             gone = len(r) if len(r) >= length else 0
             kept = b"" if gone else r
             out.append((d, len(r), gone, int(gone > 0), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
@@ -361,12 +364,15 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
         cols = list(zip(*out, strict=True)) or [[]] * 6
         types = [pa.int64()] * 4 + [pa.string(), pa.string()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + with_text]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, types, strict=True)][: len(names)], names=names)
+        made = pa.table([pa.array(c, k) for c, k in zip(cols, types, strict=True)][: len(names)], names=names)
+        return made.append_column("row", left.column("row").take(pa.array([k for *_, k in copied] + places, pa.int64()))) if carry else made
 
     sent = "bucket long, kind int, payload binary"
     repeated = _cogrouped(held, copies, grams, sent).groupBy("bucket").applyInArrow(sift, RIGHT_SCHEMA)
     masks = _cogrouped(held, copies.unionByName(repeated), contexts, sent).groupBy("bucket").applyInArrow(own, RIGHT_SCHEMA)
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    result = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    if carry:
+        result = result.add("row", held.schema["row"].dataType)
     return _cogrouped(held, copies.unionByName(masks), cut, result)
 
 
@@ -377,5 +383,5 @@ def _pack_copies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(packs), pa.int64()), pa.array([COPY] * len(packs), pa.int32()), pa.array([p[0] for p in packs.values()], pa.binary())], names=["share", "kind", "payload"])
 
 
-def _cogrouped(left: DataFrame, right: DataFrame, f, schema: str) -> DataFrame:
+def _cogrouped(left: DataFrame, right: DataFrame, f, schema: str | T.StructType) -> DataFrame:
     return left.groupBy("share").cogroup(right.groupBy("share")).applyInArrow(f, schema)
