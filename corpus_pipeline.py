@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaloom.llm import packing, quality, secrets, simhash, suffix
+from vitaloom.llm import packing, quality, secrets, similar, suffix
 from vitaloom.llm.common import materialize, table
 from vitaloom.llm.queries import prepared, tokenizer_file
 
@@ -20,11 +20,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
+    """One row of each group of near copies stays: groups are chained by Jaccard >= 0.8 of five-word shingles.
+
+    It is the one with the smallest id; a row without id stays only where no row of its group has one.
+    """
     prepared(spark)
-    groups = simhash.near_duplicates(docs)
-    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
+    return similar.one_of_each(docs, shingle=5, similarity=80)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline's stages on a small corpus, each against a plain count of what it should do."""
 
+import random
 import re
 
 import pytest
@@ -32,3 +33,35 @@ def test_pipeline(spark, tmp_path):
     assert "[secret]" in safe[30].text and not re.search("[0-9a-f]{40}", safe[30].text) and safe[30].n_chars == len(safe[30].text)
     assert {r.doc_id for r in seen["packing"]} == set(safe)
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, seen["packing"]))
+
+
+def five_word_sets(texts):
+    words = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(400)}"
+    common = [word() for _ in range(30)]
+    texts = []
+    for k in range(40):
+        base = [word() for _ in range(rng.randrange(25, 160))] + common * (k % 3 == 0)
+        texts.append(" ".join(base))
+        for edits in (1, 1, 2, 3, 5, 8):  # Jaccard from well below 0.8 to 0.98
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    texts += ["one two", "one two three", "One  two", " ".join(common)]
+    sets, root = five_word_sets(texts), list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 40 < len(set(root)) < len(texts) - 60
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(root))
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0

@@ -28,12 +28,13 @@ from vitaloom.llm.components import connected_components
 MATRIX = 512
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of all runs of ``shingle`` words, in order; of all words where they are fewer; none for a blank text."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: lowers A-Z, splits at the six ASCII blanks
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
     else:
@@ -44,7 +45,13 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
         begins = [0, *[e + 1 for e in ends]]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[b:e], seed) for b, e in zip(begins, ends[shingle - 1 :], strict=False)]
-    h = np.array(hashes, "<u8")
+    return np.array(hashes, "<u8")
+
+
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    h = shingle_hashes(text, shingle, seed)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         part = h[k : k + (1 << 16)]
