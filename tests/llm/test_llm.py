@@ -357,3 +357,13 @@ def test_secret_scan(spark, forest):
     clean = {r.doc_id: r.text for r in secrets.redact(df, forest).collect()}
     assert clean[1] == 'é token = "[secret]" and password=[secret] end [secret].' and clean[4] is None and clean[5] == "" and clean[2] == rows[1][1]
     assert secrets.redact(df, forest).columns == df.columns and secrets.scan(df.limit(0), forest).count() == 0
+
+
+def test_near_duplicates_without_ids(spark, monkeypatch):
+    bits = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": 1 << 40 | 1 << 50 | 1 << 60 | 1 << 20 | 1 << 30, "e": 2**64 - 1}
+    fps = lambda docs, *a: docs.select("doc_id", F.element_at(F.create_map(*[F.lit(x) for k, v in bits.items() for x in (k, int(np.uint64(v).astype(np.int64)))]), F.col("text")).alias("fp"))
+    monkeypatch.setattr(simhash, "fingerprints", fps)
+    rows = [(7, "a"), (None, "b"), (9, "c"), (None, "d"), (4, "e"), (None, "e")]  # the row without id chains 7 and 9
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(7, 0, 7), (None, 0b1111, 7), (9, 0b11111111, 7), (None, bits["d"], None), (4, 2**64 - 1, 4), (None, 2**64 - 1, 4)]
+    assert Counter(map(tuple, got)) == Counter((i, f"{v:016x}", c) for i, v, c in want)

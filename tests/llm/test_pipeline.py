@@ -65,3 +65,11 @@ def test_near_copies_equal_brute_force(spark):
     left = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(root))
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_copies_without_ids_and_repeated_rows(spark):
+    text = [GOOD.format(f"{k} a{k} b{k} c{k}", f"{k} d{k} e{k}") for k in range(4)]
+    rows = [(5, text[0]), (5, text[0]), (None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (3, text[3]), (3, "another text under the same id that is like no other")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted((i or 0, t) for i, t in [rows[0], rows[3], rows[5], *rows[6:]])

@@ -8,7 +8,7 @@ star of links leaves, never the pairs of a group. Groups of anchors then join in
 
 Defined results: a null or blank text has fingerprint 0 and is linked like any other; fewer words than a shingle
 holds make one shingle; texts of any length count whole; exact copies share one fingerprint, hence one component;
-extra columns are ignored; an empty table gives an empty table.
+a document without id links others like any other and gets the least id of its component, null where none has one; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -210,8 +210,9 @@ def near_links(distinct: DataFrame, threshold: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) for every document."""
     fps = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    distinct = materialize(distinct, "classes")
-    parts = connected_components(near_links(distinct, threshold))
-    classes = distinct.join(parts, distinct.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    parts = connected_components(near_links(distinct.select("fp", F.col("fp").alias("rep")), threshold))  # by fingerprint: ids may be null
+    member = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = member.join(least, "component").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
