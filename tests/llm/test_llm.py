@@ -367,3 +367,25 @@ def test_near_duplicates_without_ids(spark, monkeypatch):
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(7, 0, 7), (None, 0b1111, 7), (9, 0b11111111, 7), (None, bits["d"], None), (4, 2**64 - 1, 4), (None, 2**64 - 1, 4)]
     assert Counter(map(tuple, got)) == Counter((i, f"{v:016x}", c) for i, v, c in want)
+
+
+def exact_neighbours(ids, v, q, k=20):
+    s = v @ q[1]
+    best = {}
+    for i, x in zip(ids.tolist(), s.tolist(), strict=True):
+        if i != q[0]:
+            best[i] = max(x, best.get(i, x))
+    return {i for i, _ in sorted(best.items(), key=lambda t: (-t[1], t[0]))[:k]}
+
+
+def test_ann_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 16))
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] * 2
+    rows += [(k, (v[k] * (1 + 0.001 * c)).tolist()) for k in range(1, 400, 20) for c in range(1, 25)]  # ids of many vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = ann.nearest(df).toPandas()
+    ids, all_ = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for q in range(0, 400, 20):
+        own = got[got.query_id == q]
+        assert len(own) == 20 and set(own.vec_id) == exact_neighbours(ids, all_, (q, v[q]))

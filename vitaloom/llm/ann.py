@@ -143,7 +143,7 @@ def closure(graph: CentroidGraph, found: np.ndarray, d: np.ndarray, slack: float
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, query_mod: int = 20, ratio: float = 1.35, slack: float = 0.15, replicas: int = 8, probes: int = 64, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query (ids divisible by ``query_mod``)."""
     spark = df.sparkSession
-    vectors = materialize(valid_vectors(df, id_col, vec_col), "vectors")
+    vectors = materialize(valid_vectors(df, id_col, vec_col).distinct(), "vectors")
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     n, top = vectors.agg(F.count("*"), F.max(norm2)).first()
     empty = "query_id long, rank int, vec_id long, score double"
@@ -151,13 +151,13 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
         return spark.createDataFrame([], empty)
     leaves = 1 << max(0, min(int(math.log2(max_lists)), round(math.log2(max(1, n / list_rows)))))
     share = min(1.0, sample_rows / n)
-    chosen = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))) if share < 1 else vectors
+    chosen = vectors.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))) if share < 1 else vectors
 
     def widen(v: np.ndarray) -> np.ndarray:
         return np.concatenate((v, np.sqrt(np.maximum(top - (v * v).sum(axis=1), 0))[:, None]), axis=1)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.assign(t=pdf["v"].map(tuple)).sort_values(["id", "t"])
         c = balanced_leaves(widen(np.stack(pdf["v"].to_numpy())), min(leaves, 1 << int(math.log2(len(pdf)))))
         return pd.DataFrame({"c": list(c)})
 
@@ -200,8 +200,8 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     schema = "list long, id long, v array<double>"
     sizes, least_candidates = np.zeros(len(centroids), np.int64), 20 * k  # at most max_lists numbers
     postings = materialize(vectors.mapInArrow(deal(False), schema), "postings")
-    counted = postings.groupBy("list").count().collect()
-    sizes[[r["list"] for r in counted]] = [r["count"] for r in counted]
+    counted = postings.groupBy("list").agg(F.count("*").alias("count"), F.count_distinct("id").alias("ids")).collect()
+    sizes[[r["list"] for r in counted]] = [r["ids"] for r in counted]
     visits = materialize(vectors.where(F.col("id") % query_mod == 0).mapInArrow(deal(True), schema), "visits")
     # shares of a list and of its visitors, from counts of at most max_lists rows
     parts = {r["list"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in counted}
@@ -216,13 +216,18 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     def score(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        p = p.sort_values("id", kind="stable")
         pid, pv = p["id"].to_numpy(), np.stack(p["v"].to_numpy()).T
+        head = np.flatnonzero(np.concatenate(([True], pid[1:] != pid[:-1])))
+        pid = pid[head]
         out = []
         for s in range(0, len(q), 128):
             qid, qv = q["id"].to_numpy()[s : s + 128], np.stack(q["v"].to_numpy()[s : s + 128])
-            total = np.zeros((len(qid), len(pid)))
+            total = np.zeros((len(qid), pv.shape[1]))
             for j in range(len(pv)):
                 total += qv[:, j, None] * pv[j]
+            if len(head) < total.shape[1]:  # the largest score of an id that has several vectors
+                total = np.maximum.reduceat(total, head, axis=1)
             total[qid[:, None] == pid] = -np.inf
             last = max(0, len(pid) - k)
             least = np.partition(total, last, axis=1)[:, last]
