@@ -389,3 +389,14 @@ def test_ann_repeated_ids(spark):
     for q in range(0, 400, 20):
         own = got[got.query_id == q]
         assert len(own) == 20 and set(own.vec_id) == exact_neighbours(ids, all_, (q, v[q]))
+
+
+def test_ann_recall_with_more_lists_than_probes(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(8000, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.nearest(df, list_rows=16, k=5).toPandas()  # 512 lists, 64 probes
+    hit = sum(len(set(got[got.query_id == q].vec_id) & exact_neighbours(np.arange(8000), v, (q, v[q]), 5)) for q in range(0, 8000, 20))
+    print("recall", hit / 2000)
+    assert hit / 2000 >= 0.97

@@ -5,7 +5,9 @@ means, so that all lists are equally large; their means are the centroids (at mo
 Every vector goes to its nearest list and, near a border, to further ones: those almost as near whose
 centroid is not hidden behind a list already taken. Centroids are found by best-first search on an in-memory graph
 of neighbouring centroids. *Search.* A query visits the lists whose distance is within ``ratio`` of the nearest
-one, and as many more as it takes to see twenty times ``k`` vectors.
+one, and as many more as it takes to see twenty times ``k`` vectors. Without a direction to cut along, lists tell little
+of where neighbours are: so the neighbours of ``trials`` queries are found by brute force first, and all queries visit
+as many lists as hold ``recall`` of those neighbours, all lists if need be.
 Lists and their visitors are cut into shares by counted size, so that a common vector or a popular list does not meet in one
 task. Scores are sums in double precision over the components in order, on the original vectors.
 
@@ -94,6 +96,10 @@ class CentroidGraph:
         m, n = len(q), len(self.c)
         beam = min(beam, n)
         qq = (q * q).sum(axis=1)
+        if 8 * beam >= n:  # a walk that long costs more than all distances
+            d = qq[:, None] + self.sq - 2 * q @ self.c.T
+            order = np.argsort(d, axis=1, kind="stable")[:, :beam]
+            return order, np.take_along_axis(d, order, 1)
         rows = np.arange(m)
         entry = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
         seen = np.zeros((m, n), bool)
@@ -140,7 +146,42 @@ def closure(graph: CentroidGraph, found: np.ndarray, d: np.ndarray, slack: float
     return take
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, query_mod: int = 20, ratio: float = 1.35, slack: float = 0.15, replicas: int = 8, probes: int = 64, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> DataFrame:
+def lists_needed(vectors: DataFrame, postings: DataFrame, qid: list[int], qv: np.ndarray, centroids: np.ndarray, k: int, recall: float) -> int:
+    """How many of its nearest lists each query must visit to see ``recall`` of the true neighbours of these queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            ids = b.column("id").to_numpy()
+            score = qv @ b.column("v").flatten().to_numpy().reshape(len(b), -1).T
+            score[np.array(qid)[:, None] == ids] = -np.inf
+            order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)
+            i = np.repeat(np.arange(len(qid)), len(ids))
+            j = order.ravel()
+            value = score[i, j]
+            place = np.zeros(len(j), np.int64)
+            for q in range(len(qid)):  # places among distinct ids
+                at = slice(q * len(ids), (q + 1) * len(ids))
+                first = np.sort(np.unique(ids[j[at]], return_index=True)[1])
+                place[at] = np.searchsorted(first, np.arange(len(ids)), side="right")
+            keep = (place <= k) & np.isfinite(value)
+            yield pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(ids[j[keep]]), pa.array(value[keep])], names=["q", "id", "score"])
+
+    scored = vectors.mapInArrow(run, "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    held = postings.select("id", "list").join(F.broadcast(best.select("q", "id")), "id").distinct().collect()  # at most trials x k ids and the lists of each
+    wide = np.concatenate((qv, np.zeros((len(qv), 1))), axis=1)
+    d = (wide * wide).sum(axis=1)[:, None] + (centroids * centroids).sum(axis=1) - 2 * wide @ centroids.T
+    place = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)
+    first: dict[tuple[int, int], int] = {}
+    for r in held:
+        first[r["q"], r["id"]] = min(int(place[r["q"], r["list"]]), first.get((r["q"], r["id"]), len(centroids)))
+    seen = sorted(first.values())
+    return seen[min(len(seen), math.ceil(recall * len(seen))) - 1] + 1 if seen else 1
+
+
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, query_mod: int = 20, ratio: float = 1.35, slack: float = 0.15, replicas: int = 8, probes: int = 64, recall: float = 0.99, trials: int = 128, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query (ids divisible by ``query_mod``)."""
     spark = df.sparkSession
     vectors = materialize(valid_vectors(df, id_col, vec_col).distinct(), "vectors")
@@ -184,11 +225,12 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
                 ids, v = matrix(b)
                 x = np.concatenate((v, np.zeros((len(v), 1))), axis=1) if search else widen(v)
                 for s in range(0, len(x), 2000):
-                    found, d = g.search(x[s : s + 2000], probes if search else replicas)
+                    found, d = g.search(x[s : s + 2000], max(probes, needed) if search else replicas)
                     if search:
                         take = np.maximum(d, 0) <= ratio**2 * np.maximum(d[:, :1], 0) + 1e-9
                         held = sizes[found]
                         take |= np.cumsum(held, axis=1) - held < least_candidates  # however near the first list is, enough are seen
+                        take[:, :needed] = True
                     else:
                         take = closure(g, found, d, slack)
                     i, j = np.nonzero(take)
@@ -202,6 +244,8 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     postings = materialize(vectors.mapInArrow(deal(False), schema), "postings")
     counted = postings.groupBy("list").agg(F.count("*").alias("count"), F.count_distinct("id").alias("ids")).collect()
     sizes[[r["list"] for r in counted]] = [r["ids"] for r in counted]
+    tried = vectors.where(F.col("id") % query_mod == 0).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(trials).collect()
+    needed = lists_needed(vectors, postings, [r["id"] for r in tried], np.array([r["v"] for r in tried]), centroids, k, recall) if len(centroids) > 1 and tried else 1
     visits = materialize(vectors.where(F.col("id") % query_mod == 0).mapInArrow(deal(True), schema), "visits")
     # shares of a list and of its visitors, from counts of at most max_lists rows
     parts = {r["list"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in counted}
