@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitaloom.llm.common import sums_before
+
 #: Strings that mean something to a reader of the template.
 CONTROL = ("<<SYS>>", "<</SYS>>", "<s>", "</s>", "[INST]", "[/INST]", "<unk>", "<pad>")
 #: Escapes: the backslash itself, then what a control string may begin with; the line break is escaped in roles.
@@ -156,10 +158,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     head = F.concat(open_, role, F.lit("\n"))
     rows = turns.withColumn("block", F.concat(head, text, shut)).withColumn("at", F.length(head)).withColumn("size", F.when(assistant, F.length(text)).otherwise(-1))
     rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "block", "at", "size"))).alias("b"))
-    length = F.transform("b", lambda x: F.length(x["block"]))
-    # running sum of block lengths before each block
-    before = F.aggregate(length, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    rows = rows.withColumn("before", before)
+    rows = rows.withColumn("sizes", F.transform("b", lambda x: F.length(x["block"])))
+    rows = rows.withColumn("before", sums_before("sizes"))
     spans = F.filter(F.transform("b", lambda x, i: F.struct((F.get("before", i) + x["at"]).alias("start"), (F.get("before", i) + x["at"] + x["size"]).alias("end"), (x["size"] >= 0).alias("own"))), lambda x: x["own"])
     return rows.select("conv_id", F.array_join(F.transform("b", lambda x: x["block"]), "").alias("formatted"), F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("loss_spans"))
 

@@ -7,20 +7,22 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where a session sets none (tests, one machine) a temporary folder is made, registered as the checkpoint
-    folder and removed when the driver exits.
+    Where a local session sets none (tests, one machine) a temporary folder is made, registered as the checkpoint
+    folder and removed when the driver exits; on a cluster that would be no shared place, so it raises there.
     """
     sc = spark.sparkContext
     for found in (spark.conf.get("spark.checkpoint.dir", None), sc.getConf().get("spark.checkpoint.dir"), sc.getCheckpointDir()):
         if found:
             return found
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="vitaloom-")
     sc.setCheckpointDir(own)
     atexit.register(shutil.rmtree, own, True)
@@ -61,6 +63,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Entries of an array whose running sum is made by one fold; folds of folds keep the work near linear.
+FOLD = 256
+
+
+def sums_before(name: str) -> Column:
+    """For the array<int> in column ``name`` the sum of all entries before each one, and last the sum of all.
+
+    A fold that appends to an array copies it at each step; so blocks of ``FOLD`` entries are folded one by one, each from
+    the sum of the blocks before.
+    """
+    blocks = F.sequence(F.lit(0), F.floor(F.size(name) / FOLD).cast("int"))
+    block = lambda b: F.slice(name, b * FOLD + 1, F.lit(FOLD))
+    running = lambda xs, first: F.aggregate(xs, F.array(first), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    firsts = running(F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda a, x: a + x)), F.lit(0))
+    # a block's sums, less the one after its last entry, which is the next block's first; the last block is never full
+    sums = F.zip_with(blocks, firsts, lambda b, f: F.slice(running(block(b), f), F.lit(1), F.lit(FOLD)))
+    return F.flatten(F.filter(sums, lambda x: x.isNotNull()))
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; every other column, clashing names included, is left behind."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

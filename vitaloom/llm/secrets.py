@@ -2,12 +2,17 @@
 
 Only DataFrame and SQL functions run, Spark ML's forest included. Candidates come from one regular expression; places
 follow from the gaps between matches. Features of a candidate: length, character transitions, share of dictionary
-syllables, path marks, and words beside it. The forest is fitted on labelled findings (:func:`labelled_findings`,
+words and syllables, path marks, and words beside it. The forest is fitted on labelled findings (:func:`labelled_findings`,
 a fixed number of rows) and then written out as one SQL expression, so a text and its verdicts never leave their row:
 no join, no shuffle, no model object in the tasks.
 
+A candidate is always a whole run of key characters, of any length, so that nothing of a key is left beside its mark.
+Never a candidate: runs of under 14 characters without a known prefix, runs without a digit, and what goes on after
+another character than a letter, digit or ``_/+-=`` (as in ``hunter2secret!``, of which 13 characters are a run).
+
 Defined results: null and empty texts have no findings; a text of any length is scanned whole; repeated rows have
-the same findings each; extra columns pass through :func:`redact`; an empty table gives an empty table.
+the same findings each, also without id; extra columns pass through :func:`scan` and :func:`redact` whatever their names (one that is
+called like ``out`` is replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,28 +23,38 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitaloom.llm.common import sums_before
+
 #: What a candidate looks like. Group 1 is the candidate itself.
 CANDIDATE = (
     r"(?<![A-Za-z0-9_/+.@-])"
-    r"((?:AKIA|ASIA)[A-Z0-9]{12,20}|gh[pousr]_[A-Za-z0-9]{20,80}|xox[abprs]-[A-Za-z0-9-]{10,80}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"
-    r"|(?=[A-Za-z_/+-]{0,127}[0-9])[A-Za-z0-9_/+-]{14,128}={0,2})"
+    r"(eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+"
+    r"|(?:(?:AKIA|ASIA)[A-Z0-9]{12}|gh[pousr]_[A-Za-z0-9]{20}|xox[abprs]-[A-Za-z0-9-]{10})[A-Za-z0-9_/+-]*+={0,2}"
+    r"|(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{14,}+={0,2})"
 )
 #: Characters before and after a candidate that count as its neighbourhood.
 BESIDE = 32
 #: Words that announce a secret, and words that announce something else.
 SECRET_WORDS = "password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|bearer"
 OTHER_WORDS = "commit|sha1|sha256|md5|checksum|digest|uuid|guid|isbn|order|invoice|phone|card|example|version|build|hash|href|src"
-#: Common syllables and short words of Latin-script prose; their share of a candidate is its dictionary coverage.
-SYLLABLES = "tion|ing|the|and|ent|ion|ter|ver|ment|ich|sch|eit|que|eau|aux|oui|est|ado|con|able|ness|form|data|file|page|test|user|name|code|line|list"
+#: Common words of file names, identifiers and prose, then syllables; their share of a candidate is its dictionary coverage.
+DICTIONARY = (
+    "version|release|package|project|example|default|service|request|response|message|content|context|control|program|process|function|"
+    "document|directory|download|upload|image|index|table|model|class|object|string|number|value|index|public|static|private|module|"
+    "report|article|chapter|section|archive|history|search|result|source|target|before|after|under|other|people|house|world|water|year|"
+    "user|name|file|data|page|test|code|line|list|form|time|part|work|make|with|from|that|this|have|und|der|die|das|ein|les|des|una|los|para|"
+    "tion|ing|the|and|ent|ion|ter|ver|ment|ich|sch|eit|que|eau|aux|oui|est|ado|con|able|ness"
+)
 FEATURES = ("length", "digits", "upper", "lower", "switches", "runs", "coverage", "slashes", "other_marks", "hex_only", "digits_only", "known_prefix", "secret_beside", "other_beside", "quoted", "assigned")
 TREES, DEPTH, SEED = 15, 6, 11
 
 
 class Forest(NamedTuple):
-    """score: SQL over the names of ``FEATURES``; accuracy on the findings held out."""
+    """score: SQL over the names of ``FEATURES``; accuracy on the findings held out; model: Spark's own, which scores alike."""
 
     score: str
     accuracy: float
+    model: object = None
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -55,7 +70,7 @@ def features(token: Column, before: Column, after: Column) -> dict[str, Column]:
         "lower": _count(token, "[a-z]") / size,
         "switches": (_count(token, "[a-z](?=[A-Z0-9])") + _count(token, "[A-Z](?=[a-z0-9])") + _count(token, "[0-9](?=[A-Za-z])")) / size,
         "runs": _count(token, r"(.)\1") / size,
-        "coverage": (size - F.length(F.regexp_replace(F.lower(token), SYLLABLES, ""))) / size,
+        "coverage": (size - F.length(F.regexp_replace(F.lower(token), DICTIONARY, ""))) / size,
         "slashes": _count(token, "/"),
         "other_marks": _count(token, "[_+=-]") / size,
         "hex_only": F.rlike(token, F.lit("^[0-9a-f]+$")).cast("double"),
@@ -115,69 +130,68 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     return spark.range(rows).select("id", token.alias("token"), before.alias("before"), after.alias("after"), (make <= 5).cast("double").alias("label"))
 
 
-def _tree_sql(lines: list[str], names: tuple[str, ...]) -> str:
-    """CASE expression of one tree as Spark prints it: If / Else lines by depth, leaves as Predict."""
-    line = lines.pop(0).strip()
-    if line.startswith("Predict:"):
-        return str(float(line.split(":")[1]))
-    m = re.fullmatch(r"If \(feature (\d+) <= ([-0-9.E]+)\)", line)
-    yes = _tree_sql(lines, names)
-    lines.pop(0)
-    return f"CASE WHEN {names[int(m[1])]} <= {float(m[2])!r}D THEN {yes} ELSE {_tree_sql(lines, names)} END"
+def _tree_sql(node, names: tuple[str, ...]) -> str:
+    """CASE expression of one tree: a leaf gives its share of secrets among the findings it was fitted on."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        other, secret = node.impurityStats().stats()
+        return repr(secret / (other + secret)) + "D"
+    split = node.split()
+    left, right = _tree_sql(node.leftChild(), names), _tree_sql(node.rightChild(), names)
+    return f"CASE WHEN {names[split.featureIndex()]} <= {split.threshold()!r}D THEN {left} ELSE {right} END"
+
+
+def described(findings: DataFrame) -> DataFrame:
+    """Labelled findings with their features, also as the vector ``x``."""
+    from pyspark.ml.feature import VectorAssembler
+
+    data = findings.select("*", *[v.alias(k) for k, v in features(F.col("token"), F.col("before"), F.col("after")).items()])
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(data)
 
 
 def fit(spark: SparkSession, findings: DataFrame | None = None) -> Forest:
     """Fit on three quarters of the labelled findings; the rest measure it."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
 
     findings = labelled_findings(spark) if findings is None else findings
-    data = findings.select("*", *[v.alias(k) for k, v in features(F.col("token"), F.col("before"), F.col("after")).items()])
-    held_out = F.pmod(F.xxhash64("token", "before"), F.lit(4)) == 0
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(data.coalesce(2)).withColumn("_held", held_out)
+    rows = described(findings.coalesce(2)).withColumn("_held", F.pmod(F.xxhash64("token", "before"), F.lit(4)) == 0)
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows.where("NOT _held"))
-    trees = [_tree_sql(t.toDebugString.split("\n")[1:], FEATURES) for t in model.trees]
+    trees = [_tree_sql(t._java_obj.rootNode(), FEATURES) for t in model.trees]
     score = "(" + " + ".join(trees) + f") / {len(trees)}D"
     right = rows.where("_held").select(F.avg(((F.expr(score) > 0.5).cast("double") == F.col("label")).cast("double"))).first()[0]
-    return Forest(score, float(right or 0.0))
+    return Forest(score, float(right or 0.0), model)
 
 
-def scan(df: DataFrame, forest: Forest, text_col: str = "text", out: str = "findings") -> DataFrame:
-    """``df`` with ``out``: array<struct<start, length, token, score, secret>> in order of place (code points from 0)."""
+def _found(df: DataFrame, forest: Forest, text_col: str) -> DataFrame:
+    """row (all columns of ``df``), gaps (what lies between the candidates), found (the candidates)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn("_m", F.regexp_extract_all(text, F.lit(CANDIDATE), 1))
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.regexp_extract_all(text, F.lit(CANDIDATE), 1).alias("m"))
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
     # gaps between matches, for those rows that have any
-    df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split(text, CANDIDATE)))
-    starts = F.aggregate(
-        F.zip_with("_g", "_m", lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m"))),
-        F.array(F.lit(0)),
-        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["g"] + x["m"])),
-    )
-    df = df.withColumn("_p", starts)
+    df = df.withColumn("gaps", F.when(F.size("m") > 0, F.split(text, CANDIDATE)).otherwise(F.array(text)))
+    df = df.withColumn("sizes", F.zip_with("gaps", "m", lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))))
+    df = df.withColumn("p", sums_before("sizes"))
 
-    def described(m: Column, i: Column) -> Column:
-        before, after = F.get("_g", i), F.get("_g", i + 1)
-        f = features(m, F.right(before, F.lit(BESIDE)), F.left(after, F.lit(BESIDE)))
-        return F.struct((F.get("_p", i) + F.length(before)).alias("start"), m.alias("token"), *[f[k].alias(k) for k in FEATURES])
+    def described(z: Column) -> Column:
+        f = features(z["token"], F.right(z["before"], F.lit(BESIDE)), F.left(z["after"], F.lit(BESIDE)))
+        return F.struct((z["at"] + F.length(z["before"])).alias("start"), z["token"].alias("token"), *[f[k].alias(k) for k in FEATURES])
 
-    df = df.withColumn("_f", F.transform("_m", described))
+    # zipped first: a lambda that reaches into another column's array would have that array made anew for each candidate
+    zipped = F.arrays_zip(F.col("m").alias("token"), F.col("p").alias("at"), F.col("gaps").alias("before"), F.slice("gaps", 2, F.size("gaps")).alias("after"))
+    df = df.withColumn("f", F.transform(F.slice(zipped, F.lit(1), F.size("m")), described))
     score = re.sub(r"\b(" + "|".join(FEATURES) + r")\b", r"x.\1", forest.score)
-    df = df.withColumn("_s", F.expr(f"transform(_f, x -> named_struct('start', x.start, 'length', length(x.token), 'token', x.token, 'score', round({score}, 6)))"))
-    found = F.transform("_s", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), x["token"].alias("token"), x["score"].alias("score"), (x["score"] > 0.5).alias("secret")))
-    return df.withColumn(out, F.coalesce(found, F.array().cast("array<struct<start:int,length:int,token:string,score:double,secret:boolean>>"))).drop("_m", "_p", "_f", "_s", "_g")
+    df = df.withColumn("s", F.expr(f"transform(f, x -> named_struct('start', x.start, 'length', length(x.token), 'token', x.token, 'score', round({score}, 6)))"))
+    found = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), x["token"].alias("token"), x["score"].alias("score"), (x["score"] > 0.5).alias("secret")))
+    return df.select("row", "gaps", found.alias("found"))
+
+
+def scan(df: DataFrame, forest: Forest, text_col: str = "text", out: str = "findings") -> DataFrame:
+    """``df`` with ``out``: array<struct<start, length, token, score, secret>> in order of place (code points from 0)."""
+    return _found(df, forest, text_col).select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], F.col("found").alias(out))
 
 
 def redact(df: DataFrame, forest: Forest, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``df`` with every confirmed secret in the text replaced by ``mark``; null texts stay null."""
-    names = df.columns
-    df = scan(df, forest, text_col, "_found")
-    df = df.withColumn("_hits", F.filter("_found", lambda x: x["secret"]))
-    pieces = F.transform("_hits", lambda x, i: F.concat(_between(text_col, F.coalesce(F.get("_hits", i - 1)["start"] + F.get("_hits", i - 1)["length"], F.lit(0)), x["start"]), F.lit(mark)))
-    last = F.get("_hits", F.size("_hits") - 1)
-    tail = _between(text_col, last["start"] + last["length"], F.length(text_col))
-    clean = F.when(F.size("_hits") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text_col))
-    return df.withColumn(text_col, clean).select(*names)
-
-
-def _between(text_col: str, start: Column, end: Column) -> Column:
-    return F.substring(F.col(text_col), start + 1, end - start)
+    shown = F.transform("found", lambda x: F.when(x["secret"], mark).otherwise(x["token"]))
+    clean = F.array_join(F.flatten(F.zip_with("gaps", F.concat(shown, F.array(F.lit(""))), lambda g, t: F.array(F.coalesce(g, F.lit("")), F.coalesce(t, F.lit(""))))), "")
+    text = F.when(F.exists("found", lambda x: x["secret"]), clean).otherwise(F.col("row")[text_col])
+    return _found(df, forest, text_col).select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
