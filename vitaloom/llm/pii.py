@@ -2,18 +2,21 @@
 
 The patterns find the base spans. Round cues that no base span covers (digits, at and dot words) the text is cut into
 tokens, and a semi-Markov CRF scores whole candidate segments: features see the entire span (digits, groups, checksum,
-separators, words before it). A dynamic program over segments of at most ``MAX_TOKENS`` tokens picks boundaries and types
-together. Segments that touch a base span are dropped, so base spans always stay.
+separators, words before it), and each pair of neighbouring segment types has a weight of its own. A dynamic program over
+segments of at most ``MAX_TOKENS`` tokens picks boundaries and types together. Base spans part the text before it, so
+they always stay.
 
 The model is fitted by maximum conditional likelihood (forward-backward over segments) on generated
 sentences with known spans, the same ones every time; ``TRAIN_SENTENCES`` bounds them.
 
-Defined results: null and empty texts have no spans, a text of any length is read whole, repeated rows have equal
-results, extra columns are ignored, an empty table gives an empty table. Offsets count code points, the end is exclusive.
+Defined results: null and empty texts have no spans, a text of any length is read whole in time linear in it, digits are
+those of ASCII, repeated rows have equal results, a row without id has spans like any other, extra columns are ignored,
+an empty table gives an empty table. Offsets count code points, the end is exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -29,16 +32,28 @@ from vitaloom.llm.common import texts_of
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 15
 TRAIN_SENTENCES = 240
-#: The base patterns.
+#: The base patterns. A run of digits is taken whole or not at all, which changes no match.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile("[0-9]")
-_CUE = re.compile(r"[0-9]{2,}|@|[(\[{] ?(?:at|dot) ?[)\]}]|\bdot\b")
+_CUE = re.compile(r"[0-9]{2,}+|(?<![0-9])[0-9](?=[\s.(\[]{1,3}[0-9])|[0-9](?=[\s(\[]{1,2}dot\b)|@|[(\[{] ?(?:at|dot) ?[)\]}]|\bdot\b", re.IGNORECASE | re.ASCII)
+_AT_WORD = re.compile(r"@|\bat\b", re.IGNORECASE)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 REACH = 70
+#: Characters of a token that the features read; no feature tells longer tokens apart.
+TOKEN_CHARS = 64
+
+
+def _octet(digits: str) -> bool:
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or 0) <= 255
+
+
+def _digits(token: str) -> bool:
+    return "0" <= token[0] <= "9"
 
 
 def luhn(digits: str) -> bool:
@@ -62,11 +77,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(int(p) <= 255 for p in m[0].split(".")):
+            if all(map(_octet, m[0].split("."))):
                 out.append(("ip", m.start(), m.end()))
         for m in CARD.finditer(text):
-            digits = re.sub("[^0-9]", "", m[0])
-            if 12 <= len(digits) <= 19 and luhn(digits):
+            if 12 <= len(m[0]) <= 37 and 12 <= len(digits := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(digits):
                 out.append(("card", m.start(), m.end()))
         if "+" in text:
             for m in PHONE.finditer(text):
@@ -94,19 +108,19 @@ _AT, _DOT = {"@", "at", "＠"}, {".", "dot"}
 def _span_features(tokens: list[str], gaps: list[bool], i: int, j: int) -> list[float] | None:
     """Features of tokens i..j-1 as one segment; None where it can be no entity at all."""
     part = tokens[i:j]
-    digits = "".join(t for t in part if t.isdigit())
+    digits = "".join(t for t in part if _digits(t))
     n = len(digits)
     at = [k for k, t in enumerate(part) if t.lower() in _AT]
-    if n < 4 and not at:
+    if n < 4 and not at or n > 24:
         return None
     first, last = part[0], part[-1]
     if not (first[0].isalnum() or first in "+(") or not last[0].isalnum():
         return None
     words = [t for t in part if t[0].isalpha() and t.lower() not in _AT and t.lower() not in _DOT]
     dots = sum(t.lower() in _DOT for t in part)
-    groups = [t for t in part if t.isdigit()]
+    groups = [t for t in part if _digits(t)]
     marks = [t for t in part if not t[0].isalnum()]
-    quad = len(groups) == 4 and all(int(g) <= 255 for g in groups) and not words and len(marks) >= 3
+    quad = len(groups) == 4 and all(map(_octet, groups)) and not words and dots == 3
     even = len(set(marks)) <= 1
     mail = len(at) == 1 and 0 < at[0] < len(part) - 3 and dots >= 1 and len(words) >= 3 and all(len(w) < 25 for w in words)
     if mail and part[at[0]].lower() == "at" and part[at[0] - 1] not in "([{":
@@ -140,7 +154,7 @@ def _span_features(tokens: list[str], gaps: list[bool], i: int, j: int) -> list[
         len(part) / MAX_TOKENS,
         *[float(bool(before & BEFORE[k])) for k in KINDS],
         float(j < len(tokens) and not gaps[j] and tokens[j][0].isalnum() or i > 0 and not gaps[i] and tokens[i - 1][0].isalnum()),
-        float(j < len(tokens) and tokens[j].isdigit() or i > 0 and tokens[i - 1].isdigit()),
+        float(j < len(tokens) and _digits(tokens[j]) or i > 0 and _digits(tokens[i - 1])),
     ]
 
 
@@ -158,42 +172,67 @@ def _lattice(tokens: list[str], gaps: list[bool]) -> tuple[list[tuple[int, int]]
 
 
 class SemiMarkov:
-    """Segment scores are linear in the features; a token outside every entity is a segment of its own with score 0."""
+    """Segment scores are linear in the features; a token outside every entity is a segment of its own with score 0.
+
+    ``t[y, z]`` is added where a segment of type z follows one of type y; the last type stands for the single tokens.
+    """
 
     def __init__(self) -> None:
         self.w = np.zeros((WIDTH, len(KINDS)))
         self.w[0] = -2.0
+        self.t = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
-    def _by_end(self, spans, n):
+    @staticmethod
+    def _by_end(spans, n):
         ends: list[list[int]] = [[] for _ in range(n + 1)]
         for k, (_, j) in enumerate(spans):
             ends[j].append(k)
         return ends
 
-    def gradient(self, spans, f, n, gold: dict[tuple[int, int], int]) -> np.ndarray:
-        """Gradient of the log-likelihood of one sentence: counts in truth less expected counts."""
-        score = f @ self.w
-        total = np.logaddexp.reduce(score, axis=1) if len(spans) else np.empty(0)
-        forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-        forward[0] = backward[n] = 0.0
+    def gradient(self, spans, f, n, gold: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the log-likelihood of one sentence, for w and t: counts in truth less expected counts."""
+        score, out = f @ self.w, len(KINDS)
         ends = self._by_end(spans, n)
+        # into[j, y]: all ways to the place j, seen by a segment of type y that starts there; by[j, y]: those that end there in type y
+        by, into = np.full((n + 1, out + 1), -np.inf), np.full((n + 1, out + 1), -np.inf)
+        into[0] = self.t[out]  # a text begins as after a single token
         for j in range(1, n + 1):
-            forward[j] = np.logaddexp.reduce([forward[j - 1], *[forward[spans[k][0]] + total[k] for k in ends[j]]])
-        for j in range(n, 0, -1):
-            backward[j - 1] = np.logaddexp(backward[j - 1], backward[j])
-            for k in ends[j]:
-                backward[spans[k][0]] = np.logaddexp(backward[spans[k][0]], total[k] + backward[j])
-        out = np.zeros_like(self.w)
+            by[j, out] = into[j - 1, out]
+            if ends[j]:
+                by[j, :out] = np.logaddexp.reduce([into[spans[k][0], :out] + score[k] for k in ends[j]], axis=0)
+            into[j] = np.logaddexp.reduce(by[j][:, None] + self.t, axis=0)
+        total = np.logaddexp.reduce(by[n])
+        # after[j, y]: all ways from the place j to the end, after a segment of type y
+        after, begins = np.zeros((n + 1, out + 1)), [[] for _ in range(n + 1)]
+        for k, (i, _) in enumerate(spans):
+            begins[i].append(k)
+        gw, gt = np.zeros_like(self.w), np.zeros_like(self.t)
+        for j in range(n - 1, -1, -1):
+            start = np.full(out + 1, -np.inf)  # all ways that begin with a segment of each type
+            start[out] = after[j + 1, out]
+            if begins[j]:
+                start[:out] = np.logaddexp.reduce([score[k] + after[spans[k][1], :out] for k in begins[j]], axis=0)
+            if j:
+                gt -= np.exp(by[j][:, None] + self.t + start - total)
+            else:
+                gt[out] -= np.exp(self.t[out] + start - total)
+            after[j] = np.logaddexp.reduce(self.t + start, axis=1)
         if len(spans):
-            edge = np.array([forward[i] + backward[j] for i, j in spans]) - forward[n]
-            out -= f.T @ np.exp(score + edge[:, None])
-            for k, s in enumerate(spans):
-                if s in gold:
-                    out[:, gold[s]] += f[k]
-        return out
+            own = np.array([into[i, :out] + after[j, :out] for i, j in spans])
+            gw -= f.T @ np.exp(score + own - total)
+        at, last = 0, out
+        places = {i: (k, j) for k, (i, j) in enumerate(spans) if (i, j) in gold}
+        while at < n:
+            k, end = places.get(at, (-1, at + 1))
+            kind = gold[spans[k]] if k >= 0 else out
+            gt[last, kind] += 1
+            if k >= 0:
+                gw[:, kind] += f[k]
+            at, last = end, kind
+        return gw, gt
 
     def fit(self, sentences, epochs: int = 8, rate: float = 0.5, shrink: float = 1e-3) -> SemiMarkov:
-        seen = np.full_like(self.w, 1e-3)
+        seen_w, seen_t = np.full_like(self.w, 1e-3), np.full_like(self.t, 1e-3)
         data = []
         for text, spans in sentences:
             tokens, gaps, places = tokenise(text, 0)
@@ -202,39 +241,54 @@ class SemiMarkov:
             data.append((*_lattice(tokens, gaps), len(tokens), gold))
         for _ in range(epochs):
             for spans, f, n, gold in data:
-                g = self.gradient(spans, f, n, gold) - shrink * self.w
-                seen += g * g
-                self.w += rate * g / np.sqrt(seen)
+                gw, gt = self.gradient(spans, f, n, gold)
+                gw, gt = gw - shrink * self.w, gt - shrink * self.t
+                seen_w += gw * gw
+                seen_t += gt * gt
+                self.w += rate * gw / np.sqrt(seen_w)
+                self.t += rate * gt / np.sqrt(seen_t)
         return self
 
     def best(self, spans, f, n) -> list[tuple[int, int, int]]:
         """Highest-scoring segmentation: (first token, end token, kind) of its entities."""
         if not len(spans):
             return []
-        score = f @ self.w
-        kind, top = score.argmax(axis=1), score.max(axis=1)
-        ends = self._by_end(spans, n)
-        value, back = np.zeros(n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for k in ends[j]:
-                if (v := value[spans[k][0]] + top[k]) > value[j]:
-                    value[j], back[j] = v, k
-        out, j = [], n
+        score, out = (f @ self.w).tolist(), len(KINDS)
+        t, ends = self.t.tolist(), self._by_end(spans, n)
+        kinds = range(out + 1)
+        # value[j][y]: best way to the place j whose last segment is of type y; back[j][y]: (segment, type before)
+        value, back = [[-np.inf] * out + [0.0]], [[(-1, out)] * (out + 1)]
+        into = []
+        for j in range(n + 1):
+            if j:
+                value.append([-np.inf] * out + [into[j - 1][out][0]])
+                back.append([(-1, out)] * out + [(-1, into[j - 1][out][1])])
+                for k in ends[j]:
+                    for y in range(out):
+                        v, before = into[spans[k][0]][y]
+                        if v + score[k][y] > value[j][y]:
+                            value[j][y], back[j][y] = v + score[k][y], (k, before)
+            own = value[j]
+            into.append([max((own[y] + t[y][z], y) for y in kinds) for z in kinds] if ends_or_starts(j, out, own) else [(own[out] + t[out][z], out) for z in kinds])
+        found, j = [], n
+        y = max(kinds, key=lambda y: value[n][y])
         while j > 0:
-            if back[j] < 0:
-                j -= 1
-            else:
-                i, e = spans[back[j]]
-                out.append((i, e, int(kind[back[j]])))
-                j = i
-        return out[::-1]
+            k, before = back[j][y]
+            if y < out:
+                found.append((*spans[k], y))
+            j, y = (spans[k][0] if y < out else j - 1), before
+        return found[::-1]
+
+
+def ends_or_starts(j: int, out: int, own: list[float]) -> bool:
+    """Whether any entity ends here, so that more than the single token can come before."""
+    return any(v > -np.inf for v in own[:out])
 
 
 def tokenise(text: str, offset: int) -> tuple[list[str], list[bool], list[tuple[int, int]]]:
     tokens, gaps, places, last = [], [], [], 0
     for m in _TOKEN.finditer(text):
-        tokens.append(m[0])
+        tokens.append(m[0][:TOKEN_CHARS])
         gaps.append(m.start() > last)
         places.append((m.start() + offset, m.end() + offset))
         last = m.end()
@@ -261,7 +315,7 @@ def sentences(count: int, seed: int = 7) -> list[tuple[str, list[tuple[str, int,
             at, dot = r.choice([(" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot "), (" @ ", " . "), ("@", " dot "), (" (at) ", "."), (" {at} ", " {dot} ")])
             return kind, user + at + r.choice(hosts) + dot + r.choice(tops)
         if kind == "ip":
-            return kind, r.choice([" . ", "[.]", " dot ", ".", "(.)"]).join(str(r.randint(0, 255)) for _ in range(4))
+            return kind, r.choice([" . ", "[.]", " dot ", ".", "(.)"]).join(str(r.randint(0, r.choice([9, 255, 255]))) for _ in range(4))
         if kind == "card":
             c = card_number()
             return kind, r.choice([".", "/", " / ", " . ", "-"]).join(c[k : k + 4] for k in range(0, 16, 4))
@@ -316,23 +370,33 @@ def added_spans(text: str, base: list[tuple[str, int, int]], crf: SemiMarkov) ->
             windows[-1][1] = hi
         else:
             windows.append([lo, hi])
-    out = []
+    out, done = [], 0
     for lo, hi in windows:
-        while lo > 0 and not text[lo - 1].isspace() and lo > 0:
+        while lo > done and not text[lo - 1].isspace():
             lo -= 1
+        lo, hi = max(lo, done), max(hi, done)
         while hi < len(text) and not text[hi].isspace():
             hi += 1
-        part = text[lo:hi]
+        done = hi
         # base spans part the window, so no segment can touch one
-        for b, e in [*((b, e) for b, e in covered if e > lo and b < hi)]:
-            part = part[: max(0, b - lo)] + "\x00" * (min(e, hi) - max(b, lo)) + part[max(0, e - lo) :]
-        for piece in re.finditer("[^\x00\n]+", part):
-            s = piece[0]
-            if sum(c.isdigit() for c in s) < 7 and not re.search(r"@|\bat\b", s):
+        k, at = bisect.bisect_left(covered, (lo, lo)), lo
+        pieces = []
+        if k and covered[k - 1][1] > at:
+            at = covered[k - 1][1]
+        while k < len(covered) and covered[k][0] < hi:
+            pieces.append((at, covered[k][0]))
+            at = max(at, covered[k][1])
+            k += 1
+        for b, e in [*pieces, (at, min(hi, len(text)))]:
+            if b >= e:
                 continue
-            tokens, gaps, places = tokenise(s, lo + piece.start())
-            for i, j, kind in crf.best(*_lattice(tokens, gaps), len(tokens)):
-                out.append((KINDS[kind], places[i][0], places[j - 1][1]))
+            for line in re.finditer("[^\n]+", text[b:e]):
+                s = line[0]
+                if len(re.findall("[0-9]", s)) < 4 and not _AT_WORD.search(s):
+                    continue
+                tokens, gaps, places = tokenise(s, b + line.start())
+                for i, j, kind in crf.best(*_lattice(tokens, gaps), len(tokens)):
+                    out.append((KINDS[kind], places[i][0], places[j - 1][1]))
     return out
 
 
