@@ -55,18 +55,40 @@ def test_near_copies_equal_brute_force(spark):
             texts.append(" ".join(copy))
     texts += ["one two", "one two three", "One  two", " ".join(common)]
     sets, root = five_word_sets(texts), list(range(len(texts)))
+    alike = lambda a, b: a and 10 * len(a & b) >= 8 * len(a | b)
     for i, a in enumerate(sets):
         for j in range(i):
-            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]) and root[i] != root[j]:
+            if alike(a, sets[j]) and root[i] != root[j]:
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     assert 40 < len(set(root)) < len(texts) - 60
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     left = corpus_pipeline.near_duplicate_stage(spark, docs, "")
-    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(root))
+    assert left.columns == docs.columns
+    stay = sorted(r.doc_id for r in left.collect())
+    # every group keeps its least, no two that stay are alike, and what goes beyond the least of a group is alike to another
+    assert {root[k] for k in stay} == set(root) and set(root) <= set(stay)
+    assert not [(i, j) for i in stay for j in stay if i < j and alike(sets[i], sets[j])]
+    assert len(stay) <= len(set(root)) + 12
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_copies_of_a_clique_leave_one(spark):
+    """Groups in which all are alike: the result is the brute-force one."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        for c in range(6):
+            copy = list(base)
+            if c:
+                copy[rng.randrange(len(copy))] = f"x{k}{c}"
+            rows.append((k * 10 + c, " ".join(copy)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [k * 10 for k in range(30)]
+
+
 def test_near_copies_without_ids_and_repeated_rows(spark):
     text = [GOOD.format(f"{k} a{k} b{k} c{k}", f"{k} d{k} e{k}") for k in range(4)]
     rows = [(5, text[0]), (5, text[0]), (None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (3, text[3]), (3, "another text under the same id that is like no other")]

@@ -49,7 +49,11 @@ def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
-    h = shingle_hashes(text, shingle, seed)
+    return fingerprint_of(shingle_hashes(text, shingle, seed))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """A bit is 1 where it is set in over half the hashes; none give 0."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -207,12 +211,17 @@ def near_links(distinct: DataFrame, threshold: int = 4) -> DataFrame:
     return spread_out.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(compare, "u long, v long").distinct()
 
 
+def groups_of(distinct: DataFrame, threshold: int = 4) -> DataFrame:
+    """fp, component for every row of ``distinct`` (fp): component is the least fingerprint reachable, as a signed long."""
+    parts = connected_components(near_links(distinct.select("fp", F.col("fp").alias("rep")), threshold))
+    return distinct.join(parts, distinct.fp == parts.node, "left").select(*distinct.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) for every document."""
     fps = materialize(fingerprints(docs, shingle, seed), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    parts = connected_components(near_links(distinct.select("fp", F.col("fp").alias("rep")), threshold))  # by fingerprint: ids may be null
-    member = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    member = groups_of(distinct, threshold)  # by fingerprint: ids may be null
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = member.join(least, "component").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

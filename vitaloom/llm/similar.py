@@ -1,11 +1,16 @@
-"""Near copies by exact Jaccard similarity of word shingles, without a loss.
+"""Near copies on word shingles: SimHash groups first, then all that are left by exact Jaccard similarity.
 
-Rows with equal shingle sets are one class. A class can have a near copy only if others hold ``similarity`` % of its
+Rows with equal shingle sets are one class. :mod:`simhash` groups the fingerprints of the classes by anchors; a class whose set is as
+similar as asked to that of its group's least id goes. This takes away most of a large group of near copies, in joins
+that split. Fingerprints cannot say more: sets of Jaccard 0.8 differ in about 10 of 64 bits, a distance at which no covering code
+is selective. So the classes left are joined exactly: a class can have a near copy only if others hold ``similarity`` % of its
 shingles: shingles are counted by cut hashes in buckets of bounded size, and all other classes are sifted out. What is
 left is ordered by the number of holders: two sets as similar as asked share a shingle among the first |A| - c + 1 of
 each, c the least overlap (prefix filter). Classes that meet there form candidate groups; within a group sets are
 compared exactly, breadth first, each with those that are still alone. No pairs leave a task.
 
+What stays: no two rows as similar as asked, and for every row that went, a chain of such similarities to one that stays.
+
 Defined results: blank and null texts are one class with an empty set, similar to no other; fewer words than a shingle
 holds make one shingle; repeated rows are one class; an empty table gives an empty table. Shingles count as equal
 when their 64-bit hashes are.
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from vitaloom.llm.common import materialize
 from vitaloom.llm.components import connected_components
-from vitaloom.llm.simhash import shingle_hashes
+from vitaloom.llm.simhash import fingerprint_of, groups_of, shingle_hashes
 
 #: Shingles of one bucket of the sift, on average.
 BUCKET = 1_000_000
@@ -41,15 +46,50 @@ def class_of(own: np.ndarray) -> int:
 
 
 def with_class(docs: DataFrame, shingle: int) -> DataFrame:
-    """The rows with ``near_class``, the name of their shingle set, and ``near_size``, the size of it."""
+    """row (all columns), text, near_class (the name of the row's shingle set), near_size (the size of it), fp (SimHash of the shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
-            extra = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "near_class", "near_size"])
+            names, sizes, fps = [], [], []
+            for t in b.column("text").to_pylist():
+                h = shingle_hashes(t or "", shingle)
+                own = np.unique(h)
+                names.append(class_of(own))
+                sizes.append(len(own))
+                fps.append(fingerprint_of(h))
+            extra = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=["row", "text", "near_class", "near_size", "fp"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return rows.mapInArrow(run, rows.withColumns({c: F.lit(0).cast("long") for c in ("near_class", "near_size", "fp")}).schema)
+
+
+def _as_fingerprints_say(rows: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """near_class of those classes that are as similar as asked to the class of the least id in their fingerprint's group."""
+    id_ = F.col("row")["doc_id"].cast("long")
+    classes = rows.groupBy("near_class").agg(F.min(F.struct(F.isnull(id_).alias("none"), id_.alias("id"))).alias("least"), F.min("fp").alias("fp"))
+    grouped = materialize(classes.join(groups_of(classes.select("fp").distinct()), "fp").select("near_class", "least", "component"), "groups")
+    heads = grouped.groupBy("component").agg(F.min(F.struct("least", "near_class")).alias("w"), F.count("*").alias("members"))
+    heads = heads.where("members > 1").select("component", F.col("w.near_class").alias("head"))
+    pairs = grouped.join(heads, "component").where("near_class != head").select("near_class", "head")
+    wanted = pairs.select("near_class").union(pairs.select("head")).distinct()
+    texts = materialize(rows.select("near_class", "text").join(wanted, "near_class", "left_semi").groupBy("near_class").agg(F.min("text").alias("text")), "texts")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, head = None, np.empty(0, np.uint64)
+        for b in batches:
+            keep = []
+            for k, (h, ours, theirs) in enumerate(zip(b.column("head").to_pylist(), b.column("text").to_pylist(), b.column("head_text").to_pylist(), strict=True)):
+                if h != last:
+                    last, head = h, shingle_set(theirs, shingle)
+                own = shingle_set(ours, shingle)
+                both = len(np.intersect1d(own, head, assume_unique=True))
+                if both and 100 * both >= similarity * (len(own) + len(head) - both):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([b.column("near_class").take(pa.array(keep, pa.int64()))], names=["near_class"])
 
-    return docs.mapInArrow(run, docs.withColumns({"near_class": F.lit(0).cast("long"), "near_size": F.lit(0).cast("long")}).schema)
+    said = pairs.join(texts, "near_class").join(texts.select(F.col("near_class").alias("head"), F.col("text").alias("head_text")), "head")
+    return said.select("near_class", "head", "text", "head_text").mapInArrow(alike, "near_class long")
 
 
 def _likely(rows: DataFrame, shingle: int, similarity: int) -> DataFrame:
@@ -161,11 +201,14 @@ def near_copies(rows: DataFrame, shingle: int = 5, similarity: int = 80) -> Data
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
     """One row of each group of near copies: of the smallest doc_id; a row without id only where its group has no other."""
     rows = materialize(with_class(docs, shingle), "classes")
-    heads = materialize(near_copies(rows, shingle, similarity), "heads")
+    gone = materialize(_as_fingerprints_say(rows, shingle, similarity), "gone")
+    left = rows.join(gone, "near_class", "left_anti")
+    heads = materialize(near_copies(left, shingle, similarity), "heads")
     group = F.coalesce("head", "near_class")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("near_key")
-    slim = rows.select("near_class", F.col("doc_id").cast("long").alias("id"), key).distinct().join(heads, "near_class", "left")
+    id_ = F.col("row")["doc_id"].cast("long")
+    key = F.coalesce(id_.cast("string"), F.lit("none")).alias("near_key")
+    slim = left.select("near_class", id_.alias("id"), key).distinct().join(heads, "near_class", "left")
     won = slim.groupBy(group.alias("near_group")).agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "near_class", "near_key")).alias("w"))
-    keyed = rows.select("*", key).join(won.select("w.near_class", "w.near_key"), ["near_class", "near_key"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("near_class", "near_key").orderBy("text", F.xxhash64(*docs.columns)))
-    return keyed.withColumn("near_rank", rank).where("near_rank = 1").select(*docs.columns)
+    keyed = left.select("near_class", key, "row", "text").join(won.select("w.near_class", "w.near_key"), ["near_class", "near_key"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("near_class", "near_key").orderBy("text", F.xxhash64("row")))
+    return keyed.withColumn("near_rank", rank).where("near_rank = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
