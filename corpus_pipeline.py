@@ -20,7 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays: groups are chained by Jaccard >= 0.8 of five-word shingles.
+    """One row of each group of near copies stays: SimHash groups of five-word shingles first, each held against Jaccard >= 0.8,
+    then an exact join of what is left at the same similarity.
 
     It is the one with the smallest id; a row without id stays only where no row of its group has one.
     """
