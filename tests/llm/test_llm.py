@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import inspect
+import os
 import re
 import zlib
 from collections import Counter
@@ -522,19 +524,45 @@ def test_ann_repeated_ids(spark):
     rows = [(k, x.tolist()) for k, x in enumerate(v)] * 2
     rows += [(k, (v[k] * (1 + 0.001 * c)).tolist()) for k in range(1, 400, 20) for c in range(1, 25)]  # ids of many vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    got = ann.nearest(df).toPandas()
+    got = ann.nearest(df, list_rows=1000).toPandas()  # one list: this is about repeated ids, not recall
     ids, all_ = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     for q in range(0, 400, 20):
         own = got[got.query_id == q]
         assert len(own) == 20 and set(own.vec_id) == exact_neighbours(ids, all_, (q, v[q]))
 
 
-def test_ann_recall_with_more_lists_than_probes(spark):
-    rng = np.random.default_rng(9)
-    v = rng.normal(size=(8000, 32))
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
-    got = ann.nearest(df, list_rows=16, k=5).toPandas()  # 512 lists, 64 probes
-    hit = sum(len(set(got[got.query_id == q].vec_id) & exact_neighbours(np.arange(8000), v, (q, v[q]), 5)) for q in range(0, 8000, 20))
-    print("recall", hit / 2000)
-    assert hit / 2000 >= 0.97
+def recall_and_share(spark, v, k=20, **options):
+    """(recall against brute force, mean share of lists visited, mean lists a vector is in) with the settings of ``nearest``."""
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    vectors = common.materialize(ann.valid_vectors(df, "vec_id", "embedding"), "test")
+    settings = {p.name: p.default for p in inspect.signature(ann.nearest).parameters.values() if p.name not in ("df", "id_col", "vec_col")}
+    index = ann.build(vectors, **{**settings, "k": k, **options})
+    got = ann.search(index, k).toPandas().groupby("query_id")["vec_id"].agg(set)
+    queries = np.arange(0, len(v), 20)
+    score = v[queries] @ v.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    true = np.argpartition(-score, k, axis=1)[:, :k]
+    hit = sum(len(set(t) & got[q]) for q, t in zip(queries.tolist(), true.tolist(), strict=True))
+    return hit / true.size, index.visits.count() / len(queries) / len(index.centroids), index.postings.count() / len(v)
+
+
+def test_ann_lists_bite_on_vectors_without_clusters(spark):
+    v = np.random.default_rng(9).normal(size=(50_000, 64))
+    recall, share, copies = recall_and_share(spark, v / np.linalg.norm(v, axis=1)[:, None])
+    print("50 000 random directions", recall, share, copies)
+    assert recall >= 0.9 and share < 0.25 and copies > 1.2
+
+
+def test_ann_lists_bite_on_vectors_of_unlike_length(spark):
+    v = np.random.default_rng(10).normal(size=(6000, 24)) * np.random.default_rng(11).uniform(0.3, 1.0, (6000, 1))
+    recall, share, copies = recall_and_share(spark, v)
+    print("unlike lengths", recall, share, copies)
+    assert recall >= 0.9 and share < 0.6 and copies > 1.2  # long vectors are near to many queries, wherever these point
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test tables here")
+def test_ann_lists_bite_on_the_given_vectors(spark):
+    v = np.array(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()["embedding"].tolist(), float)
+    recall, share, copies = recall_and_share(spark, v)
+    print("given vectors", recall, share, copies)
+    assert len(v) == 2000 and recall >= 0.9 and share < 0.25 and copies > 1.2

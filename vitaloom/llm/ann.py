@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-*Index.* A bounded sample (``sample_rows``) is split in halves, each time at the median along the line between two
-means, so that all lists are equally large; their means are the centroids (at most ``max_lists``, sent to all tasks).
-Every vector goes to its nearest list and, near a border, to further ones: those almost as near whose
-centroid is not hidden behind a list already taken. Centroids are found by best-first search on an in-memory graph
-of neighbouring centroids. *Search.* A query visits the lists whose distance is within ``ratio`` of the nearest
-one, and as many more as it takes to see twenty times ``k`` vectors. Without a direction to cut along, lists tell little
-of where neighbours are: so the neighbours of ``trials`` queries are found by brute force first, and all queries visit
-as many lists as hold ``recall`` of those neighbours, all lists if need be.
+*Index.* Largest inner product becomes least angle by one more component, sqrt(M² - |x|²) with M the largest norm. A bounded
+sample (``sample_rows``) is split in halves, each time at the median along the line between two means, so that all lists are
+equally large, about ``list_rows`` vectors whatever their number; the directions of their means are the centroids (at most
+``max_lists``, sent to all tasks with the links of the graph that is searched). Every vector goes to its nearest list and, as a
+boundary vector, to up to ``replicas`` lists whose centroid is at most ``1 + slack`` times as far and not hidden behind one taken.
+*Search.* A query visits the lists whose distance lies within a ratio of the way from its nearest list's distance to its mean
+distance from all lists, however many these are (plain distances differ too little in many dimensions to tell lists apart). The ratio is
+fitted: the neighbours of ``trials`` queries are found by brute force, and it is the least one at which their lists hold ``recall``
+of them. Centroids are found by best-first search on the graph with a beam that grows until it reaches beyond the ratio.
 Lists and their visitors are cut into shares by counted size, so that a common vector or a popular list does not meet in one
-task. Scores are sums in double precision over the components in order, on the original vectors.
+task; neighbouring lists are scored in one call. Scores are sums in double precision over the components in order, on the
+original vectors.
 
-Largest inner product becomes least distance by one more component, sqrt(M² - |x|²) with M the largest norm.
+Without clusters no list tells much of where neighbours are; then lists are visited until the recall holds, and the work stays a
+fraction of brute force that shrinks with the number of lists but not to a constant.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part; rows without id are left out; equal scores go to the smaller id; a row that repeats an id counts once, with its largest score; extra columns
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,10 +35,16 @@ from pyspark.sql import functions as F
 
 from vitaloom.llm.common import materialize
 
-LIST_ROWS = 400
-MAX_LISTS = 4096
-SAMPLE_ROWS = 20_000
+LIST_ROWS = 50
+MAX_LISTS = 16_384
+SAMPLE_ROWS = 40_000
 SHARE_ROWS = 4_000
+#: A list is hidden from a vector if its centroid's squared distance to that of a list taken is under this share of that to the vector.
+HIDDEN = 0.5
+#: Centroids that the search keeps open at first.
+BEAM = 64
+#: Neighbouring lists that one task's call scores one after the other.
+BLOCK_LISTS = 16
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -70,25 +80,42 @@ def _halves(x: np.ndarray, part: np.ndarray, rng: np.random.Generator) -> tuple[
     return part[order[:mid]], part[order[mid:]]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size > 0, size, 1)
+
+
+def graph_links(c: np.ndarray, degree: int = 24) -> np.ndarray:
+    """For each centroid its nearest ones and some spread ones, a row each, in order and filled up with itself."""
+    n = len(c)
+    links: list[set[int]] = [set() for _ in range(n)]
+    for s in range(0, n, 1024):
+        d = -(c[s : s + 1024] @ c.T)
+        d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+        near = np.argpartition(d, min(degree, n - 1), axis=1)[:, :degree] if n > 1 else np.zeros((len(d), 0), int)
+        for v, row in enumerate(near.tolist(), s):
+            links[v].update(row)
+            for u in row[:8]:  # a centroid far from all others is no one's neighbour: it is linked back
+                links[u].add(v)
+    for v in range(n):
+        links[v].update(((v + 1) % n, (v + max(1, n // 2)) % n))  # a ring keeps the graph in one piece
+        links[v].discard(v)
+    width = max(1, max(map(len, links)))
+    return np.array([[*sorted(x), *[v] * (width - len(x))] for v, x in enumerate(links)])
+
+
 class CentroidGraph:
     """Best-first search over a graph that links each centroid to its nearest ones and to some spread ones."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = 24):
+    def __init__(self, centroids: np.ndarray, links: np.ndarray):
         self.c = np.ascontiguousarray(centroids, np.float32)
         self.sq = (self.c * self.c).sum(axis=1)
-        n = len(self.c)
-        d = self.sq[:, None] + self.sq[None] - 2 * self.c @ self.c.T
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(degree, max(1, n - 1))]
-        links = [set(row) for row in near.tolist()]
-        for v, row in enumerate(near[:, :8].tolist()):  # a centroid far from all others is no one's neighbour: it is linked back
-            for u in row:
-                links[u].add(v)
-            links[v].add((v + 1) % n)  # a ring keeps the graph in one piece
-            links[v].add((v + max(1, n // 2)) % n)
-        width = max(map(len, links))
-        self.links = np.array([[*sorted(x), *[v] * (width - len(x))] for v, x in enumerate(links)])
-        self.between = d
+        self.links = links
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Squared distances of centroids, one of each side."""
+        x = self.c[a] - self.c[b]
+        return (x * x).sum(axis=-1)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, squared distances) of the ``beam`` nearest found, nearest first, for each row of q."""
@@ -132,161 +159,193 @@ class CentroidGraph:
             best_d[r], best_c[r], opened[r] = (np.take_along_axis(x, keep, 1) for x in (all_d, all_c, all_o))
 
 
-def closure(graph: CentroidGraph, found: np.ndarray, d: np.ndarray, slack: float) -> np.ndarray:
-    """Which of the lists found a vector belongs to: the nearest, and near ones not hidden behind one taken."""
+def closure(graph: CentroidGraph, found: np.ndarray, d: np.ndarray, slack: float, replicas: int) -> np.ndarray:
+    """Which of the lists found a vector belongs to: the nearest, and near ones not hidden behind one taken, up to ``replicas``."""
     take = np.zeros(found.shape, bool)
     take[:, 0] = True
     d = np.maximum(d, 0)
-    for k in range(1, found.shape[1]):
+    for k in range(1, min(4 * replicas, found.shape[1])):
         near = d[:, k] <= (1 + slack) ** 2 * d[:, 0]
         behind = np.zeros(len(found), bool)
         for j in range(k):
-            behind |= take[:, j] & (graph.between[found[:, k], found[:, j]] < d[:, k])
+            behind |= take[:, j] & (graph.between(found[:, k], found[:, j]) < HIDDEN * d[:, k])
         take[:, k] = near & ~behind
-    return take
+    return take & (np.cumsum(take, axis=1) <= replicas)
+
+
+def way_out(d: np.ndarray, least: np.ndarray, x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Where each distance lies between the nearest list (0) and the root mean square over all lists (1); d and least are squared."""
+    near = np.sqrt(np.maximum(least, 0))[:, None]
+    far = np.sqrt(np.maximum(2 - 2 * x @ mean, 0))[:, None]
+    return (np.sqrt(np.maximum(d, 0)) - near) / np.maximum(far - near, 1e-6)
+
+
+class Index(NamedTuple):
+    """postings: list, id, v. visits: list, id, v of the queries. centroids: unit vectors. ratio: bound of :func:`way_out`."""
+
+    postings: DataFrame
+    visits: DataFrame
+    centroids: np.ndarray
+    ratio: float
+
+
+def _matrix(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return b.column("id").to_numpy(), b.column("v").flatten().to_numpy().reshape(len(b), -1)
 
 
-def lists_needed(vectors: DataFrame, postings: DataFrame, qid: list[int], qv: np.ndarray, centroids: np.ndarray, k: int, recall: float) -> int:
-    """How many of its nearest lists each query must visit to see ``recall`` of the true neighbours of these queries."""
+def _top(qid: np.ndarray, qv: np.ndarray, pid: np.ndarray, pv: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of query, id, score) of the k best distinct ids of each query; pid is sorted, pv has a row for each component."""
+    head = np.flatnonzero(np.concatenate(([True], pid[1:] != pid[:-1])))
+    total = np.zeros((len(qid), pv.shape[1]))
+    for j in range(len(pv)):
+        total += qv[:, j, None] * pv[j]
+    if len(head) < total.shape[1]:  # the largest score of an id that has several vectors
+        total = np.maximum.reduceat(total, head, axis=1)
+    pid = pid[head]
+    total[qid[:, None] == pid] = -np.inf
+    last = max(0, len(pid) - k)
+    least = np.partition(total, last, axis=1)[:, last]
+    i, j = np.nonzero((total >= least[:, None]) & np.isfinite(total))
+    order = np.lexsort((pid[j], -total[i, j], i))
+    i, j = i[order], j[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    i, j = i[rank < k], j[rank < k]
+    return i, pid[j], total[i, j]
+
+
+def _fitted_ratio(vectors: DataFrame, postings: DataFrame, qid: np.ndarray, qv: np.ndarray, centroids: np.ndarray, k: int, recall: float) -> float:
+    """The least ratio at which the lists within it hold ``recall`` of the true neighbours of these queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            ids = b.column("id").to_numpy()
-            score = qv @ b.column("v").flatten().to_numpy().reshape(len(b), -1).T
-            score[np.array(qid)[:, None] == ids] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)
-            i = np.repeat(np.arange(len(qid)), len(ids))
-            j = order.ravel()
-            value = score[i, j]
-            place = np.zeros(len(j), np.int64)
-            for q in range(len(qid)):  # places among distinct ids
-                at = slice(q * len(ids), (q + 1) * len(ids))
-                first = np.sort(np.unique(ids[j[at]], return_index=True)[1])
-                place[at] = np.searchsorted(first, np.arange(len(ids)), side="right")
-            keep = (place <= k) & np.isfinite(value)
-            yield pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(ids[j[keep]]), pa.array(value[keep])], names=["q", "id", "score"])
+            if len(b):
+                ids, v = _matrix(b)
+                order = np.argsort(ids, kind="stable")
+                i, near, score = _top(qid, qv, ids[order], v[order].T, k)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(near), pa.array(score)], names=["q", "id", "score"])
 
     scored = vectors.mapInArrow(run, "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     held = postings.select("id", "list").join(F.broadcast(best.select("q", "id")), "id").distinct().collect()  # at most trials x k ids and the lists of each
-    wide = np.concatenate((qv, np.zeros((len(qv), 1))), axis=1)
-    d = (wide * wide).sum(axis=1)[:, None] + (centroids * centroids).sum(axis=1) - 2 * wide @ centroids.T
-    place = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)
-    first: dict[tuple[int, int], int] = {}
+    x = unit(np.concatenate((qv, np.zeros((len(qv), 1))), axis=1))
+    d = 2 - 2 * x @ centroids.T
+    way = way_out(d, d.min(axis=1), x, centroids.mean(axis=0))
+    ratio: dict[tuple[int, int], float] = {}
     for r in held:
-        first[r["q"], r["id"]] = min(int(place[r["q"], r["list"]]), first.get((r["q"], r["id"]), len(centroids)))
-    seen = sorted(first.values())
-    return seen[min(len(seen), math.ceil(recall * len(seen))) - 1] + 1 if seen else 1
+        ratio[r["q"], r["id"]] = min(way[r["q"], r["list"]], ratio.get((r["q"], r["id"]), np.inf))
+    seen = sorted(ratio.values())
+    return float(seen[min(len(seen), math.ceil(recall * len(seen))) - 1]) + 1e-6 if seen else 1.0
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, query_mod: int = 20, ratio: float = 1.35, slack: float = 0.15, replicas: int = 8, probes: int = 64, recall: float = 0.99, trials: int = 128, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest found of each query (ids divisible by ``query_mod``)."""
-    spark = df.sparkSession
-    vectors = materialize(valid_vectors(df, id_col, vec_col).distinct(), "vectors")
+def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int, slack: float, replicas: int, sample_rows: int, list_rows: int, max_lists: int) -> Index:
+    """Index all rows of ``vectors`` (id, v) and find the lists that each query visits."""
+    spark = vectors.sparkSession
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     n, top = vectors.agg(F.count("*"), F.max(norm2)).first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], empty)
     leaves = 1 << max(0, min(int(math.log2(max_lists)), round(math.log2(max(1, n / list_rows)))))
     share = min(1.0, sample_rows / n)
     chosen = vectors.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))) if share < 1 else vectors
 
     def widen(v: np.ndarray) -> np.ndarray:
-        return np.concatenate((v, np.sqrt(np.maximum(top - (v * v).sum(axis=1), 0))[:, None]), axis=1)
+        return np.concatenate((v, np.sqrt(np.maximum(top - (v * v).sum(axis=1), 0))[:, None]), axis=1) / math.sqrt(top)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(t=pdf["v"].map(tuple)).sort_values(["id", "t"])
-        c = balanced_leaves(widen(np.stack(pdf["v"].to_numpy())), min(leaves, 1 << int(math.log2(len(pdf)))))
+        c = unit(balanced_leaves(widen(np.stack(pdf["v"].to_numpy())), min(leaves, 1 << int(math.log2(len(pdf))))))
         return pd.DataFrame({"c": list(c)})
 
     if share < 1 and not chosen.head(1):
         chosen = vectors.limit(1000)
-    centroids = np.array([r["c"] for r in chosen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(build, "c array<double>").collect()])
-    shared = spark.sparkContext.broadcast(centroids)  # at most max_lists rows
+    centroids = np.array([r["c"] for r in chosen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "c array<double>").collect()])
+    shared = spark.sparkContext.broadcast((centroids, graph_links(centroids)))  # at most max_lists rows
 
     def graph() -> CentroidGraph:
         if _GRAPHS.get("key") is not shared.value:
-            _GRAPHS.update(key=shared.value, graph=CentroidGraph(shared.value))
+            _GRAPHS.update(key=shared.value, graph=CentroidGraph(*shared.value))
         return _GRAPHS["graph"]
 
-    def matrix(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        v = b.column("v")
-        return b.column("id").to_numpy(), v.flatten().to_numpy().reshape(len(v), -1)
-
-    def deal(search: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = graph()
-            for b in batches:
-                if not len(b):
-                    continue
-                ids, v = matrix(b)
-                x = np.concatenate((v, np.zeros((len(v), 1))), axis=1) if search else widen(v)
-                for s in range(0, len(x), 2000):
-                    found, d = g.search(x[s : s + 2000], max(probes, needed) if search else replicas)
-                    if search:
-                        take = np.maximum(d, 0) <= ratio**2 * np.maximum(d[:, :1], 0) + 1e-9
-                        held = sizes[found]
-                        take |= np.cumsum(held, axis=1) - held < least_candidates  # however near the first list is, enough are seen
-                        take[:, :needed] = True
-                    else:
-                        take = closure(g, found, d, slack)
-                    i, j = np.nonzero(take)
-                    part = b.slice(s, 2000).take(pa.array(i))
-                    yield pa.RecordBatch.from_arrays([pa.array(found[i, j]), part.column("id"), part.column("v")], names=["list", "id", "v"])
-
-        return run
+    def rows_of(b: pa.RecordBatch, found: np.ndarray, take: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(take)
+        part = b.take(pa.array(i))
+        return pa.RecordBatch.from_arrays([pa.array(found[i, j]), part.column("id"), part.column("v")], names=["list", "id", "v"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph()
+        for b in batches:
+            for s in range(0, len(b), 2000):
+                part = b.slice(s, 2000)
+                found, d = g.search(widen(_matrix(part)[1]), BEAM)
+                yield rows_of(part, found, closure(g, found, d, slack, replicas))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, mean = graph(), centroids.mean(axis=0)
+        for b in batches:
+            for s in range(0, len(b), 500):
+                part, beam = b.slice(s, 500), BEAM
+                v = _matrix(part)[1]
+                x = unit(np.concatenate((v, np.zeros((len(v), 1))), axis=1))
+                while True:
+                    found, d = g.search(x, beam)
+                    within = way_out(d, d[:, 0], x, mean) <= ratio
+                    if beam >= len(g.c) or not within[:, -1].any():
+                        break
+                    beam *= 4
+                held = sizes[found]
+                yield rows_of(part, found, within | (np.cumsum(held, axis=1) - held < 5 * k * replicas))  # however near the first list is, enough are seen
 
     schema = "list long, id long, v array<double>"
-    sizes, least_candidates = np.zeros(len(centroids), np.int64), 20 * k  # at most max_lists numbers
-    postings = materialize(vectors.mapInArrow(deal(False), schema), "postings")
-    counted = postings.groupBy("list").agg(F.count("*").alias("count"), F.count_distinct("id").alias("ids")).collect()
+    postings = materialize(vectors.mapInArrow(post, schema), "postings")
+    sizes = np.zeros(len(centroids), np.int64)
+    counted = postings.groupBy("list").agg(F.count_distinct("id").alias("ids")).collect()  # at most max_lists rows
     sizes[[r["list"] for r in counted]] = [r["ids"] for r in counted]
-    tried = vectors.where(F.col("id") % query_mod == 0).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(trials).collect()
-    needed = lists_needed(vectors, postings, [r["id"] for r in tried], np.array([r["v"] for r in tried]), centroids, k, recall) if len(centroids) > 1 and tried else 1
-    visits = materialize(vectors.where(F.col("id") % query_mod == 0).mapInArrow(deal(True), schema), "visits")
+    asked = vectors.where(F.col("id") % query_mod == 0)
+    tried = asked.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(trials).collect()
+    ratio = _fitted_ratio(vectors, postings, np.array([r["id"] for r in tried]), np.array([r["v"] for r in tried]), centroids, k, recall) if len(centroids) > 1 and tried else 1.0
+    return Index(postings, materialize(asked.mapInArrow(visit, schema), "visits"), centroids, ratio)
+
+
+def search(index: Index, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score from the visits of an index."""
+    spark = index.postings.sparkSession
     # shares of a list and of its visitors, from counts of at most max_lists rows
-    parts = {r["list"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in counted}
-    turns = {r["list"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in visits.groupBy("list").count().collect()}
+    parts = {r["list"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in index.postings.groupBy("list").count().collect()}
+    turns = {r["list"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in index.visits.groupBy("list").count().collect()}
     grid = spark.createDataFrame([(c, parts[c], turns.get(c, 0)) for c in sorted(parts)], "list long, parts int, turns int")
     cell = F.broadcast(grid)
     salt = lambda by: F.pmod(F.xxhash64("id", F.lit(3)), F.col(by)).cast("int")
     each = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
-    right = postings.join(cell, "list").where("turns > 0").withColumn("part", salt("parts")).withColumn("turn", each("turns")).select("list", "part", "turn", "id", "v")
-    left = visits.join(cell, "list").withColumn("turn", salt("turns")).withColumn("part", each("parts")).select("list", "part", "turn", "id", "v")
+    block = F.floor(F.col("list") / BLOCK_LISTS).alias("block")
+    right = index.postings.join(cell, "list").where("turns > 0").withColumn("part", salt("parts")).withColumn("turn", each("turns")).select(block, "part", "turn", "list", "id", "v")
+    left = index.visits.join(cell, "list").withColumn("turn", salt("turns")).withColumn("part", each("parts")).select(block, "part", "turn", "list", "id", "v")
 
     def score(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        p = p.sort_values("id", kind="stable")
-        pid, pv = p["id"].to_numpy(), np.stack(p["v"].to_numpy()).T
-        head = np.flatnonzero(np.concatenate(([True], pid[1:] != pid[:-1])))
-        pid = pid[head]
-        out = []
-        for s in range(0, len(q), 128):
-            qid, qv = q["id"].to_numpy()[s : s + 128], np.stack(q["v"].to_numpy()[s : s + 128])
-            total = np.zeros((len(qid), pv.shape[1]))
-            for j in range(len(pv)):
-                total += qv[:, j, None] * pv[j]
-            if len(head) < total.shape[1]:  # the largest score of an id that has several vectors
-                total = np.maximum.reduceat(total, head, axis=1)
-            total[qid[:, None] == pid] = -np.inf
-            last = max(0, len(pid) - k)
-            least = np.partition(total, last, axis=1)[:, last]
-            i, j = np.nonzero((total >= least[:, None]) & np.isfinite(total))
-            order = np.lexsort((pid[j], -total[i, j], i))
-            i, j = i[order], j[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j = i[rank < k], j[rank < k]
-            out.append(pd.DataFrame({"query_id": qid[i], "vec_id": pid[j], "score": total[i, j]}))
-        return pd.concat(out)
-
-    found = left.groupBy("list", "part", "turn").cogroup(right.groupBy("list", "part", "turn")).applyInPandas(score, "query_id long, vec_id long, score double")
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
+        if len(q) and len(p):
+            p = p.sort_values(["list", "id"], kind="stable")
+            pl, pid, pv = p["list"].to_numpy(), p["id"].to_numpy(), np.stack(p["v"].to_numpy()).T
+            for name, own in q.groupby("list"):
+                b, e = np.searchsorted(pl, [name, name + 1])
+                for s in range(0, len(own) if e > b else 0, 128):
+                    qid, qv = own["id"].to_numpy()[s : s + 128], np.stack(own["v"].to_numpy()[s : s + 128])
+                    i, ids, value = _top(qid, qv, pid[b:e], pv[:, b:e], k)
+                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids, "score": value}))
+        found = pd.concat(out).groupby(["query_id", "vec_id"], as_index=False)["score"].max()
+        found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return found[found.groupby("query_id").cumcount() < k]
+
+    keys = ("block", "part", "turn")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, query_mod: int = 20, recall: float = 0.95, trials: int = 256, slack: float = 0.3, replicas: int = 4, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest found of each query (ids divisible by ``query_mod``)."""
+    vectors = materialize(valid_vectors(df, id_col, vec_col).distinct(), "vectors")
+    if not vectors.head(1):
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return search(build(vectors, k, query_mod, recall, trials, slack, replicas, sample_rows, list_rows, max_lists), k)
+
+
 _GRAPHS: dict = {}
