@@ -9,8 +9,8 @@ boundary vector, to up to ``replicas`` lists whose centroid is at most ``1 + sla
 distance from all lists, however many these are (plain distances differ too little in many dimensions to tell lists apart). The ratio is
 fitted: the neighbours of ``trials`` queries are found by brute force, and it is the least one at which their lists hold ``recall``
 of them. Centroids are found by best-first search on the graph with a beam that grows until it reaches beyond the ratio.
-Lists and their visitors are cut into shares by counted size, so that a common vector or a popular list does not meet in one
-task; neighbouring lists are scored in one call. Scores are sums in double precision over the components in order, on the
+Neighbouring lists form blocks, and blocks and their visitors are cut into shares by counted size, so that a common vector or a
+popular list does not meet in one task. Scores are sums in double precision over the components in order, on the
 original vectors.
 
 Without clusters no list tells much of where neighbours are; then lists are visited until the recall holds, and the work stays a
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from vitaloom.llm.common import materialize
 
-LIST_ROWS = 50
+LIST_ROWS = 20
 MAX_LISTS = 16_384
 SAMPLE_ROWS = 40_000
 SHARE_ROWS = 4_000
@@ -43,8 +43,8 @@ SHARE_ROWS = 4_000
 HIDDEN = 0.5
 #: Centroids that the search keeps open at first.
 BEAM = 64
-#: Neighbouring lists that one task's call scores one after the other.
-BLOCK_LISTS = 16
+#: Lists are scored in so many blocks of neighbours at most: a query sends its vector and gets its best once a block and share.
+BLOCKS = 64
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -181,7 +181,7 @@ def way_out(d: np.ndarray, least: np.ndarray, x: np.ndarray, mean: np.ndarray) -
 
 
 class Index(NamedTuple):
-    """postings: list, id, v. visits: list, id, v of the queries. centroids: unit vectors. ratio: bound of :func:`way_out`."""
+    """postings and visits (of the queries): block, id, v, lists of that block. centroids: unit vectors. ratio: bound of :func:`way_out`."""
 
     postings: DataFrame
     visits: DataFrame
@@ -226,7 +226,7 @@ def _fitted_ratio(vectors: DataFrame, postings: DataFrame, qid: np.ndarray, qv:
 
     scored = vectors.mapInArrow(run, "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-    held = postings.select("id", "list").join(F.broadcast(best.select("q", "id")), "id").distinct().collect()  # at most trials x k ids and the lists of each
+    held = postings.select("id", F.explode("lists").alias("list")).join(F.broadcast(best.select("q", "id")), "id").distinct().collect()  # at most trials x k ids and the lists of each
     x = unit(np.concatenate((qv, np.zeros((len(qv), 1))), axis=1))
     d = 2 - 2 * x @ centroids.T
     way = way_out(d, d.min(axis=1), x, centroids.mean(axis=0))
@@ -266,8 +266,13 @@ def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int
 
     def rows_of(b: pa.RecordBatch, found: np.ndarray, take: np.ndarray) -> pa.RecordBatch:
         i, j = np.nonzero(take)
-        part = b.take(pa.array(i))
-        return pa.RecordBatch.from_arrays([pa.array(found[i, j]), part.column("id"), part.column("v")], names=["list", "id", "v"])
+        lists = found[i, j]
+        order = np.lexsort((lists, i))
+        i, lists = i[order], lists[order]
+        block = lists * min(BLOCKS, len(centroids)) // len(centroids)
+        head = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (block[1:] != block[:-1]))))
+        part, ends = b.take(pa.array(i[head])), pa.array(np.append(head, len(i)), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(block[head]), part.column("id"), part.column("v"), pa.ListArray.from_arrays(ends, pa.array(lists))], names=["block", "id", "v", "lists"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = graph()
@@ -293,10 +298,10 @@ def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int
                 held = sizes[found]
                 yield rows_of(part, found, within | (np.cumsum(held, axis=1) - held < 5 * k * replicas))  # however near the first list is, enough are seen
 
-    schema = "list long, id long, v array<double>"
+    schema = "block long, id long, v array<double>, lists array<long>"
     postings = materialize(vectors.mapInArrow(post, schema), "postings")
     sizes = np.zeros(len(centroids), np.int64)
-    counted = postings.groupBy("list").agg(F.count_distinct("id").alias("ids")).collect()  # at most max_lists rows
+    counted = postings.select("id", F.explode("lists").alias("list")).groupBy("list").agg(F.count_distinct("id").alias("ids")).collect()  # at most max_lists rows
     sizes[[r["list"] for r in counted]] = [r["ids"] for r in counted]
     asked = vectors.where(F.col("id") % query_mod == 0)
     tried = asked.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(trials).collect()
@@ -307,28 +312,35 @@ def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int
 def search(index: Index, k: int) -> DataFrame:
     """query_id, rank, vec_id, score from the visits of an index."""
     spark = index.postings.sparkSession
-    # shares of a list and of its visitors, from counts of at most max_lists rows
-    parts = {r["list"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in index.postings.groupBy("list").count().collect()}
-    turns = {r["list"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in index.visits.groupBy("list").count().collect()}
-    grid = spark.createDataFrame([(c, parts[c], turns.get(c, 0)) for c in sorted(parts)], "list long, parts int, turns int")
+    # shares of a block and of its visitors, from counts of at most BLOCKS rows
+    parts = {r["block"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in index.postings.groupBy("block").count().collect()}
+    turns = {r["block"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in index.visits.groupBy("block").count().collect()}
+    grid = spark.createDataFrame([(c, parts[c], turns.get(c, 0)) for c in sorted(parts)], "block long, parts int, turns int")
     cell = F.broadcast(grid)
     salt = lambda by: F.pmod(F.xxhash64("id", F.lit(3)), F.col(by)).cast("int")
     each = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
-    block = F.floor(F.col("list") / BLOCK_LISTS).alias("block")
-    right = index.postings.join(cell, "list").where("turns > 0").withColumn("part", salt("parts")).withColumn("turn", each("turns")).select(block, "part", "turn", "list", "id", "v")
-    left = index.visits.join(cell, "list").withColumn("turn", salt("turns")).withColumn("part", each("parts")).select(block, "part", "turn", "list", "id", "v")
+    right = index.postings.join(cell, "block").where("turns > 0").withColumn("part", salt("parts")).withColumn("turn", each("turns")).drop("parts", "turns")
+    left = index.visits.join(cell, "block").withColumn("turn", salt("turns")).withColumn("part", each("parts")).drop("parts", "turns")
+
+    def by_list(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, places of the rows in them), by list and then by id."""
+        place = np.repeat(np.arange(len(x)), x["lists"].map(len).to_numpy())
+        lists = np.concatenate(x["lists"].to_numpy())
+        order = np.lexsort((x["id"].to_numpy()[place], lists))
+        return lists[order], place[order]
 
     def score(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
         if len(q) and len(p):
-            p = p.sort_values(["list", "id"], kind="stable")
-            pl, pid, pv = p["list"].to_numpy(), p["id"].to_numpy(), np.stack(p["v"].to_numpy()).T
-            for name, own in q.groupby("list"):
+            (ql, qp), (pl, pp) = by_list(q), by_list(p)
+            qid, qv, pid, pv = q["id"].to_numpy(), np.stack(q["v"].to_numpy()), p["id"].to_numpy(), np.stack(p["v"].to_numpy()).T
+            for name in np.unique(ql):
                 b, e = np.searchsorted(pl, [name, name + 1])
-                for s in range(0, len(own) if e > b else 0, 128):
-                    qid, qv = own["id"].to_numpy()[s : s + 128], np.stack(own["v"].to_numpy()[s : s + 128])
-                    i, ids, value = _top(qid, qv, pid[b:e], pv[:, b:e], k)
-                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids, "score": value}))
+                lo, hi = np.searchsorted(ql, [name, name + 1])
+                for s in range(lo, hi if e > b else lo, 128):
+                    asked, held = qp[s : min(hi, s + 128)], pp[b:e]
+                    i, ids, value = _top(qid[asked], qv[asked], pid[held], pv[:, held], k)
+                    out.append(pd.DataFrame({"query_id": qid[asked][i], "vec_id": ids, "score": value}))
         found = pd.concat(out).groupby(["query_id", "vec_id"], as_index=False)["score"].max()
         found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return found[found.groupby("query_id").cumcount() < k]
@@ -340,7 +352,7 @@ def search(index: Index, k: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, query_mod: int = 20, recall: float = 0.95, trials: int = 256, slack: float = 0.3, replicas: int = 4, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, query_mod: int = 20, recall: float = 0.94, trials: int = 256, slack: float = 0.3, replicas: int = 4, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query (ids divisible by ``query_mod``)."""
     vectors = materialize(valid_vectors(df, id_col, vec_col).distinct(), "vectors")
     if not vectors.head(1):
