@@ -121,6 +121,15 @@ def test_quality(spark, docs, empty):
     assert set(docs.columns) <= set(quality.judge(docs).columns)
 
 
+def test_quality_keeps_columns_of_any_name(spark):
+    names = ["n_words", "kept", "_w", "_l", "_h", "_o", "_s", "_row", "row", "base_failed", "a.b"]
+    df = spark.createDataFrame([(None, BASE, *names), (2, "short", *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    left = quality.passing(df)
+    assert left.columns == df.columns and list(map(tuple, left.collect())) == [(None, BASE, *names)]
+    judged = {r.text: r for r in quality.judge(df).collect()}
+    assert judged[BASE].n_words == 24 and judged[BASE].kept and judged[BASE]["_w"] == "_w" and judged["short"].base_failed
+
+
 def test_fingerprint_by_hand():
     import xxhash
 
@@ -254,6 +263,27 @@ def test_warc(spark, tmp_path):
     assert small[0] == small[1] == "response"
 
 
+def test_warc_far_ids_and_large_pages(spark, tmp_path):
+    rows = [(k, f"u{k}", "x" * (20_000 if k % 10 == 0 else 50) + str(k)) for k in range(400)] + [(10**15, "far", "y"), (-(10**15), "low", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    starts = warc.shard_starts(pages.select("page_id", F.octet_length("html").alias("bytes")), 50_000)
+    ids, size = sorted(r[0] for r in rows), {r[0]: len(r[2]) for r in rows}
+    held = {s: sum(size[i] for i in ids if s <= i and not any(s < t <= i for t in starts)) for s in starts}
+    assert starts[0] == ids[0] and len(starts) >= 12 and max(held.values()) <= 50_000 + 20_010
+    got = pages.withColumn("shard", warc.shard_of(starts)).select("page_id", "shard").collect()
+    assert all(r.shard == sum(s <= r.page_id for s in starts) - 1 for r in got)
+    folder = f"file://{tmp_path}/f"
+    manifest = warc.write_archive(pages, folder, shard_bytes=50_000).collect()
+    assert len({r.shard for r in manifest}) >= len({r.shard for r in got})  # heads of records count too
+    back = {r.page_id: bytes(r.payload).decode() for r in warc.read_archive(spark, folder).collect()}
+    assert back == {i: h for i, _, h in rows}
+    # written anew with other rows the archive is the new one; the files of the old one are still whole
+    names = {r.file: r.sha256 for r in manifest}
+    warc.write_archive(pages.where("page_id < 100"), folder, shard_bytes=50_000)
+    assert warc.read_archive(spark, folder).count() == 101
+    assert all(hashlib.sha256((tmp_path / "f" / n).read_bytes()).hexdigest() == d for n, d in names.items())
+
+
 def test_ann(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))

@@ -3,8 +3,9 @@
 No user function runs: words, shingle hashes and repeat runs are array expressions of Spark SQL.
 
 Defined results: a null or blank text has no words and fails the base rules; texts of any length are measured
-whole; repeated rows are judged alike; extra columns pass through :func:`judge` untouched unless they carry the
-name of a measure, in which case the measure replaces them; an empty table gives an empty table.
+whole; repeated rows and rows without id are judged alike; extra columns pass through :func:`judge` untouched unless they carry the
+name of a measure, in which case the measure replaces them; :func:`passing` returns all columns as they came, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -46,9 +47,14 @@ def _array(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS), "")
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbols_per_word", "dup_line_ratio", "stop_word_ratio", "longest_word")
+VERDICTS = ("base_failed", "kept")
+
+
 def measures(df: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
-    """``df`` with every measure as a column. Three projections: words, window hashes, counts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """``row``, all columns of ``df``, and every measure as a column. Three projections: words, window hashes, counts."""
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     n = F.size("_w")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
     df = df.withColumn("_w", _array(text)).withColumn("_l", lines)
@@ -93,7 +99,7 @@ def measures(df: DataFrame, text_col: str = "text", window: int = 8) -> DataFram
             "longest_word": F.coalesce(F.array_max(F.transform("_w", F.length)), F.lit(0)).cast("double"),
         }
     )
-    return df.drop("_w", "_l", "_h", "_o", "_s", "_n_lines")
+    return df.select("row", *MEASURES)
 
 
 def verdict(rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
@@ -107,18 +113,23 @@ def verdict(rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
     return kept
 
 
-def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
-    """``df`` with its measures, ``base_failed`` and ``kept``."""
+def _judged(df: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
     df = measures(df, text_col)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
 
 
+def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+    """``df`` with its measures, ``base_failed`` and ``kept``."""
+    own = [F.col("row")[c].alias(c) for c in df.columns if c not in (*MEASURES, *VERDICTS)]
+    return _judged(df, text_col, rules).select(*own, *MEASURES, *VERDICTS)
+
+
 def passing(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
     """The rows of ``df`` that are kept, with its own columns.
 
     The row number keeps the optimizer from moving the filter below the measures: it would write each measure out in
     terms of all before it, which multiplies at every step.
     """
-    judged = judge(df, text_col, rules).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*df.columns)
+    judged = _judged(df, text_col, rules).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*[F.col("row")[c].alias(c) for c in df.columns])

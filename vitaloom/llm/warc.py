@@ -1,10 +1,11 @@
 """Deterministic sharded WARC archives, written and read back by Spark tasks.
 
-Records are dealt to ranges of page ids (shards) of about equal bytes, sorted within, and each shard is one task's
-stream: every record is its own gzip member, files roll by compressed size, headers and digests are made anew. A file
-is written under a temporary name and renamed when complete; a manifest with name, size, digest and record count
-of each file is written the same way at the very end. Readers follow the manifest only, so half-written files of a lost
-executor are never read, and a repeated task renames an identical file over the first one.
+Records are dealt to ranges of page ids (shards) of about equal bytes, whose borders follow from exact running sums over the
+sorted ids, whatever gaps these have. A shard is sorted and is one task's stream: every record is its own gzip member, files roll by
+compressed size, headers and digests are made anew. A file is written under a temporary name and, when complete, renamed to
+one that holds the start of its digest; a manifest with name, size, digest and record count of each file comes last, as a new version
+beside the old one. Readers follow the greatest version of the manifest, so half-written files of a lost executor are never read, a
+repeated task renames an identical file over the first one, and an archive that is written anew stays readable as it was until then.
 
 Equal payloads of ``min_revisit_bytes`` or more are stored once, with the largest page id; the others are revisit
 records that keep the HTTP header (with the full length) and the payload digest.
@@ -26,15 +27,15 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaloom.llm.common import _forget, fresh_path, materialize
 
 SHARD_BYTES = 16_000_000
 FILE_BYTES = 8_000_000
-#: Ranges of ids that are counted to place the shards' borders; bounds what the driver gets.
-BINS = 4096
+#: Shards of one archive at most; beyond it they grow. Bounds what the driver gets: one id a shard.
+SHARDS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "shard long, seq long, file string, n_records long, n_bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -93,8 +94,7 @@ class _Roller:
         if self.out is not None and self.n_bytes + len(member) > self.limit:
             self.close()
         if self.out is None:
-            self.name = f"part-{self.shard:06d}-{self.seq:05d}.warc.gz"
-            self.temp = f"{self.root}/.{self.name}.{uuid.uuid4().hex}.tmp"
+            self.temp = f"{self.root}/.part-{self.shard:06d}-{self.seq:05d}.{uuid.uuid4().hex}.tmp"
             self.out, self.n, self.n_bytes, self.sha = self.fs.open_output_stream(self.temp, compression=None), 0, 0, hashlib.sha256()
         self.out.write(member)
         self.n += 1
@@ -105,8 +105,9 @@ class _Roller:
         if self.out is None:
             return
         self.out.close()
-        self.fs.move(self.temp, f"{self.root}/{self.name}")
-        self.done.append((self.shard, self.seq, self.name, self.n, self.n_bytes, self.sha.hexdigest()))
+        name = f"part-{self.shard:06d}-{self.seq:05d}-{self.sha.hexdigest()[:16]}.warc.gz"
+        self.fs.move(self.temp, f"{self.root}/{name}")
+        self.done.append((self.shard, self.seq, name, self.n, self.n_bytes, self.sha.hexdigest()))
         self.seq, self.out = self.seq + 1, None
 
     def abandon(self) -> None:
@@ -116,6 +117,32 @@ class _Roller:
             self.fs.delete_file(self.temp)
 
 
+def shard_starts(sizes: DataFrame, shard_bytes: int) -> list[int]:
+    """First page id of each shard, for rows of page_id and bytes: rows go to a shard by the bytes of all rows up to theirs."""
+    spark = sizes.sparkSession
+    ranged = materialize(sizes.repartitionByRange("page_id").withColumn("range", F.spark_partition_id()), "ranges")
+    before, total = [], 0
+    for r in sorted(ranged.groupBy("range").agg(F.sum("bytes").alias("bytes")).collect()):  # a row a shuffle partition
+        before.append((r["range"], total))
+        total += r["bytes"]
+    if not before:
+        return []
+    size = max(shard_bytes, math.ceil(total / SHARDS))
+    running = F.sum("bytes").over(Window.partitionBy("range").orderBy("page_id"))  # rows of one id count together
+    placed = ranged.withColumn("upto", running).join(F.broadcast(spark.createDataFrame(before, "range int, before long")), "range")
+    shard = F.floor((F.col("before") + F.col("upto") - 1) / size)
+    return sorted(r["start"] for r in placed.groupBy(shard.alias("shard")).agg(F.min("page_id").alias("start")).collect())
+
+
+def shard_of(starts: list[int]) -> Column:
+    """Number of the shard that holds ``page_id``: search in the starts in two steps, so that few are compared."""
+    step = max(1, math.isqrt(len(starts)))
+    groups = [starts[k : k + step] for k in range(0, len(starts), step)]
+    below = lambda array: f"size(filter({array}, x -> x <= page_id))"
+    first = f"greatest(1, {below(f"from_json('{[g[0] for g in groups]}', 'array<bigint>')")})"
+    return F.expr(f"transform(array({first}), g -> (g - 1) * {step} + greatest(1, {below(f"element_at(from_json('{groups}', 'array<array<bigint>>'), g)")}) - 1)[0]")
+
+
 def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) to ``folder``; returns the committed manifest."""
     spark = pages.sparkSession
@@ -123,23 +150,13 @@ def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, sha
     keyed = materialize(rows.select("page_id", F.unhex(F.sha2("payload", 256)).alias("digest"), F.octet_length("payload").alias("n")), "payloads")
     shared = keyed.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
     revisits = keyed.join(shared, "digest").where("page_id < refers_to").select("page_id", F.col("digest").alias("of"), "refers_to").distinct()
-    bounds = keyed.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    low, high, total = (x or 0 for x in bounds)
-    width = max(1, math.ceil((high - low + 1) / BINS))
-    bin_of = F.floor((F.col("page_id") - low) / width).cast("int")
-    sizes = {r[0]: r[1] for r in keyed.groupBy(bin_of.alias("bin")).agg(F.sum(F.col("n") + 500)).collect()}
-    shard_of, shard, filled = [], 0, 0
-    for b in range(max(sizes, default=0) + 1):
-        if filled and filled + sizes.get(b, 0) > shard_bytes:
-            shard, filled = shard + 1, 0
-        filled += sizes.get(b, 0)
-        shard_of.append(shard)
-    shard_expr = F.expr(f"element_at(from_json('{shard_of}', 'array<int>'), cast(floor((page_id - {low}) / {width}) as int) + 1)")
+    starts = shard_starts(keyed.select("page_id", (F.col("n") + 500).alias("bytes")), shard_bytes)
+    shard_expr = shard_of(starts) if starts else F.lit(0)
     # a revisit's mark travels to its page's shard and is sorted before the page, so payloads are dealt out once
     shard_col = lambda df: df.withColumn("shard", shard_expr)
     marks = shard_col(revisits).select("shard", "page_id", F.lit(0).alias("turn"), F.lit(None).cast("string").alias("url"), F.col("of").alias("payload"), "refers_to")
     pages_ = shard_col(rows).select("shard", "page_id", F.lit(1).alias("turn"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
-    streams = marks.unionByName(pages_).repartition(max(1, min(shard + 1, 1000)), "shard").sortWithinPartitions("shard", "page_id", "turn", "url", "payload")
+    streams = marks.unionByName(pages_).repartition(max(1, len(starts)), "shard").sortWithinPartitions("shard", "page_id", "turn", "url", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = _Roller(folder, file_bytes)
@@ -161,20 +178,28 @@ def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, sha
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "seq", "file", "n_records", "n_bytes", "sha256"])
 
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = hadoop(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(root)
-    temp = f"{folder}/_manifest-{uuid.uuid4().hex}.tmp"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(conf)
+    fs.mkdirs(hadoop(f"{folder}/_manifest"))
+    temp = f"{folder}/_manifest/.{uuid.uuid4().hex}.tmp"
     streams.mapInArrow(run, MANIFEST).write.parquet(temp)
-    fs.delete(hadoop(f"{folder}/_manifest"), True)
-    if not fs.rename(hadoop(temp), hadoop(f"{folder}/_manifest")):
+    old = _versions(spark, folder)
+    if not fs.rename(hadoop(temp), hadoop(f"{folder}/_manifest/v{max(old, default=0) + 1:08d}")):
         raise OSError(f"the manifest of {folder} could not be committed")
+    for v in old:
+        fs.delete(hadoop(f"{folder}/_manifest/v{v:08d}"), True)
     return read_manifest(spark, folder)
 
 
+def _versions(spark, folder: str) -> list[int]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return [int(n[1:]) for n in (f.getPath().getName() for f in found) if n.startswith("v")]
+
+
 def read_manifest(spark, folder: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest/v{max(_versions(spark, folder)):08d}")
 
 
 def parse_records(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -229,7 +254,7 @@ def read_archive(spark, folder: str, with_payload: bool = True) -> DataFrame:
 
     manifest = read_manifest(spark, folder).select("file", "sha256")
     files = manifest.count()  # a number of partitions, so that few rows of many bytes are not taken for little work
-    return manifest.repartition(max(1, min(files, 4000)), "file").mapInArrow(run, RECORDS)
+    return manifest.repartition(max(1, min(files, SHARDS)), "file").mapInArrow(run, RECORDS)
 
 
 class _Hashed:
