@@ -177,11 +177,16 @@ def content_terms(c: Column) -> Column:
 
 
 def section_of(line: Column) -> Column:
-    """Section that a line announces; General if none."""
+    """Section that a line announces; General if none. Most lines announce none, which one pattern of all sections tells."""
     out = F.lit("General")
     for name, pattern in reversed(fixed.SECTIONS):
         out = F.when(F.rlike(line, F.lit("(?i)" + pattern)), name).otherwise(out)
-    return out
+    return F.when(F.rlike(line, F.lit("(?i)" + "|".join(p for _, p in fixed.SECTIONS))), out).otherwise("General")
+
+
+def bound(value: Column, f) -> Column:
+    """``f`` of ``value``, which is computed once a row however often ``f`` and the lambdas in it use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def optional_text(c: Column) -> Column:

@@ -24,21 +24,23 @@ def ranked(df: DataFrame, by: list[str], score: str, ties: str, n: int = fixed.A
 
 
 def dense_arm(chunks: DataFrame, queries: DataFrame, chunk_id: str, vector: str, n: int = fixed.ARM_LIMIT, digits: int | None = None) -> DataFrame:
-    """query_id, chunk id, score, rank by cosine. ``queries`` (query_id, q) is a handful of rows and is broadcast by size; chunks without a vector take no part."""
-    score = cosine(F.col(vector), F.col("q"))
-    both = chunks.where(F.col(vector).isNotNull()).select(chunk_id, vector).join(F.broadcast(few(queries).select("query_id", "q")))
-    return ranked(both.select("query_id", chunk_id, (F.round(score, digits) if digits is not None else score).alias("score")), ["query_id"], "score", chunk_id, n)
+    """query_id, chunk id, score, rank by cosine. Queries (query_id, q) are asked in blocks of about ``BLOCK_QUERIES``, each one pass over
+    all chunks; a block is sent to every task. Chunks without a vector take no part."""
+    size = lambda v: F.sqrt(dot(v, v))
+    held = chunks.where(F.col(vector).isNotNull()).select(chunk_id, vector, size(F.col(vector)).alias("_size"))
+    asked = queries.where(F.col("q").isNotNull()).select("query_id", "q", size(F.col("q")).alias("_asked"))
+    score = dot(F.col(vector), F.col("q")) / F.nullif(F.col("_size") * F.col("_asked"), F.lit(0.0))
+    blocks, out = max(1, -(-asked.count() // BLOCK_QUERIES)), None
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        both = held.join(F.broadcast(block)).select("query_id", chunk_id, (F.round(score, digits) if digits is not None else score).alias("score"))
+        part = ranked(both, ["query_id"], "score", chunk_id, n)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-#: Most queries of one dense search; each is compared with every chunk, so more belong to an index.
-MOST_QUERIES = 1000
-
-
-def few(queries: DataFrame) -> DataFrame:
-    """``queries``, after a look that there are not too many to send to every task."""
-    if len(queries.take(MOST_QUERIES + 1)) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
-    return queries
+#: Queries of one block of a dense search, which bounds what is sent to every task.
+BLOCK_QUERIES = 1000
 
 
 def tokens(text: Column) -> Column:
@@ -78,11 +80,11 @@ def above_floors(df: DataFrame, floor: float = fixed.SIMILARITY_FLOOR, gap: floa
 
 def coverage(terms: Column, text: Column) -> Column:
     """Weighted share of the query's terms that the text holds; a term of 4 or more characters may also begin a word."""
-    words = scalars.content_terms(text)
-    hit = lambda t: F.exists(words, lambda w: (w == t) | ((F.length(t) >= 4) & F.startswith(w, t)))
+    hit = lambda t, words: F.exists(words, lambda w: (w == t) | ((F.length(t) >= 4) & F.startswith(w, t)))
     weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, t: a + scalars.term_weight(t))
     asked = F.array_distinct(F.filter(terms, lambda t: t != ""))
-    return F.coalesce(weight(F.filter(asked, hit)) / F.nullif(weight(asked), F.lit(0.0)), F.lit(0.0))
+    held = scalars.bound(scalars.content_terms(text), lambda words: weight(F.filter(asked, lambda t: hit(t, words))))  # words are made once a row
+    return F.coalesce(held / F.nullif(weight(asked), F.lit(0.0)), F.lit(0.0))
 
 
 def blend(finds: DataFrame, as_of: Column, wanted_section: str | None = None) -> DataFrame:

@@ -55,6 +55,11 @@ LEXICON = (
 )
 
 
+def spellings() -> dict[str, tuple[list[str], list[str]]]:
+    """The lexicon by English word, as the assertion operator takes it."""
+    return {english: (urdu, roman) for english, _, urdu, roman in LEXICON}
+
+
 def analytes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*r, k) for k, r in enumerate(ANALYTES)], "key string, display string, loinc string, canonical_unit string, factors map<string,double>, synonyms array<string>, ordinal int")
 

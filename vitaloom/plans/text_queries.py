@@ -17,11 +17,11 @@ from vitaloom.streaming import limits
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _STOPS = ", ".join(f"'{w}'" for w in fixed.STOPWORDS)
 _TERMS = f"list_distinct(list_filter({_WORDS}, lambda w: length(w) > 1 AND NOT list_contains([{_STOPS}], w)))"
-#: Queries of the examples: vectors 0, 40 and 80; the first benchmark items.
+#: Searches ask every vector whose id is divisible by 20, and every item of the benchmark.
 _DENSE_SQL = """dense0 AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 4) AS score
- FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 40, 80)),
+ FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
  dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dense0 QUALIFY rank <= 20)"""
-_LEXICAL_SQL = f"""q AS (SELECT item_id AS query_id, {_TERMS} AS terms FROM benchmark WHERE item_id < 5),
+_LEXICAL_SQL = f"""q AS (SELECT item_id AS query_id, {_TERMS} AS terms FROM benchmark),
  t AS (SELECT query_id, unnest(terms) AS term FROM q), w AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents),
  lexical0 AS (SELECT query_id, doc_id, count(*) * 0.1::DOUBLE AS score FROM w JOIN t USING (term) GROUP BY ALL),
  lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lexical0 QUALIFY rank <= 20)"""
@@ -29,12 +29,12 @@ _LEXICAL_SQL = f"""q AS (SELECT item_id AS query_id, {_TERMS} AS terms FROM benc
 
 def _dense(spark, sf_dir):
     e = scan(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    q = e.where(F.col("vec_id").isin(0, 40, 80)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.dense_arm(e, q, "vec_id", "embedding", digits=4)
 
 
 def _asked(spark, sf_dir):
-    return scan(spark, sf_dir, "benchmark", F.col("item_id").alias("query_id"), scalars.content_terms(F.col("text")).alias("terms"), where=F.col("item_id") < 5)
+    return scan(spark, sf_dir, "benchmark", F.col("item_id").alias("query_id"), scalars.content_terms(F.col("text")).alias("terms"))
 
 
 def _lexical(spark, sf_dir):
@@ -58,12 +58,12 @@ def lexical_topk_stems(spark, sf_dir):
 
 
 _FUSED_SQL = f"""{_DENSE_SQL}, {_LEXICAL_SQL},
- arms AS (SELECT query_id // 40 AS query_id, vec_id AS id, 1.0::DOUBLE / (60 + rank) AS p, score AS s, 'dense' AS arm FROM dense UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank), NULL, 'lexical' FROM lexical),
+ arms AS (SELECT query_id // 20 AS query_id, vec_id AS id, 1.0::DOUBLE / (60 + rank) AS p, score AS s, 'dense' AS arm FROM dense UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank), NULL, 'lexical' FROM lexical),
  fused AS (SELECT query_id, id, sum(p) AS rrf, max(s) AS similarity, array_to_string(list_sort(list(DISTINCT arm)), '+') AS arms FROM arms GROUP BY ALL)"""
 
 
 def _fused(spark, sf_dir):
-    d = _dense(spark, sf_dir).select((F.col("query_id") / 40).cast("long").alias("query_id"), F.col("vec_id").alias("id"), "score", "rank")
+    d = _dense(spark, sf_dir).select((F.col("query_id") / 20).cast("long").alias("query_id"), F.col("vec_id").alias("id"), "score", "rank")
     return retrieval.fused(d, _lexical(spark, sf_dir).withColumnRenamed("doc_id", "id"), "id")
 
 
@@ -98,13 +98,12 @@ def hybrid_search(spark, sf_dir):
     return retrieval.ranked(blended, ["query_id"], "relevance", "id", 6).select("query_id", "id", "arms", "relevance")
 
 
-@register("rerank_coverage", f"""WITH q AS (SELECT item_id AS query_id, {_TERMS} AS terms FROM benchmark WHERE item_id < 3), d AS (SELECT doc_id, {_TERMS} AS words FROM documents WHERE source = 'src5')
- SELECT query_id, doc_id, round({_COVER_SQL}, 6) AS coverage FROM q, d""")
+@register("rerank_coverage", f"""WITH {_FUSED_SQL}, d AS (SELECT doc_id, {_TERMS} AS words FROM documents)
+ SELECT f.query_id, f.id, round({_COVER_SQL}, 6) AS coverage FROM fused f JOIN q ON q.query_id = f.query_id JOIN d ON d.doc_id = f.id""")
 def rerank_coverage(spark, sf_dir):
-    q = retrieval.few(_asked(spark, sf_dir).where("query_id < 3"))
-    docs = scan(spark, sf_dir, "documents", "doc_id", "text", where=F.col("source") == "src5")
-    both = docs.withColumn("q", F.explode(F.array(*[F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.array(*map(F.lit, r["terms"])).alias("terms")) for r in q.collect()])))
-    return both.select("q.query_id", "doc_id", F.round(retrieval.coverage(F.col("q.terms"), F.col("text")), 6).alias("coverage"))
+    docs = scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text")
+    finds = _fused(spark, sf_dir).select("query_id", "id").join(_asked(spark, sf_dir), "query_id").join(docs, "id")
+    return finds.select("query_id", "id", F.round(retrieval.coverage(F.col("terms"), F.col("text")), 6).alias("coverage"))
 
 
 @register("query_expand", "SELECT * FROM (VALUES (0, 'glucose hba1c blood diabetes'), (1, ''), (2, 'bp systolic diastolic hypertension')) AS v(id, added)")
@@ -164,7 +163,15 @@ def drug_edit_match(spark, sf_dir):
 # --- text ------------------------------------------------------------------------------------------------------
 
 
-@register("section_groups")
+_SECTION = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{n}'" for n, p in fixed.SECTIONS) + " ELSE 'General' END"
+
+
+@register("section_groups", rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+ s AS (SELECT *, {_SECTION} AS sec FROM l),
+ m AS (SELECT *, last_value(CASE WHEN sec <> 'General' THEN sec END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+ g AS (SELECT *, sum(CASE WHEN i = 1 OR (sec <> 'General' AND sec IS DISTINCT FROM before) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS grp FROM m)
+ SELECT doc_id, grp::INTEGER AS "group", min_by(sec, i) AS section, length(regexp_replace(string_agg(line, chr(10) ORDER BY i), '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')) AS n_chars
+ FROM g GROUP BY doc_id, grp HAVING bool_or(trim(line) <> '')""".replace("\\","\\"))
 def section_groups(spark, sf_dir):
     return text.sections(scan(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "group", "section", F.length("body").alias("n_chars"))
 
@@ -179,12 +186,13 @@ _SENTENCES = fx.Rows("id int, text string, term string", *[(k, *r) for k, r in e
     ("No history of diabetes.", "diabetes"), ("Tuberculosis was ruled out.", "tuberculosis"), ("No chest pain but complains of fever.", "chest pain"), ("No chest pain but complains of fever.", "fever"),
     ("History of hepatitis B in 2015.", "hepatitis"), ("Father had a heart attack at 50.", "heart attack"), ("Mother reports the patient has asthma.", "asthma"), ("Return to the clinic if you develop fever.", "fever"),
     ("Impression: possible tuberculosis.", "tuberculosis"), ("No history of diabetes. Advised annual diabetes screening.", "diabetes"), ("Blood pressure 130/85.", "Type 2 diabetes mellitus"), ("mujhe diabetes nahi hai", "diabetes"),
+    ("مریض کو شوگر نہیں ہے", "diabetes"), ("mujhe sugar nahi hai", "diabetes"), ("mujhe shugaar nahi hai", "diabetes"), ("اگر بخار ہو تو آئیں", "fever"),
 ])])
 
 
 @register("assertion_classify")
 def assertion_classify(spark, sf_dir):
-    return text.assertions(_SENTENCES.df(spark), "text", "term").select("id", "assertion.status", "assertion.evidence")
+    return text.assertions(_SENTENCES.df(spark), "text", "term", cat.spellings()).select("id", "assertion.status", "assertion.evidence")
 
 
 @register("own_findings_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE CASE l_returnflag WHEN 'A' THEN 'present' WHEN 'R' THEN 'absent' ELSE 'uncertain' END IN ('present', 'historical', 'uncertain')")
@@ -281,10 +289,10 @@ def review_status(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", records.review_status(F.lit(False), failed, F.col("l_quantity"), F.col("l_linestatus") == "O").alias("status"))
 
 
-@register("upsert_do_nothing", "SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 1000 UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey BETWEEN 1001 AND 1200")
+@register("upsert_do_nothing", "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def upsert_do_nothing(spark, sf_dir):
-    c = scan(spark, sf_dir, "customer", "c_custkey", "c_name")
-    return records.insert_new(c.where("c_custkey <= 1000"), c.where("c_custkey BETWEEN 900 AND 1200").withColumn("c_name", F.upper("c_name")), "c_custkey")
+    held = scan(spark, sf_dir, "supplier", F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return records.insert_new(held, scan(spark, sf_dir, "customer", F.col("c_custkey").alias("id"), F.upper("c_name").alias("name")), "id")
 
 
 @register("replace_document_rows", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 10 <> 0 UNION ALL SELECT l_orderkey, 99, sum(l_quantity) FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey")

@@ -16,24 +16,29 @@ from vitaloom.functions import fixed
 
 
 def limited(events: DataFrame, keys: list[str], ts: str, ties: str, limit: int, seconds: int) -> DataFrame:
-    """keys, ts, id, accepted, retry_after of every event, by one fold over each key's events in time order.
+    """keys, t, id, accepted, retry_after of every event, in one pass over each key's events in time order.
 
-    A key's events meet in one row. The state carried is two numbers, so a key with very many events should take
-    :func:`limited_stream`, which keeps the state and not the events.
+    Events are sorted by key and time and flow through; of a key only the count and the end of its window are held, so a key
+    with very many events costs time in one task, never memory.
     """
-    e = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(ties).alias("id")))).alias("es"))
+    rows = events.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(ties).alias("id"))
     window = seconds * 1_000_000
-    none = F.array().cast("array<struct<t:bigint,id:bigint,accepted:boolean,retry_after:bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("count"), F.lit(None).cast("long").alias("reset"), none.alias("out"))
 
-    def step(s, x):
-        fresh = s["reset"].isNull() | (s["reset"] <= x["t"])
-        full = ~fresh & (s["count"] >= limit)
-        wait = F.when(full, F.greatest(F.lit(1).cast("long"), F.ceil((s["reset"] - x["t"]) / 1_000_000)))
-        row = F.struct(x["t"].alias("t"), x["id"].alias("id"), (~full).alias("accepted"), wait.alias("retry_after"))
-        return F.struct(F.when(fresh, F.lit(1).cast("long")).when(full, s["count"]).otherwise(s["count"] + 1).alias("count"), F.when(fresh, x["t"] + window).otherwise(s["reset"]).alias("reset"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    return e.select(*keys, F.inline(F.aggregate("es", start, step)["out"]))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, count, reset = None, 0, 0
+        for b in batches:
+            accepted, waits = [], []
+            for *own, t in zip(*(b[k].tolist() for k in keys), b["t"].tolist(), strict=True):
+                if own != key or reset <= t:
+                    key, count, reset = own, 0, t + window
+                full = count >= limit
+                count += not full
+                accepted.append(not full)
+                waits.append(max(1, -((t - reset) // 1_000_000)) if full else None)
+            yield b.assign(accepted=accepted, retry_after=pd.array(waits, "Int64"))
+
+    made = rows.withColumns({"accepted": F.lit(True), "retry_after": F.lit(None).cast("long")})
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "t", "id").mapInPandas(run, made.schema)
 
 
 def limited_stream(events: DataFrame, keys: dict[str, str], ts: str, id_col: str, limit: int, seconds: int) -> DataFrame:
