@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitaloom.functions import scalars
-from vitaloom.operators import budget, linking, records, relational, retrieval, safety, text, trends
+from vitaloom.operators import budget, linking, pipelines, records, relational, retrieval, safety, text, trends
 from vitaloom.plans import catalogues
 from vitaloom.sources import tables
 from vitaloom.streaming import limits
@@ -79,6 +79,20 @@ def test_status_of_a_mention(text_, term, status):
     assert text._status(text_, term)[0] == status
 
 
+@pytest.mark.parametrize(
+    ("text_", "term", "status"),
+    [("مریض کو شوگر نہیں ہے", "diabetes", "absent"), ("mujhe sugar nahi hai", "diabetes", "absent"), ("مریض کو شوگر ہے", "diabetes", "present"), ("والد کو دمہ تھا", "asthma", "family"), ("mujhe bukhaar nahi", "fever", "absent"), ("no khansee today", "cough", "absent"), ("no sugary drinks", "diabetes", "present")],
+)
+def test_status_of_a_mention_in_local_spellings(text_, term, status):
+    assert text._status(text_, term, catalogues.spellings())[0] == status
+
+
+def test_history_of_an_empty_scope(spark):
+    row = spark.createDataFrame([(1, 1, 1, None, True, "a")], "owner int, doc int, id int, day timestamp_ntz, active boolean, name string")
+    tables = dict.fromkeys(pipelines.HISTORY_READS, row)
+    assert pipelines.history_summary(tables, []).count() == 0 and pipelines.history_summary(tables, [1]).count() == 5
+
+
 def test_assertion_column(spark):
     df = spark.createDataFrame([("No fever.", "fever"), (None, None)], "t string, w string")
     assert [r.assertion.status for r in text.assertions(df, "t", "w").collect()] == ["absent", "present"]

@@ -32,6 +32,36 @@ def diagnosis_rows(diagnoses: DataFrame, conditions: DataFrame) -> DataFrame:
     return linked.select("doc", scalars.clamped(F.col("condition"), 300).alias("condition"), F.coalesce("canonical", "condition").alias("canonical_condition"), linking.suggested_code(F.col("confidence"), F.col("code")).alias("icd10_code"), "status").where("condition IS NOT NULL")
 
 
+def medication_rows(medications: DataFrame) -> DataFrame:
+    """(doc, fields of an extracted medication) → rows to store: named ones only, cut to width, in use unless it says otherwise."""
+    cut = {"name": 500, "genericName": 500, "dosage": 255, "frequency": 255, "duration": 255, "route": 100, "rxnormId": 50}
+    fields = [scalars.clamped(F.col(c), n).alias(c) for c, n in cut.items()]
+    return medications.select("doc", *fields, F.coalesce("isActive", F.lit(True)).alias("isActive")).where("name IS NOT NULL")
+
+
+def lab_rows(labs: DataFrame, analytes: DataFrame) -> DataFrame:
+    """(doc, fields of an extracted lab result) → rows to store: with a name and a value, which the number gives if there is no text.
+
+    A number comes from the text first; out of range is what the record says, else what its range says, else false.
+    """
+    number = scalars.measured_value(F.col("value"))["value"]
+    kept = labs.withColumns({"value": scalars.clamped(F.coalesce("value", F.col("numericValue").cast("string")), 100), "number": F.coalesce(number, F.col("numericValue"))})
+    kept = kept.withColumn("testName", scalars.clamped(F.col("testName"), 500)).where("testName IS NOT NULL AND value IS NOT NULL")
+    linked = linking.canonical_labs(kept, analytes, "testName", "number", "unit")
+    derived = scalars.out_of_range(F.col("number"), scalars.reference_range(F.col("referenceRange")))
+    return linked.select(
+        "doc", "testName", F.col("key").alias("canonicalTestName"), "canonical_value", F.when(F.col("canonical_value").isNotNull(), F.col("canonical_unit")).alias("canonical_unit"), "value", F.col("number").alias("numericValue"),
+        scalars.clamped(F.col("unit"), 100).alias("unit"), scalars.clamped(F.col("referenceRange"), 255).alias("referenceRange"), F.coalesce("isAbnormal", derived, F.lit(False)).alias("isAbnormal"),
+    )
+
+
+def allergy_rows(allergies: DataFrame) -> DataFrame:
+    """(doc, fields of an extracted allergy) → rows to store: own ones with an allergen, cut to width; no status means present."""
+    status = F.coalesce("assertionStatus", F.lit("present"))
+    own = text.own_findings(allergies.withColumn("assertionStatus", status), "assertionStatus")
+    return own.select("doc", scalars.clamped(F.col("allergen"), 500).alias("allergen"), scalars.clamped(F.col("allergyType"), 100).alias("allergyType"), scalars.clamped(F.col("severity"), 100).alias("severity"), "reaction", "assertionStatus").where("allergen IS NOT NULL")
+
+
 def reconciled(docs: DataFrame, diagnoses: DataFrame, entities: DataFrame, mentioned: DataFrame, conditions: DataFrame) -> DataFrame:
     """doc, missed, held_back, linked: what a text names beyond its record, what it denies, and how many conditions link.
 
@@ -93,9 +123,25 @@ def summary_language(preferred: Column, written: Column) -> Column:
     return F.when(preferred.isin("en", "ur"), preferred).otherwise(written)
 
 
-def history_summary(documents: DataFrame, labs: DataFrame, owner: object, ids: list | None = None) -> DataFrame:
-    """part, n of a scoped history: documents and newest row of each analyte, caps before dedupe. An empty scope reads nothing."""
-    docs = relational.in_scope(relational.scoped(documents, "owner", owner), "doc", ids)
-    rows = relational.in_scope(relational.scoped(labs, "owner", owner), "doc", ids)
-    latest = relational.latest_per_key(rows.withColumn("name", F.lower("name")), ["name"], relational.newest_first("day", ties="doc"), cap=fixed.HISTORY_CAPS["labs"], owner="owner")
-    return docs.agg(F.count("*").alias("n")).select(F.lit("documents").alias("part"), "n").unionByName(latest.agg(F.count("*").alias("n")).select(F.lit("labs").alias("part"), "n"))
+#: Reads of a history: how each is ordered, newest first with unknown dates before.
+HISTORY_READS = ("documents", "medications", "diagnoses", "labs", "allergies")
+
+
+def history_summary(tables: dict[str, DataFrame], ids: list | None = None, caps: dict[str, int] | None = None) -> DataFrame:
+    """owner, part, id of every owner's history: five reads, each with its cap, and of labs the newest of a name among the capped rows.
+
+    Each table has (owner, doc, id, day); medications also ``active``, of which only true counts, and labs ``name``. ``ids``: the
+    documents in scope; an empty list reads nothing. Allergies come by id, which has no date to go by.
+    """
+    caps, out = caps or fixed.HISTORY_CAPS, None
+    for part in HISTORY_READS:
+        rows = relational.in_scope(tables[part], "doc", ids)
+        if part == "medications":
+            rows = rows.where(F.coalesce("active", F.lit(False)))
+        order = [F.col("id").asc()] if part == "allergies" else relational.newest_first("day", ties="id")
+        rows = relational.capped(rows, order, caps[part], "owner")
+        if part == "labs":
+            rows = relational.latest_per_key(rows.withColumn("name", F.lower("name")), ["owner", "name"], order)
+        rows = rows.select("owner", F.lit(part).alias("part"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -32,6 +32,60 @@ def ingest_diagnosis_rows(spark, sf_dir):
     return pipelines.diagnosis_rows(spark.createDataFrame(rows, "doc long, condition string, status string"), cat.conditions(spark))
 
 
+_MEDS = fx.Rows("doc long, name string, genericName string, dosage string, frequency string, duration string, route string, rxnormId string, isActive boolean", (1, "Metformin", "metformin", "500 mg", "bd", None, "oral", "6809", None), (1, "", "x", None, None, None, None, None, True), (2, "A" * 510, None, "B" * 260, None, "", "c" * 101, "9" * 51, False), (2, None, "y", None, None, None, None, None, None))
+
+
+@register("ingest_medication_rows", f"""SELECT doc, left(name, 500) AS name, nullif(left(genericName, 500), '') AS genericName, nullif(left(dosage, 255), '') AS dosage, nullif(left(frequency, 255), '') AS frequency, nullif(left(duration, 255), '') AS duration,
+ nullif(left(route, 100), '') AS route, nullif(left(rxnormId, 50), '') AS rxnormId, coalesce(isActive, true) AS isActive FROM {_MEDS.sql} WHERE name <> ''""")
+def ingest_medication_rows(spark, sf_dir):
+    return pipelines.medication_rows(_MEDS.df(spark))
+
+
+_LABS = fx.Rows("doc long, testName string, value string, numericValue double, unit string, referenceRange string, isAbnormal boolean", (1, "HbA1c", "7.4", None, "%", "4.0-5.6", None), (1, "Serum Creatinine", None, 88.4, "umol/L", None, None), (1, "FBS", "5.5", None, "mmol/L", "3.9-6.1", True), (2, "Widgetase", "12", None, "u", "1-20", None), (2, "", "5", None, None, None, None), (2, "ALT", None, None, "U/L", None, None))
+
+
+@register("ingest_lab_rows", f"""WITH k AS (SELECT *, coalesce(value, numericValue::VARCHAR) AS v, coalesce(try_cast(value AS DOUBLE), numericValue) AS n FROM {_LABS.sql} WHERE testName <> ''),
+ r AS (SELECT *, try_cast(regexp_extract(referenceRange, '^([0-9.]+)-', 1) AS DOUBLE) AS lo, try_cast(regexp_extract(referenceRange, '-([0-9.]+)$', 1) AS DOUBLE) AS hi FROM k WHERE v IS NOT NULL),
+ c AS (SELECT *, CASE testName WHEN 'HbA1c' THEN 'hba1c' WHEN 'Serum Creatinine' THEN 'creatinine' WHEN 'FBS' THEN 'glucose_fasting' WHEN 'ALT' THEN 'alt' END AS canonicalTestName, CASE testName WHEN 'HbA1c' THEN n WHEN 'Serum Creatinine' THEN n * (1 / 88.4) WHEN 'FBS' THEN n * 18.0182 END AS cv FROM r)
+ SELECT doc, testName, canonicalTestName, round(cv, 6) AS canonical_value, CASE WHEN cv IS NOT NULL THEN CASE canonicalTestName WHEN 'hba1c' THEN '%' ELSE 'mg/dL' END END AS canonical_unit, v AS value, n AS numericValue, unit, referenceRange, coalesce(isAbnormal, n < lo OR n > hi, false) AS isAbnormal FROM c""")
+def ingest_lab_rows(spark, sf_dir):
+    return pipelines.lab_rows(_LABS.df(spark), cat.analytes(spark)).withColumn("canonical_value", F.round("canonical_value", 6))
+
+
+_ALLERGIES = fx.Rows("doc long, allergen string, allergyType string, severity string, reaction string, assertionStatus string", (1, "Penicillin", "drug", "severe", "rash", None), (1, "Latex", None, None, None, "absent"), (2, "Dust", "env", "x" * 120, "sneezing", "historical"), (2, "", None, None, None, "present"), (3, "Nuts", None, None, None, "family"))
+
+
+@register("ingest_allergy_rows", f"SELECT doc, left(allergen, 500) AS allergen, left(allergyType, 100) AS allergyType, left(severity, 100) AS severity, reaction, coalesce(assertionStatus, 'present') AS assertionStatus FROM {_ALLERGIES.sql} WHERE allergen <> '' AND coalesce(assertionStatus, 'present') IN ('present', 'historical', 'uncertain')")
+def ingest_allergy_rows(spark, sf_dir):
+    return pipelines.allergy_rows(_ALLERGIES.df(spark))
+
+
+def _history_sql(part, source, order, cap, where="true"):
+    return f"SELECT owner, '{part}' AS part, id FROM ({source}) WHERE {where} QUALIFY row_number() OVER (PARTITION BY owner ORDER BY {order}) <= {cap}"
+
+
+_OF_LINES = "SELECT o_custkey AS owner, l_orderkey * 10 + l_linenumber AS id, l_shipdate AS day, l_linestatus, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+_NEWEST = "day DESC NULLS FIRST, id"
+
+
+@register(
+    "history_five_reads",
+    f"""WITH labs AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY {_NEWEST}) AS n FROM (SELECT user_id AS owner, event_id AS id, ts AS day, lower(event_type) AS name FROM events))
+ {_history_sql("documents", "SELECT o_custkey AS owner, o_orderkey AS id, o_orderdate AS day FROM orders", _NEWEST, 200)}
+ UNION ALL {_history_sql("medications", _OF_LINES, _NEWEST, 60, "l_linestatus = 'O'")}
+ UNION ALL {_history_sql("diagnoses", _OF_LINES, _NEWEST, 60, "l_returnflag = 'A'")}
+ UNION ALL (SELECT owner, 'labs', id FROM labs WHERE n <= 200 QUALIFY row_number() OVER (PARTITION BY owner, name ORDER BY {_NEWEST}) = 1)
+ UNION ALL {_history_sql("allergies", _OF_LINES, "id", 100, "l_returnflag = 'R'")}""",
+)
+def history_five_reads(spark, sf_dir):
+    orders = scan(spark, sf_dir, "orders", F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("doc"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("day"))
+    lines = scan(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("day"), "l_linestatus", "l_returnflag")
+    lines = lines.join(orders.select("owner", "doc"), "doc")
+    labs = scan(spark, sf_dir, "events", F.col("user_id").alias("owner"), F.col("event_id").alias("doc"), F.col("event_id").alias("id"), F.col("ts").alias("day"), F.col("event_type").alias("name"))
+    tables = {"documents": orders, "medications": lines.withColumn("active", F.col("l_linestatus") == "O"), "diagnoses": lines.where("l_returnflag = 'A'"), "labs": labs, "allergies": lines.where("l_returnflag = 'R'")}
+    return pipelines.history_summary(tables)
+
+
 @register("reconcile_records")
 def reconcile_records(spark, sf_dir):
     docs = spark.createDataFrame([(1, "Denies asthma. Has hypertension. Penicillin given."), (2, "diabetes")], "doc long, text string")

@@ -154,13 +154,15 @@ def history_timeline_month(spark, sf_dir):
 
 @register(
     "history_scoped_summary",
-    """SELECT 'documents' AS part, count(*) AS n FROM orders WHERE o_custkey = 7 AND o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey < 5000)
- UNION ALL SELECT 'entities', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7 AND o_orderkey % 2 = 1 AND o_orderkey < 5000""",
+    """SELECT o_custkey, 'documents' AS part, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey
+ UNION ALL SELECT o_custkey, 'entities', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY o_custkey""",
 )
 def history_scoped_summary(spark, sf_dir):
-    docs = rel.scoped(scan(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_custkey", 7).where("o_orderkey % 2 = 1 AND o_orderkey < 5000")
-    lines = scan(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("o_orderkey")).join(docs, "o_orderkey", "left_semi")
-    return docs.agg(F.count("*").alias("n")).select(F.lit("documents").alias("part"), "n").unionByName(lines.agg(F.count("*").alias("n")).select(F.lit("entities").alias("part"), "n"))
+    """Every owner's documents that are no longer pending, and what belongs to them."""
+    docs = scan(spark, sf_dir, "orders", "o_orderkey", "o_custkey", where=F.col("o_orderstatus") != "P")
+    lines = scan(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("o_orderkey")).join(docs, "o_orderkey")
+    counted = lambda df, part: df.groupBy("o_custkey").agg(F.count("*").alias("n")).select("o_custkey", F.lit(part).alias("part"), "n")
+    return counted(docs, "documents").unionByName(counted(lines, "entities"))
 
 
 @register("history_empty_scope", "SELECT o_orderkey FROM orders WHERE false")
