@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitaloom.functions import scalars
-from vitaloom.operators import budget, linking, pipelines, records, relational, retrieval, safety, text, trends
+from vitaloom.operators import budget, linking, pipelines, providers, records, relational, retrieval, safety, text, trends
 from vitaloom.plans import catalogues
 from vitaloom.sources import tables
 from vitaloom.streaming import limits
@@ -125,7 +125,7 @@ def test_resolved_concepts(spark):
     names = spark.createDataFrame([("Aspirin ", None), ("Aspirin", "1"), ("mystery", None)], "name string, rxcui string")
     concepts = spark.createDataFrame([("1", "aspirin", [], ["X"])], "rxcui string, name string, ingredients array<string>, classes array<string>")
     got = {r.name: (r.rxcui, r.ingredients) for r in safety.resolved(names, concepts).collect()}
-    assert got == {"Aspirin": ("1", ["Aspirin"]), "mystery": (None, [])}
+    assert got == {"Aspirin": ("1", ["aspirin"]), "mystery": (None, [])}
 
 
 def test_hybrid_merge_of_one_arm(spark):
@@ -217,3 +217,63 @@ def test_lexical_stems(spark):
     chunks = spark.createDataFrame([(1, "diabetic patients running"), (2, "a patient ran")], "id int, t string")
     q = spark.createDataFrame([(1, ["patients", "runs"])], "query_id int, terms array<string>")
     assert {(r.id, round(r.score, 1)) for r in retrieval.lexical_arm(chunks, q, "id", "t", stems=True).collect()} == {(1, 0.2), (2, 0.1)}
+
+
+def test_english_terms_and_expansion(spark):
+    q = spark.createDataFrame([(0, "mujhe khansi aur bukhar hai phir bukhar"), (1, "shugar"), (2, "amlodipine"), (3, "malaria"), (4, "بخار اور شوگر"), (5, ""), (6, None)], "id int, q string")
+    terms = pipelines.english_terms(q, catalogues.lexicon(spark), "id", "q").orderBy("id", "place").collect()
+    assert [(r.id, r.english) for r in terms] == [(0, "cough"), (0, "fever"), (1, "diabetes"), (4, "fever"), (4, "diabetes")]  # malaria is English already
+    out = {r.id: r.added for r in pipelines.expanded(q, catalogues.lexicon(spark), catalogues.SYNONYMS, catalogues.conditions(spark), "id", "q").collect()}
+    assert out[1] == ["diabetes", "type", "mellitus"] and out[2] == [] and out[5] == [] and out[6] == []
+    assert out[0] == ["cough", "fever"] and out[4][:2] == ["fever", "diabetes"]
+    assert out[3] == ["plasmodium", "infection"]
+
+
+def test_expansion_keeps_its_limit(spark):
+    q = spark.createDataFrame([(0, "sugar ki bimari dama tibi pilia khansi bukhar ulti qabz wazan dil jigar")], "id int, q string")
+    assert len(pipelines.expanded(q, catalogues.lexicon(spark), catalogues.SYNONYMS, catalogues.conditions(spark), "id", "q", 4).first().added) == 4
+
+
+def test_retries_wait_and_give_up():
+    waits, calls = [], []
+
+    def failing(n):
+        def call():
+            calls.append(1)
+            if len(calls) <= n:
+                raise OSError(len(calls))
+            return "done"
+
+        return call
+
+    assert providers.retried(failing(2), lambda e: ("transient", None), sleep=waits.append) == "done" and waits == [1.0, 4.0]
+    calls.clear(), waits.clear()
+    assert providers.retried(failing(1), lambda e: ("rate_limit", 12.2), sleep=waits.append) == "done" and waits == [12.45]
+    for kind, suggested, n in (("permanent", None, 1), ("rate_limit", 46.0, 1), ("transient", None, 3)):
+        calls.clear()
+        with pytest.raises(OSError):
+            providers.retried(failing(n), lambda e: (kind, suggested), sleep=waits.append)
+        assert len(calls) == n
+
+
+def test_calls_keep_their_order(spark):
+    def call(batches):
+        for b in batches:
+            yield b.assign(v=b["v"] * 2)
+
+    rows = providers.called(spark.range(100).select((99 - F.col("id")).alias("k"), F.col("id").alias("v")), 3, call, "k long, v long", "k").collect()
+    assert [r.k for r in rows] == list(range(100)) and rows[5].v == 188
+
+
+def test_inserted_rows_are_stored(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "done")], "id int, status string")
+    path = str(tmp_path / "t")
+    for _ in range(2):
+        assert {(r.id, r.status) for r in records.inserted(rows, {"status": "pending"}, path).collect()} == {(1, "pending"), (2, "done")}
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_concepts_by_blank_ids_and_own_names(spark):
+    names = spark.createDataFrame([("Panadol", " "), (" Panadol", "161"), ("", "5"), (None, None)], "name string, rxcui string")
+    concepts = spark.createDataFrame([("161", "paracetamol", [], [])], "rxcui string, name string, ingredients array<string>, classes array<string>")
+    assert [(r.name, r.rxcui, r.ingredients) for r in safety.resolved(names, concepts).collect()] == [("Panadol", "161", ["panadol"])]

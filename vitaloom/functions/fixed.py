@@ -73,3 +73,7 @@ STALL_MINUTES = 15
 # Row caps of the history summary, and token budgets of a prompt.
 HISTORY_CAPS = {"documents": 200, "medications": 60, "diagnoses": 60, "labs": 200, "allergies": 100}
 PROMPT_TOKENS, TURN_TOKENS, DIGEST_TOKENS = 6000, 1200, 8000
+
+# Waits between attempts in milliseconds, and the longest one that is waited out.
+BACKOFF_MS = (1000, 4000, 10000)
+LONGEST_WAIT_SECONDS = 45

@@ -232,3 +232,42 @@ def retry_seconds(header: Column, message: Column) -> Column:
 def cache_key(user: Column, fingerprint: Column, message: Column) -> Column:
     """Key of an answer: user, state of the record, and the question without case and spacing."""
     return F.sha2(F.concat_ws(":", user, fingerprint, squeeze(F.lower(message))), 256)
+
+
+def has_urdu(c: Column) -> Column:
+    return F.rlike(c, F.lit(fixed.URDU_LETTERS))
+
+
+def has_words(c: Column) -> Column:
+    """Something a word search can find: two letters or digits in a row."""
+    return F.rlike(c, F.lit(r"[\p{L}\p{N}]{2,}"))
+
+
+def abnormal(given: Column, value: Column, range_: Column) -> Column:
+    """What the record says, else what its range says, else false."""
+    return F.coalesce(given, out_of_range(value, range_), F.lit(False))
+
+
+def iso_day(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def bounded_int(c: Column, low: int, high: int | None, default: int) -> Column:
+    """struct(value, valid) of a parameter given as text: none means the default, no whole number or one out of bounds is not valid."""
+    number = F.trim(c).try_cast("double")
+    fits = (number == F.floor(number)) & (number >= low) & (F.lit(True) if high is None else number <= high)
+    valid = c.isNull() | F.coalesce(fits, F.lit(False))
+    return F.struct(F.when(c.isNull(), F.lit(default)).when(valid, number.cast("int")).alias("value"), valid.alias("valid"))
+
+
+def bounded_text(c: Column, low: int, high: int) -> Column:
+    """struct(value, valid) of a parameter: blanks round it go, its length must lie within bounds; none is valid."""
+    t = F.trim(c)
+    return F.struct(F.when(F.length(t).between(low, high), t).alias("value"), F.coalesce(F.length(t).between(low, high), F.lit(True)).alias("valid"))
+
+
+def retry_wait(kind: Column, suggested: Column, attempt: Column, attempts: int = 3) -> Column:
+    """Milliseconds to wait after a failed attempt (from 0); null where it is not tried again: lasting failures, the last attempt, long waits."""
+    again = (kind != "permanent") & (attempt < attempts - 1) & F.coalesce(suggested <= fixed.LONGEST_WAIT_SECONDS, F.lit(True))
+    usual = F.get(F.array(*map(F.lit, fixed.BACKOFF_MS)), F.least(attempt, F.lit(len(fixed.BACKOFF_MS) - 1)).cast("int"))
+    return F.when(again, F.coalesce((F.ceil(suggested * 1000) + 250).cast("int"), usual))

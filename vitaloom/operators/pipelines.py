@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaloom.functions import fixed, scalars
-from vitaloom.operators import linking, relational, safety, text
+from vitaloom.operators import linking, relational, retrieval, safety, text
 
 
 def found_terms(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str, longest: int = 5) -> DataFrame:
@@ -48,10 +48,10 @@ def lab_rows(labs: DataFrame, analytes: DataFrame) -> DataFrame:
     kept = labs.withColumns({"value": scalars.clamped(F.coalesce("value", F.col("numericValue").cast("string")), 100), "number": F.coalesce(number, F.col("numericValue"))})
     kept = kept.withColumn("testName", scalars.clamped(F.col("testName"), 500)).where("testName IS NOT NULL AND value IS NOT NULL")
     linked = linking.canonical_labs(kept, analytes, "testName", "number", "unit")
-    derived = scalars.out_of_range(F.col("number"), scalars.reference_range(F.col("referenceRange")))
+    flag = scalars.abnormal(F.col("isAbnormal"), F.col("number"), scalars.reference_range(F.col("referenceRange")))
     return linked.select(
         "doc", "testName", F.col("key").alias("canonicalTestName"), "canonical_value", F.when(F.col("canonical_value").isNotNull(), F.col("canonical_unit")).alias("canonical_unit"), "value", F.col("number").alias("numericValue"),
-        scalars.clamped(F.col("unit"), 100).alias("unit"), scalars.clamped(F.col("referenceRange"), 255).alias("referenceRange"), F.coalesce("isAbnormal", derived, F.lit(False)).alias("isAbnormal"),
+        scalars.clamped(F.col("unit"), 100).alias("unit"), scalars.clamped(F.col("referenceRange"), 255).alias("referenceRange"), flag.alias("isAbnormal"),
     )
 
 
@@ -91,6 +91,11 @@ def share_views(links: DataFrame, token: str, as_of: object) -> DataFrame:
     return links.withColumn("view_count", F.when(live, F.coalesce("view_count", F.lit(0)) + 1).otherwise(F.col("view_count")))
 
 
+def expired(expires_at: Column, as_of: object) -> Column:
+    """As the list of links shows it: from the expiry instant on."""
+    return expires_at <= F.lit(as_of).cast("timestamp_ntz")
+
+
 def listed(items: Column, cap: int) -> Column:
     """First ``cap`` items and how many more there are."""
     more = F.greatest(F.lit(0), F.size(items) - cap)
@@ -145,3 +150,46 @@ def history_summary(tables: dict[str, DataFrame], ids: list | None = None, caps:
         rows = rows.select("owner", F.lit(part).alias("part"), "id")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def english_terms(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, place, english: English words for the local terms of a text, each once where it first stands, none that is English already."""
+    found = found_terms(docs, lexicon, id_col, text_col).where(F.lower("matched") != F.lower("english"))
+    return found.groupBy(id_col, "english").agg(F.min("place").alias("place")).select(id_col, "place", "english")
+
+
+#: A condition gives its name and this many other names to a question.
+CONDITION_ALIASES = 2
+
+
+def expanded(queries: DataFrame, lexicon: DataFrame, synonyms: dict[str, list[str]], conditions: DataFrame, id_col: str, text_col: str, limit: int = fixed.EXPANSION_LIMIT) -> DataFrame:
+    """id, added: words for a search beside the query's own. English for its local terms come first, then synonyms of the query and of
+    those terms, then names of the conditions that either links to surely enough to be coded; each word once, ``limit`` at most. A null query gets none."""
+    none = F.array().cast("array<string>")
+    terms = english_terms(queries, lexicon, id_col, text_col).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "english"))), lambda t: t["english"]).alias("terms"))
+    asked = queries.select(id_col, F.col(text_col).alias("q")).join(terms, id_col, "left").withColumn("terms", F.coalesce("terms", none))
+    phrases = asked.select(id_col, F.posexplode(F.concat(F.array("q"), "terms")).alias("at", "phrase"))
+    names = linking.link_conditions(phrases, conditions, "phrase", lexicon.select("english", F.explode("urdu").alias("local"))).join(conditions.select("code", "canonical", "aliases"), ["code", "canonical"], "left")
+    sure = F.when(F.col("confidence") >= 0.85, F.concat(F.array("canonical"), F.slice("aliases", 1, CONDITION_ALIASES)))
+    given = names.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", retrieval.expand(F.col("phrase"), synonyms, 1 << 20).alias("s"), F.coalesce(sure, none).alias("c")))).alias("g"))
+    every = F.concat("terms", F.flatten(F.transform("g", lambda x: x["s"])), F.flatten(F.transform("g", lambda x: x["c"])))
+    words = F.flatten(F.transform(every, scalars.content_terms))
+    out = asked.join(given, id_col, "left")
+    return out.select(id_col, F.coalesce(F.slice(F.array_except(words, scalars.content_terms(F.col("q"))), 1, limit), none).alias("added"))
+
+
+def summary_section(owners: DataFrame, rows: DataFrame, owner: str, heading: str, line: Column, order: list[str]) -> DataFrame:
+    """owner, section: a heading with the number of rows, then a line each in order, or that there are none."""
+    lines = rows.select(owner, F.struct(*order, line.alias("said")).alias("l")).groupBy(owner).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda l: F.concat(F.lit("  - "), l["said"])), "\n").alias("said"))
+    head = F.format_string(heading + " (%d):", F.coalesce("n", F.lit(0)))
+    return owners.join(lines, owner, "left").select(owner, F.concat(head, F.lit("\n"), F.coalesce("said", F.lit("  None recorded"))).alias("section"))
+
+
+def medication_line(name: Column, dosage: Column, frequency: Column, active: Column) -> Column:
+    some = lambda before, c: F.coalesce(F.concat(F.lit(before), F.nullif(c, F.lit(""))), F.lit(""))
+    return F.concat(name, some(" ", dosage), some(", ", frequency), F.when(active, "").otherwise(F.when(active.isNull(), "").otherwise(" (inactive)")))
+
+
+def lab_line(name: Column, value: Column, unit: Column, abnormal: Column, range_: Column) -> Column:
+    unit_, within = F.coalesce(F.concat(F.lit(" "), F.nullif(unit, F.lit(""))), F.lit("")), F.coalesce(F.concat(F.lit(" (ref: "), F.nullif(range_, F.lit("")), F.lit(")")), F.lit(""))
+    return F.concat(name, F.lit(": "), value, unit_, F.when(abnormal, " [ABNORMAL]").otherwise(""), within)

@@ -5,11 +5,19 @@ A provider is a function DataFrame → DataFrame or Column → Column, so a host
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import time
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitaloom.functions import fixed
+
+T = TypeVar("T")
+
 EMBEDDINGS: dict[str, Callable[[Column], Column]] = {}
 DIMENSIONS = 64
 
@@ -56,3 +64,27 @@ def slices(text: Column, size: int = 1200) -> Column:
     """Paragraphs, and pieces of ``size`` characters of those that are longer: what an entity model gets at once."""
     paragraphs = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != "")
     return F.flatten(F.transform(paragraphs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")), lambda i: F.substring(p, i * size + 1, F.lit(size)))))
+
+
+def looked_up_once(df: DataFrame, key: str, look_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with what ``look_up`` adds to their key; it sees each distinct key once, so there is no cache to fill or to bound."""
+    return df.join(look_up(df.select(key).distinct()), key, "left")
+
+
+def called(df: DataFrame, width: int, call: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, *order: str) -> DataFrame:
+    """Rows through a Python provider, at most ``width`` calls at once; results come in the order of ``order``, whoever ends first."""
+    return df.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInPandas(call, schema)
+
+
+def retried(call: Callable[[], T], failure: Callable[[Exception], tuple[str, float | None]], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> T:
+    """``call`` with waits between attempts, as :func:`scalars.retry_wait` states them; ``failure`` tells (kind, suggested seconds)."""
+    for attempt in range(attempts):
+        try:
+            return call()
+        except Exception as e:
+            kind, suggested = failure(e)
+            if kind == "permanent" or attempt == attempts - 1 or (suggested or 0) > fixed.LONGEST_WAIT_SECONDS:
+                raise
+            wait = fixed.BACKOFF_MS[min(attempt, len(fixed.BACKOFF_MS) - 1)] if suggested is None else math.ceil(suggested * 1000) + 250
+            sleep(wait / 1000)
+    raise ValueError("no attempt allowed")

@@ -120,3 +120,57 @@ def with_defaults(wanted: DataFrame, stored: DataFrame, key: str, defaults: dict
 def revoked(links: DataFrame, token: str, owner_col: str, owner: object) -> DataFrame:
     """Links with the owner's one switched off; someone else's stays as it is."""
     return links.withColumn("is_active", F.when((F.col("token") == token) & (F.col(owner_col) == F.lit(owner)), False).otherwise(F.col("is_active")))
+
+
+def inserted(rows: DataFrame, defaults: dict[str, object], path: str | None = None) -> DataFrame:
+    """Rows as stored, with defaults where a column is missing or null; appended to the table at ``path`` if there is one."""
+    filled = rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in defaults.items()})
+    if path is not None:
+        filled.write.mode("append").parquet(path)
+    return filled
+
+
+def stored_list(c: Column) -> Column:
+    return F.to_json(F.coalesce(c, F.array().cast("array<string>")))
+
+
+def loaded_list(c: Column) -> Column:
+    """The list of a JSON column; anything that is no list of texts reads as empty."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+def _said(v: Column, path: str, low: int, high: int) -> Column:
+    """Trimmed text at a path; null where it is no text or its length is out of bounds."""
+    at = F.try_variant_get(v, path, "variant")
+    t = F.trim(F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(v, path, "string")))
+    return F.when(F.length(t).between(low, high), t)
+
+
+def _one_of(v: Column, path: str, *values: str) -> Column:
+    t = F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    return F.when(t.isin(*values), t)
+
+
+def digest(raw: Column) -> Column:
+    """A digest of JSON text, field by field: what does not fit takes its default, so one bad field loses nothing else.
+
+    Findings are kept only if they are a list of at most 50, each with a title.
+    """
+    v = F.try_parse_json(raw)
+
+    def finding(x: Column) -> Column:
+        return F.struct(
+            F.coalesce(_one_of(x, "$.category", "medications", "labs", "diagnoses", "allergies", "general"), F.lit("general")).alias("category"),
+            _said(x, "$.title", 1, 300).alias("title"),
+            F.coalesce(_said(x, "$.detail", 0, 4000), F.lit("")).alias("detail"),
+            F.coalesce(_one_of(x, "$.priority", "info", "attention", "action_needed"), F.lit("info")).alias("priority"),
+        )
+
+    found = F.transform(F.try_variant_get(v, "$.findings", "array<variant>"), finding)
+    sound = (F.size(found) <= 50) & ~F.exists(found, lambda f: f["title"].isNull())
+    return F.struct(
+        F.coalesce(_said(v, "$.title", 1, 500), F.lit("Health insight digest")).alias("title"),
+        F.coalesce(_said(v, "$.digest", 1, 20_000), F.lit("No summary generated.")).alias("digest"),
+        F.coalesce(F.when(sound, found), F.array().cast("array<struct<category:string,title:string,detail:string,priority:string>>")).alias("findings"),
+        _one_of(v, "$.priority", "normal", "elevated", "urgent").alias("priority"),
+    )

@@ -107,3 +107,14 @@ def without_repeated_last(turns: DataFrame, conv: str, at: str, role: str, text:
     """Turns without a newest user turn that only repeats what has just been said."""
     last = F.row_number().over(Window.partitionBy(conv).orderBy(F.desc(at))) == 1
     return turns.withColumn("_last", last).where(~(F.col("_last") & (F.col(role) == "user") & (F.col(text) == F.lit(said)))).drop("_last")
+
+
+def listing(df: DataFrame, owner: str, order: Sequence[Column], cap: int | None = None) -> DataFrame:
+    """Each owner's rows with their ``place`` in the list, the first ``cap`` of them."""
+    placed = df.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(*order)))
+    return placed if cap is None else placed.where(F.col("place") <= cap)
+
+
+def counted_in(df: DataFrame, keys: Sequence[str], col: str, values: Sequence[str]) -> DataFrame:
+    """How many rows of each key have one of the values."""
+    return df.where(F.col(col).isin(*values)).groupBy(*keys).agg(F.count("*").alias("n"))

@@ -51,13 +51,13 @@ def shared_classes(drugs: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def resolved(names: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Concept of each distinct trimmed name, by a known id first, else by name; without ingredients a drug is its own."""
-    asked = names.select(F.trim("name").alias("name"), "rxcui").groupBy("name").agg(F.max("rxcui").alias("rxcui"))
+    """Concept of each distinct trimmed name, by a known id first (blanks are none), else by name; without ingredients a drug is its own."""
+    asked = names.select(F.trim("name").alias("name"), F.nullif(F.trim("rxcui"), F.lit("")).alias("rxcui")).where("name <> ''").groupBy("name").agg(F.max("rxcui").alias("rxcui"))
     by_name = concepts.select(F.lower("name").alias("_n"), F.col("rxcui").alias("_r"))
     known = asked.join(by_name, F.lower("name") == F.col("_n"), "left").withColumn("rxcui", F.coalesce("rxcui", "_r")).drop("_n", "_r")
     facts = concepts.groupBy("rxcui").agg(F.first("ingredients").alias("ingredients"), F.first("classes").alias("classes"))
     out = known.join(facts, "rxcui", "left")
-    own = F.when(F.coalesce(F.size("ingredients"), F.lit(0)) > 0, F.col("ingredients")).when(F.col("rxcui").isNotNull(), F.array("name"))
+    own = F.when(F.coalesce(F.size("ingredients"), F.lit(0)) > 0, F.col("ingredients")).when(F.col("rxcui").isNotNull(), F.array(F.lower("name")))
     return out.select("name", "rxcui", F.coalesce(own, F.array().cast("array<string>")).alias("ingredients"), F.coalesce("classes", F.array().cast("array<string>")).alias("classes"))
 
 
@@ -98,3 +98,9 @@ def explanation(status: Column, term: Column) -> Column:
     for k, v in say.items():
         out = F.when(status == k, F.format_string(v, term)).otherwise(out)
     return out
+
+
+def audit_rows(checks: DataFrame, findings: DataFrame, key: str, severity: str) -> DataFrame:
+    """One row to append for every check, also one without findings: their number and highest severity (info if there are none)."""
+    top = highest_severity(findings, [key], severity).join(findings.groupBy(key).agg(F.count("*").alias("findings")), key)
+    return checks.join(top, key, "left").withColumns({"findings": F.coalesce("findings", F.lit(0)), "severity": F.coalesce("severity", F.lit("info"))})

@@ -76,3 +76,13 @@ def picker(df: DataFrame, canonical: str, verbatim: str, unit: str, ts: str) ->
     return first.groupBy(key.alias("series")).agg(
         F.sum("c").alias("points"), F.max("last").alias("last_at"), F.max_by(verbatim, size).alias("display"), F.max_by(unit, size).alias("unit"), F.max("c").alias("largest"),
     )
+
+
+def domain(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Least and greatest value of each series: what its axis must span."""
+    return df.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("greatest"))
+
+
+def points(df: DataFrame, keys: Sequence[str], ts: str, ties: str) -> DataFrame:
+    """All points of each series in order of time, numbered from 1."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(ts, ties)))

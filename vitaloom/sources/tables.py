@@ -39,7 +39,11 @@ def kind_of_mime(mime: Column) -> Column:
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
     """path, kind, length, content of acceptable files: known kind, neither empty nor above the limit."""
-    files = spark.read.format("binaryFile").load(path)
+    return accepted(spark.read.format("binaryFile").load(path))
+
+
+def accepted(files: DataFrame) -> DataFrame:
+    """Those of (path, length, content) that may come in, with what they are read as."""
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv]), extension)
     return files.select("path", kind.alias("kind"), "length", "content").where(F.col("kind").isNotNull() & F.col("length").between(1, MOST_UPLOAD_BYTES))
