@@ -19,8 +19,9 @@ Every byte covered by a ``length``-byte string that also starts in a document wi
 Whole copies of a text are settled first, by digest. Corpus order is built to depth ``length``, which is all that
 the question needs.
 
-Bounds: a share holds about ``SHARE_BYTES`` of text, a bucket about as many grams as a share; a gram or context
-that very many documents hold reaches its bucket once a share, not once a document.
+Bounds: a share holds about ``SHARE_BYTES`` of text or one longer text, a bucket about as many grams as a share; a gram
+that very many documents hold reaches its bucket once a share. Equal contexts do so too, but contexts that differ, as at
+the borders of such a passage, come once a document. A long text is parsed in pieces of ``PASS_BYTES`` string starts.
 
 Defined results: null texts count as empty, texts shorter than ``length`` lose nothing, rows without an id are left
 out, rows that repeat an id do not cut each other, extra columns are ignored, an empty table gives an empty table.
@@ -41,7 +42,7 @@ from vitaloom.llm.common import materialize
 
 GRAM = 20
 SHARE_BYTES = 8_000_000
-#: Bytes of one flat numpy pass; places must fit in the 28 low bits of a search key.
+#: Bytes of one flat numpy pass, and string starts of one piece of a longer text; places must fit in the 28 low bits of a search key.
 PASS_BYTES = 1_500_000
 
 _rng = np.random.default_rng(7)
@@ -105,16 +106,24 @@ class Triggers:
         self.doc = np.searchsorted(self.end, self.place, "right")
 
 
-def _passes(ids: list[int], texts: list[bytes]):
-    """(ids, texts) of about ``PASS_BYTES`` at a time."""
-    k = size = 0
+def _passes(texts: list[bytes], length: int):
+    """(texts' places, pieces' first bytes, pieces) of about ``PASS_BYTES`` at a time.
+
+    A longer text comes in pieces that share ``length`` - 1 bytes, so that each of its strings starts and ends in one.
+    """
+    of, first, pieces, size = [], [], [], 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > PASS_BYTES:
-            yield ids[k:i], texts[k:i]
-            k, size = i, 0
-        size += len(t)
-    if k < len(texts):
-        yield ids[k:], texts[k:]
+        for begin in range(0, max(len(t) - length + 1, 1), PASS_BYTES):
+            piece = t[begin : begin + PASS_BYTES + length - 1]
+            if size and size + len(piece) > PASS_BYTES:
+                yield of, first, pieces
+                of, first, pieces, size = [], [], [], 0
+            of.append(i)
+            first.append(begin)
+            pieces.append(piece)
+            size += len(piece)
+    if pieces:
+        yield of, first, pieces
 
 
 def _parse(left: pa.Table, right: pa.Table):
@@ -223,13 +232,12 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     held = rows.select(share.alias("share"), "doc_id", "digest", "raw", *(["row"] if carry else []))
 
     def grams(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts, *_ = _parse(left, right)
-        found, owner, base = [], [], 0
-        for part_ids, part in _passes(ids, texts):
+        _, texts, *_ = _parse(left, right)
+        found, owner = [], []
+        for of, _, part in _passes(texts, length):
             t = Triggers(part, length)
             found.append(t.gram)
-            owner.append(t.doc + base)
-            base += len(part_ids)
+            owner.append(np.array(of, np.int64)[t.doc])
         if not found:
             return _table([], [], [], "bucket")
         gram, doc = np.concatenate(found), np.concatenate(owner)
@@ -267,14 +275,14 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
         out: dict[int, list[bytes]] = {}
         me, base = np.int64(left.column("share")[0].as_py()).tobytes() if len(left) else b"", 0
         parts = []
-        for part_ids, part in _passes(ids, texts):
+        for of, _, part in _passes(texts, length):
             t = Triggers(part, length)
             at = np.searchsorted(wanted, t.gram)
             at = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == t.gram) if len(wanted) else np.empty(0, np.int64)
             after, before = _contexts(t, at, length)
             head = np.stack((t.low[at], t.high[at]), axis=1).astype(np.uint8)
             body = np.concatenate((head, after, before), axis=1)
-            parts.append((t.gram[at], np.array(part_ids, np.int64)[t.doc[at]], at + base, body))
+            parts.append((t.gram[at], np.array(ids, np.int64)[np.array(of, np.int64)[t.doc[at]]], at + base, body))
             base += len(t.place)
         if not parts:
             return _table([], [], [], "bucket")
@@ -342,8 +350,8 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             gone = len(r) if len(r) >= length else 0
             kept = b"" if gone else r
             out.append((d, len(r), gone, int(gone > 0), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
-        base = 0
-        for part_ids, part in _passes(ids, texts):
+        base, covered = 0, np.empty(0, bool)
+        for of, first, part in _passes(texts, length):
             t = Triggers(part, length)
             lo, hi = np.searchsorted(marks[:, 0], [base, base + len(t.place)])
             mine = marks[lo:hi]
@@ -355,12 +363,20 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
                 edge[start + length] -= 1
             gone = np.cumsum(edge[: len(t.raw)]) > 0
             base += len(t.place)
-            for d, r, b, e in zip(part_ids, part, t.begin.tolist(), t.end.tolist(), strict=True):
-                g = gone[b:e]
+            for i, f, b, e in zip(of, first, t.begin.tolist(), t.end.tolist(), strict=True):
+                r = texts[i]
+                if e - b == len(r):
+                    g = gone[b:e]
+                else:  # a piece: what it covers may reach into the next one
+                    covered = covered if f else np.zeros(len(r), bool)
+                    covered[f : f + e - b] |= gone[b:e]
+                    if f + e - b < len(r):
+                        continue
+                    g = covered
                 n = int(g.sum())
-                kept = t.raw[b:e][~g].tobytes() if n else r
+                kept = np.frombuffer(r, np.uint8)[~g].tobytes() if n else r
                 spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if n else 0
-                out.append((d, len(r), n, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
+                out.append((ids[i], len(r), n, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
         cols = list(zip(*out, strict=True)) or [[]] * 6
         types = [pa.int64()] * 4 + [pa.string(), pa.string()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + with_text]
