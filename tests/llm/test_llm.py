@@ -80,6 +80,30 @@ def test_cutting_stock_uses_every_item(demand):
     assert bins <= 1.1 * volume / 256 + 3
 
 
+def test_packing_of_classes_in_shares(spark):
+    """A class of many shares keeps every piece, at one place, with no gap."""
+    made = spark.range(0, 4000).select(F.col("id").alias("doc_id"), F.lit(0).alias("copy"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 3 == 0, 64).otherwise(F.col("id") % 60 + 1).cast("long").alias("length"))
+    rows = packing.pack(made, 64, share_rows=50).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(4000))
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 64 and sum(r.length for r in rows) > 0.85 * 64 * len(at)
+
+
+def test_units_that_share_a_hash():
+    """Units of one hash are told apart by the second one."""
+    e = WordIds(WORDS)
+    texts = ["alpha", "beta", "alpha", "gamma"]
+    code = np.concatenate([np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts])
+    sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    apart = np.array([1, 2, 1, 3], np.uint64)
+    unit = e._lookup(np.full(4, 7, np.uint64), apart, code, begins, sizes)
+    assert unit[0] == unit[2] and len(set(unit.tolist())) == 3
+
+
 def test_piece_codec(docs, empty):
     rows = pieces.roundtrip_digests(docs, PIECES).collect()
     lib, text = pieces.codec(PIECES).lib, dict(TEXTS)
@@ -239,6 +263,20 @@ def test_suffix_shares_of_one_document_each(spark, monkeypatch):
     assert got == brute_suffix([(i, t.encode()) for i, t in made])
 
 
+def test_suffix_of_a_text_in_pieces(spark):
+    """Passages across and at the borders of pieces are found, and nothing else."""
+    rng = np.random.default_rng(3)
+    passages = ["".join(map(chr, rng.integers(97, 123, 200))) for _ in range(3)]
+    n = suffix.PASS_BYTES
+    long = "".join(map(chr, rng.integers(65, 91, 2 * n + 30)))
+    for p, at in zip(passages, (n - 100, n - 300, 2 * n - 170), strict=True):  # the last ends with the text
+        long = long[:at] + p + long[at + 200 :]
+    made = [(1, passages[0]), (2, long), (3, passages[1]), (4, passages[2] + "!")]
+    got = {r.doc_id: r for r in suffix.dedup(spark.createDataFrame(made, "doc_id long, text string"), with_text=True).collect()}
+    assert (got[2].n_bytes, got[2].n_removed, got[2].n_spans) == (len(long), 200, 1)
+    assert got[2].kept_text == long.replace(passages[0], "") and got[3].kept_text == "" and got[4].kept_text == "!"
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>a</p>", "", None, "<p>a</p>", "é" * 100, "", "<p>b\r\n\r\nWARC/1.1</p>", "x" * 300_000]
     rows = [(k, None if k == 3 else f"http://h/{k} x\n", h, "c", 5) for k, h in enumerate(html)] + [(None, "u", "lost", "c", 5), (4, "again", "é" * 100, "c", 5)]

@@ -91,14 +91,17 @@ class UnitEncoder:
 
     def _lookup(self, h: np.ndarray, check: np.ndarray, code: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Place of each unit in the store, after the new ones have been encoded into it."""
-        order = np.argsort(h)
-        sorted_h = h[order]
-        lead = np.concatenate(([True], sorted_h[1:] != sorted_h[:-1]))
-        distinct, example = sorted_h[lead], order[lead]
-        inverse = np.empty(len(h), np.int64)
-        inverse[order] = np.cumsum(lead) - 1
-        if (check != check[example][inverse]).any():
-            raise ValueError("two units of a batch share a hash")
+        while True:
+            order = np.argsort(h)
+            sorted_h = h[order]
+            lead = np.concatenate(([True], sorted_h[1:] != sorted_h[:-1]))
+            distinct, example = sorted_h[lead], order[lead]
+            inverse = np.empty(len(h), np.int64)
+            inverse[order] = np.cumsum(lead) - 1
+            other = check != check[example][inverse]
+            if not other.any():
+                break
+            h = np.where(other, h * np.uint64(0x9E3779B97F4A7C15) + check, h)  # units that share a hash with another move on
         if len(self._hash) + len(distinct) > STORE_UNITS:
             self._forget()
         at = np.searchsorted(self._hash, distinct)
