@@ -83,7 +83,7 @@ def test_cutting_stock_uses_every_item(demand):
 def test_packing_of_classes_in_shares(spark):
     """A class of many shares keeps every piece, at one place, with no gap."""
     made = spark.range(0, 4000).select(F.col("id").alias("doc_id"), F.lit(0).alias("copy"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 3 == 0, 64).otherwise(F.col("id") % 60 + 1).cast("long").alias("length"))
-    rows = packing.pack(made, 64, share_rows=50).collect()
+    rows = packing.pack(made, 64, shares=2, share_rows=50).collect()
     assert sorted(r.doc_id for r in rows) == list(range(4000))
     at = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):

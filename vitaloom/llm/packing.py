@@ -124,22 +124,22 @@ def cutting_stock(demand: dict[int, int], capacity: int, rounds: int = 2000, tol
     return out
 
 
-def pack(pieces: DataFrame, length: int, grain: int = 8, share_rows: int = 200_000) -> DataFrame:
+def pack(pieces: DataFrame, length: int, grain: int = 8, shares: int = 64, share_rows: int = 200_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces of at most ``length`` tokens.
 
-    Classes are lengths rounded up to ``grain``. Ranks within a class are counted in independent shares of about
-    ``share_rows`` pieces and shifted by the shares' running totals, so that no class, however common, meets in one task.
-    The driver sees a count a class and one a share.
+    Classes are lengths rounded up to ``grain``. Ranks within a class are counted in ``shares`` independent shares, more
+    where these would hold over ``share_rows`` pieces, and shifted by the shares' running totals, so that no class,
+    however common, meets in one task. The driver sees a count a class and one a share.
     """
     spark = pieces.sparkSession
     pieces = pieces.withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
-    shares_of = [(r["size"], math.ceil(r["n"] / share_rows)) for r in pieces.groupBy("size").agg(F.count("*").alias("n")).collect()]
+    shares_of = [(r["size"], max(shares, math.ceil(r["n"] / share_rows))) for r in pieces.groupBy("size").agg(F.count("*").alias("n")).collect()]
     shares_of = spark.createDataFrame(shares_of, "size int, salts int")
     pieces = pieces.join(F.broadcast(shares_of), "size").withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy", "start"), F.col("salts")).cast("int")).drop("salts")
-    shares = sorted((r["size"], r["salt"], r["n"]) for r in pieces.groupBy("size", "salt").agg(F.count("*").alias("n")).collect())
+    counted = sorted((r["size"], r["salt"], r["n"]) for r in pieces.groupBy("size", "salt").agg(F.count("*").alias("n")).collect())
     demand: dict[int, int] = {}
     before = []
-    for size, salt, n in shares:
+    for size, salt, n in counted:
         before.append((size, salt, demand.get(size, 0)))
         demand[size] = demand.get(size, 0) + n
     slots, sequence, used = [], 0, dict.fromkeys(demand, 0)
