@@ -46,7 +46,7 @@ def class_of(own: np.ndarray) -> int:
 
 
 def with_class(docs: DataFrame, shingle: int) -> DataFrame:
-    """row (all columns), text, near_class (the name of the row's shingle set), near_size (the size of it), fp (SimHash of the shingles)."""
+    """row (all columns but the text), text, near_class (the name of the row's shingle set), near_size (the size of it), fp (SimHash of the shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,7 +60,7 @@ def with_class(docs: DataFrame, shingle: int) -> DataFrame:
             extra = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=["row", "text", "near_class", "near_size", "fp"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text"))
     return rows.mapInArrow(run, rows.withColumns({c: F.lit(0).cast("long") for c in ("near_class", "near_size", "fp")}).schema)
 
 
@@ -211,4 +211,4 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> Data
     won = slim.groupBy(group.alias("near_group")).agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "near_class", "near_key")).alias("w"))
     keyed = left.select("near_class", key, "row", "text").join(won.select("w.near_class", "w.near_key"), ["near_class", "near_key"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("near_class", "near_key").orderBy("text", F.xxhash64("row")))
-    return keyed.withColumn("near_rank", rank).where("near_rank = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return keyed.withColumn("near_rank", rank).where("near_rank = 1").select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
