@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaloom.llm import ann, chat, packing, pieces, pii, quality, secrets, simhash, suffix, warc
+from vitaloom.llm import ann, chat, codes, importance, packing, pieces, pii, quality, secrets, simhash, suffix, tokens, warc
 from vitaloom.llm.common import table
 
 #: Rows of one Arrow batch: texts may be long, so batches are short.
@@ -71,6 +71,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(prepared(spark), sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_digests(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(prepared(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -83,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash": op10_simhash,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_token_counts": op12_token_counts,
+        "op13_importance": op13_importance,
     }
 
 
@@ -94,6 +109,15 @@ def oracle_sql() -> dict[str, str]:
     for c in chat.CONTROL:
         escaped = f"replace({escaped}, '{c}', chr(92) || '{code[c[0]][1:] + c[1:]}')"
     digits = "('0x' || substr(h, 5 * i + 1, 5))::INTEGER"
+    nearest = """
+{c} AS (SELECT id, p, min(d * 64 + e) AS m FROM (
+  SELECT v.id, v.p, b.e, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.x[i]) ** 2))::BIGINT AS d FROM parts v JOIN {b} b ON b.p = v.p) GROUP BY id, p)"""
+    moved = """
+{b} AS (SELECT o.p, o.e, coalesce(m.x, o.x) AS x FROM {o} o LEFT JOIN (
+  SELECT p, e, list(q ORDER BY i) AS x FROM (
+    SELECT v.p, c.m % 64 AS e, i, floor(sum(v.x[i])::DOUBLE / count(*))::BIGINT AS q FROM {c} c JOIN parts v ON v.id = c.id AND v.p = c.p, generate_series(1, len(v.x)) AS g(i) GROUP BY ALL)
+  GROUP BY p, e) m ON m.p = o.p AND m.e = o.e)"""
+    rounds = ",".join([nearest.format(c="c0", b="b0"), moved.format(b="b1", o="b0", c="c0"), nearest.format(c="c1", b="b1"), moved.format(b="b2", o="b1", c="c1"), nearest.format(c="c2", b="b2")])
     base32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({digits} >> {k}) & 31) + 1, 1)" for k in (15, 10, 5, 0))
     return {
         "op2_warc": f"""
@@ -145,5 +169,32 @@ r AS (SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        (NOT base_failed AND {bounds}) AS kept FROM r
+""",
+        "op11_vector_codes": f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT id, p, x[p * len(x) // 16 + 1 : (p + 1) * len(x) // 16] AS x FROM kept, range(16) AS r(p)),
+b0 AS (SELECT p, id - 1 AS e, x FROM parts WHERE id <= 64),{rounds},
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM b2),
+coded AS (SELECT id, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM c2 GROUP BY id)
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM coded c JOIN kept k ON k.id = c.id, book
+""",
+        "op13_importance": r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+lowered AS (SELECT doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x, false AS target FROM documents
+            UNION ALL SELECT NULL, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), true FROM benchmark),
+words AS (SELECT id, target, unnest(regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM lowered),
+seen AS (SELECT id, target, w, count(*) AS n FROM words GROUP BY ALL),
+bytes AS (SELECT w, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM seen))),
+hashed AS (SELECT w, xor(4294967295, list_reduce(b, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295::BIGINT)) % 10000 AS bucket FROM bytes, tab),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE NOT target), 0) AS s, coalesce(sum(n) FILTER (WHERE target), 0) AS t FROM seen JOIN hashed USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS g FROM counts),
+weights AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM seen JOIN hashed USING (w) JOIN gain USING (bucket) WHERE NOT target GROUP BY id),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+           FROM documents LEFT JOIN weights ON id = doc_id),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored s LEFT JOIN ranked r ON r.doc_id = s.doc_id
 """,
     }
