@@ -49,6 +49,14 @@ STOPWORDS = tuple(
     "mujhe mera meri hai hain tha thi ka ki ke ko se kya kia kitna kitni aur".split()
 )
 
+# Words that the English text-search configuration leaves out.
+ENGLISH_STOPS = tuple(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once "
+    "here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
+)
+
 # Severities and priorities in rising order; statuses in the order in which one mention outranks another.
 SEVERITIES = ("info", "mild", "moderate", "severe", "contraindicated")
 STATUSES = ("present", "absent", "family", "hypothetical", "historical", "uncertain")
@@ -69,6 +77,10 @@ RATE_LIMITS = (
     ("share", 20, 3600), ("confirmExtraction", 20, 3600), ("deleteAccount", 3, 3600), ("settings", 60, 3600), ("read", 300, 60), ("file", 120, 60),
 )
 STALL_MINUTES = 15
+STALL_NOTE = 'Processing stopped unexpectedly and did not finish. Use "Reprocess" to try again.'
+
+# Answers are kept for so many seconds, and so many of them.
+ANSWER_SECONDS, ANSWERS_HELD = 300, 200
 
 # Row caps of the history summary, and token budgets of a prompt.
 HISTORY_CAPS = {"documents": 200, "medications": 60, "diagnoses": 60, "labs": 200, "allergies": 100}

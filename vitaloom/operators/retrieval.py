@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaloom.functions import fixed, scalars
 from vitaloom.functions.stem import stemmed
+from vitaloom.operators import lexical
+from vitaloom.operators.lexical import tokens
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,45 +30,121 @@ def ranked(df: DataFrame, by: list[str], score: str, ties: str, n: int = fixed.A
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def dense_arm(chunks: DataFrame, queries: DataFrame, chunk_id: str, vector: str, n: int = fixed.ARM_LIMIT, digits: int | None = None) -> DataFrame:
-    """query_id, chunk id, score, rank by cosine. Queries (query_id, q) are asked in blocks of about ``BLOCK_QUERIES``, each one pass over
-    all chunks; a block is sent to every task. Chunks without a vector take no part."""
-    size = lambda v: F.sqrt(dot(v, v))
-    held = chunks.where(F.col(vector).isNotNull()).select(chunk_id, vector, size(F.col(vector)).alias("_size"))
-    asked = queries.where(F.col("q").isNotNull()).select("query_id", "q", size(F.col("q")).alias("_asked"))
-    score = dot(F.col(vector), F.col("q")) / F.nullif(F.col("_size") * F.col("_asked"), F.lit(0.0))
-    blocks, out = max(1, -(-asked.count() // BLOCK_QUERIES)), None
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        both = held.join(F.broadcast(block)).select("query_id", chunk_id, (F.round(score, digits) if digits is not None else score).alias("score"))
-        part = ranked(both, ["query_id"], "score", chunk_id, n)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-#: Queries of one block of a dense search, which bounds what is sent to every task.
-BLOCK_QUERIES = 1000
+#: Chunks and queries that are scored against each other in one step of a dense search; an owner with more is dealt over several.
+SHARE_CHUNKS, SHARE_QUERIES = 20_000, 4_000
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+def _dealt(df: DataFrame, owner: str | None, id_col: str, own_size: int, other: DataFrame, other_owner: str | None, other_size: int, names: tuple[str, str]) -> DataFrame:
+    """``df`` with its own share by id in ``names[0]`` and a copy for each share of the other side in ``names[1]``.
 
-
-def lexical_arm(chunks: DataFrame, queries: DataFrame, chunk_id: str, text: str, n: int = fixed.ARM_LIMIT, stems: bool = False) -> DataFrame:
-    """query_id, chunk id, score, rank: 0.1 for every token of a chunk that is a query term.
+    Shares follow the counts of both sides, of each owner or of the whole table; the counts are part of the query's own plan.
+    """
+    own, others = names
+    if owner is None:
+        shares = lambda rows, size: F.greatest(F.lit(1), F.ceil(rows.select(F.count("*")).scalar() / size)).cast("int")
+        sized = df.withColumns({"_o": shares(df, own_size), "_c": shares(other, other_size)})
+    else:  # only owners with more than one share are looked up
+        many = lambda rows, by, size, to: rows.groupBy(F.col(by).alias(f"{to}k")).agg(F.ceil(F.count("*") / size).cast("int").alias(to)).where(F.col(to) > 1)
+        sized = df.join(many(df, owner, own_size, "_o"), F.col(owner) == F.col("_ok"), "left").join(many(other, other_owner, other_size, "_c"), F.col(owner) == F.col("_ck"), "left").drop("_ok", "_ck")
+    share = F.pmod(F.xxhash64(id_col), F.coalesce("_o", F.lit(1))).cast("int")
+    return sized.withColumn(own, share).withColumn(others, F.explode(F.sequence(F.lit(0), F.coalesce("_c", F.lit(1)) - 1))).drop("_o", "_c")
+
+
+def dense_arm(chunks: DataFrame, queries: DataFrame, chunk_id: str, vector: str, n: int = fixed.ARM_LIMIT, digits: int | None = None, owner: str | None = None) -> DataFrame:
+    """query_id, chunk id, score, rank by cosine, of chunks with the query's ``owner`` (of all chunks without one).
+
+    Chunks and queries (query_id, q, owner) meet by equality of owner, in shares of bounded size: a share of an owner's vectors times a share of its queries is one matrix
+    product, of which each query keeps its ``n`` best (with ties, by the smaller id). Only these are shuffled to the final ranking. Chunks without a vector, with a zero
+    one or with another length than the query's take no part, nor do rows whose owner is null.
+    """
+    own, asker = ([owner], ["_asker"]) if owner else ([], [])
+    held = chunks.where(F.col(vector).isNotNull()).select(*own, chunk_id, vector)
+    asked = queries.where(F.col("q").isNotNull()).select(*(F.col(o).alias("_asker") for o in own), "query_id", "q")
+    if owner:
+        held = held.join(asked.select("_asker").distinct(), F.col(owner) == F.col("_asker"), "left_semi")
+    left = _dealt(held, owner, chunk_id, SHARE_CHUNKS, asked, *asker or [None], SHARE_QUERIES, ("_share", "_part"))
+    right = _dealt(asked, *asker or [None], "query_id", SHARE_QUERIES, held, owner, SHARE_CHUNKS, ("_part", "_share"))
+    kinds = {name: df.schema[name].dataType.simpleString() for name, df in (("query_id", asked), (chunk_id, held))}
+
+    def best(vectors: pa.Table, questions: pa.Table) -> pa.Table:
+        found = [_best_of_share(vectors.column(chunk_id), v, questions.column("query_id"), q, n, digits) for v, q in _matrices(vectors.column(vector), questions.column("q"))]
+        names = ["query_id", chunk_id, "score"]
+        empty = pa.table([questions.column("query_id").slice(0, 0), vectors.column(chunk_id).slice(0, 0), pa.array([], pa.float64())], names=names)
+        return pa.concat_tables([empty, *(pa.table(list(f), names=names) for f in found)])
+
+    schema = f"query_id {kinds['query_id']}, {chunk_id} {kinds[chunk_id]}, score double"
+    tops = left.groupBy(*own, "_share", "_part").cogroup(right.groupBy(*asker, "_share", "_part")).applyInArrow(best, schema)
+    return ranked(tops, ["query_id"], "score", chunk_id, n)
+
+
+def _matrices(vectors: pa.ChunkedArray, questions: pa.ChunkedArray) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """For each length that both sides have: (places, unit rows) of the vectors and of the questions."""
+    sides = []
+    for column in (vectors, questions):
+        column = column.combine_chunks()
+        sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        sides.append((column, sizes))
+    for d in sorted(set(sides[0][1].tolist()) & set(sides[1][1].tolist()) - {0}):
+        out = []
+        for column, sizes in sides:
+            at = np.flatnonzero(sizes == d)
+            rows = pc.list_flatten(column.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(float).reshape(len(at), int(d))
+            norm = np.sqrt((rows * rows).sum(axis=1))
+            sound = np.isfinite(norm) & (norm > 0)
+            out.append((at[sound], rows[sound] / norm[sound, None]))
+        yield tuple(out)
+
+
+def _best_of_share(ids: pa.ChunkedArray, vectors: tuple[np.ndarray, np.ndarray], asked: pa.ChunkedArray, questions: tuple[np.ndarray, np.ndarray], n: int, digits: int | None) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Query ids, chunk ids and scores of each question's n best vectors, equal scores by the smaller id."""
+    (rows, v), (places, q) = vectors, questions
+    order = pc.sort_indices(ids.take(pa.array(rows))).to_numpy()
+    rows, v = rows[order], v[order]
+    who, what, scores = [], [], []
+    for at in range(0, len(places), 256):
+        block = q[at : at + 256] @ v.T
+        block = block if digits is None else np.round(block, digits)
+        for k, row in enumerate(block, at):
+            if len(row) > n:
+                least = np.partition(row, len(row) - n)[len(row) - n]
+                near = np.flatnonzero(row >= least)  # vectors are in order of id, so a stable sort keeps the smaller id of equals
+            else:
+                near = np.arange(len(row))
+            near = near[np.argsort(-row[near], kind="stable")][:n]
+            who.append(np.full(len(near), places[k]))
+            what.append(rows[near])
+            scores.append(row[near])
+    join = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
+    return asked.take(pa.array(join(who, np.int64))), ids.take(pa.array(join(what, np.int64))), join(scores, float)
+
+
+def lexical_arm(chunks: DataFrame, queries: DataFrame, chunk_id: str, text: str, n: int = fixed.ARM_LIMIT, stems: bool = False, owner: str | None = None) -> DataFrame:
+    """query_id, chunk id, score, rank: 0.1 for every token of a chunk that is a query term, which is the cover density of terms in any order (see
+    :func:`search_arm` for phrases and minus). Only chunks of the query's ``owner`` are found, if that column is given.
 
     With ``stems`` words match by English stem. Tokens are counted a chunk first (partial counts before the shuffle), then joined to the queries' terms.
     """
-    words = chunks.select(chunk_id, F.explode(tokens(F.col(text))).alias("term"))
-    terms = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+    own = [owner] if owner else []
+    words = chunks.select(chunk_id, *own, F.explode(tokens(F.col(text))).alias("term"))
+    terms = queries.select("query_id", *own, F.explode("terms").alias("term")).distinct()
     if stems:  # English stems on both sides; words that queries ask for are few, those of chunks are stemmed once each
         words, terms = stemmed(words), stemmed(terms).distinct()
     # only words that some query asks for are counted; the term list is small or shuffled, as its size says
-    counted = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy(chunk_id, "term").agg(F.count("*").alias("tf"))
-    scores = counted.join(terms, "term").groupBy("query_id", chunk_id).agg((F.sum("tf") * 0.1).alias("score"))
+    counted = words.join(terms.select(*own, "term").distinct(), [*own, "term"], "left_semi").groupBy(chunk_id, *own, "term").agg(F.count("*").alias("tf"))
+    scores = counted.join(terms, [*own, "term"]).groupBy("query_id", chunk_id).agg((F.sum("tf") * 0.1).alias("score"))
     return ranked(scores, ["query_id"], "score", chunk_id, n)
 
 
+def search_arm(postings: DataFrame, queries: DataFrame, chunk_id: str, n: int = fixed.ARM_LIMIT, owner: str | None = None, english: bool = True, any_term: bool = True, digits: int = 6) -> DataFrame:
+    """query_id, chunk id, score (rounded, so that ties are ties whatever order covers are summed in), rank by cover density over a positional index (:func:`lexical.index`, kept columns: the owner).
+
+    ``queries`` has query_id and ``text``, in which quotes make phrases and a minus takes a word or phrase out; one without two letters or digits in a row asks nothing.
+    """
+    asked = lexical.parsed_queries(queries.where(scalars.has_words(F.col("text"))), "text", english, any_term)
+    found = lexical.searched(postings, asked, chunk_id, owner).withColumn("score", F.round("score", digits))
+    return ranked(found, ["query_id"], "score", chunk_id, n)
+
+
 def fused(dense: DataFrame, lexical: DataFrame, chunk_id: str, k: int = fixed.RRF_K) -> DataFrame:
     """query_id, chunk id, rrf, similarity (null for lexical finds), arms. A union and one grouping in place of a full join."""
     part = 1.0 / (F.lit(k) + F.col("rank"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitaloom.functions import fixed, scalars
-from vitaloom.operators import budget, linking, records, retrieval, safety, text
+from vitaloom.operators import budget, lexical, linking, records, retrieval, safety, text
 from vitaloom.plans import catalogues as cat
 from vitaloom.plans import fixtures as fx
 from vitaloom.plans.catalogue import register
@@ -51,6 +51,62 @@ def lexical_topk(spark, sf_dir):
     return _lexical(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: Three owners, one of which has half of all rows; an owner's questions find its own rows only.
+_OWNER = "CASE WHEN {0} % 4 < 2 THEN 0 ELSE {0} % 4 - 1 END"
+
+
+@register("dense_topk_owned", f"""WITH e AS (SELECT *, {_OWNER.format("vec_id")} AS owner, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS size FROM e),
+ s AS (SELECT q.vec_id AS query_id, e.owner, e.vec_id, round(list_dot_product(e.v, q.v) / (e.size * q.size), 4) AS score FROM n e JOIN n q ON q.owner = e.owner WHERE q.vec_id % 20 IN (0, 11))
+ SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s QUALIFY rank <= 20""")
+def dense_topk_owned(spark, sf_dir):
+    e = scan(spark, sf_dir, "embeddings", "vec_id", "embedding", F.expr(_OWNER.format("vec_id")).alias("owner"))
+    q = e.where(F.pmod("vec_id", F.lit(20)).isin(0, 11)).select(F.col("vec_id").alias("query_id"), "owner", F.col("embedding").alias("q"))
+    return retrieval.dense_arm(e, q, "vec_id", "embedding", digits=4, owner="owner")
+
+
+@register("lexical_topk_owned", f"""WITH q AS (SELECT item_id AS query_id, {_OWNER.format("item_id")} AS owner, unnest({_TERMS}) AS term FROM benchmark), w AS (SELECT doc_id, {_OWNER.format("doc_id")} AS owner, unnest({_WORDS}) AS term FROM documents),
+ s AS (SELECT query_id, doc_id, round(count(*) * 0.1::DOUBLE, 6) AS score FROM w JOIN q USING (owner, term) GROUP BY ALL)
+ SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s QUALIFY rank <= 20""")
+def lexical_topk_owned(spark, sf_dir):
+    docs = scan(spark, sf_dir, "documents", "doc_id", "text", F.expr(_OWNER.format("doc_id")).alias("owner"))
+    asked = _asked(spark, sf_dir).withColumn("owner", F.expr(_OWNER.format("query_id")))
+    return retrieval.lexical_arm(docs, asked, "doc_id", "text", owner="owner").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _items(spark, sf_dir, *parts):
+    """Questions made of the distinct words of every benchmark item, which are w1, w2 … in order."""
+    words = F.array_distinct(retrieval.tokens(F.col("text")))
+    items = scan(spark, sf_dir, "benchmark", F.col("item_id").alias("query_id"), words.alias("w")).where(F.size("w") >= 6)
+    return items.select("query_id", F.concat(*[F.get("w", F.lit(p)) if isinstance(p, int) else F.lit(p) for p in parts]).alias("text"))
+
+
+def _searched(spark, sf_dir, asked, **options):
+    terms = lexical.parsed_queries(asked, "text", english=False).select(F.explode("terms").alias("term"))
+    postings = lexical.index(scan(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", english=False, only=terms)
+    return retrieval.search_arm(postings, asked, "doc_id", english=False, **options)
+
+
+_ITEMS_SQL = f"""i AS (SELECT item_id AS query_id, (SELECT list(x ORDER BY k) FROM (SELECT x, min(k) AS k FROM (SELECT unnest(ws) AS x, generate_subscripts(ws, 1) AS k) GROUP BY x)) AS w FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(list_distinct(ws)) >= 6),
+ p AS (SELECT doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS spot FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))"""
+_TOP_SQL = "SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s QUALIFY rank <= 20"
+
+
+@register("lexical_phrase", f"""WITH {_ITEMS_SQL}, n AS (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY spot) AS follows FROM p),
+ h AS (SELECT query_id, doc_id FROM i JOIN n ON term = w[1] AND follows = w[2] UNION ALL SELECT query_id, doc_id FROM i JOIN p ON term = w[5]),
+ s AS (SELECT query_id, doc_id, round(count(*) * 0.1::DOUBLE, 6) AS score FROM h GROUP BY ALL) {_TOP_SQL}""")
+def lexical_phrase(spark, sf_dir):
+    """``"w1 w2" "w5"``: either is enough; an occurrence of the phrase or of the word is a cover of its own."""
+    return _searched(spark, sf_dir, _items(spark, sf_dir, '"', 0, " ", 1, '" "', 4, '"'))
+
+
+@register("lexical_minus", f"""WITH {_ITEMS_SQL}, e AS (SELECT query_id, doc_id, spot, term FROM i JOIN p ON term IN (w[1], w[2])), gone AS (SELECT DISTINCT query_id, doc_id FROM i JOIN p ON term = w[6]),
+ c AS (SELECT query_id, doc_id, CASE WHEN lag(term) OVER x <> term THEN 0.1::DOUBLE / (spot - lag(spot) OVER x) END AS cover FROM e WINDOW x AS (PARTITION BY query_id, doc_id ORDER BY spot)),
+ s AS (SELECT query_id, doc_id, round(sum(cover), 6) AS score FROM c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.query_id = c.query_id AND g.doc_id = c.doc_id) GROUP BY ALL HAVING sum(cover) IS NOT NULL) {_TOP_SQL}""")
+def lexical_minus(spark, sf_dir):
+    """``"w1" "w2" -"w6"``, all of which must hold: covers reach from one of the two words to the next of the other."""
+    return _searched(spark, sf_dir, _items(spark, sf_dir, '"', 0, '" "', 1, '" -"', 5, '"'), any_term=False)
+
+
 @register("lexical_topk_stems")
 def lexical_topk_stems(spark, sf_dir):
     found = retrieval.lexical_arm(scan(spark, sf_dir, "documents", "doc_id", "text"), _asked(spark, sf_dir), "doc_id", "text", stems=True)

@@ -28,6 +28,12 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str, where: Colu
     return df.select(*columns) if columns else df
 
 
+def live_scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The same table as a stream of its files, a bounded number of them a micro-batch."""
+    files = spark.readStream.schema(scan(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 100)
+    return files.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
 def look_up(df: DataFrame, id_col: str, id_: object, owner_col: str, owner: object) -> DataFrame:
     return df.where((F.col(id_col) == F.lit(id_)) & (F.col(owner_col) == F.lit(owner))).limit(1)
 

@@ -10,9 +10,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vitaloom.functions import fixed
+from vitaloom.streaming.state import micros, timer_after
 
 
 def limited(events: DataFrame, keys: list[str], ts: str, ties: str, limit: int, seconds: int) -> DataFrame:
@@ -41,39 +42,46 @@ def limited(events: DataFrame, keys: list[str], ts: str, ties: str, limit: int,
     return rows.repartition(*keys).sortWithinPartitions(*keys, "t", "id").mapInPandas(run, made.schema)
 
 
-def limited_stream(events: DataFrame, keys: dict[str, str], ts: str, id_col: str, limit: int, seconds: int) -> DataFrame:
-    """Streaming twin: state is (count, reset); it goes by event-time timeout once its window has passed the watermark."""
-    window = seconds * 1_000_000
-    names = list(keys)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, reset = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values([ts, id_col])
-        out = []
-        for t, i in zip(rows[ts].astype("int64") // (1 if str(rows[ts].dtype).endswith("[us]") or str(rows[ts].dtype).startswith("datetime64[us") else 1000), rows[id_col], strict=True):
-            t = int(t)
+class Limiter(StatefulProcessor):
+    """State of a key: requests counted in its window and the end of the window, with a timer that ends both."""
+
+    def __init__(self, names: list[str], ts: str, id_col: str, limit: int, window: int):
+        self.names, self.ts, self.id_col, self.limit, self.window = names, ts, id_col, limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("window", "count long, reset long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values([self.ts, self.id_col])
+        count, reset = self.state.get() if self.state.exists() else (0, None)
+        if reset is not None:
+            self.handle.deleteTimer(timer_after(reset))
+        accepted, waits, times = [], [], micros(new[self.ts])
+        for t in times:
             if reset is None or reset <= t:
-                count, reset = 1, t + window
-                out.append((*key, t, i, True, None))
-            elif count >= limit:
-                out.append((*key, t, i, False, max(1, -(-(reset - t) // 1_000_000))))
-            else:
-                count += 1
-                out.append((*key, t, i, True, None))
-        state.update((count, reset))
-        try:
-            state.setTimeoutTimestamp(max(reset // 1000, state.getCurrentWatermarkMs() + 1))
-        except ValueError:  # the window already lies behind the watermark
-            pass
-        frame = pd.DataFrame(out, columns=[*names, "t", "id", "accepted", "retry_after"])
-        frame["retry_after"] = frame["retry_after"].astype("Int64")
-        yield frame
+                count, reset = 0, t + self.window
+            full = count >= self.limit
+            count += not full
+            accepted.append(not full)
+            waits.append(max(1, -((t - reset) // 1_000_000)) if full else None)
+        self.state.update((count, reset))
+        self.handle.registerTimer(timer_after(reset))
+        own = {k: [v] * len(times) for k, v in zip(self.names, key, strict=True)}
+        yield pd.DataFrame(own | {"t": times, "id": new[self.id_col].tolist(), "accepted": accepted, "retry_after": pd.array(waits, "Int64")})
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({k: [] for k in (*self.names, "t", "id", "accepted", "retry_after")})
+
+    def close(self) -> None:
+        pass
+
+
+def limited_stream(events: DataFrame, keys: dict[str, str], ts: str, id_col: str, limit: int, seconds: int) -> DataFrame:
+    """Streaming twin: a key's state goes once the watermark has passed the end of its window; needs the RocksDB state store."""
     schema = ", ".join(f"{k} {v}" for k, v in keys.items()) + ", t long, id long, accepted boolean, retry_after long"
-    return events.groupBy(*names).applyInPandasWithState(run, schema, "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.groupBy(*keys).transformWithStateInPandas(Limiter(list(keys), ts, id_col, limit, seconds * 1_000_000), schema, "append", "EventTime")
 
 
 def stalled(work: DataFrame, as_of, status: str = "status", started: str = "started_at", updated: str = "updated_at", minutes: int = fixed.STALL_MINUTES) -> DataFrame:
