@@ -53,12 +53,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
+    for seen in _RECORDS:
+        seen.append(out)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a materialised table that nothing reads any more."""
-    remove_path(df.sparkSession, df._kept_at)
+_RECORDS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that are materialised inside, so that they can go once nothing reads them."""
+    seen: list[DataFrame] = []
+    _RECORDS.append(seen)
+    try:
+        yield seen
+    finally:
+        _RECORDS[:] = [r for r in _RECORDS if r is not seen]
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        remove_path(df.sparkSession, df._kept_at)
 
 
 @contextmanager

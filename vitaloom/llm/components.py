@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitaloom.llm.common import materialize
+from vitaloom.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         after = _star(_star(edges, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False)
-        edges = materialize(after, "edges")
+        before, edges = edges, materialize(after, "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == tuple(now):
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitaloom.llm.common import materialize
+from vitaloom.llm.common import discard, materialize, recorded
 from vitaloom.llm.components import connected_components
 from vitaloom.llm.simhash import fingerprint_of, groups_of, shingle_hashes
 
@@ -201,9 +201,11 @@ def near_copies(rows: DataFrame, shingle: int = 5, similarity: int = 80) -> Data
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
     """One row of each group of near copies: of the smallest doc_id; a row without id only where its group has no other."""
     rows = materialize(with_class(docs, shingle), "classes")
-    gone = materialize(_as_fingerprints_say(rows, shingle, similarity), "gone")
-    left = rows.join(gone, "near_class", "left_anti")
-    heads = materialize(near_copies(left, shingle, similarity), "heads")
+    with recorded() as passing:
+        gone = materialize(_as_fingerprints_say(rows, shingle, similarity), "gone")
+        left = rows.join(gone, "near_class", "left_anti")
+        heads = materialize(near_copies(left, shingle, similarity), "heads")
+    discard(*(t for t in passing if t is not gone and t is not heads))
     group = F.coalesce("head", "near_class")
     id_ = F.col("row")["doc_id"].cast("long")
     key = F.coalesce(id_.cast("string"), F.lit("none")).alias("near_key")

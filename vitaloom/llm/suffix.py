@@ -218,7 +218,7 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     if not 32 <= length <= GRAM + 31:
         raise ValueError(f"length must lie between 32 and {GRAM + 31}")
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"), *([F.struct(*carry).alias("row")] if carry else []))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []))
     rows = rows.withColumn("digest", F.xxhash64("raw"))
     # copies: texts by digest of all their bytes; a row whose text also occurs under a smaller id is settled
     keyed = rows.select("doc_id", "digest", F.unhex(F.sha2("raw", 256)).alias("full"), F.octet_length("raw").alias("n"))
