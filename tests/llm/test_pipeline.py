@@ -95,3 +95,35 @@ def test_near_copies_without_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in left) == sorted((i or 0, t) for i, t in [rows[0], rows[3], rows[5], *rows[6:]])
+
+
+def test_stages_pass_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    """Extra columns with dots and with names that the operators use; repeated rows; no rows at all; no n_chars."""
+    extra = ["a.b", "row", "digest", "share", "near_class", "found", "payload"]
+    good = GOOD.format("k0 t0 f0", "0 is 0 or 7 then 5 again 11 times over")
+    rows = [(1, good, *extra), (1, good, *extra), (2, None, *extra), (None, good + " or so", *extra)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in extra))
+    for source in (docs, docs.limit(0)):
+        got = source
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, got, "")
+            assert name == "packing" or out.columns == docs.columns
+            path = f"{tmp_path}/{source is docs}{k}"
+            out.write.parquet(path)
+            got = spark.read.parquet(path)
+            assert name == "packing" or all(r["a.b"] == "a.b" and r["row"] == "row" for r in got.collect())
+        assert (got.count() > 0) == (source is docs)
+
+
+def test_tables_of_a_stage_go(spark, tmp_path):
+    """What a stage left is removed when the next one begins; ``run`` leaves nothing but its result."""
+    import os
+
+    from vitaloom.llm import common
+
+    spark.createDataFrame([(k, GOOD.format(f"k{k} t{k}", f"{k} is {k * k} or {k * 7}"), 1) for k in range(3)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    new = set(os.listdir(folder)) - before
+    assert rows and len([n for n in new if n.startswith("vitaloom-")]) == 1
