@@ -110,9 +110,13 @@ def test_sections_and_chunks(spark):
 
 
 def test_rule_entities(spark):
-    docs = spark.createDataFrame([(1, "Tab. Metformin 850mg BD"), (2, "in april took Amlodipine"), (3, "Type 2 Diabetes with hypertension"), (4, "prediabetesX")], "id int, t string")
-    got = {(r.id, r.text.lower(), r.score) for r in text.rule_entities(docs, "id", "t", ["diabetes", "type 2 diabetes", "hypertension"], ["hba1c"]).collect()}
-    assert got == {(1, "metformin", 0.75), (2, "amlodipine", 0.4), (3, "type 2 diabetes", 0.8), (3, "hypertension", 0.8)}
+    rows = [(1, "Tab. Metformin 850mg BD"), (2, "in april took Amlodipine"), (3, "Type 2  Diabetes with hypertension, HbA1c"), (4, "prediabetesX"), (5, "co-amoxicillin PO"), (6, "Amlodipine\namlodipine 5 mg"), (7, None), (8, ""), (9, "atorvastatin inhaler"), (10, "losartan xtabs")]
+    docs = spark.createDataFrame(rows, "id int, t string")
+    got = {(r.id, r.type, r.text, r.score) for r in text.rule_entities(docs, "id", "t").collect()}
+    assert got == {
+        (1, "medication", "Metformin", 0.75), (1, "dosage", "850mg", 1.0), (1, "frequency", "BD", 1.0), (2, "medication", "Amlodipine", 0.4), (3, "condition", "Type 2  Diabetes", 0.9), (3, "condition", "hypertension", 0.9), (3, "lab_test", "HbA1c", 0.9),
+        (5, "medication", "co-amoxicillin", 0.75), (6, "medication", "amlodipine", 0.75), (6, "dosage", "5 mg", 1.0), (9, "medication", "atorvastatin", 0.75), (10, "medication", "losartan", 0.4),
+    }
 
 
 def test_linking_repeats_and_nulls(spark):

@@ -1,11 +1,14 @@
-"""Scalar functions as Column → Column. No Python runs in a row; ``as_of`` takes the place of a clock."""
+"""Scalar functions as Column → Column. No Python runs in a row, but for :func:`composed`; ``as_of`` takes the place of a clock."""
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitaloom.functions import fixed
 
@@ -124,9 +127,23 @@ def confidence(c: Column, fallback: int) -> Column:
     return F.coalesce(F.least(F.lit(100), F.greatest(F.lit(0), F.round(c).cast("int"))), F.lit(fallback))
 
 
+#: Characters that composition may change or join: marks, and those that decompose into something else.
+_COMPOSES = r"[\p{M}\x{0340}-\x{0345}\x{0374}\x{037E}\x{0387}\x{0958}-\x{095F}\x{09DC}-\x{09DF}\x{0A33}-\x{0A5E}\x{0B5C}\x{0B5D}\x{0F43}-\x{0FB9}\x{1100}-\x{11FF}\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+
+
+def composed(c: Column) -> Column:
+    """Canonical composition. Only texts that hold a character which it could touch cross to Python, batch by batch."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return F.coalesce(run(F.when(F.rlike(c, F.lit(_COMPOSES)), c)), c)
+
+
 def urdu_normal(c: Column) -> Column:
-    """Comparable form: no invisible marks or vowel signs, letters and digits folded, punctuation as blanks. Composed text is expected."""
-    s = F.regexp_replace(c, r"[​-‏‪-‮⁠-⁤﻿ـ]", "")
+    """Comparable form: composed, no invisible marks or vowel signs, letters and digits folded, punctuation as blanks."""
+    s = F.regexp_replace(composed(c), r"[​-‏‪-‮⁠-⁤﻿ـ]", "")
     s = F.regexp_replace(s, r"[ؐ-ًؚ-ٰٟۖ-ۭ]", "")
     s = ascii_digits(F.translate(s, *fixed.LETTER_FOLDING))
     return squeeze(F.regexp_replace(s, fixed.URDU_PUNCTUATION, " "))

@@ -56,17 +56,19 @@ def canonical_labs(labs: DataFrame, analytes: DataFrame, name_col: str, value_co
     return linked.withColumns({"display": F.coalesce("display", name_col), "canonical_value": value}).drop("factors")
 
 
-def link_conditions(df: DataFrame, conditions: DataFrame, raw_col: str, local_terms: DataFrame | None = None) -> DataFrame:
-    """Add code, canonical, matched_on, confidence: exact (1 / 0.95), local word (0.85), token subset (0.95 / 0.6); first hit wins."""
+def link_conditions(df: DataFrame, conditions: DataFrame, raw_col: str, lexicon: DataFrame | None = None) -> DataFrame:
+    """Add code, canonical, matched_on, confidence: exact (1 / 0.95), a condition or symptom of the lexicon in any of its spellings (0.85), token
+    subset (0.95 / 0.6); first hit wins."""
     names = df.select(F.col(raw_col).alias("_raw")).distinct().withColumn("_name", condition_name(F.col("_raw")))
     entries = conditions.select("code", "canonical", "ordinal", F.posexplode(F.concat(F.array("canonical"), "aliases")).alias("_p", "_e")).withColumn("_name", condition_name(F.col("_e")))
     index = entries.where("_name <> ''").groupBy("_name").agg(F.min_by(F.struct("code", "canonical", (F.col("_p") == 0).alias("head")), F.struct((F.col("_p") > 0), "ordinal", "_p")).alias("hit"))
     exact = names.join(index, "_name", "left").withColumn("link", F.when(F.col("hit").isNotNull(), F.struct(F.col("hit.code"), F.col("hit.canonical"), F.when(F.col("hit.head"), "exact").otherwise("alias").alias("matched_on"), F.when(F.col("hit.head"), 1.0).otherwise(0.95).alias("confidence"))))
     out = exact.select("_raw", "_name", F.col("link").alias("_exact"))
-    if local_terms is not None:
-        local = local_terms.select(scalars.urdu_normal(F.col("local")).alias("_name"), condition_name(F.col("english")).alias("_en"))
-        by_local = local.join(index.withColumnRenamed("_name", "_en"), "_en").groupBy("_name").agg(F.min("hit").alias("_lh"))
-        out = out.join(by_local, "_name", "left").withColumn("_local", F.when(F.col("_lh").isNotNull(), F.struct(F.col("_lh.code"), F.col("_lh.canonical"), F.lit("local").alias("matched_on"), F.lit(0.85).alias("confidence")))).drop("_lh")
+    if lexicon is not None:
+        said = local_terms(names.where("_name <> ''").select("_raw"), lexicon, "_raw").where(F.col("kind").isin(*fixed.CONDITION_KINDS))
+        by_local = said.select("_raw", condition_name(F.col("english")).alias("_en")).join(index.select(F.col("_name").alias("_en"), F.col("hit").alias("_lh")), "_en").select("_raw", "_lh")
+        local = F.struct(F.col("_lh.code"), F.col("_lh.canonical"), F.lit("local-language").alias("matched_on"), F.lit(0.85).alias("confidence"))
+        out = out.join(by_local, "_raw", "left").withColumn("_local", F.when(F.col("_lh").isNotNull(), local)).drop("_lh")
     else:
         out = out.withColumn("_local", F.lit(None).cast("struct<code:string,canonical:string,matched_on:string,confidence:double>"))
     words = lambda c: F.array_distinct(F.split(c, " "))
@@ -87,20 +89,29 @@ def suggested_code(confidence: Column, code: Column) -> Column:
     return F.when(confidence >= 0.85, code)
 
 
-def local_terms(df: DataFrame, lexicon: DataFrame, phrase_col: str) -> DataFrame:
-    """Add ``english`` of a phrase: by folded script, by the word itself, or by sound (keys of 3 or more letters).
+def spelling_index(lexicon: DataFrame) -> DataFrame:
+    """key, english, kind, ordinal of every spelling: ``u:`` folded script, ``l:`` the romanised word itself, ``p:`` its sound where that has 3 letters; the
+    first entry of a key counts. lexicon: (english, kind, urdu array<string>, roman array<string>, ordinal)."""
+    terms = ["english", "kind", "ordinal"]
+    script = lexicon.select(*terms, F.explode("urdu").alias("w")).select(*terms, F.concat(F.lit("u:"), scalars.urdu_normal(F.col("w"))).alias("key"))
+    roman = lexicon.select(*terms, F.explode("roman").alias("w"))
+    literal = roman.select(*terms, F.concat(F.lit("l:"), scalars.squeeze(F.lower("w"))).alias("key"))
+    sound = scalars.phrase_key(F.col("w"))
+    heard = roman.where(F.length(F.replace(sound, F.lit(" "), F.lit(""))) >= fixed.LEAST_SOUND).select(*terms, F.concat(F.lit("p:"), sound).alias("key"))
+    index = script.union(literal).union(heard).where(F.length("key") > 2)
+    return index.groupBy("key").agg(F.min_by(F.struct("english", "kind", "ordinal"), "ordinal").alias("t")).select("key", "t.*")
 
-    lexicon: (english, kind, urdu array<string>, roman array<string>, ordinal).
-    """
-    key = F.when(scalars.script(F.col(phrase_col)).isin("urdu", "mixed"), F.concat(F.lit("u:"), scalars.urdu_normal(F.col(phrase_col)))).otherwise(F.concat(F.lit("r:"), F.lower(F.trim(phrase_col))))
-    sound = F.when(F.length(scalars.phrase_key(F.col(phrase_col))) >= 3, F.concat(F.lit("s:"), scalars.phrase_key(F.col(phrase_col))))
-    urdu = lexicon.select("english", "ordinal", F.explode("urdu").alias("w")).select("english", "ordinal", F.concat(F.lit("u:"), scalars.urdu_normal(F.col("w"))).alias("k"))
-    roman = lexicon.select("english", "ordinal", F.explode("roman").alias("w"))
-    spelt = roman.select("english", "ordinal", F.concat(F.lit("r:"), F.lower("w")).alias("k"))
-    heard = roman.select("english", "ordinal", F.concat(F.lit("s:"), scalars.phrase_key(F.col("w"))).alias("k")).where(F.length("k") >= 5)
-    index = urdu.union(spelt).union(heard).groupBy("k").agg(F.min_by("english", "ordinal").alias("e"))
-    a, b = index.select(F.col("k").alias("_k1"), F.col("e").alias("_e1")), index.select(F.col("k").alias("_k2"), F.col("e").alias("_e2"))
-    return df.withColumns({"_1": key, "_2": sound}).join(a, F.col("_1") == F.col("_k1"), "left").join(b, F.col("_2") == F.col("_k2"), "left").withColumn("english", F.coalesce("_e1", "_e2")).drop("_1", "_2", "_k1", "_e1", "_k2", "_e2")
+
+def local_terms(df: DataFrame, lexicon: DataFrame, phrase_col: str) -> DataFrame:
+    """Add ``english`` and ``kind`` of a phrase: one with a letter of the script by its folded script alone, else by the word itself, else by its sound."""
+    index = spelling_index(lexicon)
+    phrase = F.col(phrase_col)
+    first = F.when(scalars.has_urdu(phrase), F.concat(F.lit("u:"), scalars.urdu_normal(phrase))).otherwise(F.concat(F.lit("l:"), scalars.squeeze(F.lower(phrase))))
+    second = F.when(~scalars.has_urdu(phrase), F.concat(F.lit("p:"), scalars.phrase_key(phrase)))
+    names = df.select(phrase_col).distinct().select(phrase.alias("_p"), first.alias("_1"), second.alias("_2"))
+    by = lambda key, to: index.select(F.col("key").alias(key), F.struct("english", "kind").alias(to))
+    found = names.join(by("_1", "_a"), "_1", "left").join(by("_2", "_b"), "_2", "left").select("_p", F.coalesce("_a", "_b").alias("_t"))
+    return df.join(found, F.col(phrase_col) == F.col("_p"), "left").withColumns({"english": F.col("_t.english"), "kind": F.col("_t.kind")}).drop("_p", "_t")
 
 
 def drug_matches(names: DataFrame, candidates: DataFrame, name_col: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,26 +11,45 @@ from vitaloom.functions import fixed, scalars
 from vitaloom.operators import linking, relational, retrieval, safety, text
 
 
-def found_terms(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str, longest: int = 5) -> DataFrame:
-    """id, place, matched, english: local terms of a text, longest first from left to right, without overlap.
+def found_terms(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, place, matched, english, kind: local terms of a text, longest first from left to right, without overlap.
 
-    Every phrase of up to ``longest`` words meets the lexicon in one equi-join; the greedy choice is a fold over a text's few matches.
+    A run of words is a term by its folded script if a letter of it is in that script, else by the words themselves, else by their sound, in which words
+    without Latin letters count nothing. Each place meets the lexicon by its first word in one equi-join and is compared there with the words that follow, as many as
+    the longest spelling has; the greedy choice is a fold over a text's few matches.
     """
-    words = F.filter(F.split(scalars.urdu_normal(F.lower(text_col)), " "), lambda w: w != "")
-    at = docs.select(id_col, words.alias("_w")).where(F.size("_w") > 0)
-    grams = at.select(id_col, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("_w", i, n), " ").alias("p")))).otherwise(F.array().cast("array<struct<i:int,n:int,p:string>>"))))).alias("g"))
-    spelt = lexicon.select("english", "ordinal", F.explode(F.concat("urdu", "roman")).alias("s")).groupBy(scalars.urdu_normal(F.lower("s")).alias("p")).agg(F.min_by("english", "ordinal").alias("english"))
-    hits = grams.select(id_col, "g.i", "g.n", "g.p").join(spelt, "p")
-    folded = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("m"), "n", "p", "english"))).alias("h"))
-    none = F.array().cast("array<struct<i:int,m:int,n:int,p:string,english:string>>")
+    spelt = linking.spelling_index(lexicon).withColumn("full", F.substring("key", 3, 1 << 20))
+    spelt = spelt.select(F.concat(F.left("key", F.lit(2)), F.element_at(F.split("full", " "), 1)).alias("k"), F.left("key", F.lit(1)).alias("how"), "full", "english", F.col("kind").alias("_kind"))
+    longest = lexicon.select(F.max(F.array_max(F.transform(F.concat("urdu", "roman"), lambda p: F.size(F.split(F.trim(p), r"\s+")))))).scalar()
+    words = F.filter(F.split(scalars.urdu_normal(F.col(text_col)), fixed.TERM_SEPARATORS), lambda w: w != "")
+    at = docs.select(id_col, words.alias("_w"), longest.alias("_l")).where(F.size("_w") > 0)
+    at = at.withColumn("_k", F.transform("_w", scalars.sound_key))
+    spans = F.transform("_w", lambda w, i: F.struct((i + 1).alias("i"), F.slice("_w", i + 1, F.col("_l")).alias("w"), F.slice("_k", i + 1, F.col("_l")).alias("k")))
+    place = at.select(id_col, F.explode(spans).alias("s")).select(id_col, "s.*")
+    heard = F.get(F.array_remove("k", ""), F.lit(0))
+    keys = F.array(F.concat(F.lit("u:"), F.get("w", F.lit(0))), F.concat(F.lit("l:"), F.lower(F.get("w", F.lit(0)))), F.concat(F.lit("p:"), heard))
+    near = place.select(id_col, "i", "w", F.col("k").alias("sounds"), F.explode(F.array_compact(keys)).alias("k")).join(spelt, "k")
+    joined = lambda xs: F.array_join(xs, " ")
+
+    def holds(n: Column) -> Column:
+        own, how, full = F.slice("w", F.lit(1), n), F.col("how"), F.col("full")
+        script = F.exists(own, scalars.has_urdu)
+        by_sound = joined(F.array_remove(F.slice("sounds", F.lit(1), n), ""))
+        return F.when(how == "u", script & (joined(own) == full)).when(how == "l", ~script & (F.lower(joined(own)) == full)).otherwise(~script & (by_sound == full))
+
+    span = F.array_max(F.filter(F.sequence(F.lit(1), F.size("w")), holds))
+    hits = near.withColumn("n", span).where("n IS NOT NULL")
+    best = hits.groupBy(id_col, "i").agg(F.min_by(F.struct("n", joined(F.slice("w", F.lit(1), F.col("n"))).alias("p"), "english", F.col("_kind").alias("kind")), F.struct(-F.col("n"), F.col("how") == "p")).alias("b"))
+    folded = best.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "b.*"))).alias("h"))
+    none = F.array().cast("array<struct<i:int,n:int,p:string,english:string,kind:string>>")
     start = F.struct(F.lit(0).alias("end"), none.alias("out"))
     taken = F.aggregate("h", start, lambda a, x: F.when(x["i"] >= a["end"], F.struct((x["i"] + x["n"]).alias("end"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a))["out"]
-    return folded.select(id_col, F.explode(taken).alias("t")).select(id_col, F.col("t.i").alias("place"), F.col("t.p").alias("matched"), F.col("t.english").alias("english"))
+    return folded.select(id_col, F.explode(taken).alias("t")).select(id_col, F.col("t.i").alias("place"), F.col("t.p").alias("matched"), F.col("t.english").alias("english"), F.col("t.kind").alias("kind"))
 
 
-def diagnosis_rows(diagnoses: DataFrame, conditions: DataFrame) -> DataFrame:
+def diagnosis_rows(diagnoses: DataFrame, conditions: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """(doc, condition, status …) → rows to store: own findings only, cut to width, canonical name at any confidence, code from 0.85."""
-    linked = linking.link_conditions(text.own_findings(diagnoses, "status"), conditions, "condition")
+    linked = linking.link_conditions(text.own_findings(diagnoses, "status"), conditions, "condition", lexicon)
     return linked.select("doc", scalars.clamped(F.col("condition"), 300).alias("condition"), F.coalesce("canonical", "condition").alias("canonical_condition"), linking.suggested_code(F.col("confidence"), F.col("code")).alias("icd10_code"), "status").where("condition IS NOT NULL")
 
 
@@ -62,19 +83,60 @@ def allergy_rows(allergies: DataFrame) -> DataFrame:
     return own.select("doc", scalars.clamped(F.col("allergen"), 500).alias("allergen"), scalars.clamped(F.col("allergyType"), 100).alias("allergyType"), scalars.clamped(F.col("severity"), 100).alias("severity"), "reaction", "assertionStatus").where("allergen IS NOT NULL")
 
 
-def reconciled(docs: DataFrame, diagnoses: DataFrame, entities: DataFrame, mentioned: DataFrame, conditions: DataFrame) -> DataFrame:
-    """doc, missed, held_back, linked: what a text names beyond its record, what it denies, and how many conditions link.
+def status_note(term: Column, a: Column) -> Column:
+    """What a reader is told of a mention's status (``a``: status, cue, evidence, contradiction); null where it needs no word."""
+    some = lambda before, c, after: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(before), c, F.lit(after))).otherwise("")
+    because, quote = some(' ("', a["cue"], '")'), some(' — "', a["evidence"], '"')
+    said = {status: F.concat(*[{"term": term, "because": because, "quote": quote}.get(p, F.lit(p)) for p in parts]) for status, parts in fixed.STATUS_NOTES.items()}
+    both = F.concat(*[{"term": term, "denied": a["contradiction"], "asserted": a["evidence"]}.get(p, F.lit(p)) for p in fixed.CONTRADICTION_NOTE])
+    out = F.when(a["contradiction"].isNotNull(), both)
+    for status, note in said.items():
+        out = out.when(a["status"] == status, note)
+    return out
+
+
+def _noted(rows: DataFrame, order: list[str], note: str, most: int | None = None) -> Column:
+    """The notes of grouped rows in order, ``most`` of them at most."""
+    notes = F.transform(F.array_sort(F.collect_list(F.struct(*order, note))), lambda x: x[note])
+    return F.slice(notes, 1, most) if most else notes
 
-    docs: (doc, text); diagnoses: (doc, condition). A (doc, condition) pair is classified once.
+
+def reconciled(docs: DataFrame, record: dict[str, DataFrame], conditions: DataFrame, lexicon: DataFrame, spellings: dict[str, tuple[list[str], list[str]]], candidates: DataFrame) -> DataFrame:
+    """doc, notes, missed, held_back, linked, identified: a record held against the text that it was read from.
+
+    docs: (doc, text); record: ``medications`` (doc, place, name, genericName), ``diagnoses`` (doc, place, condition, icd10Code), ``allergies`` (doc, place, allergen),
+    ``labs`` (doc, place, testName); candidates of drug names as for :func:`linking.drug_matches`. Notes tell of drug names that the dictionary spells otherwise, of
+    entities by rule that the record lacks, and of findings that the text denies, gives to a relative or only speaks of. A name is looked up and a (doc, term) pair classified once.
     """
-    pairs = diagnoses.select("doc", "condition").distinct().join(docs, "doc")
-    status = text.assertions(pairs, "text", "condition").select("doc", "condition", F.col("assertion.status").alias("status"))
-    held = status.where(~F.col("status").isin(*fixed.OWN_STATUSES)).groupBy("doc").agg(F.array_sort(F.collect_set("condition")).alias("held_back"))
-    missed = safety.missed(entities, mentioned).groupBy("doc").agg(F.array_sort(F.collect_set("text")).alias("missed"))
-    linked = linking.link_conditions(diagnoses.select("doc", "condition"), conditions, "condition").groupBy("doc").agg(F.count("code").alias("linked"))
+    meds = record["medications"].where("name IS NOT NULL")
+    drugs = linking.drug_matches(meds.select("name").distinct().withColumnRenamed("name", "raw"), candidates, "raw").where("rxcui IS NOT NULL")
+    known = meds.join(drugs.withColumnRenamed("name", "drug"), F.col("name") == F.col("raw"), "left").withColumn("genericName", F.coalesce("genericName", "drug"))
+    read = known.where("corrected").withColumn("said", F.concat(F.lit('"'), "raw", F.lit('" → '), "drug"))
+    identified = read.groupBy("doc").agg(_noted(read, ["place"], "said").alias("_drugs"))
+
+    terms = record["diagnoses"].select("doc", F.lit(0).alias("part"), "place", F.col("condition").alias("term")).union(record["allergies"].select("doc", F.lit(1), "place", F.col("allergen")))
+    terms = terms.where("term IS NOT NULL AND term <> ''").groupBy("doc", "term").agg(F.min(F.struct("part", "place")).alias("at"))
+    status = text.assertions(terms.join(docs.select("doc", "text"), "doc"), "text", "term", spellings).withColumn("note", status_note(F.col("term"), F.col("assertion")))
+    denied = status.where(~F.col("assertion.status").isin(*fixed.OWN_STATUSES))
+    held = denied.groupBy("doc").agg(_noted(denied, ["at"], "term").alias("held_back"), _noted(denied, ["at"], "note", fixed.MOST_NOTES).alias("_held"))
+
+    said = lambda rows, c, kind: rows.select("doc", F.lit(kind).alias("type"), F.col(c).alias("name")).where("name IS NOT NULL")
+    parts = ((known, "name", "medication"), (known, "genericName", "medication"), (record["allergies"], "allergen", "medication"), (record["diagnoses"], "condition", "condition"), (record["labs"], "testName", "lab_test"))
+    mentioned = reduce(DataFrame.union, (said(*p) for p in parts))
+    lacking = safety.missed(text.rule_entities(docs, "doc", "text"), mentioned)
+    missed = lacking.groupBy("doc").agg(_noted(lacking, ["place"], "text").alias("missed"))
+
+    given = record["diagnoses"].where("condition IS NOT NULL AND icd10Code IS NULL").select("doc", "condition")
+    coded = linking.link_conditions(given, conditions, "condition", lexicon).where(linking.suggested_code(F.col("confidence"), F.col("code")).isNotNull())
+    linked = coded.groupBy("doc").agg(F.count("*").alias("linked"))
+
     none = F.array().cast("array<string>")
-    out = docs.select("doc").join(missed, "doc", "left").join(held, "doc", "left").join(linked, "doc", "left")
-    return out.select("doc", F.coalesce("missed", none).alias("missed"), F.coalesce("held_back", none).alias("held_back"), F.coalesce("linked", F.lit(0)).alias("linked"))
+    out = reduce(lambda a, b: a.join(b, "doc", "left"), (identified, held, missed, linked), docs.select("doc"))
+    out = out.select("doc", *(F.coalesce(c, none).alias(c) for c in ("_drugs", "_held", "held_back", "missed")), F.coalesce("linked", F.lit(0)).alias("linked"))
+    shown = F.concat(F.array_join(F.slice("missed", 1, fixed.MOST_NOTES), ", "), F.when(F.size("missed") > fixed.MOST_NOTES, F.concat(F.lit(", and "), (F.size("missed") - fixed.MOST_NOTES).cast("string"), F.lit(" more"))).otherwise(""))
+    first = F.when(F.size("_drugs") > 0, F.concat(F.lit(fixed.DRUG_NOTE[0]), F.array_join("_drugs", ", "), F.lit(fixed.DRUG_NOTE[1])))
+    second = F.when(F.size("missed") > 0, F.concat(F.lit(fixed.MISSED_NOTE[0]), shown, F.lit(fixed.MISSED_NOTE[1])))
+    return out.select("doc", F.concat(F.array_compact(F.array(first, second)), "_held").alias("notes"), "missed", "held_back", "linked", F.size("_drugs").alias("identified"))
 
 
 def interaction_check(drugs: DataFrame, current: DataFrame, allergies: DataFrame) -> DataFrame:
@@ -169,7 +231,7 @@ def expanded(queries: DataFrame, lexicon: DataFrame, synonyms: dict[str, list[st
     terms = english_terms(queries, lexicon, id_col, text_col).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "english"))), lambda t: t["english"]).alias("terms"))
     asked = queries.select(id_col, F.col(text_col).alias("q")).join(terms, id_col, "left").withColumn("terms", F.coalesce("terms", none))
     phrases = asked.select(id_col, F.posexplode(F.concat(F.array("q"), "terms")).alias("at", "phrase"))
-    names = linking.link_conditions(phrases, conditions, "phrase", lexicon.select("english", F.explode("urdu").alias("local"))).join(conditions.select("code", "canonical", "aliases"), ["code", "canonical"], "left")
+    names = linking.link_conditions(phrases, conditions, "phrase", lexicon).join(conditions.select("code", "canonical", "aliases"), ["code", "canonical"], "left")
     sure = F.when(F.col("confidence") >= 0.85, F.concat(F.array("canonical"), F.slice("aliases", 1, CONDITION_ALIASES)))
     given = names.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", retrieval.expand(F.col("phrase"), synonyms, 1 << 20).alias("s"), F.coalesce(sure, none).alias("c")))).alias("g"))
     every = F.concat("terms", F.flatten(F.transform("g", lambda x: x["s"])), F.flatten(F.transform("g", lambda x: x["c"])))

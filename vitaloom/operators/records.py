@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaloom.functions import scalars
+from vitaloom.functions import fixed, scalars
 
 #: Entity arrays of an extraction and their text fields.
 ENTITIES = {
@@ -14,7 +16,7 @@ ENTITIES = {
     "labResults": ("testName", "value", "numericValue", "unit", "referenceRange", "isAbnormal", "testDate"),
     "allergies": ("allergen", "allergyType", "severity", "reaction", "assertionStatus"),
 }
-FLAGS, NUMBERS = {"isActive", "isAbnormal"}, {"numericValue"}
+FLAGS, NUMBERS, STATUSES = {"isActive", "isAbnormal"}, {"numericValue"}, {"assertionStatus"}
 
 
 def lenient_json(c: Column) -> Column:
@@ -24,8 +26,10 @@ def lenient_json(c: Column) -> Column:
 
 
 def extraction(c: Column) -> Column:
-    """Typed extraction of a JSON text: every field on its own, nothing fails the row."""
-    v = lenient_json(c)
+    """Typed extraction of a JSON text: every field on its own, nothing fails the row. A status that is none of the known ones fails the schema, so that the
+    whole extraction is empty, as one of another shape is."""
+    raw = lenient_json(c)
+    v = F.when(~_unknown_status(raw), raw)
 
     def items(name: str) -> Column:
         raw = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
@@ -49,6 +53,18 @@ def extraction(c: Column) -> Column:
     )
 
 
+def _unknown_status(v: Column) -> Column:
+    """Whether a finding or allergy has a status other than the known ones; none and null are no status."""
+    out = F.lit(False)
+    for name in (n for n, fields in ENTITIES.items() if STATUSES & set(fields)):
+        items = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+        status = lambda x: F.try_variant_get(x, "$.assertionStatus", "variant")
+        given = lambda x: F.coalesce(F.schema_of_variant(status(x)) != "VOID", F.lit(False))
+        known = lambda x: F.coalesce(F.try_variant_get(x, "$.assertionStatus", "string").isin(*fixed.STATUSES), F.lit(False))
+        out |= F.exists(items, lambda x: given(x) & ~known(x))  # noqa: B023
+    return out
+
+
 def is_empty(e: Column) -> Column:
     out = F.lit(True)
     for n in ENTITIES:
@@ -76,11 +92,13 @@ def replaced(target: DataFrame, rows: DataFrame, owner: str) -> DataFrame:
 
 
 def patched(target: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Listed columns overwritten where the patch has a value."""
+    """Listed columns overwritten where the patch has a value, and by null where its column ``<name>_set`` says that null is meant."""
     if not columns:
         raise ValueError("an empty patch changes nothing")
-    p = patch.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in columns])
-    return target.join(p, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in target.columns])
+    meant = {c: f"{c}_set" in patch.columns for c in columns}
+    p = patch.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in columns], *[F.col(f"{c}_set").alias(f"_set_{c}") for c in columns if meant[c]])
+    new = lambda c: F.when(F.col(f"_set_{c}"), F.col(f"_{c}")).otherwise(F.coalesce(f"_{c}", c)) if meant[c] else F.coalesce(f"_{c}", c)
+    return target.join(p, key, "left").select(*[new(c).alias(c) if c in columns else F.col(c) for c in target.columns])
 
 
 def cascade(children: DataFrame, gone: DataFrame, key: str, set_null: bool = False) -> DataFrame:
@@ -92,22 +110,43 @@ def cascade(children: DataFrame, gone: DataFrame, key: str, set_null: bool = Fal
 
 
 def publish(df: DataFrame, root: str, version: str) -> str:
-    """Write a version folder, then move the pointer: readers see the old version or the new one, never half of either."""
+    """Write a version folder, then name it in the next pointer file, put in place by a rename: readers see the old version or the new one, never
+    half of either and never none, whatever step breaks."""
     spark = df.sparkSession
     path = f"{root}/v={version}"
     df.write.mode("overwrite").parquet(path)
-    jvm = spark.sparkContext._jvm
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_next")
-    fs.delete(Path(f"{root}/_current"), True)
-    if not fs.rename(Path(f"{root}/_next"), Path(f"{root}/_current")):
-        raise OSError("the pointer could not be moved")
+    fs, Path = _files(spark, root)
+    staged, target = Path(f"{root}/_pointers/.{uuid.uuid4().hex}"), Path(f"{root}/_pointers/{_pointer(fs, Path, root)[0] + 1:012d}")
+    out = fs.create(staged, False)
+    try:
+        out.write(version.encode())
+    finally:
+        out.close()
+    if fs.exists(target) or not fs.rename(staged, target):
+        raise OSError("another version was published meanwhile")
     return path
 
 
-def current(spark, root: str) -> DataFrame:
-    version = spark.read.parquet(f"{root}/_current").first()["version"]
+def _files(spark: SparkSession, root: str):
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), Path
+
+
+def _pointer(fs, Path, root: str) -> tuple[int, object]:
+    """Number and path of the newest pointer; 0 where none is."""
+    folder = Path(f"{root}/_pointers")
+    found = fs.listStatus(folder) if fs.exists(folder) else []
+    return max(((int(s.getPath().getName()), s.getPath()) for s in found if not s.getPath().getName().startswith(".")), key=lambda x: x[0], default=(0, None))
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    fs, Path = _files(spark, root)
+    _, path = _pointer(fs, Path, root)
+    stream = fs.open(path)
+    try:
+        version = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
     return spark.read.parquet(f"{root}/v={version}")
 
 

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from vitaloom.plans import flow_queries, record_queries, relational_queries, scalar_queries, stream_queries, text_queries  # noqa: F401
+    from vitaloom.plans import flow_queries, record_queries, relational_queries, scalar_queries, store_queries, stream_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1,8 +1,11 @@
-"""Small inline tables, as a DataFrame and as SQL of the same rows."""
+"""Small inline tables, as a DataFrame and as SQL of the same rows, and dealt over a given table: each of its rows takes the part of one key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vitaloom.sources.tables import scan
 
 
 class Rows:
@@ -14,6 +17,28 @@ class Rows:
     def df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([tuple(r) for r in self.rows], self.schema)
 
+    def _dealt(self, key: str) -> Rows:
+        """The rows with the place of their key in order of appearance, in place of the key."""
+        at = self.names.index(key)
+        places = {k: i for i, k in enumerate(dict.fromkeys(r[at] for r in self.rows))}
+        schema = ", ".join(f"{'k_' if n == key else n} {'int' if n == key else t}" for n, t in zip(self.names, self.kinds, strict=True))
+        return Rows(schema, *[tuple(places[v] if i == at else v for i, v in enumerate(r)) for r in self.rows])
+
+    def keys(self, key: str | None = None) -> int:
+        at = self.names.index(key or self.names[0])
+        return len({r[at] for r in self.rows})
+
+    def over(self, spark: SparkSession, sf_dir: str, key: str | None = None, table: str = "documents", id_col: str = "doc_id") -> DataFrame:
+        """The rows with ids of ``table`` as key: every id takes the part of one key, with all rows of it."""
+        key = key or self.names[0]
+        ids = scan(spark, sf_dir, table, F.col(id_col).alias(key)).withColumn("k_", F.pmod(key, F.lit(self.keys(key))).cast("int"))
+        return ids.join(self._dealt(key).df(spark), "k_").select(*self.names)
+
+    def over_sql(self, key: str | None = None, table: str = "documents", id_col: str = "doc_id") -> str:
+        key = key or self.names[0]
+        columns = ", ".join(f"t.{id_col} AS {n}" if n == key else f"f.{n}" for n in self.names)
+        return f"(SELECT {columns} FROM {table} t JOIN {self._dealt(key).sql} ON t.{id_col} % {self.keys(key)} = f.k_) AS f"
+
     @property
     def sql(self) -> str:
         kinds = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -40,7 +65,10 @@ UNITS = Rows("id int, value double, unit string, canonical string, factor double
 SEVERITY = Rows("grp int, severity string", (1, "mild"), (1, "severe"), (1, "moderate"), (2, None), (3, "info"), (3, None), (4, "contraindicated"), (4, "severe"), (5, "mild"))
 FAILURES = Rows("id int, status int, code string, message string, header string", (0, 429, None, "slow down", None), (1, None, None, "Rate limit reached, please try again in 6m29.664s", None), (2, 429, None, "x", "30"), (3, 503, None, "unavailable", None), (4, 400, None, "bad request", None), (5, None, "ECONNRESET", "reset", None), (6, None, None, "fetch failed", None), (7, None, None, "quota exceeded; try again in 12.2s", "-1"))
 PAGES = Rows("doc int, page int, text string, confidence double, handwritten boolean", (1, 1, "alpha ", 90.0, True), (1, 2, "  ", 10.0, True), (1, 3, "beta", 81.0, False), (2, 1, "", 50.0, False), (3, 1, "gamma", 70.0, True), (3, 2, "delta", 75.0, False))
-ENTITIES = Rows("doc long, type string, text string, score double", (1, "medication", "Metformin", 0.75), (1, "medication", "Penicillin", 0.9), (1, "medication", "Atorvastatin 20mg", 0.75), (1, "medication", "Xy", 0.9), (1, "medication", "Losartan", 0.4), (1, "condition", "asthma", 0.8), (1, "dosage", "850mg", 0.9), (2, "condition", "Diabetes", 0.8), (2, "condition", "diabetes", 0.95))
+ENTITIES = Rows(
+    "doc long, place int, type string, text string, score double",
+    *[(d, k, *r) for k, (d, *r) in enumerate([(1, "medication", "Metformin", 0.75), (1, "medication", "Penicillin", 0.9), (1, "medication", "Atorvastatin 20mg", 0.75), (1, "medication", "Xy", 0.9), (1, "medication", "Losartan", 0.4), (1, "condition", "asthma", 0.8), (1, "dosage", "850mg", 0.9), (2, "condition", "Diabetes", 0.8), (2, "condition", "diabetes", 0.95), (2, "condition", "Fever", 0.9), (2, "condition", "FEVER", 0.9), (2, "condition", "fever", 0.7)])],
+)
 MENTIONED = Rows("doc long, type string, name string", (1, "medication", "Tab Metformin 850mg"), (1, "medication", "Penicillin"), (1, "condition", "hypertension"), (2, "condition", "Type 2 diabetes mellitus"))
 SEVERITIES_OF = Rows("allergen string, severity string", ("Penicillins", "severe"), ("Sulfa", "moderate"), ("Aspirin", None))
 MEDICATIONS = Rows("id long, owner long, name string, is_active boolean, day string", (1, 1, "a", True, "2024-01-05"), (2, 1, "b", None, "2024-01-09"), (3, 1, "c", False, "2024-02-01"), (4, 1, "d", True, None), (5, 2, "e", True, "2024-03-01"), (6, 1, "f", None, None))
@@ -52,4 +80,5 @@ EXTRACTIONS = Rows(
     (3, "not json"),
     (4, None),
     (5, '{"medications":"oops","allergies":[]}'),
+    (6, '{"medications":[{"name":"Metformin"}],"diagnoses":[{"condition":"Asthma","assertionStatus":"perhaps"}],"language":"en"}'),
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from vitaloom.functions import fixed, scalars
@@ -136,16 +138,16 @@ def parameter_bounds(spark, sf_dir):
     return o.select("o_orderkey", F.col("p.value").alias("page"), "p.valid", F.col("s.value").alias("search"))
 
 
-_FAILED = fx.Rows("kind string, suggested double", ("rate_limit", 12.2), ("rate_limit", 389.664), ("rate_limit", None), ("transient", None), ("permanent", None), ("transient", 45.0))
+_FAILED = fx.Rows("id int, kind string, suggested double", (0, "rate_limit", 12.2), (1, "rate_limit", 389.664), (2, "rate_limit", None), (3, "transient", None), (4, "permanent", None), (5, "transient", 45.0))
 
 
 @register(
     "retry_waits",
-    f"""SELECT kind, suggested, a::INTEGER AS attempt, CASE WHEN kind = 'permanent' OR a = 4 OR suggested > 45 THEN NULL WHEN suggested IS NOT NULL THEN (ceil(suggested * 1000) + 250)::INTEGER
- ELSE CASE a WHEN 0 THEN 1000 WHEN 1 THEN 4000 ELSE 10000 END END AS wait_ms FROM {_FAILED.sql}, range(5) r(a)""",
+    f"""SELECT id, kind, suggested, a::INTEGER AS attempt, CASE WHEN kind = 'permanent' OR a = 4 OR suggested > 45 THEN NULL WHEN suggested IS NOT NULL THEN (ceil(suggested * 1000) + 250)::INTEGER
+ ELSE CASE a WHEN 0 THEN 1000 WHEN 1 THEN 4000 ELSE 10000 END END AS wait_ms FROM {_FAILED.over_sql()}, range(5) r(a)""",
 )
 def retry_waits(spark, sf_dir):
-    f = _FAILED.df(spark).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    f = _FAILED.over(spark, sf_dir).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(4))))
     return f.withColumn("wait_ms", scalars.retry_wait(F.col("kind"), F.col("suggested"), F.col("attempt"), 5))
 
 
@@ -196,7 +198,7 @@ _DIGESTS = fx.Rows(
 
 @register(
     "digest_defaults",
-    f"""WITH j AS (SELECT id, CASE WHEN json_valid(raw) THEN raw::JSON END AS v FROM {_DIGESTS.sql}),
+    f"""WITH j AS (SELECT id, CASE WHEN json_valid(raw) THEN raw::JSON END AS v FROM {_DIGESTS.over_sql()}),
  t AS (SELECT id, v, CASE WHEN json_type(v, '$.title') = 'VARCHAR' THEN trim(v ->> '$.title') END AS t, CASE WHEN json_type(v, '$.digest') = 'VARCHAR' THEN trim(v ->> '$.digest') END AS d, CASE WHEN json_type(v, '$.findings') = 'ARRAY' THEN json_extract(v, '$.findings[*]') END AS f FROM j)
  SELECT id, coalesce(nullif(t, ''), 'Health insight digest') AS title, coalesce(nullif(d, ''), 'No summary generated.') AS digest,
   CASE WHEN v ->> '$.priority' IN ('normal', 'elevated', 'urgent') THEN v ->> '$.priority' END AS priority,
@@ -205,7 +207,7 @@ _DIGESTS = fx.Rows(
    CASE WHEN x ->> '$.priority' IN ('info', 'attention', 'action_needed') THEN x ->> '$.priority' ELSE 'info' END), '|') END AS findings FROM t""",
 )
 def digest_defaults(spark, sf_dir):
-    d = _DIGESTS.df(spark).select("id", records.digest(F.col("raw")).alias("d"))
+    d = _DIGESTS.over(spark, sf_dir).select("id", records.digest(F.col("raw")).alias("d"))
     each = F.transform("d.findings", lambda f: F.concat_ws(":", f["category"], f["title"], f["detail"], f["priority"]))
     return d.select("id", "d.title", "d.digest", "d.priority", F.array_join(each, "|").alias("findings"))
 
@@ -259,53 +261,65 @@ def bounded_calls(spark, sf_dir):
     return providers.called(c, 4, call, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, n long", "conv_id", "turn")
 
 
-_ASKED = fx.Rows("name string, rxcui string", ("Metformin ", None), ("Metformin", "6809"), ("aspirin", None), ("Zzyzx", None), ("Amlodipine", " "), ("Panadol", "161"))
+_ASKED = fx.Rows("id int, name string, rxcui string", (0, "Metformin ", None), (1, "Metformin", "6809"), (2, "aspirin", None), (3, "Zzyzx", None), (4, "Amlodipine", " "), (5, "Panadol", "161"), (6, "", "161"))
 _CONCEPTS = fx.Rows("rxcui string, name string, made string", ("6809", "metformin", "metformin"), ("1191", "Aspirin", ""), ("17767", "amlodipine", "amlodipine besylate"), ("161", "paracetamol", ""))
 
 
 @register(
     "concept_resolution",
-    f"""WITH a AS (SELECT trim(name) AS name, max(nullif(trim(rxcui), '')) AS given FROM {_ASKED.sql} GROUP BY 1), c AS (SELECT * FROM {_CONCEPTS.sql}),
+    f"""WITH a AS (SELECT trim(name) AS name, max(nullif(trim(rxcui), '')) AS given FROM {_ASKED.over_sql()} WHERE trim(name) <> '' GROUP BY 1), c AS (SELECT * FROM {_CONCEPTS.sql}),
  k AS (SELECT a.name, coalesce(given, (SELECT c.rxcui FROM c WHERE lower(c.name) = lower(a.name))) AS rxcui FROM a)
  SELECT k.name, k.rxcui, CASE WHEN k.rxcui IS NULL THEN '' ELSE coalesce(nullif(c.made, ''), lower(k.name)) END AS ingredients FROM k LEFT JOIN c USING (rxcui)""",
 )
 def concept_resolution(spark, sf_dir):
     concepts = _CONCEPTS.df(spark).select("rxcui", "name", F.when(F.col("made") == "", F.array().cast("array<string>")).otherwise(F.array("made")).alias("ingredients"), F.array().cast("array<string>").alias("classes"))
-    return safety.resolved(_ASKED.df(spark), concepts).select("name", "rxcui", F.array_join("ingredients", "|").alias("ingredients"))
+    return safety.resolved(_ASKED.over(spark, sf_dir), concepts).select("name", "rxcui", F.array_join("ingredients", "|").alias("ingredients"))
 
 
 # --- catalogues ------------------------------------------------------------------------------------------------
 
 _SYNONYMS = fx.Rows("key string, ordinal int, s string", *[(a[0], k, s) for k, a in enumerate(cat.ANALYTES) for s in (*a[5], a[1])])
+#: Names as reports write them: every document has one of all of them.
+_REPORTED = fx.Rows("doc_id int, s string", *enumerate(r[2] for r in _SYNONYMS.rows))
 #: How a name stands on a report: before it and after it.
-_AROUND = fx.Rows("before string, after string", ("", ""), ("Serum ", ""), ("", " level (fasting)"), ("S. ", ":"), ("", " mg/dl"), ("", " hydroxide prep"), ("total count of ", ""), ("odd ", " manual"))
+_AROUND = fx.Rows("k int, before string, after string", *[(k, *r) for k, r in enumerate([("", ""), ("Serum ", ""), ("", " level (fasting)"), ("S. ", ":"), ("", " mg/dl"), ("", " hydroxide prep"), ("total count of ", ""), ("odd ", " manual")])])
+
+
+def _said_around(named, around, spark, sf_dir):
+    """doc_id, what a document says of one thing, with one of the frames around it."""
+    return named.over(spark, sf_dir).withColumn("k", F.pmod(F.floor(F.col("doc_id") / 3), F.lit(around.keys())).cast("int")).join(around.df(spark), "k")
+
+
+def _said_around_sql(named, around):
+    return f"(SELECT f.*, a.before, a.after FROM {named.over_sql()} JOIN {around.sql.replace('AS f(', 'AS a(')} ON (f.doc_id // 3) % {around.keys()} = a.k)"
 _COMPARABLE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\(.*?\)', ' ', 'g'), '[^\p{{L}}\p{{N}}%^/]+', ' ', 'g'), '\b(?:serum|plasma|blood|s|p|test|level|levels|conc|concentration)\b', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @register(
     "analyte_catalogue",
     f"""WITH syn AS (SELECT key, ordinal, {_COMPARABLE.format("s")} AS name FROM {_SYNONYMS.sql}), idx AS (SELECT name, max(ordinal) AS ordinal, arg_max(key, ordinal) AS key FROM syn WHERE name <> '' GROUP BY name),
- raw AS (SELECT DISTINCT a.before || s.s || a.after AS name FROM {_SYNONYMS.sql.replace("AS f(", "AS s(")}, {_AROUND.sql.replace("AS f(", "AS a(")}), n AS (SELECT name, {_COMPARABLE.format("name")} AS c FROM raw),
+ docs AS (SELECT doc_id, before || s || after AS name FROM {_said_around_sql(_REPORTED, _AROUND)}), raw AS (SELECT DISTINCT name FROM docs), n AS (SELECT name, {_COMPARABLE.format("name")} AS c FROM raw),
  near AS (SELECT n.name, i.key FROM n JOIN idx i ON length(i.name) >= 3 AND contains(' ' || n.c || ' ', ' ' || i.name || ' ') AND length(i.name) >= 0.6 * length(n.c) QUALIFY row_number() OVER (PARTITION BY n.name ORDER BY length(i.name) DESC, i.ordinal) = 1)
- SELECT n.name, coalesce(i.key, near.key) AS key FROM n LEFT JOIN idx i ON i.name = n.c LEFT JOIN near ON near.name = n.name""",
+ SELECT docs.doc_id, n.name, coalesce(i.key, near.key) AS key FROM docs JOIN n ON n.name = docs.name LEFT JOIN idx i ON i.name = n.c LEFT JOIN near ON near.name = n.name""",
 )
 def analyte_catalogue(spark, sf_dir):
-    names = _SYNONYMS.df(spark).crossJoin(F.broadcast(_AROUND.df(spark))).select(F.concat("before", "s", "after").alias("name")).distinct()
-    return linking.link_analytes(names, cat.analytes(spark), "name").select("name", "key")
+    names = _said_around(_REPORTED, _AROUND, spark, sf_dir).select("doc_id", F.concat("before", "s", "after").alias("name"))
+    return linking.link_analytes(names, cat.analytes(spark), "name").select("doc_id", "name", "key")
 
 
-_FACTORS = fx.Rows("key string, display string, canonical string, unit string, factor double", *[(a[0], a[1], a[3], u, f) for a in cat.ANALYTES for u, f in a[4].items()])
+_FACTORS = fx.Rows("doc_id int, display string, canonical string, unit string, factor double", *[(k, *r) for k, r in enumerate((a[1], a[3], u, f) for a in cat.ANALYTES for u, f in a[4].items())])
 
 
 # a unit that begins with "per" reads as a rate, so "percent" is none that the catalogue converts
-@register("analyte_units", f"SELECT display AS name, unit, CASE WHEN unit NOT LIKE 'per%' THEN round(v * factor, 4) END AS value, canonical FROM {_FACTORS.sql}, (VALUES (0.5::DOUBLE), (7.25), (1200.0)) x(v)")
+@register("analyte_units", f"SELECT doc_id, display AS name, unit, CASE WHEN unit NOT LIKE 'per%' THEN round((doc_id % 1000 + 0.5) * factor, 4) END AS value, canonical FROM {_FACTORS.over_sql()}")
 def analyte_units(spark, sf_dir):
-    labs = _FACTORS.df(spark).select(F.col("display").alias("name"), F.upper("unit").alias("said"), "unit", "canonical", F.explode(F.array(F.lit(0.5), F.lit(7.25), F.lit(1200.0))).alias("v"))
-    return linking.canonical_labs(labs, cat.analytes(spark), "name", "v", "said").select("name", "unit", F.round("canonical_value", 4).alias("value"), "canonical")
+    labs = _FACTORS.over(spark, sf_dir).select("doc_id", F.col("display").alias("name"), F.upper("unit").alias("said"), "unit", "canonical", (F.col("doc_id") % 1000 + 0.5).alias("v"))
+    return linking.canonical_labs(labs, cat.analytes(spark), "name", "v", "said").select("doc_id", "name", "unit", F.round("canonical_value", 4).alias("value"), "canonical")
 
 
 _NAMES = fx.Rows("code string, canonical string, ordinal int, p int, e string", *[(c, n, k, p, e) for k, (c, n, aliases) in enumerate(cat.CONDITIONS) for p, e in enumerate((n, *aliases))])
-_SAID = fx.Rows("before string, after string", ("", ""), ("Known case of uncontrolled ", ""), ("", " (severe)"), ("h/o ", ", stage II"), ("patient seen with ", " and swelling"), ("no mention of any such ", " in these long and winding notes of the visit"))
+_WRITTEN = fx.Rows("doc_id int, e string", *enumerate(r[4] for r in _NAMES.rows))
+_SAID = fx.Rows("k int, before string, after string", *[(k, *r) for k, r in enumerate([("", ""), ("Known case of uncontrolled ", ""), ("", " (severe)"), ("h/o ", ", stage II"), ("patient seen with ", " and swelling"), ("no mention of any such ", " in these long and winding notes of the visit")])])
 _NOISE = r"\b(?:known case of|known|k/c/o|diagnosed(?: with)?|history of|h/o|c/o|complains? of|suspected|probable|possible|uncontrolled|controlled|poorly controlled|newly diagnosed|old|longstanding|mild|moderate|severe|stage \w+|grade \w+|left|right|bilateral|primary|secondary|essential)\b"
 _PLAIN = (
     "array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '" + _NOISE + "', ' ', 'g'), '[(),.;:''\"\\[\\]{{}}]', ' ', 'g'), '[-–—/]', ' ', 'g'), '" + _NOISE + "', ' ', 'g'), '\\s+', ' ', 'g')), ' '),"
@@ -315,24 +329,66 @@ _PLAIN = (
 
 @register(
     "condition_catalogue",
-    f"""WITH e AS (SELECT *, {_PLAIN.format("e")} AS name FROM {_NAMES.sql}), idx AS (SELECT * FROM e WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY p > 0, ordinal, p) = 1),
- n AS (SELECT raw, {_PLAIN.format("raw")} AS name FROM (SELECT DISTINCT a.before || s.e || a.after AS raw FROM {_NAMES.sql.replace("AS f(", "AS s(")}, {_SAID.sql.replace("AS f(", "AS a(")})),
+    f"""WITH docs AS (SELECT doc_id, before || e || after AS raw FROM {_said_around_sql(_WRITTEN, _SAID)}), e AS (SELECT *, {_PLAIN.format("e")} AS name FROM {_NAMES.sql}), idx AS (SELECT * FROM e WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY p > 0, ordinal, p) = 1),
+ n AS (SELECT raw, {_PLAIN.format("raw")} AS name FROM (SELECT DISTINCT raw FROM docs)),
  t AS (SELECT *, list_distinct(string_split(name, ' ')) AS ws FROM n), parts AS (SELECT *, list_distinct(string_split(name, ' ')) AS ws FROM e WHERE name <> ''),
  near AS (SELECT t.raw, p.code, CASE WHEN len(p.ws) = len(t.ws) THEN 'alias' ELSE 'partial' END AS matched_on FROM t JOIN parts p ON len(t.ws) <= 10 AND (len(p.ws) >= 2 OR length(p.name) >= 4) AND list_has_all(t.ws, p.ws)
   QUALIFY row_number() OVER (PARTITION BY t.raw ORDER BY len(p.ws) DESC, p.ordinal, p.name) = 1)
- SELECT n.raw, coalesce(i.code, near.code) AS code, CASE WHEN i.code IS NOT NULL THEN CASE WHEN i.p = 0 THEN 'exact' ELSE 'alias' END ELSE near.matched_on END AS matched_on FROM n LEFT JOIN idx i ON i.name = n.name LEFT JOIN near ON near.raw = n.raw""",
+ SELECT docs.doc_id, n.raw, coalesce(i.code, near.code) AS code, CASE WHEN i.code IS NOT NULL THEN CASE WHEN i.p = 0 THEN 'exact' ELSE 'alias' END ELSE near.matched_on END AS matched_on FROM docs JOIN n ON n.raw = docs.raw LEFT JOIN idx i ON i.name = n.name LEFT JOIN near ON near.raw = n.raw""",
 )
 def condition_catalogue(spark, sf_dir):
-    raw = _NAMES.df(spark).crossJoin(F.broadcast(_SAID.df(spark))).select(F.concat("before", "e", "after").alias("raw")).distinct()
-    return linking.link_conditions(raw, cat.conditions(spark), "raw").select("raw", "code", "matched_on")
+    raw = _said_around(_WRITTEN, _SAID, spark, sf_dir).select("doc_id", F.concat("before", "e", "after").alias("raw"))
+    return linking.link_conditions(raw, cat.conditions(spark), "raw").select("doc_id", "raw", "code", "matched_on")
 
 
 _SPELLINGS = fx.Rows("english string, w string, ordinal int", *[(e, w, k) for k, (e, _, urdu, roman) in enumerate(cat.LEXICON) for w in (*urdu, *roman)])
 
 
-@register("lexicon_spellings", f"SELECT w AS phrase, arg_min(english, ordinal) AS english FROM {_SPELLINGS.sql} GROUP BY w")
+#: Every spelling of the lexicon, and some that are spelt another way or are none.
+_HEARD = fx.Rows("doc_id int, phrase string", *enumerate([*(r[1] for r in _SPELLINGS.rows), "khaansi", "khansee", "KHANSI", "bukhaarr", "qabzz", " dama ", "dm", "bp", "zzyzx", "pathree", "yaarkan", "", "12", "کھانسی test"]))
+_KINDS = fx.Rows("english string, kind string", *[(e, k) for e, k, *_ in cat.LEXICON])
+
+
+def _sound_sql(c: str) -> str:
+    """The sound of a phrase in SQL: digraphs folded, repeats squeezed, inner vowels out, word by word."""
+    s = "regexp_replace(lower(w), '[^a-z]', '', 'g')"
+    for a, b in fixed.DIGRAPHS:
+        s = f"replace({s}, '{a}', '{b}')"
+    squeezed = lambda e: functools.reduce(lambda x, ch: f"regexp_replace({x}, '{ch}+', '{ch}', 'g')", "abcdefghijklmnopqrstuvwxyz", e)
+    first = f"list_transform(string_split(trim(regexp_replace({c}, '\\s+', ' ', 'g')), ' '), lambda w: {squeezed(s)})"
+    second = f"list_transform({first}, lambda w: left(w, 1) || regexp_replace(substr(w, 2), '[aeiou]', '', 'g'))"
+    return f"array_to_string(list_filter(list_transform({second}, lambda w: {squeezed('w')}), lambda w: w <> ''), ' ')"
+
+
+_LOOKED_UP = f"""sp AS (SELECT english, ordinal, w, regexp_matches(w, '{fixed.URDU_LETTERS}') AS u, {_sound_sql("w")} AS p FROM {_SPELLINGS.sql}),
+ ix AS (SELECT k, arg_min(english, ordinal) AS english FROM (SELECT 'l' || lower(w) AS k, english, ordinal FROM sp WHERE NOT u UNION ALL SELECT 'p' || p, english, ordinal FROM sp WHERE NOT u AND length(replace(p, ' ', '')) >= 3
+  UNION ALL SELECT 'u' || translate(w, '{fixed.LETTER_FOLDING[0]}', '{fixed.LETTER_FOLDING[1]}'), english, ordinal FROM sp WHERE u) GROUP BY k)"""
+
+
+@register(
+    "lexicon_spellings",
+    f"""WITH {_LOOKED_UP}, d AS (SELECT doc_id, phrase, regexp_matches(phrase, '{fixed.URDU_LETTERS}') AS u FROM {_HEARD.over_sql()}),
+ n AS (SELECT DISTINCT phrase, CASE WHEN u THEN 'u' || translate(trim(phrase), '{fixed.LETTER_FOLDING[0]}', '{fixed.LETTER_FOLDING[1]}') ELSE 'l' || lower(trim(phrase)) END AS a, CASE WHEN NOT u THEN 'p' || {_sound_sql("phrase")} END AS b FROM d)
+ SELECT d.doc_id, d.phrase, coalesce(x.english, y.english) AS english FROM d JOIN n ON n.phrase = d.phrase LEFT JOIN ix x ON x.k = n.a LEFT JOIN ix y ON y.k = n.b""",
+)
 def lexicon_spellings(spark, sf_dir):
-    return linking.local_terms(_SPELLINGS.df(spark).select(F.col("w").alias("phrase")).distinct(), cat.lexicon(spark), "phrase").select("phrase", "english")
+    return linking.local_terms(_HEARD.over(spark, sf_dir), cat.lexicon(spark), "phrase").select("doc_id", "phrase", "english")
+
+
+@register(
+    "conditions_in_local_words",
+    f"""WITH {_LOOKED_UP}, e AS (SELECT *, {_PLAIN.format("e")} AS name FROM {_NAMES.sql}), idx AS (SELECT * FROM e WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY p > 0, ordinal, p) = 1),
+ d AS (SELECT doc_id, phrase, regexp_matches(phrase, '{fixed.URDU_LETTERS}') AS u FROM {_HEARD.over_sql()}),
+ n AS (SELECT DISTINCT phrase, CASE WHEN u THEN 'u' || translate(trim(phrase), '{fixed.LETTER_FOLDING[0]}', '{fixed.LETTER_FOLDING[1]}') ELSE 'l' || lower(trim(phrase)) END AS a, CASE WHEN NOT u THEN 'p' || {_sound_sql("phrase")} END AS b, {_PLAIN.format("phrase")} AS name FROM d),
+ l AS (SELECT n.phrase, n.name, coalesce(x.english, y.english) AS english FROM n LEFT JOIN ix x ON x.k = n.a LEFT JOIN ix y ON y.k = n.b),
+ t AS (SELECT l.phrase, i.code AS exact_code, i.p, c.code AS local_code FROM l LEFT JOIN idx i ON i.name = l.name LEFT JOIN {_KINDS.sql.replace("AS f(", "AS k(")} ON k.english = l.english AND k.kind IN ('condition', 'symptom') LEFT JOIN idx c ON l.name <> '' AND c.name = k.english)
+ SELECT d.doc_id, d.phrase, coalesce(exact_code, local_code) AS code, CASE WHEN exact_code IS NOT NULL THEN CASE WHEN p = 0 THEN 'exact' ELSE 'alias' END WHEN local_code IS NOT NULL THEN 'local-language' END AS matched_on
+ FROM d JOIN t ON t.phrase = d.phrase WHERE exact_code IS NOT NULL OR local_code IS NOT NULL""",
+)
+def conditions_in_local_words(spark, sf_dir):
+    """What is written in the local language, in script or romanised in any spelling, as conditions of the catalogue; what links by its English words alone is left out."""
+    linked = linking.link_conditions(_HEARD.over(spark, sf_dir), cat.conditions(spark), "phrase", cat.lexicon(spark))
+    return linked.where(F.col("matched_on").isin("exact", "alias", "local-language") & ~((F.col("matched_on") == "alias") & (F.col("confidence") < 0.95))).select("doc_id", "phrase", "code", "matched_on")
 
 
 _QUESTIONS = fx.Rows("id int, q string", (0, "mujhe khansi aur bukhar hai"), (1, "shugar"), (2, "amlodipine"), (3, "fever and cough"), (4, "شوگر"), (5, ""), (6, None), (7, "bukhar phir bukhar"))
@@ -340,9 +396,9 @@ _QUESTIONS = fx.Rows("id int, q string", (0, "mujhe khansi aur bukhar hai"), (1,
 
 @register("english_terms")
 def english_terms(spark, sf_dir):
-    return pipelines.english_terms(_QUESTIONS.df(spark), cat.lexicon(spark), "id", "q")
+    return pipelines.english_terms(_QUESTIONS.over(spark, sf_dir), cat.lexicon(spark), "id", "q")
 
 
 @register("question_expanded")
 def question_expanded(spark, sf_dir):
-    return pipelines.expanded(_QUESTIONS.df(spark), cat.lexicon(spark), cat.SYNONYMS, cat.conditions(spark), "id", "q").select("id", F.array_join("added", " ").alias("added"))
+    return pipelines.expanded(_QUESTIONS.over(spark, sf_dir), cat.lexicon(spark), cat.SYNONYMS, cat.conditions(spark), "id", "q").select("id", F.array_join("added", " ").alias("added"))

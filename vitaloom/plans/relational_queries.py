@@ -176,20 +176,20 @@ def share_scope_whole_record(spark, sf_dir):
     return rel.shared_scope(mine, "o_orderkey", []).select("o_orderkey")
 
 
-@register("active_first_topn", f"SELECT id, name, is_active FROM {fixtures.MEDICATIONS.sql} WHERE owner = 1 ORDER BY is_active DESC NULLS FIRST, day DESC NULLS FIRST, id LIMIT 4")
+@register("active_first_topn", f"SELECT owner, id, name, is_active FROM {fixtures.MEDICATIONS.over_sql('owner')} QUALIFY row_number() OVER (PARTITION BY owner ORDER BY is_active DESC NULLS FIRST, day DESC NULLS FIRST, id) <= 2")
 def active_first_topn(spark, sf_dir):
-    return rel.capped(rel.scoped(fixtures.MEDICATIONS.df(spark), "owner", 1), rel.newest_first("is_active", "day", ties="id"), 4).select("id", "name", "is_active")
+    return rel.capped(fixtures.MEDICATIONS.over(spark, sf_dir, "owner"), rel.newest_first("is_active", "day", ties="id"), 2, "owner").select("owner", "id", "name", "is_active")
 
 
-@register("severe_first_topn", f"SELECT id, allergen FROM {fixtures.ALLERGIES.sql} WHERE owner = 1 ORDER BY CASE WHEN lower(severity) = 'severe' THEN 0 ELSE 1 END, id LIMIT 3")
+@register("severe_first_topn", f"SELECT owner, id, allergen FROM {fixtures.ALLERGIES.over_sql('owner')} QUALIFY row_number() OVER (PARTITION BY owner ORDER BY CASE WHEN lower(severity) = 'severe' THEN 0 ELSE 1 END, id) <= 3")
 def severe_first_topn(spark, sf_dir):
     order = [F.when(F.lower("severity") == "severe", 0).otherwise(1), F.col("id").asc()]
-    return rel.capped(rel.scoped(fixtures.ALLERGIES.df(spark), "owner", 1), order, 3).select("id", "allergen")
+    return rel.capped(fixtures.ALLERGIES.over(spark, sf_dir, "owner"), order, 3, "owner").select("owner", "id", "allergen")
 
 
-@register("active_rules", f"SELECT count(*) FILTER (WHERE is_active) AS strictly, count(*) FILTER (WHERE coalesce(is_active, true)) AS loosely FROM {fixtures.MEDICATIONS.sql}")
+@register("active_rules", f"SELECT owner, count(*) FILTER (WHERE is_active) AS strictly, count(*) FILTER (WHERE coalesce(is_active, true)) AS loosely FROM {fixtures.MEDICATIONS.over_sql('owner')} GROUP BY owner")
 def active_rules(spark, sf_dir):
-    return fixtures.MEDICATIONS.df(spark).agg(F.count_if(F.col("is_active")).alias("strictly"), F.count_if(F.coalesce("is_active", F.lit(True))).alias("loosely"))
+    return fixtures.MEDICATIONS.over(spark, sf_dir, "owner").groupBy("owner").agg(F.count_if(F.col("is_active")).alias("strictly"), F.count_if(F.coalesce("is_active", F.lit(True))).alias("loosely"))
 
 
 @register("conversation_rollup", "SELECT conv_id, max(turn) AS last_at, count(*) AS messages, min(CASE WHEN role = 'user' THEN left(text, 80) END) AS title FROM conversations GROUP BY conv_id")

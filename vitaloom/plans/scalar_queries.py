@@ -7,25 +7,25 @@ from pyspark.sql import functions as F
 from vitaloom.functions import fixed, scalars
 from vitaloom.plans import fixtures as fx
 from vitaloom.plans.catalogue import register
-from vitaloom.sources.tables import kind_of_mime, scan
+from vitaloom.sources.tables import KINDS, kind_of_mime, scan
 
 _DIGITS = f"translate(raw, '{fixed.EASTERN_DIGITS[0]}', '{fixed.EASTERN_DIGITS[1]}')"
 _COMMAS = r"regexp_replace(regexp_replace({}, '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g')"
 
 
-@register("digits_normalize", f"SELECT id, {_DIGITS} AS digits FROM {fx.VALUES.sql}")
+@register("digits_normalize", f"SELECT id, {_DIGITS} AS digits FROM {fx.VALUES.over_sql()}")
 def digits_normalize(spark, sf_dir):
-    return fx.VALUES.df(spark).select("id", scalars.ascii_digits(F.col("raw")).alias("digits"))
+    return fx.VALUES.over(spark, sf_dir).select("id", scalars.ascii_digits(F.col("raw")).alias("digits"))
 
 
 @register(
     "medical_value_parse",
-    rf"""WITH s AS (SELECT id, trim({_COMMAS.format(_DIGITS)}) AS s FROM {fx.VALUES.sql}),
+    rf"""WITH s AS (SELECT id, trim({_COMMAS.format(_DIGITS)}) AS s FROM {fx.VALUES.over_sql()}),
  p AS (SELECT id, regexp_extract(s, '^[^\d+-]*([+-]?\d+(?:\.\d+)?)', 1) AS n, regexp_extract(s, '^(<=|>=|≤|≥|<|>)', 1) AS c FROM s)
  SELECT id, try_cast(nullif(n, '') AS DOUBLE) AS value, CASE WHEN n <> '' THEN CASE c WHEN '<=' THEN '≤' WHEN '>=' THEN '≥' WHEN '' THEN NULL ELSE c END END AS censoring FROM p""",
 )
 def medical_value_parse(spark, sf_dir):
-    return fx.VALUES.df(spark).withColumn("p", scalars.measured_value(F.col("raw"))).select("id", F.col("p.value").alias("value"), F.col("p.censoring").alias("censoring"))
+    return fx.VALUES.over(spark, sf_dir).withColumn("p", scalars.measured_value(F.col("raw"))).select("id", F.col("p.value").alias("value"), F.col("p.censoring").alias("censoring"))
 
 
 _N = r"(-?\d+(?:\.\d+)?)"
@@ -43,30 +43,30 @@ def _range_sql(source: str, keep: str) -> str:
  CASE k WHEN 1 THEN greatest({num(two[0], 1)}, {num(two[0], 2)}) WHEN 2 THEN greatest({num(two[1], 1)}, {num(two[1], 2)}) WHEN 3 THEN {num(up, 1)} END AS high, q AS qualitative FROM k)"""
 
 
-@register("reference_range_parse", f"SELECT id, low, high, qualitative FROM {_range_sql(fx.RANGES.sql, 'id')}")
+@register("reference_range_parse", f"SELECT id, low, high, qualitative FROM {_range_sql(fx.RANGES.over_sql(), 'id')}")
 def reference_range_parse(spark, sf_dir):
-    r = fx.RANGES.df(spark).withColumn("r", scalars.reference_range(F.col("raw")))
+    r = fx.RANGES.over(spark, sf_dir).withColumn("r", scalars.reference_range(F.col("raw")))
     return r.select("id", F.col("r.min").alias("low"), F.col("r.max").alias("high"), F.col("r.qualitative").alias("qualitative"))
 
 
-@register("out_of_range_flag", f"SELECT id, CASE WHEN value IS NOT NULL AND (low IS NOT NULL OR high IS NOT NULL) THEN coalesce(value < low, false) OR coalesce(value > high, false) END AS out FROM {_range_sql(fx.FLAGS.sql, 'id, value')}")
+@register("out_of_range_flag", f"SELECT id, CASE WHEN value IS NOT NULL AND (low IS NOT NULL OR high IS NOT NULL) THEN coalesce(value < low, false) OR coalesce(value > high, false) END AS out FROM {_range_sql(fx.FLAGS.over_sql(), 'id, value')}")
 def out_of_range_flag(spark, sf_dir):
-    return fx.FLAGS.df(spark).select("id", scalars.out_of_range(F.col("value"), scalars.reference_range(F.col("raw"))).alias("out"))
+    return fx.FLAGS.over(spark, sf_dir).select("id", scalars.out_of_range(F.col("value"), scalars.reference_range(F.col("raw"))).alias("out"))
 
 
 _UNIT = r"regexp_replace(regexp_replace(replace(replace(lower({}), 'µ', 'u'), 'μ', 'u'), '\s+', '', 'g'), '^per', '/')"
 
 
 @register("unit_convert", f"""SELECT id, round(CASE WHEN canonical IS NULL OR unit IS NULL OR trim(unit) = '' THEN value WHEN factor IS NOT NULL AND {_UNIT.format('unit')} = 'umol/l' THEN value * factor
- WHEN factor IS NOT NULL AND {_UNIT.format('unit')} = 'mmol/l' THEN value * factor WHEN {_UNIT.format('unit')} = {_UNIT.format('canonical')} THEN value END, 6) AS value FROM {fx.UNITS.sql}""")
+ WHEN factor IS NOT NULL AND {_UNIT.format('unit')} = 'mmol/l' THEN value * factor WHEN {_UNIT.format('unit')} = {_UNIT.format('canonical')} THEN value END, 6) AS value FROM {fx.UNITS.over_sql()}""")
 def unit_convert(spark, sf_dir):
     factors = F.when(F.col("factor").isNotNull(), F.create_map(F.lower("unit"), "factor")).otherwise(F.create_map().cast("map<string,double>"))
-    return fx.UNITS.df(spark).select("id", F.round(scalars.converted(F.col("value"), F.col("unit"), F.col("canonical"), factors), 6).alias("value"))
+    return fx.UNITS.over(spark, sf_dir).select("id", F.round(scalars.converted(F.col("value"), F.col("unit"), F.col("canonical"), factors), 6).alias("value"))
 
 
-@register("test_name_normalize", rf"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\(.*?\)', ' ', 'g'), '[^\p{{L}}\p{{N}}%^/]+', ' ', 'g'), '\b(?:serum|plasma|blood|s|p|test|level|levels|conc|concentration)\b', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM {fx.NAMES.sql}""")
+@register("test_name_normalize", rf"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\(.*?\)', ' ', 'g'), '[^\p{{L}}\p{{N}}%^/]+', ' ', 'g'), '\b(?:serum|plasma|blood|s|p|test|level|levels|conc|concentration)\b', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM {fx.NAMES.over_sql()}""")
 def test_name_normalize(spark, sf_dir):
-    return fx.NAMES.df(spark).select("id", scalars.test_name(F.col("raw")).alias("name"))
+    return fx.NAMES.over(spark, sf_dir).select("id", scalars.test_name(F.col("raw")).alias("name"))
 
 
 test_name_normalize.__test__ = False
@@ -74,10 +74,10 @@ test_name_normalize.__test__ = False
 _URDU = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 
 
-@register("script_detect", f"""WITH c AS (SELECT id, length(raw) - length(regexp_replace(raw, '{_URDU}', '', 'g')) AS u, length(raw) - length(regexp_replace(raw, '[A-Za-z]', '', 'g')) AS l FROM {fx.SCRIPTS.sql})
+@register("script_detect", f"""WITH c AS (SELECT id, length(raw) - length(regexp_replace(raw, '{_URDU}', '', 'g')) AS u, length(raw) - length(regexp_replace(raw, '[A-Za-z]', '', 'g')) AS l FROM {fx.SCRIPTS.over_sql()})
  SELECT id, CASE WHEN u + l = 0 THEN 'unknown' WHEN u / (u + l) >= 0.85 THEN 'urdu' WHEN u / (u + l) <= 0.15 THEN 'latin' ELSE 'mixed' END AS script FROM c""")
 def script_detect(spark, sf_dir):
-    return fx.SCRIPTS.df(spark).select("id", scalars.script(F.col("raw")).alias("script"))
+    return fx.SCRIPTS.over(spark, sf_dir).select("id", scalars.script(F.col("raw")).alias("script"))
 
 
 def _squeezed(e: str) -> str:
@@ -92,9 +92,9 @@ for _a, _b in fixed.DIGRAPHS:
     _FOLDED = f"replace({_FOLDED}, '{_a}', '{_b}')"
 
 
-@register("roman_key", f"WITH a AS (SELECT id, {_squeezed(_FOLDED)} AS s FROM {fx.ROMAN.sql}), b AS (SELECT id, left(s, 1) || regexp_replace(substr(s, 2), '[aeiou]', '', 'g') AS s FROM a) SELECT id, {_squeezed('s')} AS key FROM b")
+@register("roman_key", f"WITH a AS (SELECT id, {_squeezed(_FOLDED)} AS s FROM {fx.ROMAN.over_sql()}), b AS (SELECT id, left(s, 1) || regexp_replace(substr(s, 2), '[aeiou]', '', 'g') AS s FROM a) SELECT id, {_squeezed('s')} AS key FROM b")
 def roman_key(spark, sf_dir):
-    return fx.ROMAN.df(spark).select("id", scalars.sound_key(F.col("raw")).alias("key"))
+    return fx.ROMAN.over(spark, sf_dir).select("id", scalars.sound_key(F.col("raw")).alias("key"))
 
 
 _DRUG = r"regexp_replace(raw, '(?i)\[unclear:[^\]]*\]', ' ', 'g')"
@@ -102,9 +102,9 @@ for _p in (fixed.DRUG_FORMS, fixed.DRUG_STRENGTHS, fixed.DRUG_TIMES):
     _DRUG = f"regexp_replace({_DRUG}, '(?i){_p}', ' ', 'g')"
 
 
-@register("drug_noise_strip", rf"SELECT id, trim(regexp_replace(regexp_replace({_DRUG}, '[^\p{{L}}\p{{N}}\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM {fx.DRUGS.sql}")
+@register("drug_noise_strip", rf"SELECT id, trim(regexp_replace(regexp_replace({_DRUG}, '[^\p{{L}}\p{{N}}\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM {fx.DRUGS.over_sql()}")
 def drug_noise_strip(spark, sf_dir):
-    return fx.DRUGS.df(spark).select("id", scalars.drug_name(F.col("raw")).alias("name"))
+    return fx.DRUGS.over(spark, sf_dir).select("id", scalars.drug_name(F.col("raw")).alias("name"))
 
 
 @register("token_estimate", r"""SELECT doc_id, greatest(1, ceil((length(text) - length(regexp_replace(text, '[\x{0600}-\x{06FF}\x{FB50}-\x{FDFF}]', '', 'g'))) / 2.5
@@ -135,12 +135,12 @@ def section_detect(spark, sf_dir):
     return lines.groupBy("doc_id", scalars.section_of(F.col("line")).alias("section")).agg(F.count("*").alias("n"))
 
 
-@register("model_failure_classify", rf"""WITH p AS (SELECT *, regexp_extract(message, '(?i)try again in\s+(?:(\d+)m)?([\d.]+)s', 1) AS m, regexp_extract(message, '(?i)try again in\s+(?:(\d+)m)?([\d.]+)s', 2) AS s FROM {fx.FAILURES.sql})
+@register("model_failure_classify", rf"""WITH p AS (SELECT *, regexp_extract(message, '(?i)try again in\s+(?:(\d+)m)?([\d.]+)s', 1) AS m, regexp_extract(message, '(?i)try again in\s+(?:(\d+)m)?([\d.]+)s', 2) AS s FROM {fx.FAILURES.over_sql()})
  SELECT id, CASE WHEN coalesce(status = 429, false) OR regexp_matches(message, '(?i)rate.?limit|quota|too many requests') THEN 'rate_limit'
  WHEN coalesce(status >= 500, false) OR coalesce(code IN ('ECONNRESET', 'ETIMEDOUT'), false) OR regexp_matches(message, '(?i)timeout|aborted|fetch failed|network|socket hang up|ECONNREFUSED') THEN 'transient' ELSE 'permanent' END AS kind,
  coalesce(CASE WHEN try_cast(header AS DOUBLE) >= 0 THEN try_cast(header AS DOUBLE) END, CASE WHEN s <> '' THEN ceil(coalesce(try_cast(nullif(m, '') AS DOUBLE), 0) * 60 + s::DOUBLE) END) AS wait FROM p""")
 def model_failure_classify(spark, sf_dir):
-    f = fx.FAILURES.df(spark)
+    f = fx.FAILURES.over(spark, sf_dir)
     return f.select("id", scalars.failure_kind(F.col("status"), F.col("code"), F.col("message")).alias("kind"), scalars.retry_seconds(F.col("header"), F.col("message")).alias("wait"))
 
 
@@ -155,10 +155,13 @@ def file_name_clean(spark, sf_dir):
     return scan(spark, sf_dir, "pages", "page_id", F.right(F.regexp_replace("url", "[^a-zA-Z0-9._-]", "_"), F.lit(120)).alias("name"))
 
 
-@register("mime_kinds", "SELECT 'Text/Plain; charset=utf-8' AS mime, 'text' AS kind UNION ALL SELECT 'application/pdf', 'pdf' UNION ALL SELECT 'video/mp4', NULL")
+_TYPES = fx.Rows("id int, mime string", *enumerate(["Text/Plain; charset=utf-8", "application/pdf", "video/mp4", "image/HEIC", " text/csv ", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", None, ""]))
+_KINDS = fx.Rows("mime string, kind string", *KINDS.items())
+
+
+@register("mime_kinds", f"SELECT f.id, k.kind FROM {_TYPES.over_sql()} LEFT JOIN {_KINDS.sql.replace('AS f(', 'AS k(')} ON k.mime = lower(trim(split_part(f.mime, ';', 1)))")
 def mime_kinds(spark, sf_dir):
-    m = spark.createDataFrame([("Text/Plain; charset=utf-8",), ("application/pdf",), ("video/mp4",)], "mime string")
-    return m.select("mime", kind_of_mime(F.col("mime")).alias("kind"))
+    return _TYPES.over(spark, sf_dir).select("id", kind_of_mime(F.col("mime")).alias("kind"))
 
 
 @register("standalone_question", r"""SELECT conv_id, turn, length(trim(text)) > 140 OR NOT (regexp_matches(text, '(?i)\b(?:it|its|that|this|those|these|they|them|their|there|then|he|she|his|her|same|above|earlier|before)\b')

@@ -23,15 +23,20 @@ def _live(spark, sf_dir):
     return live_scan(spark, sf_dir, "events", "event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
 
 
-_PROCESSING = F.when(F.col("event_type") == "click", "processing").otherwise("done")
 _AT = "epoch_us(ts)"
 
 
+def _status():
+    return F.when(F.col("event_type") == "click", "processing").otherwise("done")
+
+
+
+
 @register("stalls_streamed", f"""WITH e AS (SELECT user_id, event_type, {_AT} AS t, coalesce(lead({_AT}) OVER (PARTITION BY user_id ORDER BY ts, event_id), (SELECT max({_AT}) // 1000 * 1000 FROM events)) AS until FROM events)
  SELECT user_id, t AS since, t + 3600000000::BIGINT * 24 AS failed_at FROM e WHERE event_type = 'click' AND until > t + 3600000000::BIGINT * 24""")
 def stalls_streamed(spark, sf_dir):
     """The sweeper over a stream of updates, each user being a document whose clicks begin to process it; the watermark ends at the last event."""
-    out = sweeps.stalls_stream(_live(spark, sf_dir), "user_id", _PROCESSING, F.col("ts"), "event_id", minutes=1440)
+    out = sweeps.stalls_stream(_live(spark, sf_dir), "user_id", _status(), F.col("ts"), "event_id", minutes=1440)
     return _finished(spark, out, "stalls").select("user_id", F.unix_micros("since").alias("since"), F.unix_micros("failed_at").alias("failed_at"))
 
 
@@ -40,7 +45,7 @@ def stalls_streamed(spark, sf_dir):
 def stalls_listed(spark, sf_dir):
     """The batch twin with the usual limit."""
     e = scan(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
-    found = sweeps.stalls(e, "user_id", _PROCESSING, F.col("ts"), "event_id", F.lit("2024-02-15"))
+    found = sweeps.stalls(e, "user_id", _status(), F.col("ts"), "event_id", F.lit("2024-02-15"))
     return found.select("user_id", F.unix_micros("since").alias("since"), F.unix_micros("failed_at").alias("failed_at"))
 
 

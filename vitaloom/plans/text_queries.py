@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from vitaloom.functions import fixed, scalars
-from vitaloom.operators import budget, lexical, linking, records, retrieval, safety, text
+from vitaloom.operators import backends, budget, lexical, linking, records, retrieval, safety, text
 from vitaloom.plans import catalogues as cat
 from vitaloom.plans import fixtures as fx
 from vitaloom.plans.catalogue import register
@@ -162,46 +164,55 @@ def rerank_coverage(spark, sf_dir):
     return finds.select("query_id", "id", F.round(retrieval.coverage(F.col("terms"), F.col("text")), 6).alias("coverage"))
 
 
-@register("query_expand", "SELECT * FROM (VALUES (0, 'glucose hba1c blood diabetes'), (1, ''), (2, 'bp systolic diastolic hypertension')) AS v(id, added)")
+_QUERIES = fx.Rows("id int, q string, added string", (0, "what is my sugar level", "glucose hba1c blood diabetes"), (1, "amlodipine", ""), (2, "my blood pressure", "bp systolic diastolic hypertension"), (3, "", ""), (4, None, None))
+
+
+@register("query_expand", f"SELECT id, added FROM {_QUERIES.over_sql()}")
 def query_expand(spark, sf_dir):
-    q = spark.createDataFrame([(0, "what is my sugar level"), (1, "amlodipine"), (2, "my blood pressure")], "id int, q string")
-    return q.select("id", F.array_join(retrieval.expand(F.col("q"), cat.SYNONYMS), " ").alias("added"))
+    return _QUERIES.over(spark, sf_dir).select("id", F.array_join(retrieval.expand(F.col("q"), cat.SYNONYMS), " ").alias("added"))
 
 
 # --- linking ---------------------------------------------------------------------------------------------------
 
+_TESTS = fx.Rows("id int, name string, key string", *[(k, *r) for k, r in enumerate([("Hb A1c", "hba1c"), ("Glycated Haemoglobin", "hba1c"), ("Serum Creatinine", "creatinine"), ("Potassium Hydroxide Prep", None), ("TLC", "wbc"), ("SGPT", "alt"), ("Serum Widgetase", None), ("Platelet Count Manual", "platelets"), ("", None), (None, None)])])
+
 
-@register("analyte_link", "SELECT * FROM (VALUES ('Hb A1c', 'hba1c'), ('Glycated Haemoglobin', 'hba1c'), ('Serum Creatinine', 'creatinine'), ('Potassium Hydroxide Prep', NULL), ('TLC', 'wbc'), ('SGPT', 'alt'), ('Serum Widgetase', NULL), ('Platelet Count Manual', 'platelets')) AS v(name, key)")
+@register("analyte_link", f"SELECT id, name, key FROM {_TESTS.over_sql()}")
 def analyte_link(spark, sf_dir):
-    names = ["Hb A1c", "Glycated Haemoglobin", "Serum Creatinine", "Potassium Hydroxide Prep", "TLC", "SGPT", "Serum Widgetase", "Platelet Count Manual"]
-    labs = spark.createDataFrame([(n,) for n in names], "name string")
-    return linking.link_analytes(labs, cat.analytes(spark), "name").select("name", "key")
+    return linking.link_analytes(_TESTS.over(spark, sf_dir).drop("key"), cat.analytes(spark), "name").select("id", "name", "key")
 
 
-@register("analyte_convert", "SELECT * FROM (VALUES ('Creatinine', 1.0, 'mg/dL'), ('Platelets', 150.0, '10^9/L'), ('Fasting Blood Sugar', 99.1001, 'mg/dL'), ('HbA1c', 7.2, '%'), ('Creatinine x', NULL, NULL), ('INR', 2.4, NULL)) AS v(name, value, unit)".replace("1.0,", "1.0::DOUBLE,"))
+_MEASURED = fx.Rows("id int, name string, v double, u string, factor double, unit string", *[(k, *r) for k, r in enumerate([("Creatinine", 88.4, "umol/L", 1 / 88.4, "mg/dL"), ("Platelets", 150000.0, "/cumm", 0.001, "10^9/L"), ("Fasting Blood Sugar", 5.5, "mmol/L", 18.0182, "mg/dL"), ("HbA1c", 7.2, None, 1.0, "%"), ("Creatinine x", 5.0, "furlongs", None, None), ("INR", 2.4, None, 1.0, None)])])
+
+
+@register("analyte_convert", f"SELECT id, name, round((v + id % 5) * factor, 4) AS value, unit FROM {_MEASURED.over_sql()}")
 def analyte_convert(spark, sf_dir):
-    rows = [("Creatinine", 88.4, "umol/L"), ("Platelets", 150000.0, "/cumm"), ("Fasting Blood Sugar", 5.5, "mmol/L"), ("HbA1c", 7.2, None), ("Creatinine x", 5.0, "furlongs"), ("INR", 2.4, None)]
-    labs = spark.createDataFrame(rows, "name string, v double, u string")
+    labs = _MEASURED.over(spark, sf_dir).select("id", "name", (F.col("v") + F.col("id") % 5).alias("v"), "u")
     out = linking.canonical_labs(labs, cat.analytes(spark), "name", "v", "u")
-    return out.select("name", F.round("canonical_value", 4).alias("value"), F.when(F.col("canonical_value").isNotNull(), F.col("canonical_unit")).alias("unit"))
+    return out.select("id", "name", F.round("canonical_value", 4).alias("value"), F.when(F.col("canonical_value").isNotNull(), F.col("canonical_unit")).alias("unit"))
+
+
+_CONDITIONS = fx.Rows("id int, raw string, code string, matched_on string, confidence double", *[(k, *r) for k, r in enumerate([
+    ("T2DM", "E11.9", "alias", 0.95), ("Type 2 Diabetes Mellitus", "E11.9", "exact", 1.0), ("DM type II", "E11.9", "alias", 0.95), ("Known case of uncontrolled Type II DM", "E11.9", "alias", 0.95), ("شوگر", "E11.9", "local-language", 0.85), ("shugaar", "E11.9", "local-language", 0.85),
+    ("dama", "J45.909", "local-language", 0.85), ("pilia", "R17", "local-language", 0.85), ("severe left sided migraine headache with aura", None, "partial", 0.6), ("Ehlers-Danlos syndrome", None, None, None), ("jigar", None, None, None), ("", None, None, None), (None, None, None, None),
+])])
 
 
-@register("condition_link_cascade", """SELECT * FROM (VALUES ('T2DM', 'E11.9', 'alias', 0.95), ('Type 2 Diabetes Mellitus', 'E11.9', 'exact', 1.0), ('DM type II', 'E11.9', 'alias', 0.95), ('Known case of uncontrolled Type II DM', 'E11.9', 'alias', 0.95),
- ('شوگر', 'E11.9', 'local', 0.85), ('severe left sided migraine headache with aura', NULL, 'partial', 0.6), ('Ehlers-Danlos syndrome', NULL, NULL, NULL)) AS v(raw, code, matched_on, confidence)""".replace("0.95)", "0.95::DOUBLE)"))
+@register("condition_link_cascade", f"SELECT id, raw, code, matched_on, confidence FROM {_CONDITIONS.over_sql()}")
 def condition_link_cascade(spark, sf_dir):
-    names = ["T2DM", "Type 2 Diabetes Mellitus", "DM type II", "Known case of uncontrolled Type II DM", "شوگر", "severe left sided migraine headache with aura", "Ehlers-Danlos syndrome"]
-    raw = spark.createDataFrame([(n,) for n in names], "raw string")
-    local = cat.lexicon(spark).select("english", F.explode("urdu").alias("local"))
-    out = linking.link_conditions(raw, cat.conditions(spark), "raw", local)
-    return out.select("raw", linking.suggested_code(F.col("confidence"), F.col("code")).alias("code"), "matched_on", F.col("confidence").cast("double").alias("confidence"))
+    out = linking.link_conditions(_CONDITIONS.over(spark, sf_dir).select("id", "raw"), cat.conditions(spark), "raw", cat.lexicon(spark))
+    return out.select("id", "raw", linking.suggested_code(F.col("confidence"), F.col("code")).alias("code"), "matched_on", F.col("confidence").cast("double").alias("confidence"))
+
+
+_PHRASES = fx.Rows("id int, phrase string, english string", *[(k, *r) for k, r in enumerate([("khaansi", "cough"), ("khansee", "cough"), ("dama", "asthma"), ("pilia", "jaundice"), ("tibi", "tuberculosis"), ("dm", None), ("bp", None), ("blood pressure", "hypertension"), ("بخار", "fever"), ("دِمہ", "asthma"), ("الرجى", "allergy"), (None, None)])])
 
 
-@register("local_term_lookup", "SELECT * FROM (VALUES ('khaansi', 'cough'), ('khansee', 'cough'), ('dama', 'asthma'), ('pilia', 'jaundice'), ('tibi', 'tuberculosis'), ('dm', NULL), ('bp', NULL), ('blood pressure', 'hypertension'), ('بخار', 'fever')) AS v(phrase, english)")
+@register("local_term_lookup", f"SELECT id, phrase, english FROM {_PHRASES.over_sql()}")
 def local_term_lookup(spark, sf_dir):
-    p = spark.createDataFrame([(w,) for w in ("khaansi", "khansee", "dama", "pilia", "tibi", "dm", "bp", "blood pressure", "بخار")], "phrase string")
-    return linking.local_terms(p, cat.lexicon(spark), "phrase").select("phrase", "english")
+    return linking.local_terms(_PHRASES.over(spark, sf_dir).drop("english"), cat.lexicon(spark), "phrase").select("id", "phrase", "english")
 
 
+_MISSPELT = fx.Rows("id int, raw string", *enumerate(["Metformn", "Amlodipin", "Zzyzx", "Aspirin", "Tab Metformn 500mg"]))
 _CANDIDATES = fx.Rows("query string, rxcui string, name string, score double, rank int, source string", ("Metformn", "6809", "metformin", 9.1, 1, "RXNORM"), ("Metformn", "9999", "metolazone", 8.5, 2, "RXNORM"), ("Amlodipin", "17767", "Amlodipine Besylate", 8.2, 1, "OTHER"), ("Amlodipin", "17767", "amlodipine", 8.1, 2, "RXNORM"), ("Zzyzx", "1", "zyrtec", 8.9, 1, "RXNORM"), ("Aspirin", "1191", "aspirin", 5.0, 1, "RXNORM"))
 
 
@@ -209,11 +220,11 @@ _CANDIDATES = fx.Rows("query string, rxcui string, name string, score double, ra
     "drug_edit_match",
     f"""WITH c AS (SELECT *, levenshtein(lower(query), lower(name)) / greatest(length(query), length(name), 1) <= 0.34 AND score >= 8 AS ok FROM {_CANDIDATES.sql}),
  l AS (SELECT query, min_by(rxcui, rank) AS rxcui FROM c WHERE ok GROUP BY query), p AS (SELECT c.query, c.rxcui, min_by(name, (CASE WHEN source = 'RXNORM' THEN 0 ELSE 1 END, rank)) AS name FROM c JOIN l ON c.query = l.query AND c.rxcui = l.rxcui WHERE ok GROUP BY ALL)
- SELECT n.q AS raw, coalesce(p.name, n.q) AS name, p.rxcui, coalesce(lower(p.name) <> lower(n.q), false) AS corrected FROM (SELECT DISTINCT query AS q FROM {_CANDIDATES.sql}) n LEFT JOIN p ON p.query = n.q""",
+ SELECT n.id, n.raw, coalesce(p.name, n.q) AS name, p.rxcui, coalesce(lower(p.name) <> lower(n.q), false) AS corrected FROM (SELECT id, raw, trim(regexp_replace(regexp_replace(raw, '(?i)\\btab\\b|\\d+mg', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM {_MISSPELT.over_sql()}) n LEFT JOIN p ON p.query = n.q""",
 )
 def drug_edit_match(spark, sf_dir):
-    c = _CANDIDATES.df(spark)
-    return linking.drug_matches(c.select(F.col("query").alias("raw")).distinct(), c, "raw")
+    names = _MISSPELT.over(spark, sf_dir)
+    return names.join(linking.drug_matches(names.select("raw").distinct(), _CANDIDATES.df(spark), "raw"), "raw").select("id", "raw", "name", "rxcui", "corrected")
 
 
 # --- text ------------------------------------------------------------------------------------------------------
@@ -248,7 +259,7 @@ _SENTENCES = fx.Rows("id int, text string, term string", *[(k, *r) for k, r in e
 
 @register("assertion_classify")
 def assertion_classify(spark, sf_dir):
-    return text.assertions(_SENTENCES.df(spark), "text", "term", cat.spellings()).select("id", "assertion.status", "assertion.evidence")
+    return text.assertions(_SENTENCES.over(spark, sf_dir), "text", "term", cat.spellings()).select("id", "assertion.status", "assertion.evidence")
 
 
 @register("own_findings_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE CASE l_returnflag WHEN 'A' THEN 'present' WHEN 'R' THEN 'absent' ELSE 'uncertain' END IN ('present', 'historical', 'uncertain')")
@@ -257,85 +268,139 @@ def own_findings_filter(spark, sf_dir):
     return text.own_findings(scan(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", status.alias("status")), "status").drop("status")
 
 
-_KNOWN = ("the", "and", "of the", "with")
-_PHRASES = r"(^|[^\p{L}\p{N}])"
+#: A clinical line that a document carries before its own text.
+_LINES = fx.Rows("doc_id int, line string", *enumerate([
+    "Tab Augmentin-amoxicillin 625 mg BD, started in April", "Known type 2  Diabetes, hypertension and TB.", "HbA1c 7.4%, d-dimer raised; ALT,AST normal", "amlodipine given; Inj Ceftriaxone 1 g stat",
+    "Amlodipine was stopped.\namlodipine 5mg od", "Hepatitis B and hepatitis; syrup once daily every 6 hours", "principal nostril pril", "vitamin D3 60000 IU weekly, insulin 10 units", "Metformin\r\nuse inhaler with prednisone, oral atorvastatin", "",
+]))
+
+
+def _clinical(spark, sf_dir):
+    return _LINES.over(spark, sf_dir).join(scan(spark, sf_dir, "documents", "doc_id", F.col("text").alias("own")), "doc_id").select("doc_id", F.concat("line", F.lit("\n"), F.coalesce("own", F.lit(""))).alias("text"))
+
 
+def _known_sql(known):
+    """Phrases of marked text: every run of letters and digits stands between two marks, which takes the place of looking round."""
+    word = lambda w: re.sub(r"[^\W_]+", lambda m: f"\x01{m[0]}\x02", w).replace(".", "\\.")
+    return "|".join(r"\s+".join(map(word, k.split())) for k in sorted(known, key=len, reverse=True))
 
-@register("entity_rules_extract")
+
+def _every(source, pattern, kind, score):
+    return f"SELECT doc_id, '{kind}' AS type, {score}::DOUBLE AS score, unnest(m) AS text, generate_subscripts(m, 1) AS i, 0 AS l FROM (SELECT doc_id, regexp_extract_all({source}, '(?i){pattern}') AS m FROM d)"
+
+
+_ENTITIES_SQL = rf"""d AS (SELECT doc_id, line || chr(10) || coalesce(own, '') AS text, regexp_replace(line || chr(10) || coalesce(own, ''), '([\p{{L}}\p{{N}}]+)', chr(1) || '\1' || chr(2), 'g') AS marked FROM (SELECT f.*, o.text AS own FROM {_LINES.over_sql()} JOIN documents o ON o.doc_id = f.doc_id)),
+ w AS (SELECT doc_id, line, l, unnest(ws) AS text, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, line, l, regexp_extract_all(line, '\p{{L}}[\p{{L}}-]{{4,}}') AS ws FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS l FROM (SELECT doc_id, string_split_regex(text, '
+?
+') AS ls FROM d)))),
+ g AS (SELECT doc_id, 'medication' AS type, CASE WHEN regexp_matches(line, '(?i){fixed.DOSE_EVIDENCE}') OR regexp_matches(line, '(?i){fixed.FREQUENCY_EVIDENCE}') OR regexp_matches(line, '(?i){fixed.FORM_EVIDENCE}') OR regexp_matches(line, '(?i){fixed.ROUTE_EVIDENCE}') THEN 0.75 ELSE 0.4 END::DOUBLE AS score, text, i, l
+  FROM w WHERE regexp_matches(text, '(?i)(?:{fixed.DRUG_ENDINGS})$') AND lower(text) NOT IN ({", ".join(f"'{x}'" for x in fixed.NOT_DRUGS)})),
+ a AS (SELECT *, 0 AS part FROM g UNION ALL SELECT *, 1 FROM ({_every("marked", _known_sql(fixed.KNOWN_CONDITIONS), "condition", 0.9)}) UNION ALL SELECT *, 2 FROM ({_every("marked", _known_sql(fixed.KNOWN_LAB_TESTS), "lab_test", 0.9)})
+  UNION ALL SELECT *, 3 FROM ({_every("text", fixed.DOSAGES, "dosage", 1.0)}) UNION ALL SELECT *, 4 FROM ({_every("text", fixed.FREQUENCIES, "frequency", 1.0)})),
+ c AS (SELECT doc_id, type, score, replace(replace(text, chr(1), ''), chr(2), '') AS text, (part, l, i) AS place FROM a)"""
+
+
+@register("entity_rules_extract", f"WITH {_ENTITIES_SQL} SELECT doc_id, type, arg_min(text, (-score, place)) AS text, max(score) AS score FROM c GROUP BY doc_id, type, lower(text)")
 def entity_rules_extract(spark, sf_dir):
-    docs = scan(spark, sf_dir, "documents", "doc_id", "text")
-    return text.rule_entities(docs, "doc_id", "text", list(_KNOWN), ["ion", "ment"])
+    return text.rule_entities(_clinical(spark, sf_dir), "doc_id", "text").select("doc_id", "type", "text", "score")
+
+
+@register("entity_backends", f"""WITH {_ENTITIES_SQL}, q AS (SELECT doc_id, p, n, unnest(range(0, length(p), 1200)) AS k FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS n FROM (SELECT doc_id, regexp_split_to_array(trim(text), '\\n{{2,}}') AS ps FROM d))),
+ m AS (SELECT doc_id, n, k, unnest(ws) AS text, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, n, k, list_filter(regexp_extract_all(substr(p, k + 1, 1200), '[A-Za-z]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{3,}}$')) AS ws FROM q)),
+ k AS (SELECT doc_id, CASE length(text) % 4 WHEN 0 THEN 'condition' WHEN 1 THEN 'medication' WHEN 2 THEN 'lab_test' END AS type, least(1.0, length(text) / 12.0)::DOUBLE AS score, text, (9, n * 1000000 + k, i) AS place FROM m),
+ b AS (SELECT *, 'rules' AS source FROM c UNION ALL SELECT doc_id, type, score, text, place, 'model' FROM k WHERE type IS NOT NULL AND score >= 0.45)
+ SELECT doc_id, type, arg_min(text, (-score, place)) AS text, round(max(score), 6) AS score, arg_min(source, (-score, place)) AS source FROM b GROUP BY doc_id, type, lower(text)""")
+def entity_backends(spark, sf_dir):
+    """Rules beside a model's rows, each (type, text) as the surer of both says it."""
+    return backends.entities(_clinical(spark, sf_dir), "doc_id", "text", "capitals").select("doc_id", "type", "text", F.round("score", 6).alias("score"), "source")
 
 
-@register("entity_dedupe_best", f"SELECT doc, type, max_by(text, (score, text)) AS text, max(score) AS score FROM {fx.ENTITIES.sql} GROUP BY doc, type, lower(text)")
+@register("embedded_passages", r"""WITH w AS (SELECT doc_id, unnest(ws) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents)),
+ c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL UNION ALL SELECT DISTINCT doc_id, 'passage:', 1 FROM w),
+ h AS (SELECT doc_id, n, md5(w) AS h FROM c), s AS (SELECT doc_id, ('0x' || left(h, 4))::BIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(h, 5, 1))::BIGINT % 2 = 1 THEN n ELSE -n END)::DOUBLE AS x FROM h GROUP BY ALL)
+ SELECT doc_id, slot::INTEGER AS slot, round((x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM s WHERE x <> 0""")
+def embedded_passages(spark, sf_dir):
+    e = backends.embedded(scan(spark, sf_dir, "documents", "doc_id", "text"), "text", "passage")
+    return e.select("doc_id", F.posexplode("embedding").alias("slot", "value")).where("value <> 0").select("doc_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+@register("entity_dedupe_best", f"SELECT doc, type, arg_min(text, (-score, place)) AS text, max(score) AS score FROM {fx.ENTITIES.over_sql()} GROUP BY doc, type, lower(text)")
 def entity_dedupe_best(spark, sf_dir):
-    return text.best_entities(fx.ENTITIES.df(spark), "doc")
+    return text.best_entities(fx.ENTITIES.over(spark, sf_dir), "doc").select("doc", "type", "text", "score")
 
 
-@register("missed_entities_anti_join", f"""WITH e AS (SELECT *, lower(trim(regexp_replace(regexp_replace(text, '(?i)\\d+(?:\\.\\d+)?\\s*mg', ' ', 'g'), '\\s+', ' ', 'g'))) AS n FROM {fx.ENTITIES.sql} WHERE score >= 0.6 AND type NOT IN ('dosage', 'frequency')),
- m AS (SELECT doc, type, lower(trim(regexp_replace(regexp_replace(name, '(?i)\\btab\\b|\\d+mg', ' ', 'g'), '\\s+', ' ', 'g'))) AS m FROM {fx.MENTIONED.sql})
+@register("missed_entities_anti_join", f"""WITH e AS (SELECT *, lower(trim(regexp_replace(regexp_replace(text, '(?i)\\d+(?:\\.\\d+)?\\s*mg', ' ', 'g'), '\\s+', ' ', 'g'))) AS n FROM {fx.ENTITIES.over_sql()} WHERE score >= 0.6 AND type NOT IN ('dosage', 'frequency')),
+ m AS (SELECT doc, type, lower(trim(regexp_replace(regexp_replace(name, '(?i)\\btab\\b|\\d+mg', ' ', 'g'), '\\s+', ' ', 'g'))) AS m FROM {fx.MENTIONED.over_sql()})
  SELECT doc, type, text, score FROM e WHERE length(n) >= 3 AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc = e.doc AND m.type = e.type AND (contains(m.m, e.n) OR contains(e.n, m.m)))""")
 def missed_entities_anti_join(spark, sf_dir):
-    return safety.missed(fx.ENTITIES.df(spark), fx.MENTIONED.df(spark))
+    return safety.missed(fx.ENTITIES.over(spark, sf_dir), fx.MENTIONED.over(spark, sf_dir)).select("doc", "type", "text", "score")
 
 
 # --- safety ----------------------------------------------------------------------------------------------------
 
-_DRUGS_SQL = """drugs AS (SELECT * FROM (VALUES ('amoxicillin', ['amoxicillin'], ['Penicillins with extended spectrum']), ('Glucophage', ['metformin'], ['Biguanides']), ('nifedipine', ['nifedipine'], ['Dihydropyridine derivatives']), ('aspirin', ['aspirin'], ['Salicylic acid and derivatives'])) AS v(drug, ingredients, classes)),
+_ASKED_DRUGS = fx.Rows("id int, name string, ingredient string, class string", (0, "amoxicillin", "amoxicillin", "Penicillins with extended spectrum"), (1, "Glucophage", "metformin", "Biguanides"), (2, "nifedipine", "nifedipine", "Dihydropyridine derivatives"), (3, "aspirin", "aspirin", "Salicylic acid and derivatives"))
+#: Every document asks for one drug in a strength of its own.
+DRUGS_ASKED_SQL = f"SELECT name || ' ' || id || 'mg' AS drug, [ingredient] AS ingredients, [class] AS classes FROM {_ASKED_DRUGS.over_sql()}"
+_DRUGS_SQL = f"""drugs AS ({DRUGS_ASKED_SQL}),
  cur AS (SELECT * FROM (VALUES ('Metformin', ['metformin'], ['Biguanides']), ('Amlodipine', ['amlodipine'], ['Dihydropyridine derivatives'])) AS v(medication, ingredients, classes))"""
 
 
-def _drugs(spark):
-    schema = "drug string, ingredients array<string>, classes array<string>"
-    asked = [("amoxicillin", ["amoxicillin"], ["Penicillins with extended spectrum"]), ("Glucophage", ["metformin"], ["Biguanides"]), ("nifedipine", ["nifedipine"], ["Dihydropyridine derivatives"]), ("aspirin", ["aspirin"], ["Salicylic acid and derivatives"])]
+def _drugs(spark, sf_dir):
+    asked = _ASKED_DRUGS.over(spark, sf_dir).select(F.concat("name", F.lit(" "), "id", F.lit("mg")).alias("drug"), F.array("ingredient").alias("ingredients"), F.array("class").alias("classes"))
     now = [("Metformin", ["metformin"], ["Biguanides"]), ("Amlodipine", ["amlodipine"], ["Dihydropyridine derivatives"])]
-    return spark.createDataFrame(asked, schema), spark.createDataFrame(now, schema)
+    return asked, spark.createDataFrame(now, "drug string, ingredients array<string>, classes array<string>")
 
 
 _SINGULAR = "CASE WHEN length({0}) > 4 AND {0} LIKE '%s' THEN left({0}, length({0}) - 1) ELSE {0} END"
 
 
-@register("allergy_match_join", f"""WITH {_DRUGS_SQL}, k AS (SELECT drug, lower(drug) AS key FROM drugs UNION SELECT drug, lower(unnest(ingredients)) FROM drugs UNION SELECT drug, unnest(string_split(lower(array_to_string(classes, ' ')), ' ')) FROM drugs),
+@register("allergy_match_join", f"""WITH {_DRUGS_SQL}, k AS (SELECT drug, unnest(string_split(lower(drug), ' ')) AS key FROM drugs UNION SELECT drug, lower(unnest(ingredients)) FROM drugs UNION SELECT drug, unnest(string_split(lower(array_to_string(classes, ' ')), ' ')) FROM drugs),
  a AS (SELECT allergen, severity, lower(allergen) AS key FROM {fx.SEVERITIES_OF.sql})
  SELECT DISTINCT k.drug, a.allergen, CASE WHEN lower(a.severity) = 'severe' THEN 'contraindicated' ELSE 'severe' END AS level, contains(lower(k.drug), {_SINGULAR.format('a.key')}) OR list_contains(d.ingredients, {_SINGULAR.format('a.key')}) AS same_substance
  FROM k JOIN a ON {_SINGULAR.format('k.key')} = {_SINGULAR.format('a.key')} JOIN drugs d ON d.drug = k.drug""")
 def allergy_match_join(spark, sf_dir):
-    return safety.allergy_findings(_drugs(spark)[0], fx.SEVERITIES_OF.df(spark))
+    return safety.allergy_findings(_drugs(spark, sf_dir)[0], fx.SEVERITIES_OF.df(spark))
 
 
 @register("duplicate_ingredient_join", f"WITH {_DRUGS_SQL} SELECT drug, medication, array_to_string(list_sort(list_intersect(drugs.ingredients, cur.ingredients)), ', ') AS shared FROM drugs, cur WHERE len(list_intersect(drugs.ingredients, cur.ingredients)) > 0 AND lower(drug) <> lower(medication)")
 def duplicate_ingredient_join(spark, sf_dir):
-    return safety.shared_ingredients(*_drugs(spark))
+    return safety.shared_ingredients(*_drugs(spark, sf_dir))
 
 
 @register("same_class_excl_join", f"WITH {_DRUGS_SQL} SELECT drug, medication, list_min(list_intersect(drugs.classes, cur.classes)) AS class FROM drugs, cur WHERE len(list_intersect(drugs.classes, cur.classes)) > 0 AND len(list_intersect(drugs.ingredients, cur.ingredients)) = 0")
 def same_class_excl_join(spark, sf_dir):
-    return safety.shared_classes(*_drugs(spark))
+    return safety.shared_classes(*_drugs(spark, sf_dir))
 
 
-@register("max_severity", f"SELECT grp, list_extract(['info', 'mild', 'moderate', 'severe', 'contraindicated'], max(list_position(['info', 'mild', 'moderate', 'severe', 'contraindicated'], coalesce(severity, 'info')))) AS severity FROM {fx.SEVERITY.sql} GROUP BY grp")
+@register("max_severity", f"SELECT grp, list_extract(['info', 'mild', 'moderate', 'severe', 'contraindicated'], max(list_position(['info', 'mild', 'moderate', 'severe', 'contraindicated'], coalesce(severity, 'info')))) AS severity FROM {fx.SEVERITY.over_sql()} GROUP BY grp")
 def max_severity(spark, sf_dir):
-    return safety.highest_severity(fx.SEVERITY.df(spark), ["grp"], "severity")
+    return safety.highest_severity(fx.SEVERITY.over(spark, sf_dir), ["grp"], "severity")
 
 
 # --- records ---------------------------------------------------------------------------------------------------
 
 
-@register("json_coerce", "SELECT * FROM (VALUES (1::BIGINT, 'Metformin', true, 7200.0::DOUBLE, NULL, 'en', 2, 0), (2, NULL, NULL, NULL, NULL, NULL, 0, 1), (3, NULL, NULL, NULL, NULL, NULL, 0, 0), (4, NULL, NULL, NULL, NULL, NULL, 0, 0), (5, NULL, NULL, NULL, NULL, NULL, 0, 0)) AS v(doc, first_name, first_active, first_number, hospital, language, n_medications, n_diagnoses)")
+_JSON_EXPECTED = fx.Rows(
+    "doc long, first_name string, first_active boolean, first_number double, hospital string, language string, n_medications int, n_diagnoses int, empty boolean",
+    (1, "Metformin", True, 7200.0, None, "en", 2, 0, False), (2, None, None, None, None, None, 0, 1, False), *[(d, None, None, None, None, None, 0, 0, True) for d in (3, 4, 5, 6)],
+)
+
+
+@register("json_coerce", f"SELECT doc, first_name, first_active, first_number, hospital, language, n_medications, n_diagnoses FROM {_JSON_EXPECTED.over_sql()}")
 def json_coerce(spark, sf_dir):
-    e = fx.EXTRACTIONS.df(spark).withColumn("e", records.extraction(F.col("raw")))
+    e = fx.EXTRACTIONS.over(spark, sf_dir).withColumn("e", records.extraction(F.col("raw")))
     return e.select("doc", F.get("e.medications", F.lit(0))["name"].alias("first_name"), F.get("e.medications", F.lit(0))["isActive"].alias("first_active"), F.get("e.labResults", F.lit(0))["numericValue"].alias("first_number"), "e.hospital", "e.language", F.size("e.medications").alias("n_medications"), F.size("e.diagnoses").alias("n_diagnoses"))
 
 
-@register("extraction_explode", "SELECT * FROM (VALUES (1::BIGINT, 'Metformin', true), (1, NULL, false)) AS v(doc, name, active)")
+@register("extraction_explode", f"SELECT t.doc_id AS doc, name, active FROM documents t JOIN (VALUES ('Metformin', true), (NULL, false)) AS v(name, active) ON t.doc_id % {fx.EXTRACTIONS.keys()} = 0")
 def extraction_explode(spark, sf_dir):
-    e = fx.EXTRACTIONS.df(spark).withColumn("e", records.extraction(F.col("raw")))
+    e = fx.EXTRACTIONS.over(spark, sf_dir).withColumn("e", records.extraction(F.col("raw")))
     return records.entity_rows(e, "e", "medications", "doc").select("doc", "name", F.col("isActive").alias("active"))
 
 
-@register("extraction_empty_flag", "SELECT * FROM (VALUES (1::BIGINT, false), (2, false), (3, true), (4, true), (5, true)) AS v(doc, empty)")
+@register("extraction_empty_flag", f"SELECT doc, empty FROM {_JSON_EXPECTED.over_sql()}")
 def extraction_empty_flag(spark, sf_dir):
-    return fx.EXTRACTIONS.df(spark).select("doc", records.is_empty(records.extraction(F.col("raw"))).alias("empty"))
+    return fx.EXTRACTIONS.over(spark, sf_dir).select("doc", records.is_empty(records.extraction(F.col("raw"))).alias("empty"))
 
 
 @register("review_status", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND l_linenumber = 7 THEN 'failed' WHEN l_returnflag = 'A' AND l_linenumber = 6 THEN 'pending' WHEN l_quantity < 45 OR l_linestatus = 'O' THEN 'needs_review' ELSE 'confirmed' END AS status FROM lineitem")
@@ -377,9 +442,9 @@ def cascade_set_null(spark, sf_dir):
 
 
 @register("ocr_page_combine", f"""SELECT doc, coalesce(string_agg('-- page ' || page || ' of ' || n || ' --' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY page) FILTER (WHERE trim(text) <> ''), '') AS text, coalesce(floor(avg(confidence) FILTER (WHERE trim(text) <> '') + 0.5)::INTEGER, 0) AS confidence,
- count(*) FILTER (WHERE handwritten) > count(*) / 2 AS handwritten FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM {fx.PAGES.sql}) GROUP BY doc""")
+ count(*) FILTER (WHERE handwritten) > count(*) / 2 AS handwritten FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM {fx.PAGES.over_sql()}) GROUP BY doc""")
 def ocr_page_combine(spark, sf_dir):
-    return combined_pages(fx.PAGES.df(spark), "doc")
+    return combined_pages(fx.PAGES.over(spark, sf_dir), "doc")
 
 
 # --- budgets and state -----------------------------------------------------------------------------------------
@@ -425,6 +490,11 @@ def stalled_sweep(spark, sf_dir):
     return limits.swept(e, "2024-01-15").select("event_id", "status")
 
 
-@register("rate_limits_table", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {n}, {w})" for s, n, w in fixed.RATE_LIMITS) + ") AS v(scope, requests, seconds)")
+_SCOPE = "CASE event_type WHEN 'click' THEN 'chat' WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'upload' ELSE 'search' END"
+
+
+@register("rate_limits_table", f"SELECT event_id, scope, requests, seconds FROM (SELECT event_id, {_SCOPE} AS scope FROM events) JOIN (VALUES " + ", ".join(f"('{s}', {n}, {w})" for s, n, w in fixed.RATE_LIMITS) + ") AS v(scope, requests, seconds) USING (scope)")
 def rate_limits_table(spark, sf_dir):
-    return spark.createDataFrame(list(fixed.RATE_LIMITS), "scope string, requests int, seconds int")
+    """What each event is limited to by its scope."""
+    table = spark.createDataFrame(list(fixed.RATE_LIMITS), "scope string, requests int, seconds int")
+    return scan(spark, sf_dir, "events", "event_id", F.expr(_SCOPE).alias("scope")).join(table, "scope").select("event_id", "scope", "requests", "seconds")

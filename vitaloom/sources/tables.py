@@ -31,7 +31,7 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str, where: Colu
 def live_scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The same table as a stream of its files, a bounded number of them a micro-batch."""
     files = spark.readStream.schema(scan(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 100)
-    return files.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return files.parquet(f"{sf_dir}/{name}.parque[t]").select(*columns)  # as a pattern, a file may stand where else a folder does
 
 
 def look_up(df: DataFrame, id_col: str, id_: object, owner_col: str, owner: object) -> DataFrame:
