@@ -116,6 +116,20 @@ def test_files_of_owners(spark, tmp_path):
     assert filestore.files(spark, f"{tmp_path}/nothing").count() == 0
 
 
+def test_files_without_a_record_go_again(spark, tmp_path):
+    df = spark.createDataFrame([("me", "a", b"1"), ("me", "b", b"2")], "owner string, name string, content binary")
+
+    def fail(kept):
+        assert kept.count() == 2 and filestore.files(spark, f"{tmp_path}/s").count() == 2
+        raise Broken("no table")
+
+    with pytest.raises(Broken):
+        filestore.saved_with(df, f"{tmp_path}/s", fail)
+    assert filestore.files(spark, f"{tmp_path}/s").count() == 0
+    filestore.saved_with(df, f"{tmp_path}/s", lambda kept: kept.select("path").write.parquet(f"{tmp_path}/table"))
+    assert spark.read.parquet(f"{tmp_path}/table").count() == filestore.files(spark, f"{tmp_path}/s").count() == 2
+
+
 @pytest.mark.parametrize("owner", ["", None])
 def test_a_segment_of_nothing_is_refused(spark, tmp_path, owner):
     with pytest.raises(PySparkException, match="Invalid storage path segment"):

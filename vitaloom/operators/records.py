@@ -161,10 +161,15 @@ def revoked(links: DataFrame, token: str, owner_col: str, owner: object) -> Data
     return links.withColumn("is_active", F.when((F.col("token") == token) & (F.col(owner_col) == F.lit(owner)), False).otherwise(F.col("is_active")))
 
 
-def inserted(rows: DataFrame, defaults: dict[str, object], path: str | None = None) -> DataFrame:
-    """Rows as stored, with defaults where a column is missing or null; appended to the table at ``path`` if there is one."""
+def inserted(rows: DataFrame, defaults: dict[str, object], path: str | None = None, job: str | None = None) -> DataFrame:
+    """Rows as stored, with defaults where a column is missing or null; appended to the table at ``path`` if there is one.
+
+    Rows of a ``job`` go to a part of the table that is the job's own, so that a job which runs again replaces what it wrote before and doubles nothing.
+    """
     filled = rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in defaults.items()})
-    if path is not None:
+    if path is not None and job is not None:
+        filled.write.mode("overwrite").parquet(f"{path}/job={job}")
+    elif path is not None:
         filled.write.mode("append").parquet(path)
     return filled
 
@@ -213,3 +218,52 @@ def digest(raw: Column) -> Column:
         F.coalesce(F.when(sound, found), F.array().cast("array<struct<category:string,title:string,detail:string,priority:string>>")).alias("findings"),
         _one_of(v, "$.priority", "normal", "elevated", "urgent").alias("priority"),
     )
+
+
+def _sayings(v: Column, path: str, longest: int, most: int) -> Column:
+    """A list of at most ``most`` trimmed texts of 1 to ``longest`` characters; one that does not fit empties the whole list."""
+    items = F.transform(F.try_variant_get(v, path, "array<variant>"), lambda x: _said(x, "$", 1, longest))
+    return F.coalesce(F.when((F.size(items) <= most) & ~F.exists(items, F.isnull), items), F.array().cast("array<string>"))
+
+
+#: What a document can be.
+DOCUMENT_TYPES = ("prescription", "lab_report", "discharge_summary", "imaging_report", "consultation_note", "voice_entry", "other")
+
+
+def _optional(x: Column, path: str, longest: int) -> tuple[Column, Column]:
+    """(trimmed text of at most ``longest`` characters, whether it is that or missing); null is neither."""
+    at = F.try_variant_get(x, path, "variant")
+    text = _said(x, path, 0, longest)
+    return text, at.isNull() | text.isNotNull()
+
+
+def voice_entry(raw: Column) -> Column:
+    """What was dictated, as JSON, field by field: what does not fit takes its default, and one medication that does not fit empties the list of them. Null
+    where the text is no JSON object."""
+    v = F.try_parse_json(raw)
+
+    def medication(x: Column) -> Column:
+        (dosage, a), (frequency, b) = _optional(x, "$.dosage", 100), _optional(x, "$.frequency", 100)
+        return F.struct(_said(x, "$.name", 1, 200).alias("name"), dosage.alias("dosage"), frequency.alias("frequency"), (a & b).alias("sound"))
+
+    meds = F.transform(F.try_variant_get(v, "$.medications", "array<variant>"), medication)
+    sound = (F.size(meds) <= 50) & ~F.exists(meds, lambda m: m["name"].isNull() | ~m["sound"])
+    kept = F.transform(F.when(sound, meds), lambda m: F.struct(m["name"].alias("name"), m["dosage"].alias("dosage"), m["frequency"].alias("frequency")))
+    entry = F.struct(
+        F.coalesce(_one_of(v, "$.documentType", *DOCUMENT_TYPES), F.lit("voice_entry")).alias("documentType"),
+        F.coalesce(_said(v, "$.title", 1, 200), F.lit("Voice note")).alias("title"),
+        F.coalesce(_said(v, "$.description", 0, 4000), F.lit("")).alias("description"),
+        F.coalesce(kept, F.array().cast("array<struct<name:string,dosage:string,frequency:string>>")).alias("medications"),
+        _sayings(v, "$.symptoms", 200, 50).alias("symptoms"),
+        _said(v, "$.date", 0, 50).alias("date"),
+        _said(v, "$.doctorName", 0, 200).alias("doctorName"),
+        _said(v, "$.hospital", 0, 200).alias("hospital"),
+        _sayings(v, "$.conditions", 200, 50).alias("conditions"),
+    )
+    return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), entry)
+
+
+def asked_entities(raw: Column) -> Column:
+    """Drugs, foods and supplements that a question names, as JSON; each list on its own, and all empty where the text is no JSON object."""
+    v = F.try_parse_json(raw)
+    return F.struct(*(_sayings(v, f"$.{n}", 200, 30).alias(n) for n in ("drugs", "foods", "supplements")))

@@ -170,10 +170,35 @@ def coverage(terms: Column, text: Column) -> Column:
     return F.coalesce(held / F.nullif(weight(asked), F.lit(0.0)), F.lit(0.0))
 
 
+#: A term of this many characters also counts where it begins a word.
+LEAST_PREFIX = 4
+
+
+def covered(finds: DataFrame, queries: DataFrame, chunks: DataFrame, chunk_id: str, text: str) -> DataFrame:
+    """``finds`` (query_id, chunk id …) with ``coverage``, as :func:`coverage` states it for one row, by joins.
+
+    Each found chunk is cut into words once, however many queries found it, and only words that begin as some term does leave that step. A find's terms meet the
+    chunk's words by their first four letters, which is an equality; the rest of the comparison is made inside the join.
+    """
+    key = lambda c: F.left(c, F.lit(LEAST_PREFIX))
+    terms = queries.select("query_id", F.explode(F.array_distinct(F.filter("terms", lambda t: t != ""))).alias("term")).withColumns({"weight": scalars.term_weight(F.col("term")), "k": key(F.col("term"))})
+    pairs = finds.select("query_id", chunk_id).distinct()
+    found = chunks.select(chunk_id, text).join(pairs.select(chunk_id).distinct(), chunk_id, "left_semi")
+    words = found.select(chunk_id, F.explode(tokens(F.col(text))).alias("word")).where(F.length("word") > 1).withColumn("k", key(F.col("word")))
+    words = words.join(terms.select("k").distinct(), "k", "left_semi").where(~F.col("word").isin(*fixed.STOPWORDS)).groupBy(chunk_id, "k").agg(F.collect_set("word").alias("words"))
+    met = pairs.join(terms, "query_id").join(words, [chunk_id, "k"], "left")
+    term = F.col("term")
+    hit = F.exists("words", lambda w: (w == term) | ((F.length(term) >= LEAST_PREFIX) & F.startswith(w, term)))
+    held = F.sum(F.when(hit, F.col("weight")).otherwise(0.0)) / F.sum("weight")
+    shares = met.groupBy("query_id", chunk_id).agg(held.alias("coverage"))
+    return finds.join(shares, ["query_id", chunk_id], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+
+
 def blend(finds: DataFrame, as_of: Column, wanted_section: str | None = None) -> DataFrame:
-    """Add ``relevance``; ``finds`` has rrf, terms, text, day and section."""
+    """Add ``relevance``; ``finds`` has rrf, day, section and coverage, or terms and text to take it from."""
     best = F.max("rrf").over(Window.partitionBy("query_id"))
-    score = scalars.blended(F.col("rrf") / best, coverage(F.col("terms"), F.col("text")), scalars.recency(F.col("day"), as_of), scalars.section_score(F.col("section"), wanted_section))
+    share = F.col("coverage") if "coverage" in finds.columns else coverage(F.col("terms"), F.col("text"))
+    score = scalars.blended(F.col("rrf") / best, share, scalars.recency(F.col("day"), as_of), scalars.section_score(F.col("section"), wanted_section))
     return finds.withColumn("relevance", score)
 
 

@@ -14,7 +14,7 @@ SYNONYMS = {
     "kidney function": ["creatinine", "urea", "egfr", "rft"],
 }
 
-# Key, display name, loinc, canonical unit, factors to it, synonyms.
+# Key, display name, loinc, canonical unit, factors to it, synonyms. Uric acid has no loinc here: it was given urea's.
 ANALYTES = (
     ("hba1c", "HbA1c", "4548-4", "%", {"%": 1.0, "percent": 1.0}, ["hba1c", "hb a1c", "a1c", "glycated hemoglobin", "glycated haemoglobin", "glycosylated hemoglobin", "glycosylated haemoglobin", "haemoglobin a1c", "hemoglobin a1c"]),
     ("glucose_fasting", "Fasting blood glucose", "1558-6", "mg/dL", {"mg/dl": 1.0, "mg%": 1.0, "mmol/l": 18.0182}, ["fasting blood sugar", "fbs", "fasting glucose", "fasting blood glucose", "blood sugar fasting", "bsf", "glucose fasting", "sugar fasting"]),
@@ -22,7 +22,7 @@ ANALYTES = (
     ("creatinine", "Creatinine", "2160-0", "mg/dL", {"mg/dl": 1.0, "umol/l": 1 / 88.4, "mmol/l": 1000 / 88.4}, ["creatinine", "s creatinine", "serum creatinine", "cr", "creat"]),
     ("urea", "Urea", "3084-1", "mg/dL", {"mg/dl": 1.0, "mmol/l": 6.006}, ["urea", "blood urea", "serum urea", "bun", "blood urea nitrogen"]),
     ("egfr", "eGFR", "33914-3", "mL/min/1.73m²", {}, ["egfr", "gfr", "estimated gfr", "estimated glomerular filtration rate"]),
-    ("uric_acid", "Uric acid", "3084-1", "mg/dL", {"mg/dl": 1.0, "umol/l": 1 / 59.48}, ["uric acid", "serum uric acid", "urate"]),
+    ("uric_acid", "Uric acid", None, "mg/dL", {"mg/dl": 1.0, "umol/l": 1 / 59.48}, ["uric acid", "serum uric acid", "urate"]),
     ("hemoglobin", "Hemoglobin", "718-7", "g/dL", {"g/dl": 1.0, "gm/dl": 1.0, "g/l": 0.1, "gms/dl": 1.0}, ["hemoglobin", "haemoglobin", "hb", "hgb", "hb%", "haemoglobin hb"]),
     ("wbc", "White cell count", "6690-2", "10^9/L", {"10^9/l": 1.0, "x10^9/l": 1.0, "10^3/ul": 1.0, "k/ul": 1.0, "/ul": 0.001, "cumm": 0.001, "/cumm": 0.001}, ["wbc", "white blood cells", "white cell count", "tlc", "total leucocyte count", "total leukocyte count", "leucocyte count"]),
     ("platelets", "Platelets", "777-3", "10^9/L", {"10^9/l": 1.0, "x10^9/l": 1.0, "10^3/ul": 1.0, "lakh/cumm": 10.0, "/ul": 0.001, "cumm": 0.001, "/cumm": 0.001}, ["platelets", "platelet count", "plt", "thrombocyte count"]),
@@ -180,7 +180,7 @@ LEXICON = (
     ("injection", "medication", ["ٹیکہ", "انجکشن"], ["teeka"]),
     ("dose", "medication", ["خوراک", "مقدار"], ["khurak"]),
     ("prescription", "medication", ["نسخہ"], ["nuskha"]),
-    ("doctor", "general", ["ڈاکٹر", "طبیب"], ["tabeeb"]),
+    ("doctor", "general", ["ڈاکٹر", "طبیب"], []),
     ("hospital", "general", ["ہسپتال", "شفاخانہ"], ["haspatal"]),
     ("patient", "general", ["مریض"], ["mareez"]),
     ("treatment", "general", ["علاج"], ["ilaj"]),

@@ -14,7 +14,7 @@ from vitaloom.sources.tables import is_scanned, scan
 from vitaloom.streaming import sinks
 
 
-@register("hashed_embeddings")
+@register("hashed_embeddings", r"SELECT item_id, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0::DOUBLE END AS norm, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 64 END AS dims FROM benchmark")
 def hashed_embeddings(spark, sf_dir):
     e = providers.embedded(scan(spark, sf_dir, "benchmark", "item_id", "text"), "text")
     return e.select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"), F.size("embedding").alias("dims"))

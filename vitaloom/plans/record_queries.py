@@ -212,6 +212,37 @@ def digest_defaults(spark, sf_dir):
     return d.select("id", "d.title", "d.digest", "d.priority", F.array_join(each, "|").alias("findings"))
 
 
+_VOICES = fx.Rows(
+    "id int, raw string",
+    (0, '{"documentType":"lab_report","title":" Sugar ","description":" high ","medications":[{"name":" Metformin ","dosage":"500 mg"},{"name":"Aspirin","frequency":" od "}],"symptoms":[" thirst ","fatigue"],"date":"today","conditions":["diabetes"]}'),
+    (1, '{"documentType":"poem","title":"","description":7,"medications":[{"name":"Metformin"},{"dosage":"5 mg"}],"symptoms":["ok",""],"hospital":"  City  "}'),
+    (2, '{"title":"T","medications":[{"name":"A","dosage":null}],"symptoms":"none","conditions":[1]}'),
+    (3, "not json"), (4, None), (5, "[]"), (6, "{}"), (7, '{"drugs":["Panadol"," "],"foods":[" grapefruit "],"supplements":[3],"medications":[]}'),
+)
+_LIST_SQL = """CASE WHEN json_type(v, '$.{0}') = 'ARRAY' AND len(list_filter(json_extract(v, '$.{0}[*]'), lambda x: json_type(x) <> 'VARCHAR' OR trim(x ->> '$') = '')) = 0 THEN array_to_string(list_transform(json_extract(v, '$.{0}[*]'), lambda x: trim(x ->> '$')), '|') ELSE '' END"""
+_TEXT_SQL = "CASE WHEN json_type(v, '$.{0}') = 'VARCHAR' THEN trim(v ->> '$.{0}') END"
+
+
+@register(
+    "voice_entries",
+    f"""WITH j AS (SELECT id, v FROM (SELECT id, CASE WHEN json_valid(raw) THEN raw::JSON END AS v FROM {_VOICES.over_sql()}) WHERE json_type(v) = 'OBJECT')
+ SELECT id, CASE WHEN v ->> '$.documentType' IN ({", ".join(f"'{t}'" for t in records.DOCUMENT_TYPES)}) THEN v ->> '$.documentType' ELSE 'voice_entry' END AS kind, coalesce(nullif({_TEXT_SQL.format("title")}, ''), 'Voice note') AS title, coalesce({_TEXT_SQL.format("description")}, '') AS description,
+  CASE WHEN json_type(v, '$.medications') = 'ARRAY' AND len(list_filter(json_extract(v, '$.medications[*]'), lambda x: coalesce(json_type(x, '$.name') <> 'VARCHAR', true) OR trim(x ->> '$.name') = '' OR coalesce(json_type(x, '$.dosage') <> 'VARCHAR', false) OR coalesce(json_type(x, '$.frequency') <> 'VARCHAR', false))) = 0
+   THEN array_to_string(list_transform(json_extract(v, '$.medications[*]'), lambda x: trim(x ->> '$.name') || ':' || coalesce(trim(x ->> '$.dosage'), '') || ':' || coalesce(trim(x ->> '$.frequency'), '')), '|') ELSE '' END AS medications,
+  {_LIST_SQL.format("symptoms")} AS symptoms, {_LIST_SQL.format("conditions")} AS conditions, {_TEXT_SQL.format("date")} AS date, {_TEXT_SQL.format("hospital")} AS hospital FROM j""",
+)
+def voice_entries(spark, sf_dir):
+    v = _VOICES.over(spark, sf_dir).select("id", records.voice_entry(F.col("raw")).alias("v")).where("v IS NOT NULL")
+    meds = F.array_join(F.transform("v.medications", lambda m: F.concat(m["name"], F.lit(":"), F.coalesce(m["dosage"], F.lit("")), F.lit(":"), F.coalesce(m["frequency"], F.lit("")))), "|")
+    return v.select("id", F.col("v.documentType").alias("kind"), "v.title", "v.description", meds.alias("medications"), F.array_join("v.symptoms", "|").alias("symptoms"), F.array_join("v.conditions", "|").alias("conditions"), "v.date", "v.hospital")
+
+
+@register("asked_entities", f"WITH j AS (SELECT id, CASE WHEN json_valid(raw) THEN raw::JSON END AS v FROM {_VOICES.over_sql()}) SELECT id, {_LIST_SQL.format('drugs')} AS drugs, {_LIST_SQL.format('foods')} AS foods, {_LIST_SQL.format('supplements')} AS supplements FROM j")
+def asked_entities(spark, sf_dir):
+    v = _VOICES.over(spark, sf_dir).select("id", records.asked_entities(F.col("raw")).alias("v"))
+    return v.select("id", *(F.array_join(f"v.{n}", "|").alias(n) for n in ("drugs", "foods", "supplements")))
+
+
 # --- summary ---------------------------------------------------------------------------------------------------
 
 
@@ -391,14 +422,17 @@ def conditions_in_local_words(spark, sf_dir):
     return linked.where(F.col("matched_on").isin("exact", "alias", "local-language") & ~((F.col("matched_on") == "alias") & (F.col("confidence") < 0.95))).select("doc_id", "phrase", "code", "matched_on")
 
 
-_QUESTIONS = fx.Rows("id int, q string", (0, "mujhe khansi aur bukhar hai"), (1, "shugar"), (2, "amlodipine"), (3, "fever and cough"), (4, "شوگر"), (5, ""), (6, None), (7, "bukhar phir bukhar"))
+_QUESTIONS = fx.Rows("id int, q string", (0, "mujhe khansi aur bukhar hai"), (1, "shugar"), (2, "amlodipine"), (3, "fever and cough"), (4, "شوگر"), (5, ""), (6, None), (7, "bukhar phir bukhar"), (8, "khansee; dama?"))
+_IN_ENGLISH = fx.Rows("id int, place int, english string", (0, 2, "cough"), (0, 4, "fever"), (1, 1, "diabetes"), (2, None, None), (3, None, None), (4, 1, "diabetes"), (5, None, None), (6, None, None), (7, 1, "fever"), (8, 1, "cough"))
+_ADDED = fx.Rows("id int, added string", (0, "cough fever"), (1, "diabetes type mellitus"), (2, ""), (3, ""), (4, "diabetes type mellitus"), (5, ""), (6, ""), (7, "fever"), (8, "cough"))
 
 
-@register("english_terms")
+@register("english_terms", f"SELECT id, place, english FROM {_IN_ENGLISH.over_sql()} WHERE place IS NOT NULL")
 def english_terms(spark, sf_dir):
+    """Every document asks one of the questions; the SQL states the terms of each."""
     return pipelines.english_terms(_QUESTIONS.over(spark, sf_dir), cat.lexicon(spark), "id", "q")
 
 
-@register("question_expanded")
+@register("question_expanded", f"SELECT id, added FROM {_ADDED.over_sql()}")
 def question_expanded(spark, sf_dir):
     return pipelines.expanded(_QUESTIONS.over(spark, sf_dir), cat.lexicon(spark), cat.SYNONYMS, cat.conditions(spark), "id", "q").select("id", F.array_join("added", " ").alias("added"))

@@ -149,8 +149,10 @@ _COVER_SQL = f"coalesce(list_sum([{_WEIGHT} FOR t IN terms IF len(list_filter(wo
  SELECT query_id, id, arms, relevance FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) <= 6""",
 )
 def hybrid_search(spark, sf_dir):
-    docs = scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text", F.coalesce("source", F.lit("Unknown")).alias("section"))
-    finds = retrieval.above_floors(_fused(spark, sf_dir), 0.3, 0.5).join(docs, "id", "left").join(_asked(spark, sf_dir), "query_id", "left")
+    docs = scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text")
+    sections = scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), F.coalesce("source", F.lit("Unknown")).alias("section"))
+    kept = retrieval.above_floors(_fused(spark, sf_dir), 0.3, 0.5)
+    finds = retrieval.covered(kept, _asked(spark, sf_dir), docs, "id", "text").join(sections, "id", "left")
     day = F.lit("2024-01-01").cast("timestamp_ntz")
     blended = retrieval.blend(finds.withColumn("day", F.lit(None).cast("timestamp_ntz")), day, "src3").withColumn("relevance", F.round("relevance", 6))
     return retrieval.ranked(blended, ["query_id"], "relevance", "id", 6).select("query_id", "id", "arms", "relevance")
@@ -160,8 +162,8 @@ def hybrid_search(spark, sf_dir):
  SELECT f.query_id, f.id, round({_COVER_SQL}, 6) AS coverage FROM fused f JOIN q ON q.query_id = f.query_id JOIN d ON d.doc_id = f.id""")
 def rerank_coverage(spark, sf_dir):
     docs = scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text")
-    finds = _fused(spark, sf_dir).select("query_id", "id").join(_asked(spark, sf_dir), "query_id").join(docs, "id")
-    return finds.select("query_id", "id", F.round(retrieval.coverage(F.col("terms"), F.col("text")), 6).alias("coverage"))
+    finds = _fused(spark, sf_dir).select("query_id", "id").join(_asked(spark, sf_dir).select("query_id"), "query_id", "left_semi").join(docs.select("id"), "id", "left_semi")
+    return retrieval.covered(finds, _asked(spark, sf_dir), docs, "id", "text").select("query_id", "id", F.round("coverage", 6).alias("coverage"))
 
 
 _QUERIES = fx.Rows("id int, q string, added string", (0, "what is my sugar level", "glucose hba1c blood diabetes"), (1, "amlodipine", ""), (2, "my blood pressure", "bp systolic diastolic hypertension"), (3, "", ""), (4, None, None))
@@ -249,17 +251,23 @@ def chunk_documents(spark, sf_dir):
     return c.select("doc_id", "chunk", "section", "tokens", F.sha2("content", 256).alias("content_sha256"))
 
 
-_SENTENCES = fx.Rows("id int, text string, term string", *[(k, *r) for k, r in enumerate([
-    ("No history of diabetes.", "diabetes"), ("Tuberculosis was ruled out.", "tuberculosis"), ("No chest pain but complains of fever.", "chest pain"), ("No chest pain but complains of fever.", "fever"),
-    ("History of hepatitis B in 2015.", "hepatitis"), ("Father had a heart attack at 50.", "heart attack"), ("Mother reports the patient has asthma.", "asthma"), ("Return to the clinic if you develop fever.", "fever"),
-    ("Impression: possible tuberculosis.", "tuberculosis"), ("No history of diabetes. Advised annual diabetes screening.", "diabetes"), ("Blood pressure 130/85.", "Type 2 diabetes mellitus"), ("mujhe diabetes nahi hai", "diabetes"),
-    ("مریض کو شوگر نہیں ہے", "diabetes"), ("mujhe sugar nahi hai", "diabetes"), ("mujhe shugaar nahi hai", "diabetes"), ("اگر بخار ہو تو آئیں", "fever"),
+_SENTENCES = fx.Rows("id int, text string, term string, status string, evidence string", *[(k, *r) for k, r in enumerate([
+    ("No history of diabetes.", "diabetes", "absent", "No history of diabetes"), ("Tuberculosis was ruled out.", "tuberculosis", "absent", "Tuberculosis was ruled out"),
+    ("No chest pain but complains of fever.", "chest pain", "absent", "No chest pain but complains of fever"), ("No chest pain but complains of fever.", "fever", "present", "No chest pain but complains of fever"),
+    ("History of hepatitis B in 2015.", "hepatitis", "historical", "History of hepatitis B in 2015"), ("Father had a heart attack at 50.", "heart attack", "family", "Father had a heart attack at 50"),
+    ("Mother reports the patient has asthma.", "asthma", "present", "Mother reports the patient has asthma"), ("Return to the clinic if you develop fever.", "fever", "hypothetical", "Return to the clinic if you develop fever"),
+    ("Impression: possible tuberculosis.", "tuberculosis", "uncertain", "Impression: possible tuberculosis"), ("No history of diabetes. Advised annual diabetes screening.", "diabetes", "uncertain", "Advised annual diabetes screening"),
+    ("Blood pressure 130/85.", "Type 2 diabetes mellitus", "present", ""), ("mujhe diabetes nahi hai", "diabetes", "absent", "mujhe diabetes nahi hai"),
+    ("مریض کو شوگر نہیں ہے", "diabetes", "absent", "مریض کو شوگر نہیں ہے"), ("mujhe sugar nahi hai", "diabetes", "absent", "mujhe sugar nahi hai"), ("mujhe shugaar nahi hai", "diabetes", "absent", "mujhe shugaar nahi hai"),
+    ("اگر بخار ہو تو آئیں", "fever", "hypothetical", "اگر بخار ہو تو آئیں"),
 ])])
 
 
-@register("assertion_classify")
+@register("assertion_classify", f"SELECT id, status, evidence FROM {_SENTENCES.over_sql()}")
 def assertion_classify(spark, sf_dir):
-    return text.assertions(_SENTENCES.over(spark, sf_dir), "text", "term", cat.spellings()).select("id", "assertion.status", "assertion.evidence")
+    """Every document says one of the sentences; the SQL states what each means."""
+    said = _SENTENCES.over(spark, sf_dir).select("id", "text", "term")
+    return text.assertions(said, "text", "term", cat.spellings()).select("id", "assertion.status", "assertion.evidence")
 
 
 @register("own_findings_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE CASE l_returnflag WHEN 'A' THEN 'present' WHEN 'R' THEN 'absent' ELSE 'uncertain' END IN ('present', 'historical', 'uncertain')")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -174,6 +174,17 @@ def deleted(paths: DataFrame, root: str, path: str = "path") -> DataFrame:
     return paths.select(F.col(path).alias("path")).mapInPandas(run, "path string, gone boolean")
 
 
+def saved_with(df: DataFrame, root: str, record: Callable[[DataFrame], None], **columns: str) -> DataFrame:
+    """Store files, then have ``record`` note them; if that fails, the files go again, so that none lies there without a record."""
+    kept = saved(df, root, **columns)
+    try:
+        record(kept)
+    except BaseException:
+        deleted(kept.select("path"), root).write.format("noop").mode("overwrite").save()
+        raise
+    return kept
+
+
 def deleted_owners(owners: DataFrame, root: str, owner: str = "owner") -> DataFrame:
     """owner, gone: everything stored for an owner is removed, whatever it is."""
 

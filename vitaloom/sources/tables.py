@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Callable
+from functools import reduce
 from html import unescape
 
 import pandas as pd
@@ -13,9 +15,17 @@ from pyspark.sql import functions as F
 
 #: What a MIME type or an extension is read as, and the largest upload.
 KINDS = {
-    "application/pdf": "pdf", "image/jpeg": "image", "image/png": "image", "image/webp": "image", "image/tiff": "image", "image/heic": "image",
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "text/plain": "text", "text/csv": "text", "text/tab-separated-values": "text", "text/markdown": "text",
+    "application/pdf": "pdf",
+    "image/jpeg": "image", "image/jpg": "image", "image/png": "image", "image/webp": "image", "image/tiff": "image", "image/bmp": "image", "image/gif": "image", "image/heic": "image", "image/heif": "image",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "text/plain": "text", "text/csv": "text", "text/markdown": "text", "text/tab-separated-values": "text",
 }
+#: What is said of kinds that cannot be read.
+UNSUPPORTED = {
+    "application/msword": "Legacy .doc files are not supported. Please re-save the document as .docx or export it as a PDF.",
+    "application/rtf": "RTF files are not supported. Please re-save the document as .docx or export it as a PDF.",
+    "text/rtf": "RTF files are not supported. Please re-save the document as .docx or export it as a PDF.",
+}
 EXTENSIONS = {"pdf": "pdf", "jpg": "image", "jpeg": "image", "png": "image", "webp": "image", "tif": "image", "tiff": "image", "heic": "image", "docx": "docx", "txt": "text", "csv": "text", "tsv": "text", "md": "text"}
 MOST_UPLOAD_BYTES = 20 * 1024 * 1024
 SCANNED_BELOW = 50
@@ -95,6 +105,34 @@ def docx_text(df: DataFrame, raw_col: str, *keep: str) -> DataFrame:
     return df.select(*keep, raw_col).mapInPandas(run, ", ".join([*fields, "text string"]))
 
 
+#: A reader of one kind of files: (the columns kept, content) → text, is_scanned, handwritten, confidence.
+Reader = Callable[[DataFrame, str], DataFrame]
+READ = {"text": "string", "is_scanned": "boolean", "handwritten": "boolean", "confidence": "double", "error": "string"}
+
+
+def extracted(files: DataFrame, mime_col: str, raw_col: str, *keep: str, readers: dict[str, Reader] | None = None) -> DataFrame:
+    """Kept columns and text, is_scanned, handwritten, confidence, error of every file, each kind by its own branch of the plan.
+
+    Text and word-processor files are read here; ``pdf`` and ``image`` files by the reader given for them, hosted services as a rule, and without one are an
+    error, as are kinds that cannot be read. An error is a row's own and stops nothing else.
+    """
+    readers = readers or {}
+    kind = F.coalesce(kind_of_mime(F.col(mime_col)), F.lit("none"))
+    slim = files.select(*keep, F.col(mime_col).alias("_mime"), F.col(raw_col).alias("_raw"), kind.alias("_kind"))
+    of = lambda k: slim.where(F.col("_kind") == k)
+    full = lambda df: df.select(*keep, *(F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in READ.items()))
+    parts = [full(decode_legacy(of("text"), "_raw")), full(docx_text(of("docx").select(*keep, "_raw"), "_raw", *keep))]
+    for k in ("pdf", "image"):
+        if k in readers:
+            parts.append(full(readers[k](of(k).select(*keep, F.col("_raw").alias("content")), "content")))
+        else:
+            parts.append(full(of(k).withColumn("error", F.lit(f"No reader for {k} files"))))
+    plain = F.lower(F.trim(F.substring_index("_mime", ";", 1)))
+    hint = F.try_element_at(F.create_map(*[F.lit(x) for kv in UNSUPPORTED.items() for x in kv]), plain)
+    parts.append(full(of("none").withColumn("error", F.coalesce(hint, F.concat(F.lit("Unsupported file type: "), F.coalesce("_mime", F.lit("")))))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def is_scanned(text: Column) -> Column:
     """A text layer too short to be one: the pages must be read as pictures."""
     return F.length(F.trim(F.coalesce(text, F.lit("")))) < SCANNED_BELOW

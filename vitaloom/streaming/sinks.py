@@ -16,6 +16,11 @@ def frame(payload: Column) -> Column:
 LAST_FRAME = "data: [DONE]\n\n"
 
 
+def turns(stream: DataFrame, sources: str = "sources") -> DataFrame:
+    """Turns of a conversation as they are stored: an empty list of sources is none."""
+    return stream.withColumn(sources, F.when(F.size(sources) > 0, F.col(sources)))
+
+
 def appended(stream: DataFrame, path: str, checkpoint: str, query_name: str | None = None):
     """Append a stream to a table folder, each batch once: the folder is named by the batch, so a repeated batch replaces itself."""
 
