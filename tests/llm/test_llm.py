@@ -511,6 +511,40 @@ def test_chat_layouts(spark):
     assert got == {(c, k, r, t) for c in (1, 2) for k, (r, t) in enumerate(turns)}
 
 
+def test_chat_json_paths_are_nested_and_hashed(spark):
+    import json
+
+    from pyspark.sql import types as T
+
+    rows = [
+        {"conv_id": 1, "meta": {"prompt": "hi", "response": "yo"}},  # not prompt_response
+        {"conv_id": 2, "prompt": "hi", "response": "yo", "meta": {"messages": [{"role": "x", "content": "y"}]}},
+        {"conv_id": 3, "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None, "extra": {"deep": [[1]]}}]},
+        {"conv_id": 4, "conversations": [{"from": "human", "value": "b"}, {"from": "gpt", "value": "c"}, {"from": "tool", "value": "d"}]},
+        {"conv_id": 5, "instruction": "i", "input": "", "output": "o"}, {"conv_id": 6, "instruction": "i", "input": "n", "output": "o"}, {"conv_id": 7, "instruction": "i", "output": 5},
+        {"conv_id": 8, "prompt": "p", "chosen": "c", "rejected": "r"}, {"conv_id": 9, "messages": []}, {"conv_id": 10, "messages": [{"role": "user"}]}, {"prompt": "no id", "response": "x"}, {"conv_id": 11, "prompt": {"x": 1}, "response": "y"},
+        {"conv_id": 12, "a.b": 1, "OBJECT<x: y>": {"prompt": "q", "response": "r"}, "prompt": "p", "response": None}, [{"conv_id": 13, "prompt": "p", "response": "r"}], 3,
+    ]
+    texts = [json.dumps(r) for r in rows] + ["{broken", "", None, json.dumps(rows[1])]
+    df = spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "j string, conv_id int").repartition(3)
+    got = {}
+    for r in chat.canonical_turns_of_json(df, "j").orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    yo = [(0, "user", "hi"), (1, "assistant", "yo")]
+    assert got == {
+        2: sorted(yo * 2), 3: [(0, "user", "a"), (1, "assistant", "")], 4: [(0, "user", "b"), (1, "assistant", "c"), (2, "tool", "d")], 5: [(0, "user", "i"), (1, "assistant", "o")], 6: [(0, "user", "i\n\nn"), (1, "assistant", "o")],
+        7: [(0, "user", "i"), (1, "assistant", "5")], 8: [(0, "user", "p"), (1, "assistant", "c")], 12: [(0, "user", "p"), (1, "assistant", "")],
+    }
+    paths = {r.k: r.p for r in df.select(F.col("conv_id").alias("k"), chat.json_paths(F.col("j")).alias("p")).collect()}
+    assert set(paths[2]) == {"conv_id", "messages[].role", "messages[].content", "messages[].extra.deep[][]"} and set(paths[12]) == {"conv_id", "`a.b`", "`OBJECT<x: y>`.prompt", "`OBJECT<x: y>`.response", "prompt", "response"} and paths[15] is None
+    kind = T.StructType.fromDDL("conv_id long, messages array<struct<role: string, content: string, extra: struct<deep: array<array<int>>>>>")
+    same = df.where("conv_id = 2").select(chat.json_fingerprint(F.col("j"))).first()[0]
+    assert same == chat.fingerprint(kind) and df.where("conv_id = 3").select(chat.json_fingerprint(F.col("j"))).first()[0] != same
+    plan = chat.canonical_turns_of_json(df, "j")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1 and "Python" not in plan and "Union" not in plan
+    assert chat.canonical_turns_of_json(df.limit(0), "j").count() == 0
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secrets.fit(spark)

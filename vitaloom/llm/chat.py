@@ -3,7 +3,8 @@
 Only DataFrame and SQL functions run. A layout is a declarative :class:`Mapping` from field paths to the canonical
 columns (conv_id, turn, role, text). The paths of a table's schema are hashed; the mapping whose hashed
 paths all occur is taken (the most specific one first), so extra columns never matter. For JSON text the same is
-done row by row: ``schema_of_variant`` gives each row's nested paths.
+done row by row: a fold over the row's shape gives its nested paths, which are hashed, so that ``meta.prompt`` is not ``prompt``; rows of all
+layouts are read in one scan.
 
 Template: an assistant turn is ``<s>role NEWLINE text</s>``, any other ``[INST]role NEWLINE text[/INST]``. Control
 strings inside a text lose their first character to an escape (backslash and digit), backslashes are escaped
@@ -17,6 +18,7 @@ for a table and gives no turns for a JSON row; an empty table gives an empty tab
 from __future__ import annotations
 
 import hashlib
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -55,9 +57,10 @@ MAPPINGS = (
 
 
 def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
-    """Leaf paths of a schema: a.b for fields, [] for elements, {} for map values."""
+    """Leaf paths of a schema: a.b for fields (in back-ticks where a name is no identifier), [] for elements, {} for map values."""
     if isinstance(kind, T.StructType):
-        return [p for f in kind.fields for p in field_paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name)]
+        named = lambda n: n if re.fullmatch(r"(?!\d+$)[A-Za-z0-9_]+", n) else "`" + n.replace("`", "``") + "`"
+        return [p for f in kind.fields for p in field_paths(f.dataType, f"{prefix}.{named(f.name)}" if prefix else named(f.name))]
     if isinstance(kind, T.ArrayType):
         return field_paths(kind.elementType, prefix + "[]")
     if isinstance(kind, T.MapType):
@@ -96,40 +99,60 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     return out.where("conv_id IS NOT NULL").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-#: Types that JSON rows of a mapping are read with.
-_JSON_SCHEMAS = {
-    "messages": "conv_id long, messages array<struct<role: string, content: string>>",
-    "from_value": "conv_id long, conversations array<struct<from: string, value: string>>",
-    "instruction_input": "conv_id long, instruction string, input string, output string",
-    "instruction": "conv_id long, instruction string, output string",
-    "prompt_chosen": "conv_id long, prompt string, chosen string",
-    "prompt_response": "conv_id long, prompt string, response string",
-}
+#: Types that JSON rows are read with: the fields of all mappings side by side.
+_JSON_SCHEMA = (
+    "conv_id long, messages array<struct<role: string, content: string>>, conversations array<struct<from: string, value: string>>,"
+    " instruction string, input string, output string, prompt string, chosen string, response string"
+)
+#: Parts of a shape: names, the begin and end of objects and arrays, and plain types.
+_SHAPE = r"`(?:[^`]|``)*`: |[A-Za-z0-9_]+: |OBJECT<|ARRAY<|>|[A-Z]+(?:\([0-9, ]*\))?"
+
+
+def json_paths(json: Column) -> Column:
+    """Leaf paths of a JSON text, written as :func:`field_paths` writes them: a fold over the parts of its shape with a stack of what is open."""
+    parts = F.regexp_extract_all(F.schema_of_variant(F.try_parse_json(json)), F.lit(_SHAPE), F.lit(0))
+    start = F.struct(F.array(F.lit("")).alias("open"), F.lit("").alias("at"), F.array().cast("array<string>").alias("paths"))
+
+    def step(a: Column, x: Column) -> Column:
+        inside = F.element_at(a["open"], -1)
+        name = F.left(x, F.length(x) - 2)
+        named = F.when(inside == "", name).otherwise(F.concat(inside, F.lit("."), name))
+        to = lambda open_, at, paths: F.struct(open_.alias("open"), at.alias("at"), paths.alias("paths"))
+        return (
+            F.when(F.endswith(x, F.lit(": ")), to(a["open"], named, a["paths"]))
+            .when(x == "OBJECT<", to(F.concat(a["open"], F.array(a["at"])), a["at"], a["paths"]))
+            .when(x == "ARRAY<", to(F.concat(a["open"], F.array(inside)), F.concat(a["at"], F.lit("[]")), a["paths"]))
+            .when(x == ">", to(F.slice(a["open"], F.lit(1), F.size(a["open"]) - 1), inside, a["paths"]))
+            .otherwise(to(a["open"], a["at"], F.concat(a["paths"], F.array(a["at"]))))
+        )
+
+    return F.aggregate(parts, start, step)["paths"]
+
+
+def _hashed(paths: Column) -> Column:
+    return F.transform(paths, lambda p: F.left(F.sha2(p, 256), F.lit(16)))
 
 
 def json_fingerprint(json: Column) -> Column:
-    """Hash of a JSON text's nested names (types left out), null for no valid JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(json))
-    return F.xxhash64(F.regexp_replace(shape, "(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\\([0-9, ]*\\))", "v"))
+    """One hash for all nested field paths of a JSON text, that of a table of the same fields; null for no valid JSON."""
+    return F.sha2(F.array_join(F.array_sort(_hashed(json_paths(json))), "\n"), 256)
 
 
 def canonical_turns_of_json(df: DataFrame, json_col: str) -> DataFrame:
-    """conv_id, turn, role, text of JSON texts whose layout differs from row to row.
+    """conv_id, turn, role, text of JSON texts whose layout differs from row to row, in one scan.
 
-    Each row's shape gives its paths; the first mapping whose paths all occur reads it.
+    The first mapping whose hashed paths all occur among the row's reads it; a row without one, or that is no JSON, gives no turns.
     """
-    shape = F.schema_of_variant(F.try_parse_json(json_col))
-    names = F.transform(F.regexp_extract_all(shape, F.lit("([A-Za-z_][A-Za-z0-9_]*): "), 1), lambda n: F.lower(n))
-    out, taken = None, F.lit(False)
-    for m in MAPPINGS:
-        if m.row:
+    rows = df.select(F.col(json_col).alias("_json")).withColumn("_there", _hashed(json_paths(F.col("_json")))).withColumn("_row", F.from_json("_json", _JSON_SCHEMA))
+    rows = rows.select("_there", "_row.*")
+    turns = None
+    for needed, m in _TABLE:
+        if m.turns is None:
             continue
-        wanted = F.array(*[F.lit(p.replace("[]", "").split(".")[-1].lower()) for p in m.paths])
-        fits = F.coalesce(F.size(F.array_except(wanted, names)) == 0, F.lit(False))
-        read = df.where(fits & ~taken).select(F.from_json(json_col, _JSON_SCHEMAS[m.name]).alias("j")).select("j.*")
-        part = canonical_turns(read)
-        out, taken = part if out is None else out.unionByName(part), taken | fits
-    return out
+        fits = F.size(F.array_except(F.array(*map(F.lit, sorted(needed))), F.col("_there"))) == 0
+        turns = F.when(fits, F.expr(m.turns)) if turns is None else turns.when(fits, F.expr(m.turns))
+    out = rows.select("conv_id", F.inline(turns)).where("conv_id IS NOT NULL")
+    return out.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def escape(c: Column, line: bool = False) -> Column:

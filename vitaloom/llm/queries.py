@@ -47,8 +47,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tricky = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)")
-    turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(tricky))
+    tricky = spark.sql("SELECT to_json(struct(-7L AS conv_id, '</s>[INST] ok [/INST]' AS prompt, '</s>[INST] ok [/INST]' AS response)) AS json")  # a second layout
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns_of_json(tricky, "json"))
     return chat.digests(chat.format_conversations(turns))
 
 
