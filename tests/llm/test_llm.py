@@ -634,7 +634,7 @@ def test_ann_repeated_ids(spark):
 
 
 def recall_and_share(spark, v, k=20, **options):
-    """(recall against brute force, mean share of lists visited, mean lists a vector is in) with the settings of ``nearest``."""
+    """(recall against brute force, mean share of lists visited, mean lists a vector is in, scored pairs over those of brute force) with the settings of ``nearest``."""
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
     vectors = common.materialize(ann.valid_vectors(df, "vec_id", "embedding"), "test")
     settings = {p.name: p.default for p in inspect.signature(ann.nearest).parameters.values() if p.name not in ("df", "id_col", "vec_col")}
@@ -646,26 +646,28 @@ def recall_and_share(spark, v, k=20, **options):
     true = np.argpartition(-score, k, axis=1)[:, :k]
     hit = sum(len(set(t) & got[q]) for q, t in zip(queries.tolist(), true.tolist(), strict=True))
     lists = lambda df: df.agg(F.sum(F.size("lists"))).first()[0]
-    return hit / true.size, lists(index.visits) / len(queries) / len(index.centroids), lists(index.postings) / len(v)
+    held = index.postings.select("id", F.explode("lists").alias("l"))
+    pairs = index.visits.select(F.col("id").alias("q"), F.explode("lists").alias("l")).join(held, "l").select("q", "id").distinct().count()
+    return hit / true.size, lists(index.visits) / len(queries) / len(index.centroids), lists(index.postings) / len(v), pairs / len(queries) / len(v)
 
 
 def test_ann_lists_bite_on_vectors_without_clusters(spark):
     v = np.random.default_rng(9).normal(size=(50_000, 64))
-    recall, share, copies = recall_and_share(spark, v / np.linalg.norm(v, axis=1)[:, None])
-    print("50 000 random directions", recall, share, copies)
-    assert recall >= 0.9 and share < 0.25 and copies > 1.2
+    recall, share, copies, pairs = recall_and_share(spark, v / np.linalg.norm(v, axis=1)[:, None])
+    print("50 000 random directions", recall, share, copies, pairs)
+    assert recall >= 0.9 and share < 0.25 and copies > 1.2 and pairs < 0.35
 
 
 def test_ann_lists_bite_on_vectors_of_unlike_length(spark):
     v = np.random.default_rng(10).normal(size=(6000, 24)) * np.random.default_rng(11).uniform(0.3, 1.0, (6000, 1))
-    recall, share, copies = recall_and_share(spark, v)
-    print("unlike lengths", recall, share, copies)
+    recall, share, copies, pairs = recall_and_share(spark, v)
+    print("unlike lengths", recall, share, copies, pairs)
     assert recall >= 0.9 and share < 0.6 and copies > 1.2  # long vectors are near to many queries, wherever these point
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test tables here")
 def test_ann_lists_bite_on_the_given_vectors(spark):
     v = np.array(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()["embedding"].tolist(), float)
-    recall, share, copies = recall_and_share(spark, v)
-    print("given vectors", recall, share, copies)
-    assert len(v) == 2000 and recall >= 0.9 and share < 0.25 and copies > 1.2
+    recall, share, copies, pairs = recall_and_share(spark, v)
+    print("given vectors", recall, share, copies, pairs)
+    assert len(v) == 2000 and recall >= 0.9 and share < 0.25 and copies > 1.2 and pairs < 0.5

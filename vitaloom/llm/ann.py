@@ -9,9 +9,9 @@ boundary vector, to up to ``replicas`` lists whose centroid is at most ``1 + sla
 distance from all lists, however many these are (plain distances differ too little in many dimensions to tell lists apart). The ratio is
 fitted: the neighbours of ``trials`` queries are found by brute force, and it is the least one at which their lists hold ``recall``
 of them. Centroids are found by best-first search on the graph with a beam that grows until it reaches beyond the ratio.
-Neighbouring lists form blocks, and blocks and their visitors are cut into shares by counted size, so that a common vector or a
-popular list does not meet in one task. Scores are sums in double precision over the components in order, on the
-original vectors.
+Neighbouring lists form blocks of counted size, and blocks and their visitors are cut into shares, so that a common vector or a
+popular list does not meet in one task. Within a block a query is scored against each vector of its lists once, however many of them the vector is in. Scores
+are sums in double precision over the components in order, on the original vectors.
 
 Without clusters no list tells much of where neighbours are; then lists are visited until the recall holds, and the work stays a
 fraction of brute force that shrinks with the number of lists but not to a constant.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from vitaloom.llm.common import materialize
 
-LIST_ROWS = 20
+LIST_ROWS = 10
 MAX_LISTS = 16_384
 SAMPLE_ROWS = 40_000
 SHARE_ROWS = 4_000
@@ -43,8 +43,8 @@ SHARE_ROWS = 4_000
 HIDDEN = 0.5
 #: Centroids that the search keeps open at first.
 BEAM = 64
-#: Lists are scored in so many blocks of neighbours at most: a query sends its vector and gets its best once a block and share.
-BLOCKS = 64
+#: Vectors of one block of neighbouring lists: a query sends its vector and gets its best once a block and share, so blocks are few, and follow the number of vectors.
+BLOCK_ROWS = 8_000
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -181,12 +181,13 @@ def way_out(d: np.ndarray, least: np.ndarray, x: np.ndarray, mean: np.ndarray) -
 
 
 class Index(NamedTuple):
-    """postings and visits (of the queries): block, id, v, lists of that block. centroids: unit vectors. ratio: bound of :func:`way_out`."""
+    """postings and visits (of the queries): block, id, v, lists of that block. centroids: unit vectors. ratio: bound of :func:`way_out`. blocks: how many."""
 
     postings: DataFrame
     visits: DataFrame
     centroids: np.ndarray
     ratio: float
+    blocks: int
 
 
 def _matrix(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -257,6 +258,7 @@ def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int
     if share < 1 and not chosen.head(1):
         chosen = vectors.limit(1000)
     centroids = np.array([r["c"] for r in chosen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "c array<double>").collect()])
+    blocks = max(1, min(len(centroids), round(n / BLOCK_ROWS)))
     shared = spark.sparkContext.broadcast((centroids, graph_links(centroids)))  # at most max_lists rows
 
     def graph() -> CentroidGraph:
@@ -269,7 +271,7 @@ def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int
         lists = found[i, j]
         order = np.lexsort((lists, i))
         i, lists = i[order], lists[order]
-        block = lists * min(BLOCKS, len(centroids)) // len(centroids)
+        block = lists * blocks // len(centroids)
         head = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (block[1:] != block[:-1]))))
         part, ends = b.take(pa.array(i[head])), pa.array(np.append(head, len(i)), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(block[head]), part.column("id"), part.column("v"), pa.ListArray.from_arrays(ends, pa.array(lists))], names=["block", "id", "v", "lists"])
@@ -306,13 +308,13 @@ def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int
     asked = vectors.where(F.col("id") % query_mod == 0)
     tried = asked.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(trials).collect()
     ratio = _fitted_ratio(vectors, postings, np.array([r["id"] for r in tried]), np.array([r["v"] for r in tried]), centroids, k, recall) if len(centroids) > 1 and tried else 1.0
-    return Index(postings, materialize(asked.mapInArrow(visit, schema), "visits"), centroids, ratio)
+    return Index(postings, materialize(asked.mapInArrow(visit, schema), "visits"), centroids, ratio, blocks)
 
 
 def search(index: Index, k: int) -> DataFrame:
     """query_id, rank, vec_id, score from the visits of an index."""
     spark = index.postings.sparkSession
-    # shares of a block and of its visitors, from counts of at most BLOCKS rows
+    # shares of a block and of its visitors, from counts, a row a block
     parts = {r["block"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in index.postings.groupBy("block").count().collect()}
     turns = {r["block"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in index.visits.groupBy("block").count().collect()}
     grid = spark.createDataFrame([(c, parts[c], turns.get(c, 0)) for c in sorted(parts)], "block long, parts int, turns int")
@@ -322,26 +324,26 @@ def search(index: Index, k: int) -> DataFrame:
     right = index.postings.join(cell, "block").where("turns > 0").withColumn("part", salt("parts")).withColumn("turn", each("turns")).drop("parts", "turns")
     left = index.visits.join(cell, "block").withColumn("turn", salt("turns")).withColumn("part", each("parts")).drop("parts", "turns")
 
-    def by_list(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(lists, places of the rows in them), by list and then by id."""
-        place = np.repeat(np.arange(len(x)), x["lists"].map(len).to_numpy())
-        lists = np.concatenate(x["lists"].to_numpy())
-        order = np.lexsort((x["id"].to_numpy()[place], lists))
-        return lists[order], place[order]
-
     def score(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
+        who, what, values = [], [], []
         if len(q) and len(p):
-            (ql, qp), (pl, pp) = by_list(q), by_list(p)
-            qid, qv, pid, pv = q["id"].to_numpy(), np.stack(q["v"].to_numpy()), p["id"].to_numpy(), np.stack(p["v"].to_numpy()).T
-            for name in np.unique(ql):
-                b, e = np.searchsorted(pl, [name, name + 1])
-                lo, hi = np.searchsorted(ql, [name, name + 1])
-                for s in range(lo, hi if e > b else lo, 128):
-                    asked, held = qp[s : min(hi, s + 128)], pp[b:e]
-                    i, ids, value = _top(qid[asked], qv[asked], pid[held], pv[:, held], k)
-                    out.append(pd.DataFrame({"query_id": qid[asked][i], "vec_id": ids, "score": value}))
-        found = pd.concat(out).groupby(["query_id", "vec_id"], as_index=False)["score"].max()
+            p = p.sort_values("id", kind="stable")  # places of vectors are then in order of id
+            place = np.repeat(np.arange(len(p)), p["lists"].map(len).to_numpy())
+            lists = np.concatenate(p["lists"].to_numpy())
+            order = np.argsort(lists, kind="stable")
+            lists, place = lists[order], place[order]
+            pid, pv = p["id"].to_numpy(), np.stack(p["v"].to_numpy())
+            for qid, qv, visited in zip(q["id"].tolist(), q["v"], q["lists"], strict=True):
+                begin, end = np.searchsorted(lists, visited), np.searchsorted(lists, visited, side="right")
+                seen = np.unique(np.concatenate([place[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]))
+                if len(seen):
+                    _, ids, value = _top(np.array([qid]), np.asarray(qv)[None], pid[seen], np.ascontiguousarray(pv[seen].T), k)
+                    who.append(np.full(len(ids), qid))
+                    what.append(ids)
+                    values.append(value)
+        join = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
+        found = pd.DataFrame({"query_id": join(who, np.int64), "vec_id": join(what, np.int64), "score": join(values, float)})
+        found = found.groupby(["query_id", "vec_id"], as_index=False)["score"].max()  # ids that are asked for twice
         found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return found[found.groupby("query_id").cumcount() < k]
 
@@ -352,7 +354,7 @@ def search(index: Index, k: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, query_mod: int = 20, recall: float = 0.94, trials: int = 256, slack: float = 0.3, replicas: int = 4, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, query_mod: int = 20, recall: float = 0.93, trials: int = 256, slack: float = 0.3, replicas: int = 4, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query (ids divisible by ``query_mod``)."""
     vectors = materialize(valid_vectors(df, id_col, vec_col).distinct(), "vectors")
     if not vectors.head(1):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitaloom.llm import ann, chat, codes, importance, packing, pieces, pii, quality, secrets, simhash, suffix, tokens, warc
 from vitaloom.llm.common import table
+from vitaloom.sources.tables import spread
 
 #: Rows of one Arrow batch: texts may be long, so batches are short.
 BATCH_ROWS = 1000
@@ -20,13 +21,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, dealt to all cores where the table has fewer splits."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(prepared(spark), sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packing.pack_documents(documents(prepared(spark), sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +45,11 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.span_digests(table(prepared(spark), sf_dir, "documents"))
+    return pii.span_digests(documents(prepared(spark), sf_dir))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.dedup(table(prepared(spark), sf_dir, "documents"))
+    return suffix.dedup(documents(prepared(spark), sf_dir))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,22 +59,22 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.roundtrip_digests(table(prepared(spark), sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return pieces.roundtrip_digests(documents(prepared(spark), sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     found = secrets.scan(docs, secrets.fit(spark)).select("doc_id", F.inline("findings"))
     return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.sha2("token", 256).alias("token_sha256"), "score", "secret")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(prepared(spark), sf_dir, "documents"))
+    return simhash.near_duplicates(documents(prepared(spark), sf_dir))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +82,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(prepared(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return tokens.count_tokens(documents(prepared(spark), sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.resample(table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return importance.resample(documents(prepared(spark), sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
