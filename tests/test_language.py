@@ -1,7 +1,9 @@
 """Local-language look-ups, composition, denials, reconciliation, entity lists, coverage and packing against plain statements."""
 
 import random
+import re
 import sys
+from pathlib import Path
 import unicodedata
 
 import pytest
@@ -138,3 +140,55 @@ def test_packing_keeps_to_the_estimate_of_what_is_joined():
         lines = ["".join(rng.choice("ab ٢خ🎉é") for _ in range(rng.randint(1, 30))) + "x" for _ in range(rng.randint(1, 40))]
         assert all(text.estimate(line) == plain_estimate(line) for line in lines)
         assert text.packed("\n".join(lines), 40) == naive(lines, 40)
+
+
+def plain_chunks(body, kind, source, budget=450):
+    """Sections and chunks of one document as they are stated, each joined text measured anew: (section, content) in order."""
+    groups, named = [], ""
+    for k, line in enumerate(body.split("\n")):
+        section = next((n for n, p in fixed.SECTIONS if re.search("(?i)" + p, line)), "General")
+        if k == 0 or section not in ("General", named):
+            groups.append((section, []))
+        named = section if section != "General" else named
+        groups[-1][1].append(line)
+
+    def fill(units, glue, room, too_long):
+        out, held = [], ""
+        for unit in units:
+            if plain_estimate(unit) > room:
+                out += [held] * bool(held) + too_long(unit)
+                held = ""
+            elif held and plain_estimate(held + glue + unit) > room:
+                out.append(held)
+                held = unit
+            else:
+                held = held + glue + unit if held else unit
+        return out + [held] * bool(held)
+
+    def slices(sentence, room):
+        size = max(fixed.LEAST_SLICE, int(room / (plain_estimate(sentence) / len(sentence))))
+        return [p for k in range(0, len(sentence), size) if (p := sentence[k : k + size].strip())]
+
+    out = []
+    for section, lines in groups:
+        if not any(line.strip() for line in lines):
+            continue
+        head = f"[{', '.join([f'Document: {kind}'] * (kind is not None) + [f'Hospital: {source}'] * (source is not None))}, Section: {section}]"
+        room = max(fixed.LEAST_BODY_TOKENS, budget - plain_estimate(head))
+        text_ = re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "", "\n".join(lines))
+        parts = fill([x for x in text_.split("\n") if x.strip()], "\n", room, lambda x: fill([s for s in re.split(r"(?<=[.!?۔])\s+", x) if s], " ", room, lambda y: slices(y, room)))  # noqa: B023
+        out += [(section, f"{head}\n{p}") for p in parts]
+    return out
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables here")
+def test_chunks_of_the_given_documents(spark):
+    """Every chunk of every document of a small table, and of some odd ones, against the plain statement."""
+    made = [(10**6, "Medications: aspirin. " * 300 + "\nno end " + "x" * 5000 + "\n\nLab results\n" + "شوگر کی بیماری۔ " * 400, "en", None), (10**6 + 1, "", "en", "s"), (10**6 + 2, " \n\t", None, "s"), (10**6 + 3, None, "en", "s")]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").union(spark.createDataFrame(made, "doc_id long, text string, lang string, source string"))
+    got = {}
+    for r in text.chunks(docs, "doc_id", "text", "lang", "source").orderBy("doc_id", "chunk").collect():
+        got.setdefault(r.doc_id, []).append((r.section, r.content))
+        assert r.tokens == plain_estimate(r.content)
+    want = {r.doc_id: c for r in docs.collect() if r.text is not None and (c := plain_chunks(r.text, r.lang, r.source))}
+    assert got == want and len(want) > 150 and len(want[10**6]) > 10

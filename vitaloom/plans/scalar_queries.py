@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vitaloom.functions import fixed, scalars
 from vitaloom.plans import fixtures as fx
 from vitaloom.plans.catalogue import register
-from vitaloom.sources.tables import KINDS, kind_of_mime, scan
+from vitaloom.sources.tables import KINDS, kind_of_mime, scan, spread
 
 _DIGITS = f"translate(raw, '{fixed.EASTERN_DIGITS[0]}', '{fixed.EASTERN_DIGITS[1]}')"
 _COMMAS = r"regexp_replace(regexp_replace({}, '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g')"
@@ -131,7 +131,7 @@ _SECTION = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{n}'"
 
 @register("section_detect", f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, {_SECTION} AS section, count(*) AS n FROM l GROUP BY ALL")
 def section_detect(spark, sf_dir):
-    lines = scan(spark, sf_dir, "documents", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = spread(scan(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy("doc_id", scalars.section_of(F.col("line")).alias("section")).agg(F.count("*").alias("n"))
 
 

@@ -11,7 +11,7 @@ from vitaloom.operators import backends, budget, lexical, linking, records, retr
 from vitaloom.plans import catalogues as cat
 from vitaloom.plans import fixtures as fx
 from vitaloom.plans.catalogue import register
-from vitaloom.sources.tables import combined_pages, scan
+from vitaloom.sources.tables import combined_pages, scan, spread
 from vitaloom.streaming import limits
 
 # --- retrieval -------------------------------------------------------------------------------------------------
@@ -40,7 +40,7 @@ def _asked(spark, sf_dir):
 
 
 def _lexical(spark, sf_dir):
-    return retrieval.lexical_arm(scan(spark, sf_dir, "documents", "doc_id", "text"), _asked(spark, sf_dir), "doc_id", "text")
+    return retrieval.lexical_arm(spread(scan(spark, sf_dir, "documents", "doc_id", "text")), _asked(spark, sf_dir), "doc_id", "text")
 
 
 @register("dense_topk", f"WITH {_DENSE_SQL} SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM dense")
@@ -70,7 +70,7 @@ def dense_topk_owned(spark, sf_dir):
  s AS (SELECT query_id, doc_id, round(count(*) * 0.1::DOUBLE, 6) AS score FROM w JOIN q USING (owner, term) GROUP BY ALL)
  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s QUALIFY rank <= 20""")
 def lexical_topk_owned(spark, sf_dir):
-    docs = scan(spark, sf_dir, "documents", "doc_id", "text", F.expr(_OWNER.format("doc_id")).alias("owner"))
+    docs = spread(scan(spark, sf_dir, "documents", "doc_id", "text", F.expr(_OWNER.format("doc_id")).alias("owner")))
     asked = _asked(spark, sf_dir).withColumn("owner", F.expr(_OWNER.format("query_id")))
     return retrieval.lexical_arm(docs, asked, "doc_id", "text", owner="owner").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
@@ -84,7 +84,7 @@ def _items(spark, sf_dir, *parts):
 
 def _searched(spark, sf_dir, asked, **options):
     terms = lexical.parsed_queries(asked, "text", english=False).select(F.explode("terms").alias("term"))
-    postings = lexical.index(scan(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", english=False, only=terms)
+    postings = lexical.index(spread(scan(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text", english=False, only=terms)
     return retrieval.search_arm(postings, asked, "doc_id", english=False, **options)
 
 
@@ -111,7 +111,7 @@ def lexical_minus(spark, sf_dir):
 
 @register("lexical_topk_stems")
 def lexical_topk_stems(spark, sf_dir):
-    found = retrieval.lexical_arm(scan(spark, sf_dir, "documents", "doc_id", "text"), _asked(spark, sf_dir), "doc_id", "text", stems=True)
+    found = retrieval.lexical_arm(spread(scan(spark, sf_dir, "documents", "doc_id", "text")), _asked(spark, sf_dir), "doc_id", "text", stems=True)
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -149,7 +149,7 @@ _COVER_SQL = f"coalesce(list_sum([{_WEIGHT} FOR t IN terms IF len(list_filter(wo
  SELECT query_id, id, arms, relevance FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) <= 6""",
 )
 def hybrid_search(spark, sf_dir):
-    docs = scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text")
+    docs = spread(scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text"))
     sections = scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), F.coalesce("source", F.lit("Unknown")).alias("section"))
     kept = retrieval.above_floors(_fused(spark, sf_dir), 0.3, 0.5)
     finds = retrieval.covered(kept, _asked(spark, sf_dir), docs, "id", "text").join(sections, "id", "left")
@@ -161,7 +161,7 @@ def hybrid_search(spark, sf_dir):
 @register("rerank_coverage", f"""WITH {_FUSED_SQL}, d AS (SELECT doc_id, {_TERMS} AS words FROM documents)
  SELECT f.query_id, f.id, round({_COVER_SQL}, 6) AS coverage FROM fused f JOIN q ON q.query_id = f.query_id JOIN d ON d.doc_id = f.id""")
 def rerank_coverage(spark, sf_dir):
-    docs = scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text")
+    docs = spread(scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text"))
     finds = _fused(spark, sf_dir).select("query_id", "id").join(_asked(spark, sf_dir).select("query_id"), "query_id", "left_semi").join(docs.select("id"), "id", "left_semi")
     return retrieval.covered(finds, _asked(spark, sf_dir), docs, "id", "text").select("query_id", "id", F.round("coverage", 6).alias("coverage"))
 
@@ -242,12 +242,12 @@ _SECTION = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{n}'"
  SELECT doc_id, grp::INTEGER AS "group", min_by(sec, i) AS section, length(regexp_replace(string_agg(line, chr(10) ORDER BY i), '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')) AS n_chars
  FROM g GROUP BY doc_id, grp HAVING bool_or(trim(line) <> '')""".replace("\\","\\"))
 def section_groups(spark, sf_dir):
-    return text.sections(scan(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "group", "section", F.length("body").alias("n_chars"))
+    return text.sections(spread(scan(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text").select("doc_id", "group", "section", F.length("body").alias("n_chars"))
 
 
 @register("chunk_documents")
 def chunk_documents(spark, sf_dir):
-    c = text.chunks(scan(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), "doc_id", "text", "lang", "source")
+    c = text.chunks(spread(scan(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")), "doc_id", "text", "lang", "source")
     return c.select("doc_id", "chunk", "section", "tokens", F.sha2("content", 256).alias("content_sha256"))
 
 
@@ -284,7 +284,7 @@ _LINES = fx.Rows("doc_id int, line string", *enumerate([
 
 
 def _clinical(spark, sf_dir):
-    return _LINES.over(spark, sf_dir).join(scan(spark, sf_dir, "documents", "doc_id", F.col("text").alias("own")), "doc_id").select("doc_id", F.concat("line", F.lit("\n"), F.coalesce("own", F.lit(""))).alias("text"))
+    return _LINES.over(spark, sf_dir).join(spread(scan(spark, sf_dir, "documents", "doc_id", F.col("text").alias("own"))), "doc_id").select("doc_id", F.concat("line", F.lit("\n"), F.coalesce("own", F.lit(""))).alias("text"))
 
 
 def _known_sql(known):
@@ -328,7 +328,7 @@ def entity_backends(spark, sf_dir):
  h AS (SELECT doc_id, n, md5(w) AS h FROM c), s AS (SELECT doc_id, ('0x' || left(h, 4))::BIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(h, 5, 1))::BIGINT % 2 = 1 THEN n ELSE -n END)::DOUBLE AS x FROM h GROUP BY ALL)
  SELECT doc_id, slot::INTEGER AS slot, round((x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM s WHERE x <> 0""")
 def embedded_passages(spark, sf_dir):
-    e = backends.embedded(scan(spark, sf_dir, "documents", "doc_id", "text"), "text", "passage")
+    e = backends.embedded(spread(scan(spark, sf_dir, "documents", "doc_id", "text")), "text", "passage")
     return e.select("doc_id", F.posexplode("embedding").alias("slot", "value")).where("value <> 0").select("doc_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
@@ -477,7 +477,7 @@ def history_budget_suffix(spark, sf_dir):
  r AS (SELECT *, sum(greatest(1, ceil(length(line) / 4))) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM l)
  SELECT doc_id, any_value(cut) AS cut, CASE WHEN any_value(cut) THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE used <= 100), '') || chr(10) || chr(10) || '(Older entries omitted to stay within the review limit.)' ELSE any_value(text) END AS text FROM r GROUP BY doc_id""")
 def digest_line_budget(spark, sf_dir):
-    return budget.lines(scan(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", 100, scalars.token_estimate)
+    return budget.lines(spread(scan(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text", 100, scalars.token_estimate)
 
 
 @register(

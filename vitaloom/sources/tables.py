@@ -38,6 +38,12 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str, where: Colu
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores, dealt evenly to all of them before costly work on each row; one of more splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def live_scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The same table as a stream of its files, a bounded number of them a micro-batch."""
     files = spark.readStream.schema(scan(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 100)
