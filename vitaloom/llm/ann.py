@@ -10,7 +10,7 @@ distance from all lists, however many these are (plain distances differ too litt
 fitted: the neighbours of ``trials`` queries are found by brute force, and it is the least one at which their lists hold ``recall``
 of them. Centroids are found by best-first search on the graph with a beam that grows until it reaches beyond the ratio.
 Neighbouring lists form blocks of counted size, and blocks and their visitors are cut into shares, so that a common vector or a
-popular list does not meet in one task. Within a block a query is scored against each vector of its lists once, however many of them the vector is in. Scores
+popular list does not meet in one task. A query is scored against each vector of the lists it visits once, in the first block that holds it, however many of the lists the vector is in. Scores
 are sums in double precision over the components in order, on the original vectors.
 
 Without clusters no list tells much of where neighbours are; then lists are visited until the recall holds, and the work stays a
@@ -38,13 +38,14 @@ from vitaloom.llm.common import materialize
 LIST_ROWS = 10
 MAX_LISTS = 16_384
 SAMPLE_ROWS = 40_000
-SHARE_ROWS = 4_000
+#: Vectors, and visitors, of a block that meet in one task.
+SHARE_ROWS, SHARE_VISITS = 16_000, 4_000
 #: A list is hidden from a vector if its centroid's squared distance to that of a list taken is under this share of that to the vector.
 HIDDEN = 0.5
 #: Centroids that the search keeps open at first.
 BEAM = 64
-#: Vectors of one block of neighbouring lists: a query sends its vector and gets its best once a block and share, so blocks are few, and follow the number of vectors.
-BLOCK_ROWS = 8_000
+#: Blocks of neighbouring lists, and vectors of one where there are more: a query sends its vector and gets its best once a block and share, so blocks are few.
+BLOCKS, BLOCK_ROWS = 8, 100_000
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -181,7 +182,7 @@ def way_out(d: np.ndarray, least: np.ndarray, x: np.ndarray, mean: np.ndarray) -
 
 
 class Index(NamedTuple):
-    """postings and visits (of the queries): block, id, v, lists of that block. centroids: unit vectors. ratio: bound of :func:`way_out`. blocks: how many."""
+    """postings and visits (of the queries): block, id, v, lists of that block, others (see ``build``). centroids: unit vectors. ratio: bound of :func:`way_out`. blocks: how many."""
 
     postings: DataFrame
     visits: DataFrame
@@ -258,7 +259,7 @@ def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int
     if share < 1 and not chosen.head(1):
         chosen = vectors.limit(1000)
     centroids = np.array([r["c"] for r in chosen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "c array<double>").collect()])
-    blocks = max(1, min(len(centroids), round(n / BLOCK_ROWS)))
+    blocks = min(len(centroids), max(BLOCKS, n // BLOCK_ROWS))
     shared = spark.sparkContext.broadcast((centroids, graph_links(centroids)))  # at most max_lists rows
 
     def graph() -> CentroidGraph:
@@ -266,7 +267,8 @@ def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int
             _GRAPHS.update(key=shared.value, graph=CentroidGraph(*shared.value))
         return _GRAPHS["graph"]
 
-    def rows_of(b: pa.RecordBatch, found: np.ndarray, take: np.ndarray) -> pa.RecordBatch:
+    def rows_of(b: pa.RecordBatch, found: np.ndarray, take: np.ndarray, asking: bool) -> pa.RecordBatch:
+        """A row for each vector and block: its lists there, and as ``others`` a bit for every list it visits if it asks, else its lists in blocks before."""
         i, j = np.nonzero(take)
         lists = found[i, j]
         order = np.lexsort((lists, i))
@@ -274,7 +276,16 @@ def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int
         block = lists * blocks // len(centroids)
         head = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (block[1:] != block[:-1]))))
         part, ends = b.take(pa.array(i[head])), pa.array(np.append(head, len(i)), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(block[head]), part.column("id"), part.column("v"), pa.ListArray.from_arrays(ends, pa.array(lists))], names=["block", "id", "v", "lists"])
+        if asking:
+            visited = np.zeros((len(b), len(centroids)), bool)
+            visited[i, lists] = True
+            bits = [row.tobytes() for row in np.packbits(visited, axis=1)]
+            others = [bits[k] for k in i[head].tolist()]
+        else:
+            first = np.searchsorted(i, i[head])
+            others = [lists[f:h].astype("<i4").tobytes() for f, h in zip(first.tolist(), head.tolist(), strict=True)]
+        columns = [pa.array(block[head]), part.column("id"), part.column("v"), pa.ListArray.from_arrays(ends, pa.array(lists)), pa.array(others, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "id", "v", "lists", "others"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = graph()
@@ -282,7 +293,7 @@ def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int
             for s in range(0, len(b), 2000):
                 part = b.slice(s, 2000)
                 found, d = g.search(widen(_matrix(part)[1]), BEAM)
-                yield rows_of(part, found, closure(g, found, d, slack, replicas))
+                yield rows_of(part, found, closure(g, found, d, slack, replicas), False)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, mean = graph(), centroids.mean(axis=0)
@@ -298,9 +309,9 @@ def build(vectors: DataFrame, k: int, query_mod: int, recall: float, trials: int
                         break
                     beam *= 4
                 held = sizes[found]
-                yield rows_of(part, found, within | (np.cumsum(held, axis=1) - held < 5 * k * replicas))  # however near the first list is, enough are seen
+                yield rows_of(part, found, within | (np.cumsum(held, axis=1) - held < 5 * k * replicas), True)  # however near the first list is, enough are seen
 
-    schema = "block long, id long, v array<double>, lists array<long>"
+    schema = "block long, id long, v array<double>, lists array<long>, others binary"
     postings = materialize(vectors.mapInArrow(post, schema), "postings")
     sizes = np.zeros(len(centroids), np.int64)
     counted = postings.select("id", F.explode("lists").alias("list")).groupBy("list").agg(F.count_distinct("id").alias("ids")).collect()  # at most max_lists rows
@@ -316,7 +327,7 @@ def search(index: Index, k: int) -> DataFrame:
     spark = index.postings.sparkSession
     # shares of a block and of its visitors, from counts, a row a block
     parts = {r["block"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in index.postings.groupBy("block").count().collect()}
-    turns = {r["block"]: max(1, math.ceil(r["count"] / SHARE_ROWS)) for r in index.visits.groupBy("block").count().collect()}
+    turns = {r["block"]: max(1, math.ceil(r["count"] / SHARE_VISITS)) for r in index.visits.groupBy("block").count().collect()}
     grid = spark.createDataFrame([(c, parts[c], turns.get(c, 0)) for c in sorted(parts)], "block long, parts int, turns int")
     cell = F.broadcast(grid)
     salt = lambda by: F.pmod(F.xxhash64("id", F.lit(3)), F.col(by)).cast("int")
@@ -333,9 +344,15 @@ def search(index: Index, k: int) -> DataFrame:
             order = np.argsort(lists, kind="stable")
             lists, place = lists[order], place[order]
             pid, pv = p["id"].to_numpy(), np.stack(p["v"].to_numpy())
-            for qid, qv, visited in zip(q["id"].tolist(), q["v"], q["lists"], strict=True):
-                begin, end = np.searchsorted(lists, visited), np.searchsorted(lists, visited, side="right")
+            earlier = [np.frombuffer(x, "<i4") for x in p["others"]]
+            before = np.full((len(p), max(1, max(map(len, earlier)))), -1)  # the last bit of a query's, which is none of a list
+            for k_, x in enumerate(earlier):
+                before[k_, : len(x)] = x
+            for qid, qv, own, bits in zip(q["id"].tolist(), q["v"], q["lists"], q["others"], strict=True):
+                begin, end = np.searchsorted(lists, own), np.searchsorted(lists, own, side="right")
                 seen = np.unique(np.concatenate([place[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]))
+                visited = np.append(np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool), False)
+                seen = seen[~visited[before[seen]].any(axis=1)]  # those that a block before has scored for this query
                 if len(seen):
                     _, ids, value = _top(np.array([qid]), np.asarray(qv)[None], pid[seen], np.ascontiguousarray(pv[seen].T), k)
                     who.append(np.full(len(ids), qid))
