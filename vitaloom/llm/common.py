@@ -97,6 +97,23 @@ def _forget(spark: SparkSession, path: str) -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+#: A key of more rows than this is hot; the hot keys sent to all tasks are this many at most.
+HOT_ROWS, HOT_KEYS = 500, 100_000
+
+
+def joined_with_hot_keys(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """Inner join of ``left`` (read twice, so a written table) with ``right``, which has one row a key and in ``rows`` how many of the ``total`` rows of ``left`` have it.
+
+    Keys of more than ``HOT_ROWS`` rows, and of more than a share of the total that bounds their number by ``HOT_KEYS``, are sent to all tasks, so that their rows stay where
+    they are and no key meets in one task.
+    """
+    hot = right.where(F.col(rows) > max(HOT_ROWS, total // HOT_KEYS))
+    cold = right.where(F.col(rows) <= max(HOT_ROWS, total // HOT_KEYS))
+    there = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return there.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

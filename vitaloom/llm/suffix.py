@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitaloom.llm.common import materialize
+from vitaloom.llm.common import joined_with_hot_keys, materialize
 
 GRAM = 20
 SHARE_BYTES = 8_000_000
@@ -223,11 +223,11 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     # copies: texts by digest of all their bytes; a row whose text also occurs under a smaller id is settled
     keyed = rows.select("doc_id", "digest", F.unhex(F.sha2("raw", 256)).alias("full"), F.octet_length("raw").alias("n"))
     keyed = materialize(keyed, "digests")
-    total = keyed.agg(F.sum("n")).first()[0] or 0
+    count, total = (x or 0 for x in keyed.agg(F.count("*"), F.sum("n")).first())
     shares = max(8, math.ceil(total / SHARE_BYTES))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(shares))
     first = keyed.groupBy("full").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1")
-    copies = keyed.join(first, "full").where("doc_id > first").select(share.alias("share"), "doc_id", "digest").distinct()
+    copies = joined_with_hot_keys(keyed, first, "full", "times", count).where("doc_id > first").select(share.alias("share"), "doc_id", "digest").distinct()
     copies = copies.mapInArrow(_pack_copies, RIGHT_SCHEMA)
     held = rows.select(share.alias("share"), "doc_id", "digest", "raw", *(["row"] if carry else []))
 
