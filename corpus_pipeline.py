@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaloom.llm import packing, quality, secrets, similar, suffix
-from vitaloom.llm.common import discard, materialize, recorded, table
-from vitaloom.llm.queries import prepared, tokenizer_file
-
+from vitaloom.llm.common import discard, materialize, recorded
+from vitaloom.llm.queries import documents, prepared, tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -99,7 +98,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepared(spark), sf_dir, "documents")
+    docs = documents(prepared(spark), sf_dir)
     before = None
     for name, apply in STAGES:
         docs = materialize(apply(spark, docs, sf_dir), name)

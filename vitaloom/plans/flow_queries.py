@@ -167,6 +167,18 @@ def second_readings(spark, sf_dir):
     return fx.PAGES.over(spark, sf_dir).select("doc", "page", providers.needs_second_reading(F.col("confidence"), F.col("text")).alias("again"))
 
 
+_REFINED = "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN text || ' (checked)' WHEN 2 THEN left(text, length(text) // 2) ELSE left(text, length(text) - length(text) // 20) END"
+
+
+@register("readings_merged", f"SELECT doc_id, sha256(CASE WHEN refined IS NULL OR length(refined) < 0.9 * length(text) THEN text ELSE refined END) AS sha FROM (SELECT doc_id, text, {_REFINED} AS refined FROM documents)")
+def readings_merged(spark, sf_dir):
+    """A second reading in place of the first where it lost no more than a tenth of it."""
+    k, n = F.pmod("doc_id", F.lit(4)), F.length("text")
+    refined = F.when(k == 1, F.concat("text", F.lit(" (checked)"))).when(k == 2, F.left("text", F.floor(n / 2).cast("int"))).when(k == 3, F.left("text", n - F.floor(n / 20).cast("int")))
+    d = scan(spark, sf_dir, "documents", "doc_id", "text").withColumn("refined", refined)
+    return d.select("doc_id", F.sha2(providers.refined_reading(F.col("text"), F.col("refined")), 256).alias("sha"))
+
+
 @register("lenient_json", f"SELECT doc, coalesce(json_valid(raw), false) OR coalesce(json_valid(nullif(regexp_extract(raw, '(\\{{.*\\}})', 1, 's'), '')), false) AS parsed FROM {fx.EXTRACTIONS.over_sql()}")
 def lenient_json(spark, sf_dir):
     return fx.EXTRACTIONS.over(spark, sf_dir).select("doc", records.lenient_json(F.col("raw")).isNotNull().alias("parsed"))
