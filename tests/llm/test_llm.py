@@ -589,6 +589,45 @@ def test_secret_scan_keeps_columns_of_any_name(spark, forest):
     assert all(r["m"] == "m" and r["a.b"] == "a.b" and len(r["found"]) == (r.text is not None) for r in seen)
 
 
+def plain_features(token, before, after):
+    """The features of a candidate, each as its name says, with another library's patterns."""
+    import regex
+
+    n, many = max(1, len(token)), lambda p, t: len(regex.findall(p, t))
+    return {
+        "length": n, "digits": many("[0-9]", token) / n, "upper": many("[A-Z]", token) / n, "lower": many("[a-z]", token) / n,
+        "switches": (many("[a-z](?=[A-Z0-9])", token) + many("[A-Z](?=[a-z0-9])", token) + many("[0-9](?=[A-Za-z])", token)) / n, "runs": many(r"(.)\1", token) / n,
+        "coverage": (n - len(regex.sub(secrets.DICTIONARY, "", token.lower()))) / n, "slashes": token.count("/"), "other_marks": many("[_+=-]", token) / n,
+        "hex_only": bool(regex.fullmatch("[0-9a-f]+", token)), "digits_only": bool(regex.fullmatch("[0-9-]+", token)), "known_prefix": bool(regex.match("AKIA|ASIA|gh[pousr]_|xox[abprs]-|eyJ", token)),
+        "secret_beside": bool(regex.search(f"(?i)({secrets.SECRET_WORDS})", before)), "other_beside": bool(regex.search(f"(?i)({secrets.OTHER_WORDS})", before + " " + after)),
+        "quoted": bool(regex.search("[\"']$", before) and regex.search("^[\"']", after)), "assigned": bool(regex.search("[=:]\\s*[\"']?$", before)),
+    }
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables here")
+def test_secret_scan_of_the_given_documents(spark, forest):
+    """Candidates, places and verdicts of every document of a small table against plain Python and Spark's own model."""
+    import regex
+    from pyspark.ml.feature import VectorAssembler
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = []
+    for d in docs.collect():
+        text = d.text or ""
+        ends = [0, *(m.end() for m in regex.finditer(secrets.CANDIDATE, text))]
+        found = list(regex.finditer(secrets.CANDIDATE, text))
+        for k, m in enumerate(found):
+            after = text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)]
+            f = plain_features(m[1], text[ends[k] : m.start()][-secrets.BESIDE :], after[: secrets.BESIDE])
+            want.append((d.doc_id, m.start(), m[1], *(float(f[n]) for n in secrets.FEATURES)))
+    rows = spark.createDataFrame(want, "doc_id long, start int, token string, " + ", ".join(f"{n} double" for n in secrets.FEATURES))
+    judged = forest.model.transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="x").transform(rows)).select("doc_id", "start", "token", "probability").collect()
+    expected = {(r.doc_id, r.start, r.token): round(float(r.probability[1]), 5) for r in judged}
+    got = {(r.doc_id, r.start, r.token): round(r.score, 5) for r in secrets.scan(docs, forest).select("doc_id", F.inline("findings")).collect()}
+    assert set(got) == set(expected) and len(got) > 20
+    assert all(abs(got[k] - expected[k]) < 2e-5 for k in got)
+
+
 def test_many_candidates_in_one_text(spark, forest):
     text = " ".join(f"é{k}nameabcdefghijk{k}" for k in range(3000))
     found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), forest).select(F.inline("findings")).collect()
