@@ -198,7 +198,7 @@ def share_revoke(spark, sf_dir):
 @register("drop_repeated_last_turn", "SELECT conv_id, turn FROM conversations QUALIFY NOT (row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AND role = 'user' AND text = (SELECT max(text) FROM conversations WHERE role = 'user'))")
 def drop_repeated_last_turn(spark, sf_dir):
     c = scan(spark, sf_dir, "conversations")
-    said = c.where("role = 'user'").agg(F.max("text")).first()[0]
+    said = c.where("role = 'user'").agg(F.max("text")).scalar()
     return relational.without_repeated_last(c, "conv_id", "turn", "role", "text", said).select("conv_id", "turn")
 
 
