@@ -14,17 +14,21 @@ DAY = 86400.0
 
 def days(ts: Column, origin: str = "2024-01-01") -> Column:
     """Days since a fixed origin; a slope does not depend on it, and small numbers keep its digits."""
-    return (ts.cast("timestamp").cast("double") - F.lit(origin).cast("timestamp").cast("double")) / DAY
+    # whole microseconds up to the difference: seconds since 1970 as a double would lose them
+    return (F.unix_micros(ts.cast("timestamp")) - F.unix_micros(F.lit(origin).cast("timestamp"))) / 1e6 / DAY
 
 
-def statistics(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
-    """n, mean, sd (sample, 0 for one point), slope a day (0 where undefined); rows without a value do not count."""
+def statistics(df: DataFrame, keys: Sequence[str], ts: str, value: str, upright: float = 0.0, bare: bool = False) -> DataFrame:
+    """n, mean, sd (sample, 0 for one point), slope a day (0 where undefined); rows without a value do not count.
+
+    ``upright`` is the slope of points that all have one time, a single point among them; with ``bare`` series without any value are kept, with n = 0.
+    """
     x, y = days(F.col(ts)), F.col(value).cast("double")
-    return df.where(y.isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"),
+    return (df if bare else df.where(y.isNotNull())).groupBy(*keys).agg(
+        F.count(y).alias("n"),
         F.avg(y).alias("mean"),
         F.coalesce(F.stddev_samp(y), F.lit(0.0)).alias("sd"),
-        F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
+        F.coalesce(F.regr_slope(y, x), F.when(F.regr_count(y, x) > 0, F.lit(upright)), F.lit(0.0)).alias("slope"),
     )
 
 
