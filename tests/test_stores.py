@@ -237,3 +237,22 @@ def test_a_model_that_returns_too_few_stops_the_job(spark, monkeypatch):
     backends.EMBEDDING_MODELS["tests.short_model:short"] = (None, 2)
     with pytest.raises(PySparkException, match="embeddings for"):
         backends.embedded(spark.createDataFrame([("a",), ("b",)], "t string").coalesce(1), "t", "query", model="tests.short_model:short").collect()
+
+
+def test_files_of_frames_are_bounded(spark, tmp_path, monkeypatch):
+    """A task that has much to write begins new files, and readers get them in pieces."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(frames, "FILE_BYTES", 100)
+    monkeypatch.setattr(frames, "PIECE_BYTES", 7)
+    w = frames.FrameWriter({"path": str(tmp_path)})
+    said = [f'data: {{"n": {i}}}\n\n' for i in range(50)]
+    message = w.write(iter([SimpleNamespace(frame=f) for f in said]))
+    assert len(message.names) > 5
+    w.commit([message, None], 0)
+    files = frames.received(spark, str(tmp_path))
+    assert max(len(r.content) for r in files.collect()) < 130
+    pieces = frames.in_pieces(files)
+    assert max(len(r.content) for r in pieces.collect()) == 7
+    assert sorted(r.payload for r in frames.reassembled(pieces, "name", "piece").collect()) == sorted(f[6:-2] for f in said)
+    assert w.write(iter([])).names == []

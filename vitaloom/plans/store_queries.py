@@ -153,5 +153,5 @@ def frames_through_sink(spark, sf_dir):
     root = fresh_folder(spark, "frames").removeprefix("file:")
     live = _framed(live_scan(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts"))
     frames.sent(live, f"{root}/sink", f"{root}/checkpoint").awaitTermination()
-    held = frames.received(spark, f"{root}/sink").withColumn("piece", F.lit(0))
+    held = frames.in_pieces(frames.received(spark, f"{root}/sink"))
     return frames.reassembled(held, "name", "piece").groupBy("payload").agg(F.count("*").alias("n"))

@@ -1,6 +1,6 @@
 """Server-sent frames as a stream sink, and frames put together again from bytes that were cut anywhere.
 
-The sink is a Python data source: each task writes a file of frames a batch, and the driver's commit names the files of a batch in one small file, put in place by a
+The sink is a Python data source: each task writes files of frames of bounded size, and the driver's commit names the files of a batch in one small file, put in place by a
 rename. Readers go by these, so a batch that was aborted or written twice shows once or not at all.
 """
 
@@ -22,10 +22,13 @@ from vitaloom.sources.filestore import _root
 PREFIX, DONE = "data: ", "[DONE]"
 
 
+#: A task begins another file of frames beyond so many bytes; readers get files in pieces of so many, as a batch has many of them.
+FILE_BYTES, PIECE_BYTES = 4 << 20, 4 << 10
+
+
 @dataclass
-class FileOfFrames(WriterCommitMessage):
-    name: str
-    frames: int
+class FilesOfFrames(WriterCommitMessage):
+    names: list[str]
 
 
 class FrameWriter(DataSourceStreamWriter):
@@ -35,26 +38,35 @@ class FrameWriter(DataSourceStreamWriter):
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         system, root = _root(self.uri)
         system.create_dir(f"{root}/frames", recursive=True)
-        name, n = f"frames/{uuid.uuid4().hex}.sse", 0
-        with system.open_output_stream(f"{root}/{name}") as out:
+        names, out, size = [], None, 0
+        try:
             for row in iterator:
-                out.write(row.frame.encode())
-                n += 1
-        return FileOfFrames(name, n)
+                if out is None or size >= FILE_BYTES:
+                    if out is not None:
+                        out.close()
+                    names.append(f"frames/{uuid.uuid4().hex}.sse")
+                    out, size = system.open_output_stream(f"{root}/{names[-1]}"), 0
+                raw = row.frame.encode()
+                out.write(raw)
+                size += len(raw)
+        finally:
+            if out is not None:
+                out.close()
+        return FilesOfFrames(names)
 
     def commit(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:
         system, root = _root(self.uri)
         system.create_dir(f"{root}/batches", recursive=True)
         temp = f"{root}/.{uuid.uuid4().hex}"
         with system.open_output_stream(temp) as out:
-            out.write(json.dumps([m.name for m in messages if m and m.frames]).encode())
+            out.write(json.dumps([name for m in messages if m for name in m.names]).encode())
         system.move(temp, f"{root}/batches/{batchId:012d}.json")
 
     def abort(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:
         system, root = _root(self.uri)
-        for m in messages:
-            if m and system.get_file_info(f"{root}/{m.name}").type == pafs.FileType.File:
-                system.delete_file(f"{root}/{m.name}")
+        for name in (name for m in messages if m for name in m.names):
+            if system.get_file_info(f"{root}/{name}").type == pafs.FileType.File:
+                system.delete_file(f"{root}/{name}")
 
 
 class FrameSink(DataSource):
@@ -82,6 +94,13 @@ def received(spark: SparkSession, path: str) -> DataFrame:
     return held.join(named, "name", "left_semi")
 
 
+def in_pieces(files: DataFrame, key: str = "name", content: str = "content") -> DataFrame:
+    """key, piece, content: the bytes of each file in pieces of bounded size, so that a batch of rows is bounded whatever files are."""
+    n = F.ceil(F.length(content) / PIECE_BYTES).cast("int")
+    numbered = files.where(F.length(content) > 0).select(key, content, F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
+    return numbered.select(key, "piece", F.substring(content, F.col("piece") * PIECE_BYTES + 1, F.lit(PIECE_BYTES)).alias(content))
+
+
 def reassembled(pieces: DataFrame, key: str, order: str, content: str = "content") -> DataFrame:
     """key, place, payload: the JSON payloads of each key's frames in order, from pieces of bytes cut at any place.
 
