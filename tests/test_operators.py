@@ -281,3 +281,21 @@ def test_concepts_by_blank_ids_and_own_names(spark):
     names = spark.createDataFrame([("Panadol", " "), (" Panadol", "161"), ("", "5"), (None, None)], "name string, rxcui string")
     concepts = spark.createDataFrame([("161", "paracetamol", [], [])], "rxcui string, name string, ingredients array<string>, classes array<string>")
     assert [(r.name, r.rxcui, r.ingredients) for r in safety.resolved(names, concepts).collect()] == [("Panadol", "161", ["panadol"])]
+
+
+def test_bodies_go_through_python_in_portions():
+    import pyarrow as pa
+
+    b = pa.record_batch({"id": pa.array(range(7)), "body": pa.array(["a" * 10, "b" * 30, None, "", "é" * 6, "c", "d"])})
+    got = list(text._portions(b, "body", 12))
+    assert [i for x in got for i in x.column("id").to_pylist()] == list(range(7)) and len(got) > 2
+    assert list(text._portions(b.slice(0, 0), "body", 12)) == []
+
+
+def test_words_that_end_as_drugs_do(spark):
+    """The one pattern finds what words cut first and looked at then give."""
+    said = "Metformin x-olol-METFORMIN, -amlodipine cillin azolez nib ketoconazole9 éazole Ranitidine-b prilosec mab-mab tinib-9 statin_in warfarinolol--"
+    df = spark.createDataFrame([(said,)], "t string")
+    old = F.filter(F.regexp_extract_all("t", F.lit(r"\p{L}[\p{L}-]{4,}"), F.lit(0)), lambda w: F.rlike(w, F.lit(f"(?i)(?:{text.fixed.DRUG_ENDINGS})$")))
+    row = df.select(old.alias("old"), F.regexp_extract_all("t", F.lit(text._DRUG), F.lit(0)).alias("new")).first()
+    assert row.new == row.old and len(row.old) > 4

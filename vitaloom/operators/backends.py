@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitaloom.functions import fixed
-from vitaloom.operators.text import ENTITY, best_entities, found_by_rules
+from vitaloom.operators.text import ENTITY, best_entities, found_by_rules, placed
 
 EntityModel = Callable[[list[str]], list[list[dict]]]
 EmbeddingModel = Callable[[list[str], str], list[list[float]]]
@@ -87,7 +87,7 @@ def entities(docs: DataFrame, id_col: str, text_col: str, model: str | None = No
     fails on has the entities of the rules alone.
     """
     trimmed = docs.withColumn("_t", F.trim(F.coalesce(F.col(text_col), F.lit(""))))
-    rules = trimmed.select(id_col, F.posexplode(found_by_rules(F.col("_t"))).alias("place", "e")).select(id_col, "place", "e.*")
+    rules = placed(trimmed, id_col, found_by_rules(F.col("_t")))
     if model is None:
         return best_entities(rules, id_col)
 
