@@ -202,3 +202,38 @@ def test_terms_that_a_chunk_lacks_settle_parts_of_a_tree():
     assert list(told.values()) == [False, True, False, False, None, False]
     assert lexical._reduced(tree, frozenset([0, 1])) == ["term", 0]
     assert lexical._reduced(["or", ["term", 0], ["not", ["term", 1]]], frozenset([0])) is True
+
+
+def test_what_found_a_chunk_is_worked_out_once(spark):
+    """Both arms stand once in the plan of a search and of its coverage, and each found text is read by one join."""
+    import __spark_entry__ as entry
+
+    for name in ("hybrid_search", "rerank_coverage"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("MapInArrow"), plan.count("FlatMapCoGroupsInArrow")) == (1, 1), name
+
+
+def test_coverage_of_a_chunk_that_many_queries_find(spark, monkeypatch):
+    """Finds of one chunk in several rows, of queries without terms, of a chunk that is not there; kept columns come along."""
+    monkeypatch.setattr(retrieval, "FINDS_A_ROW", 2)
+    chunks = spark.createDataFrame([(1, "Blood sugars, high.", "a"), (2, None, "b"), (3, "x" * 9, None)], "id long, text string, section string")
+    asked = spark.createDataFrame([(q, ["sugar", "low"] if q % 2 else ["blood", "hig", "blood", "blood sugars"]) for q in range(5)] + [(8, [])], "query_id long, terms array<string>")
+    finds = spark.createDataFrame([(q, c, q * 10 + c) for q in (*range(5), 8, 9) for c in (1, 2, 7)], "query_id long, id long, n int")
+    got = {(r.query_id, r.id): (r.n, r.section, round(r.coverage, 6)) for r in retrieval.covered(finds, asked, chunks, "id", "text", "section").collect()}
+    share = {0: round(1.2 / 3.7, 6), 1: round(1.2 / 2.2, 6)}
+    assert got == {(q, c): (q * 10 + c, {1: "a", 2: "b"}.get(c), share[q % 2] if c == 1 and q < 5 else 0.0) for q in (*range(5), 8, 9) for c in (1, 2, 7)}
+
+
+@pytest.mark.parametrize(("digits", "kinds"), [(4, 5000), (2, 5000), (None, 5000), (4, 30), (1, 3)])
+def test_best_of_a_share_is_exact(digits, kinds):
+    """What is left out before scores are rounded is never among the best, ties and copies included."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((kinds, 6))[rng.integers(0, kinds, 5000)]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    ids, asked = rng.permutation(5000), v[:70]
+    who, what, scores = retrieval._best_of_share(pa.chunked_array([pa.array(ids)]), (np.arange(5000), v), pa.chunked_array([pa.array(np.arange(70))]), (np.arange(70), asked), 7, digits)
+    near = asked @ v.T
+    near = near if digits is None else np.round(near, digits)
+    want = np.stack([np.lexsort((ids, -row))[:7] for row in near])
+    assert who.to_pylist() == np.repeat(np.arange(70), 7).tolist() and what.to_pylist() == ids[want].ravel().tolist()
+    assert scores.tolist() == np.take_along_axis(near, want, 1).ravel().tolist()

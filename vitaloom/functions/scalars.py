@@ -190,7 +190,7 @@ def singular(c: Column) -> Column:
 def content_terms(c: Column) -> Column:
     words = F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), " ")
     stops = F.array(*map(F.lit, fixed.STOPWORDS))
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w)))
+    return F.filter(F.array_distinct(words), lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w))
 
 
 def section_of(line: Column) -> Column:

@@ -149,10 +149,9 @@ _COVER_SQL = f"coalesce(list_sum([{_WEIGHT} FOR t IN terms IF len(list_filter(wo
  SELECT query_id, id, arms, relevance FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) <= 6""",
 )
 def hybrid_search(spark, sf_dir):
-    docs = spread(scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text"))
-    sections = scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), F.coalesce("source", F.lit("Unknown")).alias("section"))
+    docs = scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text", F.coalesce("source", F.lit("Unknown")).alias("section"))
     kept = retrieval.above_floors(_fused(spark, sf_dir), 0.3, 0.5)
-    finds = retrieval.covered(kept, _asked(spark, sf_dir), docs, "id", "text").join(sections, "id", "left")
+    finds = retrieval.covered(kept, _asked(spark, sf_dir), docs, "id", "text", "section")
     day = F.lit("2024-01-01").cast("timestamp_ntz")
     blended = retrieval.blend(finds.withColumn("day", F.lit(None).cast("timestamp_ntz")), day, "src3").withColumn("relevance", F.round("relevance", 6))
     return retrieval.ranked(blended, ["query_id"], "relevance", "id", 6).select("query_id", "id", "arms", "relevance")
@@ -161,7 +160,7 @@ def hybrid_search(spark, sf_dir):
 @register("rerank_coverage", f"""WITH {_FUSED_SQL}, d AS (SELECT doc_id, {_TERMS} AS words FROM documents)
  SELECT f.query_id, f.id, round({_COVER_SQL}, 6) AS coverage FROM fused f JOIN q ON q.query_id = f.query_id JOIN d ON d.doc_id = f.id""")
 def rerank_coverage(spark, sf_dir):
-    docs = spread(scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text"))
+    docs = scan(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text")
     finds = _fused(spark, sf_dir).select("query_id", "id").join(_asked(spark, sf_dir).select("query_id"), "query_id", "left_semi").join(docs.select("id"), "id", "left_semi")
     return retrieval.covered(finds, _asked(spark, sf_dir), docs, "id", "text").select("query_id", "id", F.round("coverage", 6).alias("coverage"))
 
